@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions.vectors import dot
-from ..operators import matching, metrics, sampling
+from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
 from . import tables
@@ -80,3 +80,97 @@ def episode_accuracy(spark, sf_dir) -> DataFrame:
     per_episode = metrics.episode_accuracy(matching.predictions(scores), members)
     out = metrics.accuracy_summary(per_episode, ["scenario"])
     return out.select("scenario", "episodes", *[r6(c).alias(c) for c in ("accuracy", "episode_std", "episode_sem")])
+
+
+# --- trace features ----------------------------------------------------------------------------------------------
+
+HELD_OUT = "bw4"
+HALF = EVENT_DATA.window / 2
+FEATURE_BASE = with_clause(sql.PACKETS, sql.SESSIONS, sql.split_ctes(SEED), sql.grid_ctes())
+
+
+def training_sessions(spark, sf_dir):
+    sessions = tables.event_sessions(spark, sf_dir)
+    split = sampling.identity_split(sessions, SEED)
+    return sessions.join(split.where("split = 'train'"), "identity", "left_semi").where(F.col("condition") != HELD_OUT)
+
+
+def event_stats(spark, sf_dir):
+    return features.norm_stats(tables.packets(spark, sf_dir), training_sessions(spark, sf_dir), EVENT_DATA)
+
+
+@register("bin_features", FEATURE_BASE + """
+SELECT session_id, scale, bin, round(c0, 6) + 0.0 AS c0, round(c1, 6) + 0.0 AS c1, c2, c3, round(c4, 6) + 0.0 AS c4, mask FROM dense""")
+def bin_features(spark, sf_dir) -> DataFrame:
+    """Dense multi-scale bins of every session."""
+    dense = features.bin_features(tables.packets(spark, sf_dir), EVENT_DATA)
+    return dense.select("session_id", "scale", "bin", r6("c0").alias("c0"), r6("c1").alias("c1"), "c2", "c3",
+                        r6("c4").alias("c4"), "mask")
+
+
+@register("observation_mask", with_clause(sql.PACKETS, sql.grid_ctes()) + """
+, horizon AS (SELECT session_id, max(t) AS until FROM pk GROUP BY ALL)
+SELECT session_id, scale, sum(CASE WHEN (bin + 0.5) * scale / 1000 <= until THEN 1 ELSE 0 END)::BIGINT AS observed,
+       count(*) AS bins FROM dense JOIN horizon USING (session_id) GROUP BY ALL""")
+def observation_mask(spark, sf_dir) -> DataFrame:
+    """Bins observed up to each session's last packet."""
+    last = tables.packets(spark, sf_dir).groupBy("session_id").agg(F.max("t").alias("until"))
+    mask = features.observation_mask(EVENT_DATA, last, F.col("until"))
+    return mask.groupBy("session_id", "scale").agg(F.sum("mask").alias("observed"), F.count("*").alias("bins"))
+
+
+@register("norm_stats", FEATURE_BASE + ", " + sql.STATS + """
+SELECT scale, channel::INT AS channel, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM stats""")
+def norm_stats(spark, sf_dir) -> DataFrame:
+    """Moments over observed bins of training sessions without the held-out condition."""
+    return event_stats(spark, sf_dir).select("scale", "channel", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@register("normalized_bins", FEATURE_BASE + ", " + ", ".join([sql.STATS, sql.norm_ctes()]) + """
+SELECT session_id, scale, bin, channel::INT AS channel, round(x, 6) + 0.0 AS x, mask FROM norm""")
+def normalized_bins(spark, sf_dir) -> DataFrame:
+    """Z-scored log1p bins."""
+    dense = features.bin_features(tables.packets(spark, sf_dir), EVENT_DATA)
+    wide = features.normalized_bins(dense, event_stats(spark, sf_dir))
+    return wide.select("session_id", "scale", "bin", "mask", F.posexplode(F.array(*[f"x{i}" for i in range(5)]))
+                       .alias("channel", "x")).withColumn("x", r6("x"))
+
+
+@register("token_pool", FEATURE_BASE + ", " + ", ".join([sql.STATS, sql.norm_ctes(), sql.token_ctes()]) + """
+SELECT session_id, scale, token, channel::INT AS channel, round(x, 6) + 0.0 AS x, round(r, 6) + 0.0 AS r FROM tok""")
+def token_pool(spark, sf_dir) -> DataFrame:
+    """adaptive mean pooling of bins and masks."""
+    dense = features.bin_features(tables.packets(spark, sf_dir), EVENT_DATA)
+    pooled = features.token_pool(features.normalized_bins(dense, event_stats(spark, sf_dir)), EVENT_DATA)
+    return pooled.select("session_id", "scale", "token", r6("r").alias("r"),
+                         F.posexplode(F.array(*[f"x{i}" for i in range(5)])).alias("channel", "x")).withColumn("x", r6("x"))
+
+
+def fingerprint_rows(prints: DataFrame) -> DataFrame:
+    """z as part 'z' and each token of v as part 'v<token>', one number per row."""
+    z = prints.select("session_id", F.lit(-1).alias("token"), F.posexplode("z").alias("i", "x"))
+    v = prints.select("session_id", F.posexplode("v").alias("token", "p")).select("session_id", "token", F.posexplode("p").alias("i", "x"))
+    return z.unionByName(v).select("session_id", "token", "i", r6("x").alias("x"))
+
+
+FINGERPRINT_SQL = """
+SELECT session_id, token::INT AS token, i::INT AS i, round(x, 6) + 0.0 AS x FROM (
+  SELECT session_id, -1 AS token, unnest(range(len(z))) AS i, unnest(z) AS x FROM fp{0}
+  UNION ALL SELECT session_id, token, unnest(range(len(p))), unnest(p) FROM (
+    SELECT session_id, unnest(range(len(v))) AS token, unnest(v) AS p FROM fp{0}))"""
+
+
+@register("session_fingerprint", FEATURE_BASE + ", " + ", ".join(
+    [sql.STATS, sql.norm_ctes(), sql.token_ctes(), sql.print_ctes()]) + FINGERPRINT_SQL.format(""))
+def session_fingerprint(spark, sf_dir) -> DataFrame:
+    """Full-window fingerprints of every session."""
+    return fingerprint_rows(features.fingerprints(tables.packets(spark, sf_dir), event_stats(spark, sf_dir), EVENT_DATA))
+
+
+@register("session_fingerprint_prefix", FEATURE_BASE + ", " + ", ".join(
+    [sql.STATS, sql.grid_ctes(HALF, 86_400.0, "_p"), sql.norm_ctes("_p"), sql.token_ctes("_p"), sql.print_ctes("_p")])
+    + FINGERPRINT_SQL.format("_p"))
+def session_fingerprint_prefix(spark, sf_dir) -> DataFrame:
+    """half of the window observed, starting one day into the session."""
+    prints = features.fingerprints(tables.packets(spark, sf_dir), event_stats(spark, sf_dir), EVENT_DATA, until=HALF, start=86_400.0)
+    return fingerprint_rows(prints)

@@ -132,3 +132,83 @@ acc AS (
 
 def rounded(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
+
+
+# --- trace features ----------------------------------------------------------------------------------------------
+
+def split_ctes(seed: int, source: str = "sess") -> str:
+    """split(identity, split) by a seeded order of the identities of ``source``."""
+    return f"""
+ids AS (SELECT DISTINCT identity FROM {source}),
+ranked_ids AS (SELECT identity, row_number() OVER (ORDER BY sha256('{seed}|' || identity)) - 1 AS rk, count(*) OVER () AS n FROM ids),
+split AS (SELECT identity, CASE WHEN rk < greatest(1, n // 2) THEN 'train'
+                                WHEN rk < greatest(1, n // 2) + n // 5 THEN 'validation' ELSE 'test' END AS split
+          FROM ranked_ids)"""
+
+
+SESSIONS = """
+sess AS (SELECT DISTINCT session_id, identity, block, 'bw' || block AS condition, (['L','T','H'])[(block % 3 + 1)::INT] AS mode FROM ev)"""
+
+
+def grid_ctes(until: float | None = None, start: float = 0.0, tag: str = "") -> str:
+    """dense{tag}(session_id, scale, bin, c0..c4, mask) over all sessions."""
+    until = EVENT_DATA.window if until is None else until
+    scales = ", ".join(f"({s}, {EVENT_DATA.bins(s)})" for s in EVENT_DATA.scales)
+    return f"""
+sc{tag}(scale, nbins) AS (VALUES {scales}),
+sums{tag} AS (
+  SELECT session_id, scale, floor((t - {start}) * 1000 / scale + 1e-9)::BIGINT AS bin,
+         coalesce(sum(length) FILTER (direction = 0), 0) AS c0, coalesce(sum(length) FILTER (direction = 1), 0) AS c1,
+         count(*) FILTER (direction = 0)::DOUBLE AS c2, count(*) FILTER (direction = 1)::DOUBLE AS c3
+  FROM pk, sc{tag} WHERE t - {start} >= 0 AND t - {start} < {until} GROUP BY ALL),
+dense{tag} AS (
+  SELECT session_id, scale, g.bin, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, coalesce(c3, 0) AS c3,
+         CASE WHEN coalesce(c2, 0) > 0 THEN c0 / c2 ELSE 0 END AS c4,
+         CASE WHEN (g.bin + 0.5) * scale / 1000 <= {until} THEN 1 ELSE 0 END AS mask
+  FROM (SELECT session_id, scale, unnest(range(nbins)) AS bin FROM (SELECT DISTINCT session_id FROM pk), sc{tag}) g
+       LEFT JOIN sums{tag} USING (session_id, scale, bin))"""
+
+
+STATS = """
+fit AS (SELECT dense.* FROM dense JOIN sess USING (session_id) JOIN split USING (identity)
+        WHERE split = 'train' AND condition <> 'bw4' AND mask > 0),
+stats AS (
+  SELECT scale, channel, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS std
+  FROM (SELECT scale, unnest(range(5)) AS channel, unnest([ln(1+c0), ln(1+c1), ln(1+c2), ln(1+c3), ln(1+c4)]) AS x FROM fit)
+  GROUP BY ALL)"""
+
+
+def norm_ctes(tag: str = "") -> str:
+    """norm{tag}(session_id, scale, bin, channel, x, mask), long over channels."""
+    return f"""
+norm{tag} AS (
+  SELECT session_id, scale, bin, channel, CASE WHEN mask > 0 THEN (x - mean) / std ELSE 0 END AS x, mask
+  FROM (SELECT session_id, scale, bin, mask, unnest(range(5)) AS channel,
+               unnest([ln(1+c0), ln(1+c1), ln(1+c2), ln(1+c3), ln(1+c4)]) AS x FROM dense{tag})
+       JOIN stats USING (scale, channel))"""
+
+
+def token_ctes(tag: str = "") -> str:
+    """tok{tag}(session_id, scale, token, channel, x, r) by adaptive mean pooling."""
+    m = EVENT_DATA.tokens
+    return f"""
+tok{tag} AS (
+  SELECT session_id, scale, token, channel, avg(x) AS x, avg(mask) AS r
+  FROM norm{tag} JOIN (SELECT scale, nbins, unnest(range({m})) AS token FROM sc{tag}) k USING (scale)
+  WHERE bin >= token * nbins // {m} AND bin < ((token + 1) * nbins + {m} - 1) // {m} GROUP BY ALL)"""
+
+
+def print_ctes(tag: str = "") -> str:
+    """fp{tag}(session_id, z, v, r): uniform fusion, token normalisation, pooled global vector."""
+    return f"""
+fw{tag} AS (SELECT *, r / (sum(r) OVER (PARTITION BY session_id, token, channel) + 1e-8) AS w FROM tok{tag}),
+fu{tag} AS (SELECT session_id, token, channel, sum(w * x) AS u, max(r) AS r FROM fw{tag} GROUP BY ALL),
+fz{tag} AS (SELECT session_id, channel, coalesce(sum(u * r) / (sum(r) + 1e-8), 0) AS mean_u,
+                   coalesce(max(u) FILTER (r > 0), 0) AS max_u FROM fu{tag} GROUP BY ALL),
+fzz{tag} AS (SELECT session_id, list(x ORDER BY i) AS raw FROM (
+  SELECT session_id, channel AS i, mean_u AS x FROM fz{tag} UNION ALL SELECT session_id, channel + 5, max_u FROM fz{tag}) GROUP BY ALL),
+fv{tag} AS (SELECT session_id, token, list(u ORDER BY channel) AS raw, max(r) AS r FROM fu{tag} GROUP BY ALL),
+fvv{tag} AS (SELECT session_id, list(list_transform(raw, lambda x: x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12)) ORDER BY token) AS v,
+                    list(r ORDER BY token) AS r FROM fv{tag} GROUP BY ALL),
+fp{tag} AS (SELECT session_id, list_transform(raw, lambda x: x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12)) AS z, v, r
+            FROM fzz{tag} JOIN fvv{tag} USING (session_id))"""

@@ -174,3 +174,108 @@ def session_fingerprint_prefix(spark, sf_dir) -> DataFrame:
     """half of the window observed, starting one day into the session."""
     prints = features.fingerprints(tables.packets(spark, sf_dir), event_stats(spark, sf_dir), EVENT_DATA, until=HALF, start=86_400.0)
     return fingerprint_rows(prints)
+
+
+# --- pair matching -----------------------------------------------------------------------------------------------
+
+CROSS_SQL = [sql.VECTORS, sql.members(CROSS_MODE, [SEED])]
+MAX_SIDE = max(p.ways * max(p.shots, p.queries) for p in ALL_SCENARIOS)
+HOLE_LIST = "list_transform(range(8), lambda i: CASE WHEN {0}.session_id % 8 = i THEN 0.0 ELSE 1.0 END)"
+COMPACT = ("compact AS (SELECT * REPLACE (list_filter(qv, lambda x, i: qr[i] > 0) AS qv, "
+           "list_filter(sv, lambda x, i: sr[i] > 0) AS sv) FROM pr)")
+
+
+def pair_sql(*ctes, source, columns=("local", "overlap", "score")):
+    return with_clause(*CROSS_SQL, *ctes) + f"""
+SELECT {sql.PAIR_KEYS}, support_id, label::BIGINT AS label, {', '.join(sql.rounded(c, c) for c in columns)} FROM {source}"""
+
+
+def cross_pairs(spark, sf_dir, alignment, holes=False, **extra):
+    vec = tables.vectors(spark, sf_dir)
+    if holes:
+        vec = vec.withColumn("r", F.col("r_holes"))
+    members = sampling.episode_members(tables.vector_sessions(spark, sf_dir), CROSS_MODE, (SEED,))
+    return matching.episode_pairs(members, vec, MatchConfig(alignment=alignment), max_side=MAX_SIDE, **extra)
+
+
+def pair_rows(pairs, columns=("local", "overlap", "score")):
+    return pairs.select(F.col("seed").cast("bigint"), "scenario", "partition", F.col("episode").cast("bigint"), "query_id",
+                        "support_id", "label", *[r6(c).alias(c) for c in columns])
+
+
+@register("pair_global", pair_sql(sql.pairs_cte(), source="(SELECT *, g AS score FROM pr)", columns=("score",)))
+def pair_global(spark, sf_dir) -> DataFrame:
+    """Global similarity only; token arrays never leave the scan."""
+    return pair_rows(cross_pairs(spark, sf_dir, "none"), ("score",))
+
+
+DIAGONAL = ("dg AS (SELECT *, list_sum(list_transform(range(1, 9), lambda i: list_dot_product(qv[i], sv[i]))) / (8 + 1e-8) AS local, "
+            "0.5 * g + 0.5 * list_sum(list_transform(range(1, 9), lambda i: list_dot_product(qv[i], sv[i]))) / (8 + 1e-8) AS score FROM pr)")
+
+
+@register("pair_diagonal", pair_sql(sql.pairs_cte(), DIAGONAL, source="dg", columns=("local", "score")))
+def pair_diagonal(spark, sf_dir) -> DataFrame:
+    """token i against token i."""
+    return pair_rows(cross_pairs(spark, sf_dir, "diagonal"), ("local", "score"))
+
+
+@register("pair_pma", pair_sql(sql.pairs_cte(), sql.pma_ctes(8, 8), source="pma"))
+def pair_pma(spark, sf_dir) -> DataFrame:
+    """partial monotone alignment of 8 x 8 tokens."""
+    return pair_rows(cross_pairs(spark, sf_dir, "pma"))
+
+
+@register("pair_pma_holes", pair_sql(sql.pairs_cte(r=HOLE_LIST), sql.pma_ctes(8, 8, holes=True), source="pma"))
+def pair_pma_holes(spark, sf_dir) -> DataFrame:
+    """F3 with an unobserved token per fingerprint."""
+    return pair_rows(cross_pairs(spark, sf_dir, "pma", holes=True))
+
+
+@register("pair_softdtw", pair_sql(sql.pairs_cte(), sql.soft_dtw_ctes(8, 8), source="sdtw", columns=("local", "score")))
+def pair_softdtw(spark, sf_dir) -> DataFrame:
+    """soft-DTW occupancy."""
+    return pair_rows(cross_pairs(spark, sf_dir, "soft_dtw"), ("local", "score"))
+
+
+@register("pair_softdtw_holes", pair_sql(sql.pairs_cte(r=HOLE_LIST), COMPACT, sql.soft_dtw_ctes(7, 7, source="compact"),
+                                         source="sdtw", columns=("local", "score")))
+def pair_softdtw_holes(spark, sf_dir) -> DataFrame:
+    """F4 on the valid tokens only."""
+    return pair_rows(cross_pairs(spark, sf_dir, "soft_dtw", holes=True), ("local", "score"))
+
+
+def candidate_rows(scores):
+    return scores.select(F.col("seed").cast("bigint"), "scenario", "partition", F.col("episode").cast("bigint"), "query_id",
+                         F.col("label").cast("bigint"), r6("candidate").alias("candidate"))
+
+
+def _register_rule(rule):
+    text = with_clause(*CROSS_SQL, sql.pairs_cte(), sql.pma_ctes(8, 8), sql.class_scores(rule)) + f"""
+SELECT {sql.PAIR_KEYS}, label::BIGINT AS label, {sql.rounded('candidate', 'candidate')} FROM cand"""
+
+    @register(f"support_agg_{rule}", text)
+    def run(spark, sf_dir) -> DataFrame:
+        return candidate_rows(matching.candidate_scores(cross_pairs(spark, sf_dir, "pma"), MatchConfig(), rule=rule))
+
+    run.__doc__ = f"C11: class scores from pair scores by the {rule} rule."
+
+
+for _rule in ("mean", "support_max", "uniform_lse", "similarity", "overlap", "compatibility"):
+    _register_rule(_rule)
+
+
+@register("responsibility", with_clause(*CROSS_SQL, sql.pairs_cte(), sql.pma_ctes(8, 8), sql.class_scores("compatibility")) + f"""
+SELECT {sql.PAIR_KEYS}, support_id, label::BIGINT AS label, {sql.rounded('omega', 'omega')} FROM cw""")
+def responsibility(spark, sf_dir) -> DataFrame:
+    """Weight of each support in its class score."""
+    rows = matching.responsibilities(cross_pairs(spark, sf_dir, "pma"), MatchConfig())
+    return pair_rows(rows, ("omega",))
+
+
+@register("responsibility_max", with_clause(*CROSS_SQL, sql.pairs_cte(), sql.pma_ctes(8, 8)) + f"""
+, pick AS (SELECT *, row_number() OVER (PARTITION BY {EP}, query_id, label ORDER BY score DESC, support_id) AS rn FROM pma)
+SELECT {sql.PAIR_KEYS}, support_id, label::BIGINT AS label, CASE WHEN rn = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS omega FROM pick""")
+def responsibility_max(spark, sf_dir) -> DataFrame:
+    """One-hot weight of the best support."""
+    rows = matching.responsibilities(cross_pairs(spark, sf_dir, "pma"), MatchConfig(), rule="support_max")
+    return pair_rows(rows, ("omega",))

@@ -212,3 +212,116 @@ fvv{tag} AS (SELECT session_id, list(list_transform(raw, lambda x: x / greatest(
                     list(r ORDER BY token) AS r FROM fv{tag} GROUP BY ALL),
 fp{tag} AS (SELECT session_id, list_transform(raw, lambda x: x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12)) AS z, v, r
             FROM fzz{tag} JOIN fvv{tag} USING (session_id))"""
+
+
+# --- alignment of pairs, unrolled per anti-diagonal ----------------------------------------------------------------
+
+def pairs_cte(prints: str = "vec", r: str = "NULL", query_prints: str | None = None) -> str:
+    """pr: query x support rows of each episode with their vectors."""
+    return f"""
+pr AS (
+  SELECT q.seed, q.scenario, q.partition, q.episode, q.session_id AS query_id, s.session_id AS support_id, s.label,
+         list_dot_product(a.z, b.z) AS g, a.v AS qv, b.v AS sv, {r.format('a')} AS qr, {r.format('b')} AS sr
+  FROM mem q JOIN mem s ON (q.seed, q.scenario, q.partition, q.episode) = (s.seed, s.scenario, s.partition, s.episode)
+       JOIN {query_prints or prints} a ON a.session_id = q.session_id JOIN {prints} b ON b.session_id = s.session_id
+  WHERE q.role = 'query' AND s.role = 'support')"""
+
+
+def _cells(m: int, n: int, d: int):
+    return [(i, d - i) for i in range(max(0, d - n + 1), min(m - 1, d) + 1)]
+
+
+def pma_ctes(m: int, n: int, delta=0.2, gap=0.1, gamma=0.1, lam=0.5, holes: bool = False, tag: str = "pma",
+             source: str = "pr") -> str:
+    """{tag}(pr columns, local, overlap, score): the recurrence in the exponential domain and its adjoint."""
+    sims = ", ".join(f"list_dot_product(qv[{i+1}], sv[{j+1}]) AS s_{i}_{j}" for i in range(m) for j in range(n))
+    ok = lambda i, j: f" * (qr[{i+1}] > 0 AND sr[{j+1}] > 0)::INT" if holes else ""
+    expo = ", ".join(f"exp((s_{i}_{j} - {delta}) / {gamma}){ok(i, j)} AS x_{i}_{j}" for i in range(m) for j in range(n))
+    ctes = [f"{tag}_s AS (SELECT *, {sims} FROM {source})",
+            f"{tag}_f AS (SELECT *, {expo}, exp(-{gap} / {gamma}) AS e FROM {tag}_s)"]
+    previous = f"{tag}_f"
+    g = lambda i, j: f"g_{i}_{j}" if i >= 0 and j >= 0 else "1.0"
+    for d in range(m + n - 1):
+        cols = ", ".join(f"1 + {g(i-1, j-1)} * x_{i}_{j} + e * ({g(i-1, j)} + {g(i, j-1)}) AS g_{i}_{j}" for i, j in _cells(m, n, d))
+        ctes.append(f"{tag}_f{d} AS (SELECT *, {cols} FROM {previous})")
+        previous = f"{tag}_f{d}"
+    for d in reversed(range(m + n - 1)):
+        cols = []
+        for i, j in _cells(m, n, d):
+            terms = ["1.0"]
+            if i + 1 < m:
+                terms.append(f"e * b_{i+1}_{j}")
+            if j + 1 < n:
+                terms.append(f"e * b_{i}_{j+1}")
+            if i + 1 < m and j + 1 < n:
+                terms.append(f"x_{i+1}_{j+1} * b_{i+1}_{j+1}")
+            cols.append(f"{' + '.join(terms)} AS b_{i}_{j}")
+        ctes.append(f"{tag}_b{d} AS (SELECT *, {', '.join(cols)} FROM {previous})")
+        previous = f"{tag}_b{d}"
+    total = " + ".join(f"g_{i}_{j}" for i in range(m) for j in range(n))
+    mass = {(i, j): f"b_{i}_{j} * {g(i-1, j-1)} * x_{i}_{j}" for i in range(m) for j in range(n)}
+    least = (lambda i, j: f"least(qr[{i+1}], sr[{j+1}])") if holes else (lambda i, j: "1.0")
+    sums = (f"({' + '.join(mass.values())}) / tot AS mm, ({' + '.join(f'{x} * s_{i}_{j}' for (i, j), x in mass.items())}) / tot AS ms, "
+            f"({' + '.join(f'{x} * {least(i, j)}' for (i, j), x in mass.items())}) / tot AS mo")
+    floor = "least(list_sum(qr), list_sum(sr))" if holes else f"{min(m, n)}"
+    ctes.append(f"{tag}_t AS (SELECT *, {total} AS tot FROM {previous})")
+    ctes.append(f"{tag}_m AS (SELECT *, {sums} FROM {tag}_t)")
+    ctes.append(f"{tag} AS (SELECT * EXCLUDE (mm, ms, mo), ms / (mm + 1e-8) AS local, mo / ({floor} + 1e-8) AS overlap, "
+                f"{lam} * g + (1 - {lam}) * ms / (mm + 1e-8) AS score FROM {tag}_m)")
+    return ",\n".join(ctes)
+
+
+def soft_dtw_ctes(m: int, n: int, gamma: str = "0.1", lam=0.5, source: str = "pr", tag: str = "sdtw") -> str:
+    """{tag}(pr columns, local, score) on token lists already free of dropped tokens; scaled per anti-diagonal."""
+    sims = ", ".join(f"list_dot_product(qv[{i+1}], sv[{j+1}]) AS s_{i}_{j}" for i in range(m) for j in range(n))
+    expo = ", ".join(f"exp((s_{i}_{j} - 1) / {gamma}) AS x_{i}_{j}" for i in range(m) for j in range(n))
+    ctes = [f"{tag}_s AS (SELECT *, {sims} FROM {source})",
+            f"{tag}_f AS (SELECT *, {expo}, exp(0.5 / {gamma}) AS c FROM {tag}_s)"]
+    previous = f"{tag}_f"
+    for d in range(m + n - 1):
+        cols = []
+        for i, j in _cells(m, n, d):
+            terms = ["1.0"] if (i, j) == (0, 0) else []
+            if i and j:
+                terms.append(f"c * c * g_{i-1}_{j-1}")
+            if i:
+                terms.append(f"c * g_{i-1}_{j}")
+            if j:
+                terms.append(f"c * g_{i}_{j-1}")
+            cols.append(f"x_{i}_{j} * ({' + '.join(terms)}) AS g_{i}_{j}")
+        ctes.append(f"{tag}_f{d} AS (SELECT *, {', '.join(cols)} FROM {previous})")
+        previous = f"{tag}_f{d}"
+    for d in reversed(range(m + n - 1)):
+        cols = []
+        for i, j in _cells(m, n, d):
+            terms = ["1.0"] if (i, j) == (m - 1, n - 1) else []
+            if i + 1 < m and j + 1 < n:
+                terms.append(f"c * c * x_{i+1}_{j+1} * b_{i+1}_{j+1}")
+            if i + 1 < m:
+                terms.append(f"c * x_{i+1}_{j} * b_{i+1}_{j}")
+            if j + 1 < n:
+                terms.append(f"c * x_{i}_{j+1} * b_{i}_{j+1}")
+            cols.append(f"{' + '.join(terms)} AS b_{i}_{j}")
+        ctes.append(f"{tag}_b{d} AS (SELECT *, {', '.join(cols)} FROM {previous})")
+        previous = f"{tag}_b{d}"
+    occ = {(i, j): f"g_{i}_{j} / g_{m-1}_{n-1} * b_{i}_{j}" for i in range(m) for j in range(n)}
+    ctes.append(f"{tag}_m AS (SELECT *, {' + '.join(occ.values())} AS mm, "
+                f"{' + '.join(f'{x} * s_{i}_{j}' for (i, j), x in occ.items())} AS ms FROM {previous})")
+    ctes.append(f"{tag} AS (SELECT *, ms / (mm + 1e-8) AS local, {lam} * g + (1 - {lam}) * ms / (mm + 1e-8) AS score FROM {tag}_m)")
+    return ",\n".join(ctes)
+
+
+PAIR_KEYS = "seed::BIGINT AS seed, scenario, partition, episode::BIGINT AS episode, query_id"
+
+
+def class_scores(rule: str, source: str = "pma") -> str:
+    """cand from pair scores by one of the pair rules (tau_c .2, tau_s .1)."""
+    keys = "seed, scenario, partition, episode, query_id, label"
+    if rule == "mean":
+        return f"cand AS (SELECT {keys}, avg(score) AS candidate FROM {source} GROUP BY ALL)"
+    if rule == "support_max":
+        return f"cand AS (SELECT {keys}, max(score) AS candidate FROM {source} GROUP BY ALL)"
+    c = {"uniform_lse": "0", "similarity": "local", "overlap": "overlap", "compatibility": "local + overlap"}[rule]
+    return f"""
+cw AS (SELECT *, exp(({c}) / 0.2) / sum(exp(({c}) / 0.2)) OVER (PARTITION BY {keys}) AS omega FROM {source}),
+cand AS (SELECT {keys}, 0.1 * ln(sum(omega * exp(score / 0.1))) AS candidate FROM cw GROUP BY ALL)"""

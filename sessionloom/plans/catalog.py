@@ -279,3 +279,189 @@ def responsibility_max(spark, sf_dir) -> DataFrame:
     """One-hot weight of the best support."""
     rows = matching.responsibilities(cross_pairs(spark, sf_dir, "pma"), MatchConfig(), rule="support_max")
     return pair_rows(rows, ("omega",))
+
+
+# --- players, modes ------------------------------------------------------------------------------------------------
+
+from ..operators import audit, dedup, modes, players  # noqa: E402
+from .tables import FRONTIER_GAP, FRONTIER_TARGETS, INITIAL_GAP, STEP  # noqa: E402
+
+
+def quality_samples(spark, sf_dir, initial):
+    series = tables.player_series(spark, sf_dir).select("session_id", "t", "seq", "quality").where("quality is not null")
+    return players.sample_steps(series, tables.event_sessions(spark, sf_dir), {"quality": initial}, STEP, 30, INITIAL_GAP)
+
+
+@register("step_sample", with_clause(sql.EVENT_ROWS, sql.SERIES, sql.samples_cte("quality", "0", "smp")) + """
+SELECT session_id, k::INT AS k, round(x, 6) + 0.0 AS quality FROM smp""")
+def step_sample(spark, sf_dir) -> DataFrame:
+    """As-of samples with a constant before the first observation."""
+    samples, _ = quality_samples(spark, sf_dir, 0.0)
+    return samples.select("session_id", "k", r6("quality").alias("quality"))
+
+
+@register("step_sample_backfill", with_clause(sql.EVENT_ROWS, sql.SERIES, sql.SESSIONS, sql.samples_cte("quality", "x0", "smp")) + f"""
+SELECT session_id, k::INT AS k, round(x, 6) + 0.0 AS quality, NULL AS reason FROM smp WHERE t0 - {STEP / 2} <= {INITIAL_GAP}
+UNION ALL SELECT session_id, -1, NULL, 'missing_player_observations' FROM sess
+WHERE session_id NOT IN (SELECT session_id FROM smp WHERE t0 - {STEP / 2} <= {INITIAL_GAP})""")
+def step_sample_backfill(spark, sf_dir) -> DataFrame:
+    """First value used before the first observation, late starters refused."""
+    samples, rejected = quality_samples(spark, sf_dir, None)
+    kept = samples.select("session_id", "k", r6("quality").alias("quality"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(rejected.select("session_id", F.lit(-1).alias("k"), F.lit(None).cast("double").alias("quality"), "reason"))
+
+
+@register("mode_features_a", with_clause(sql.EVENT_ROWS, sql.SERIES, sql.samples_cte("quality", "x0", "smp"), sql.MODES_A) + """
+SELECT session_id, k::INT AS i, round(q, 6) + 0.0 AS x FROM lq
+UNION ALL SELECT session_id, unnest(range(30, 37))::INT, round(unnest([f30, f31, f32, f33, f34, f35, f36]), 6) + 0.0 FROM ma JOIN mb USING (session_id)""")
+def mode_features_a(spark, sf_dir) -> DataFrame:
+    """30 log samples and seven summaries."""
+    samples, _ = quality_samples(spark, sf_dir, None)
+    rows = players.bitrate_mode_features(samples)
+    return rows.select("session_id", F.posexplode("mode_features").alias("i", "x")).withColumn("x", r6("x"))
+
+
+def playback_samples(spark, sf_dir):
+    initial = {"quality": 0.0, "buffer": 0.0, "stalled": 1.0, "state": 1.0}
+    return players.sample_steps(tables.player_series(spark, sf_dir), tables.event_sessions(spark, sf_dir), initial, STEP, 30)
+
+
+@register("mode_features_b", with_clause(sql.EVENT_ROWS, sql.SERIES, sql.samples_cte("quality", "0", "sq"), sql.samples_cte("buffer", "0", "sb"),
+                                         sql.samples_cte("stalled", "1", "ss"), sql.samples_cte("state", "1", "sp")) + """
+, j AS (SELECT session_id, k, sq.x AS q, sb.x AS b, ss.x AS s, sp.x AS p, lag(sq.x) OVER (PARTITION BY session_id ORDER BY k) AS before
+        FROM sq JOIN sb USING (session_id, k) JOIN ss USING (session_id, k) JOIN sp USING (session_id, k)),
+f AS (SELECT session_id, [avg(s), avg((b < 1)::INT), median(b), avg(b) FILTER (k >= 25), avg(p), avg((q <= 360)::INT), avg(ln(1 + q)),
+                          avg((q <> before)::INT)] AS x FROM j GROUP BY ALL)
+SELECT session_id, unnest(range(8))::INT AS i, round(unnest(x), 6) + 0.0 AS x FROM f""")
+def mode_features_b(spark, sf_dir) -> DataFrame:
+    """Eight playback shares and averages."""
+    samples, _ = playback_samples(spark, sf_dir)
+    rows = players.playback_mode_features(samples)
+    return rows.select("session_id", F.posexplode("mode_features").alias("i", "x")).withColumn("x", r6("x"))
+
+
+@register("kmeans_modes")
+def kmeans_modes(spark, sf_dir) -> DataFrame:
+    """Modes from clusters fitted on training sessions (rows only: seeding is Spark's)."""
+    samples, _ = playback_samples(spark, sf_dir)
+    rows = players.playback_mode_features(samples)
+    predicted, _ = modes.fit_modes(rows, training_sessions(spark, sf_dir), "playback", seed=20260816)
+    return predicted.select("session_id", "mode")
+
+
+@register("silhouette", with_clause(sql.VECTORS) + """
+, pairs AS (SELECT a.session_id, a.identity AS own, b.identity AS other, sum(list_distance(a.z, b.z)) AS total, count(*) AS n
+            FROM vec a, vec b GROUP BY ALL),
+ab AS (SELECT session_id, max(n) FILTER (own = other) AS size, max(total) FILTER (own = other) AS within,
+              min(total / n) FILTER (own <> other) AS b FROM pairs GROUP BY ALL)
+SELECT round(avg(CASE WHEN size > 1 THEN (b - within / (size - 1)) / greatest(b, within / (size - 1)) ELSE 0 END), 6) + 0.0 AS silhouette,
+       count(*) AS rows FROM ab""")
+def silhouette(spark, sf_dir) -> DataFrame:
+    """Euclidean silhouette of the label clusters."""
+    points = tables.vectors(spark, sf_dir).select("session_id", F.col("identity").alias("cluster"), F.col("z").alias("x"))
+    return modes.silhouette(points).select(r6("silhouette").alias("silhouette"), "rows")
+
+
+@register("delivery_frontier", with_clause(sql.EVENT_ROWS, sql.SESSIONS, sql.FRONTIER) + """
+SELECT session_id, k::INT AS k, round(max(raw) OVER (PARTITION BY session_id ORDER BY k), 6) + 0.0 AS frontier, NULL AS reason
+FROM chk JOIN verdict USING (session_id) WHERE reason IS NULL
+UNION ALL SELECT session_id, -1, NULL, reason FROM verdict WHERE reason IS NOT NULL
+UNION ALL SELECT session_id, -1, NULL, 'insufficient_dynamics' FROM fs WHERE NOT (nr >= 2 AND nb >= 2 AND ns >= 1)""")
+def delivery_frontier(spark, sf_dir) -> DataFrame:
+    """Running playback integral plus as-of buffer, with refusals."""
+    logs = tables.playback_logs(spark, sf_dir)
+    curve, refused = players.delivery_frontier(logs["sessions"], logs["states"], logs["rates"], logs["buffers"], FRONTIER_TARGETS,
+                                               FRONTIER_GAP, bucket=86_400.0)
+    kept = curve.select("session_id", "k", r6("frontier").alias("frontier"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(refused.select("session_id", F.lit(-1).alias("k"), F.lit(None).cast("double").alias("frontier"), "reason"))
+
+
+# --- duplicates, splits, partitions, audit -------------------------------------------------------------------------
+
+DOC_KEYS = r"""
+dk AS (SELECT doc_id, source, lang, sha256(text) AS exact, sha256(lower(regexp_replace(text, '[^\p{L}]+', ' ', 'g'))) AS near FROM documents),
+dg AS (SELECT near, min(doc_id) AS component, min(source) <> max(source) AS conflict FROM dk GROUP BY ALL),
+marked AS (SELECT doc_id, source, lang, component, CASE WHEN conflict THEN 'conflicting_duplicate' WHEN doc_id <> component THEN 'duplicate' END AS r0
+           FROM dk JOIN dg USING (near)),
+kept AS (SELECT source, count(*) AS n FROM marked WHERE r0 IS NULL GROUP BY ALL),
+final AS (SELECT marked.*, CASE WHEN r0 IS NULL AND n < 11 THEN 'identity_below_minimum_sessions' ELSE r0 END AS reason
+          FROM marked LEFT JOIN kept USING (source))"""
+
+
+def marked_documents(spark, sf_dir):
+    return dedup.minimum_sessions(dedup.duplicate_groups(tables.document_keys(spark, sf_dir)), 11)
+
+
+@register("dup_groups", with_clause(DOC_KEYS) + " SELECT doc_id AS session_id, component, reason FROM final")
+def dup_groups(spark, sf_dir) -> DataFrame:
+    """Duplicate components over exact and near keys, conflicts and small identities dropped."""
+    return marked_documents(spark, sf_dir).select("session_id", "component", "reason")
+
+
+@register("cohort_inventory", with_clause(DOC_KEYS) + """
+SELECT 'identity' AS kind, source AS key, count(*) AS sessions FROM final WHERE reason IS NULL GROUP BY ALL
+UNION ALL SELECT 'condition', lang, count(*) FROM final WHERE reason IS NULL GROUP BY ALL
+UNION ALL SELECT 'reason', reason, count(*) FROM final WHERE reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'total', 'discovered', count(*) FROM final""")
+def cohort_inventory(spark, sf_dir) -> DataFrame:
+    """Counts of kept and dropped rows."""
+    return dedup.cohort_inventory(marked_documents(spark, sf_dir))
+
+
+@register("trace_signature", with_clause(sql.PACKETS) + """
+, part AS (SELECT session_id, round_even(t / 60, 0)::BIGINT // 144 AS slice,
+                  sha256(string_agg(round_even(t / 60, 0)::BIGINT || ',' || direction || ',' || round_even(length, 0)::BIGINT, ';' ORDER BY t, seq)) AS digest
+           FROM pk GROUP BY ALL)
+SELECT session_id, sha256(string_agg(slice || ':' || digest, ';' ORDER BY slice)) AS signature FROM part GROUP BY ALL""")
+def trace_signature(spark, sf_dir) -> DataFrame:
+    """Sliced trace digests at one-minute ticks."""
+    return dedup.trace_signature(tables.packets(spark, sf_dir), 60.0, "signature", EVENT_DATA.window, slices=60)
+
+
+@register("identity_split", with_clause(sql.EVENT_ROWS, sql.SESSIONS, sql.split_ctes(SEED)) + " SELECT identity, split FROM split")
+def identity_split(spark, sf_dir) -> DataFrame:
+    """Seeded identity-disjoint split of the users."""
+    return sampling.identity_split(tables.event_sessions(spark, sf_dir), SEED)
+
+
+@register("open_partitions", with_clause(sql.VECTORS) + f"""
+, grid AS (SELECT identity, p AS partition, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY sha256('{SEED}|open|' || p || '|' || identity)) - 1 AS place
+           FROM vec, (SELECT unnest(range(5)) AS p) GROUP BY ALL),
+lab AS (SELECT *, place < 5 AS known, CASE WHEN place < 5 THEN row_number() OVER (PARTITION BY partition, place < 5 ORDER BY identity) - 1 ELSE -1 END AS label,
+               '{SEED}|gallery|' || partition || '|' || identity AS key FROM grid),
+draw AS (SELECT *, CASE WHEN known THEN {sql.draws('n', '5', 'key')} ELSE []::BIGINT[] END AS places FROM lab),
+ranked AS (SELECT session_id, identity, row_number() OVER (PARTITION BY identity ORDER BY sha256(session_id::VARCHAR)) - 1 AS place FROM vec)
+SELECT partition::INT AS partition, identity, known, CASE WHEN list_contains(places, ranked.place) THEN 'support' ELSE 'query' END AS role,
+       label::INT AS label, session_id FROM ranked JOIN draw USING (identity)""")
+def open_partitions(spark, sf_dir) -> DataFrame:
+    """Five known/unknown partitions with gallery rows."""
+    return sampling.open_partitions(tables.vector_sessions(spark, sf_dir), 5, 5, 5, SEED)
+
+
+@register("audit_violations", with_clause(sql.EVENT_ROWS, DOC_KEYS, sql.VECTORS, sql.members(CROSS_MODE, [SEED])) + """
+, s AS (SELECT exact AS signature FROM dk UNION ALL SELECT near FROM dk),
+k AS (SELECT exact AS signature FROM dk JOIN final USING (doc_id) WHERE reason IS NULL UNION ALL
+      SELECT near FROM dk JOIN final USING (doc_id) WHERE reason IS NULL),
+e AS (SELECT mem.*, vec.identity AS ti, vec.mode, spec.sm, spec.qm FROM mem JOIN vec USING (session_id) JOIN spec ON (spec.scenario, spec.partition) = (mem.scenario, mem.partition))
+SELECT 'signatures_before' AS "check", (SELECT count(*) FROM (SELECT signature, kind FROM (SELECT exact AS signature, 0 AS kind FROM dk UNION ALL SELECT near, 1 FROM dk) GROUP BY ALL HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'signatures_after', (SELECT count(*) FROM (SELECT signature, kind FROM (
+    SELECT exact AS signature, 0 AS kind, doc_id FROM dk UNION ALL SELECT near, 1, doc_id FROM dk) JOIN final USING (doc_id) WHERE reason IS NULL GROUP BY signature, kind HAVING count(*) > 1))
+UNION ALL SELECT 'block_leaks', (SELECT count(*) FROM (SELECT identity FROM ev GROUP BY 1 HAVING min(block) <> max(block)))
+UNION ALL SELECT 'unknown_session', (SELECT count(*) FROM mem WHERE session_id NOT IN (SELECT session_id FROM vec))
+UNION ALL SELECT 'identity_mismatch', (SELECT count(*) FROM e WHERE identity <> ti)
+UNION ALL SELECT 'role_overlap', (SELECT count(*) FROM (SELECT seed, scenario, partition, episode, session_id FROM mem GROUP BY ALL HAVING count(DISTINCT role) > 1))
+UNION ALL SELECT 'repeated_record', (SELECT count(*) FROM (SELECT seed, scenario, partition, episode, session_id FROM mem GROUP BY ALL HAVING count(DISTINCT role) = 1 AND count(*) > 1))
+UNION ALL SELECT 'label_conflict', (SELECT count(*) FROM (SELECT seed, scenario, partition, episode, label FROM mem GROUP BY ALL HAVING count(DISTINCT identity) > 1))
+UNION ALL SELECT 'mode_mismatch', (SELECT count(*) FROM e WHERE CASE role WHEN 'support' THEN mode <> sm ELSE mode <> qm END)
+UNION ALL SELECT 'condition_mismatch', 0""")
+def audit_violations(spark, sf_dir) -> DataFrame:
+    """Integrity checks; raw documents and time blocks show what a violation looks like."""
+    documents = marked_documents(spark, sf_dir)
+    blocks = tables.event_sessions(spark, sf_dir).withColumn("split", F.col("block").cast("string"))
+    sessions = tables.vector_sessions(spark, sf_dir)
+    checks = {"signatures_before": audit.repeated_signatures(documents),
+              "signatures_after": audit.repeated_signatures(documents.where("reason is null")),
+              "block_leaks": audit.split_leaks(blocks)}
+    members = sampling.episode_members(sessions, CROSS_MODE, (SEED,))
+    checks.update(audit.episode_violations(members, sessions, CROSS_MODE))
+    return audit.audit_report(checks)

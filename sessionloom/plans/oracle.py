@@ -266,7 +266,7 @@ def pma_ctes(m: int, n: int, delta=0.2, gap=0.1, gamma=0.1, lam=0.5, holes: bool
     floor = "least(list_sum(qr), list_sum(sr))" if holes else f"{min(m, n)}"
     ctes.append(f"{tag}_t AS (SELECT *, {total} AS tot FROM {previous})")
     ctes.append(f"{tag}_m AS (SELECT *, {sums} FROM {tag}_t)")
-    ctes.append(f"{tag} AS (SELECT * EXCLUDE (mm, ms, mo), ms / (mm + 1e-8) AS local, mo / ({floor} + 1e-8) AS overlap, "
+    ctes.append(f"{tag} AS MATERIALIZED (SELECT * EXCLUDE (mm, ms, mo), ms / (mm + 1e-8) AS local, mo / ({floor} + 1e-8) AS overlap, "
                 f"{lam} * g + (1 - {lam}) * ms / (mm + 1e-8) AS score FROM {tag}_m)")
     return ",\n".join(ctes)
 
@@ -307,7 +307,7 @@ def soft_dtw_ctes(m: int, n: int, gamma: str = "0.1", lam=0.5, source: str = "pr
     occ = {(i, j): f"g_{i}_{j} / g_{m-1}_{n-1} * b_{i}_{j}" for i in range(m) for j in range(n)}
     ctes.append(f"{tag}_m AS (SELECT *, {' + '.join(occ.values())} AS mm, "
                 f"{' + '.join(f'{x} * s_{i}_{j}' for (i, j), x in occ.items())} AS ms FROM {previous})")
-    ctes.append(f"{tag} AS (SELECT *, ms / (mm + 1e-8) AS local, {lam} * g + (1 - {lam}) * ms / (mm + 1e-8) AS score FROM {tag}_m)")
+    ctes.append(f"{tag} AS MATERIALIZED (SELECT *, ms / (mm + 1e-8) AS local, {lam} * g + (1 - {lam}) * ms / (mm + 1e-8) AS score FROM {tag}_m)")
     return ",\n".join(ctes)
 
 
@@ -325,3 +325,69 @@ def class_scores(rule: str, source: str = "pma") -> str:
     return f"""
 cw AS (SELECT *, exp(({c}) / 0.2) / sum(exp(({c}) / 0.2)) OVER (PARTITION BY {keys}) AS omega FROM {source}),
 cand AS (SELECT {keys}, 0.1 * ln(sum(omega * exp(score / 0.1))) AS candidate FROM cw GROUP BY ALL)"""
+
+
+# --- players -------------------------------------------------------------------------------------------------------
+
+from .tables import FRONTIER_GAP, FRONTIER_TARGETS, INITIAL_GAP, STEP  # noqa: E402
+
+SERIES = """
+pl AS (SELECT session_id, t, seq, CASE WHEN event_type = 'view' THEN value END AS quality,
+              CASE WHEN event_type = 'purchase' THEN value / 100 END AS buffer,
+              CASE WHEN event_type = 'error' THEN 1.0::DOUBLE WHEN event_type = 'view' THEN 0.0 END AS stalled,
+              CASE WHEN event_type = 'signup' THEN 1.0::DOUBLE WHEN event_type = 'click' THEN 0.0 END AS state FROM ev)"""
+
+
+def samples_cte(column: str, initial: str, tag: str) -> str:
+    """{tag}(session_id, k, t, x): for each target the latest observation, by an as-of join."""
+    return f"""
+{tag}_o AS (SELECT session_id, t, seq, {column} AS x FROM pl WHERE {column} IS NOT NULL),
+{tag}_u AS (SELECT session_id, t, arg_max(x, seq) AS x FROM {tag}_o GROUP BY ALL),
+{tag}_first AS (SELECT session_id, arg_min(x, (t, seq)) AS x0, min(t) AS t0 FROM {tag}_o GROUP BY ALL),
+{tag}_k AS (SELECT session_id, unnest(range(30)) AS k, x0, t0 FROM {tag}_first),
+{tag} AS (SELECT k.session_id, k.k, (k.k + 0.5) * {STEP} AS t, coalesce(o.x, {initial}) AS x, t0
+          FROM {tag}_k k ASOF LEFT JOIN {tag}_u o ON k.session_id = o.session_id AND (k.k + 0.5) * {STEP} >= o.t)"""
+
+
+MODES_A = f"""
+good AS (SELECT session_id, k, x FROM smp WHERE t0 - {STEP / 2} <= {INITIAL_GAP}),
+lq AS (SELECT session_id, k, ln(1 + x) AS q, lag(x) OVER (PARTITION BY session_id ORDER BY k) AS before, x FROM good),
+ma AS (SELECT session_id, avg(q) AS f30, stddev_pop(q) AS f31, max(q) FILTER (k = 0) AS f32, max(q) FILTER (k = 29) AS f33,
+              avg((x <> before)::INT) AS f34, quantile_cont(q, 0.25) AS qq, stddev_pop(q) FILTER (k >= 25) AS f36 FROM lq GROUP BY ALL),
+mb AS (SELECT lq.session_id, avg((q <= qq)::INT) AS f35 FROM lq JOIN ma USING (session_id) GROUP BY ALL)"""
+
+FRONTIER = f"""
+st AS (SELECT session_id, t, seq, CASE WHEN event_type = 'view' THEN 'on' WHEN event_type = 'error' THEN 'off'
+              WHEN event_type = 'signup' AND value < 3 THEN 'seek' END AS name FROM ev WHERE event_type IN ('view', 'error')
+              OR (event_type = 'signup' AND value < 3)),
+rt AS (SELECT session_id, t, seq, (seq % 4)::DOUBLE AS rate FROM ev WHERE event_type = 'click'),
+bf AS (SELECT session_id, t, seq, value AS buf FROM ev WHERE event_type = 'purchase'),
+fs AS (SELECT s.session_id, s.block, (SELECT count(*) FROM rt WHERE rt.session_id = s.session_id) AS nr,
+              (SELECT count(*) FROM bf WHERE bf.session_id = s.session_id) AS nb,
+              (SELECT count(*) FROM st WHERE st.session_id = s.session_id) AS ns FROM sess s),
+fgood AS (SELECT * FROM fs WHERE nr >= 2 AND nb >= 2 AND ns >= 1),
+tg AS (SELECT session_id, block, unnest(range({len(FRONTIER_TARGETS)})) AS k, unnest({FRONTIER_TARGETS}::DOUBLE[]) AS t FROM fgood),
+line AS (
+  SELECT session_id, t, 0 AS kind, seq, rate, NULL AS name FROM rt UNION ALL SELECT session_id, t, 1, seq, NULL, name FROM st
+  UNION ALL SELECT session_id, t, 3, k, NULL, NULL FROM tg),
+steps AS (
+  SELECT *, coalesce(t - lag(t) OVER w, 0) * coalesce(last_value(rate IGNORE NULLS) OVER p, 1)
+            * coalesce(last_value(CASE name WHEN 'on' THEN 1.0 WHEN 'off' THEN 0.0 END IGNORE NULLS) OVER p, 0) AS step
+  FROM line WHERE t <= {FRONTIER_TARGETS[-1]} AND session_id IN (SELECT session_id FROM fgood)
+  WINDOW w AS (PARTITION BY session_id ORDER BY t, kind, seq),
+         p AS (PARTITION BY session_id ORDER BY t, kind, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+prog AS (SELECT *, sum(step) OVER (PARTITION BY session_id ORDER BY t, kind, seq ROWS UNBOUNDED PRECEDING) AS progress FROM steps),
+seeks AS (SELECT session_id, count(*) AS n, arg_min(progress, (t, kind, seq)) AS at_progress, min(t) AS at_t FROM prog WHERE name = 'seek' GROUP BY ALL),
+fr AS (
+  SELECT tg.session_id, tg.k, tg.t, tg.block * 60 + p.progress - CASE WHEN at_t <= tg.t THEN at_progress ELSE 0 END + b.buf AS raw,
+         coalesce(n, 0) AS n_seeks, at_progress, b.t AS bt, b.buf,
+         (SELECT count(*) FROM rt WHERE rt.session_id = tg.session_id AND rt.t <= tg.t) AS rates_seen
+  FROM tg JOIN prog p ON p.session_id = tg.session_id AND p.kind = 3 AND p.seq = tg.k
+       LEFT JOIN seeks ON seeks.session_id = tg.session_id
+       ASOF LEFT JOIN bf b ON tg.session_id = b.session_id AND tg.t >= b.t),
+chk AS (SELECT *, raw - lag(raw) OVER (PARTITION BY session_id ORDER BY k) AS move FROM fr),
+verdict AS (
+  SELECT session_id, CASE WHEN max(n_seeks) > 1 OR max(at_progress) > 2 THEN 'unannotated_seek'
+      WHEN bool_or(bt IS NULL OR t - bt > {FRONTIER_GAP} OR buf < 0) THEN 'buffer_gap'
+      WHEN bool_or(rates_seen = 0) THEN 'no_rate_before_window' WHEN min(move) < -2 THEN 'nonmonotone_frontier' END AS reason
+  FROM chk GROUP BY ALL)"""

@@ -72,3 +72,31 @@ def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("session_id"), F.col("source").alias("identity"), F.col("lang").alias("condition"),
         F.sha2("text", 256).alias("exact_signature"), F.sha2(F.lower(letters), 256).alias("near_signature"))
+
+
+STEP = BLOCK_SECONDS / 30  # thirty samples per session, as in a 60-second window of two-second steps
+INITIAL_GAP = BLOCK_SECONDS / 12  # five seconds of sixty, scaled
+FRONTIER_TARGETS = [172_800.0 + 43_200.0 * i for i in range(7)]
+FRONTIER_GAP = 259_200.0
+
+
+def player_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a player log: view = quality, purchase = buffer, error/view = stalled, signup/click = state."""
+    kind = F.col("event_type")
+    return event_rows(spark, sf_dir).select(
+        "session_id", "t", "seq", F.when(kind == "view", F.col("value")).alias("quality"),
+        F.when(kind == "purchase", F.col("value") / 100).alias("buffer"),
+        F.when(kind == "error", 1.0).when(kind == "view", 0.0).alias("stalled"),
+        F.when(kind == "signup", 1.0).when(kind == "click", 0.0).alias("state"))
+
+
+def playback_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """State, rate and buffer events: view plays, error waits, a cheap signup is a finished seek."""
+    rows = event_rows(spark, sf_dir)
+    name = (F.when(F.col("event_type") == "view", "playbackPlaying").when(F.col("event_type") == "error", "playbackWaiting")
+            .when((F.col("event_type") == "signup") & (F.col("value") < 3), "playbackSeeked"))
+    states = rows.select("session_id", "t", "seq", name.alias("name")).where("name is not null")
+    rates = rows.where("event_type = 'click'").select("session_id", "t", "seq", F.expr("cast(pmod(seq, 4) AS double)").alias("value"))
+    buffers = rows.where("event_type = 'purchase'").select("session_id", "t", "seq", "value")
+    sessions = rows.select("session_id", F.col("block").alias("offset")).distinct()
+    return {"sessions": sessions, "states": states, "rates": rates, "buffers": buffers}

@@ -6,30 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carry_last(df: DataFrame, keys: list[str], time: str, order: list[str], values: dict[str, str], width: float,
-               inclusive: bool = True) -> DataFrame:
-    """Last non-null of each value column at (or, exclusive, before) each row in (time, *order) order.
+def carry_last(df: DataFrame, keys: list[str], time: str, order: list[str], at: dict[str, str], width: float,
+               before: dict[str, str] | None = None) -> DataFrame:
+    """Last non-null values in (time, *order) order: ``at`` looks up to and including the row, ``before`` excludes it.
 
-    ``values`` maps source to output columns. Rows are cut into time buckets of ``width``; the last value of each
-    bucket is found by a partial aggregate and carried over the few buckets, so a hot key is many small sorts.
+    Both map source to output columns. Rows are cut into time buckets of ``width``; the last value of each bucket is
+    found by a partial aggregate and carried over the few buckets, so a hot key is many small sorts.
     """
+    before = before or {}
     ordering = [time, *order]
     split = df.withColumn("_bucket", F.floor(F.col(time) / F.lit(width)))
     position = [F.col(c) for c in ordering]
+    sources = list(dict.fromkeys([*at, *before]))
     lasts = split.groupBy(*keys, "_bucket").agg(*[
-        F.max(F.when(F.col(s).isNotNull(), F.struct(*position, F.col(s).alias("_v")))).alias(f"_m_{o}")
-        for s, o in values.items()])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        F.max(F.when(F.col(s).isNotNull(), F.struct(*position, F.col(s).alias("_v")))).alias(f"_m_{s}") for s in sources])
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(*keys, "_bucket", *[
-        F.last(F.col(f"_m_{o}._v"), ignorenulls=True).over(before).alias(f"_c_{o}") for o in values.values()])
-    last_row = 0 if inclusive else -1
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, last_row)
-    local = split.select("*", *[F.last(F.col(s), ignorenulls=True).over(inside).alias(f"_l_{o}")
-                                for s, o in values.items()])
-    joined = local.join(carry, [*keys, "_bucket"])
-    for out in values.values():
-        joined = joined.withColumn(out, F.coalesce(F.col(f"_l_{out}"), F.col(f"_c_{out}")))
-    return joined.drop("_bucket", *[f"_{p}_{o}" for p in "lc" for o in values.values()])
+        F.last(F.col(f"_m_{s}._v"), ignorenulls=True).over(earlier).alias(f"_c_{s}") for s in sources])
+    window = Window.partitionBy(*keys, "_bucket").orderBy(*ordering)
+    found = [F.last(s, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, end)).alias(f"_l_{o}")
+             for mapping, end in ((at, 0), (before, -1)) for s, o in mapping.items()]
+    joined = split.select("*", *found).join(carry, [*keys, "_bucket"])
+    outputs = {o: s for mapping in (at, before) for s, o in mapping.items()}
+    return joined.select(*df.columns, *[F.coalesce(F.col(f"_l_{o}"), F.col(f"_c_{s}")).alias(o) for o, s in outputs.items()])
 
 
 def carry_sum(df: DataFrame, keys: list[str], time: str, order: list[str], value: str, out: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stepping import carry_last, carry_sum, finite
@@ -94,63 +94,59 @@ def playback_mode_features(samples: DataFrame) -> DataFrame:
 
 
 def delivery_frontier(sessions: DataFrame, states: DataFrame, rates: DataFrame, buffers: DataFrame, targets: list[float],
-                      max_gap: float = 4.0, bucket: float = 15.0) -> tuple[DataFrame, DataFrame]:
-    """(session_id, k, target, frontier) and refused sessions with reasons.
+                      max_gap: float = 4.0, bucket: float = 15.0) -> DataFrame:
+    """One row per session: ``reason`` it is refused (or null) and its ``frontier`` at the targets.
 
     Playback position is the running integral of rate x playing; one finished seek within two units of progress resets
     it to the start. The buffered amount as of each target (at most ``max_gap`` old) is added and the curve made
-    monotone. States: session_id, t, seq, name; rates and buffers: session_id, t, seq, value; sessions: offset.
+    monotone. States: session_id, t, seq, name; rates and buffers: session_id, t, seq, value; sessions: session_id, offset.
     """
     ordered = sorted(float(x) for x in targets)
-    last_target = ordered[-1]
-    counts = {}
-    for name, frame in (("rates", rates), ("buffers", buffers), ("states", states)):
-        counts[name] = frame.groupBy("session_id").agg(F.count("*").alias(f"n_{name}"))
-    base = sessions.select("session_id", F.coalesce(F.col("offset").cast("double"), F.lit(0.0)).alias("offset"))
-    for frame in counts.values():
-        base = base.join(frame, "session_id", "left")
-    enough = "coalesce(n_rates, 0) >= 2 and coalesce(n_buffers, 0) >= 2 and coalesce(n_states, 0) >= 1"
-    usable = base.where(enough)
-    short = base.where(f"not ({enough})").select("session_id", F.lit("insufficient_dynamics").alias("reason"))
-
+    last_target = F.lit(ordered[-1])
     playing = F.when(F.col("name").isin(*PLAYING), 1.0).when(F.col("name").isin(*STOPPED), 0.0)
-    rows = (rates.select("session_id", "t", "seq", F.lit(0).alias("kind"), F.col("value").alias("rate"))
-            .unionByName(states.select("session_id", "t", "seq", F.lit(1).alias("kind"), playing.alias("playing"),
-                                       (F.col("name") == SEEKED).alias("seek")), allowMissingColumns=True)
-            .unionByName(buffers.select("session_id", "t", "seq", F.lit(2).alias("kind"), F.col("value").alias("buffer"),
-                                        F.col("t").alias("buffer_t")), allowMissingColumns=True)
-            .where(F.col("t") <= last_target))
-    grid = usable.select("session_id", F.posexplode(F.array(*[F.lit(x) for x in ordered])).alias("k", "t")).select(
-        "session_id", "t", F.col("k").cast("bigint").alias("seq"), F.lit(3).alias("kind"))
-    merged = rows.unionByName(grid, allowMissingColumns=True).withColumn("own_t", F.col("t"))
+    grid = sessions.select("session_id", F.coalesce(F.col("offset").cast("double"), F.lit(0.0)).alias("offset"),
+                           F.posexplode(F.array(*[F.lit(x) for x in ordered])).alias("k", "t")).select(
+        "session_id", "t", F.col("k").cast("bigint").alias("seq"), F.lit(3).alias("kind"), "offset")
+    # At equal times rates apply before states, and both before buffers and targets.
+    merged = (rates.select("session_id", "t", "seq", F.lit(0).alias("kind"), F.col("value").alias("rate"))
+              .unionByName(states.select("session_id", "t", "seq", F.lit(1).alias("kind"), playing.alias("playing"),
+                                         (F.col("name") == SEEKED).alias("seek")), allowMissingColumns=True)
+              .unionByName(buffers.select("session_id", "t", "seq", F.lit(2).alias("kind"), F.col("value").alias("buffer"),
+                                          F.col("t").alias("buffer_t")), allowMissingColumns=True)
+              .unionByName(grid, allowMissingColumns=True).withColumn("own_t", F.col("t")))
     order = ["kind", "seq"]
-    past = carry_last(merged, ["session_id"], "t", order, {"own_t": "past_t", "rate": "past_rate", "playing": "past_playing"},
-                      bucket, inclusive=False)
+    held = carry_last(merged, ["session_id"], "t", order, {"rate": "seen_rate", "buffer": "seen_buffer", "buffer_t": "seen_buffer_t"},
+                      bucket, before={"own_t": "past_t", "rate": "past_rate", "playing": "past_playing"})
     moved = (F.col("t") - F.col("past_t")) * F.coalesce("past_rate", F.lit(1.0)) * F.coalesce("past_playing", F.lit(0.0))
-    summed = carry_sum(past.withColumn("step", F.coalesce(moved, F.lit(0.0))), ["session_id"], "t", order, "step", "progress", bucket)
-    held = carry_last(summed, ["session_id"], "t", order, {"rate": "seen_rate", "buffer": "seen_buffer", "buffer_t": "seen_buffer_t"}, bucket)
-
-    seek_row = F.when(F.col("seek"), F.struct("t", "kind", "seq", "progress"))
-    events = held.groupBy("session_id").agg(
-        F.sum(F.when(F.col("seek"), 1).otherwise(0)).alias("seeks"), F.min(seek_row).alias("first_seek"),
-        F.max(F.when(F.col("rate").isNotNull() & ~F.coalesce((F.col("rate") >= 0) & (F.col("rate") <= 4), F.lit(False)), 1)
-              .otherwise(0)).alias("bad_rate"))
-    at_targets = held.where("kind = 3").select("session_id", F.col("seq").cast("int").alias("k"), F.col("t").alias("target"), "progress",
-                                               "seen_rate", "seen_buffer", "seen_buffer_t")
-    joined = at_targets.join(usable.select("session_id", "offset"), "session_id").join(events, "session_id")
-    reset = F.when(F.col("first_seek.t") <= F.col("target"), F.col("first_seek.progress")).otherwise(0.0)
-    raw = joined.withColumn("raw", F.col("offset") * 60 + F.col("progress") - reset + F.col("seen_buffer"))
-    # Targets per session are a fixed short list.
-    along = Window.partitionBy("session_id").orderBy("k")
-    gap = F.col("seen_buffer_t").isNull() | (F.col("target") - F.col("seen_buffer_t") > max_gap) | (F.col("seen_buffer") < 0)
-    checked = raw.withColumn("_drop", F.col("raw") - F.lag("raw").over(along) < -2)
-    reason = (F.when(F.max("bad_rate") > 0, "invalid_playback_rate")
-              .when((F.max("seeks") > 1) | (F.max("first_seek.progress") > 2), "unannotated_seek")
-              .when(F.max(gap.cast("int")) > 0, "buffer_gap")
-              .when(F.max(F.col("seen_rate").isNull().cast("int")) > 0, "no_rate_before_window")
-              .when(F.max(F.coalesce(F.col("_drop"), F.lit(False)).cast("int")) > 0, "nonmonotone_frontier"))
-    verdict = checked.groupBy("session_id").agg(reason.alias("reason"))
-    refused = short.unionByName(verdict.where("reason is not null").select("session_id", "reason"))
-    curve = (checked.join(verdict.where("reason is null").select("session_id"), "session_id", "left_semi")
-             .withColumn("frontier", F.max("raw").over(along.rowsBetween(Window.unboundedPreceding, 0))))
-    return curve.select("session_id", "k", "target", "frontier"), refused
+    summed = carry_sum(held.withColumn("step", F.coalesce(moved, F.lit(0.0))), ["session_id"], "t", order, "step", "progress", bucket)
+
+    used = F.col("t") <= last_target
+    legal = F.coalesce((F.col("rate") >= 0) & (F.col("rate") <= 4), F.lit(False))
+    of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    point = F.struct(F.col("seq").alias("k"), F.col("t").alias("target"), "progress", "seen_rate", "seen_buffer", "seen_buffer_t")
+    # The collected points are the targets of one session: a fixed short list.
+    per = summed.groupBy("session_id").agg(
+        of_kind(0).alias("n_rates"), of_kind(1).alias("n_states"), of_kind(2).alias("n_buffers"), F.max("offset").alias("offset"),
+        F.sum(F.when(F.col("seek") & used, 1).otherwise(0)).alias("seeks"),
+        F.min(F.when(F.col("seek") & used, F.struct("t", "kind", "seq", "progress"))).alias("first_seek"),
+        F.max(F.when(used & F.col("rate").isNotNull() & ~legal, 1).otherwise(0)).alias("bad_rate"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == 3, point))).alias("points"))
+    raw = ("transform(points, p -> offset * 60 + p.progress - if(first_seek.t <= p.target, first_seek.progress, 0D) + p.seen_buffer)")
+    curve = per.where("size(points) > 0").withColumn("raw", F.expr(raw))
+    gap = f"exists(points, p -> p.seen_buffer_t is null or p.target - p.seen_buffer_t > {float(max_gap)!r}D or p.seen_buffer < 0)"
+    drop = "size(raw) > 1 and exists(sequence(1, greatest(size(raw) - 1, 1)), i -> coalesce(raw[i] - raw[i - 1] < -2, false))"
+    reason = (F.when(F.expr("n_rates < 2 or n_buffers < 2 or n_states < 1"), "insufficient_dynamics")
+              .when(F.col("bad_rate") > 0, "invalid_playback_rate")
+              .when((F.col("seeks") > 1) | (F.col("first_seek.progress") > 2), "unannotated_seek")
+              .when(F.expr(gap), "buffer_gap").when(F.expr("exists(points, p -> p.seen_rate is null)"), "no_rate_before_window")
+              .when(F.expr(drop), "nonmonotone_frontier"))
+    highest = F.expr("transform(sequence(1, size(raw)), i -> array_max(slice(raw, 1, i)))")
+    return curve.select("session_id", reason.alias("reason"), highest.alias("frontier")).withColumn(
+        "frontier", F.when(F.col("reason").isNull(), F.col("frontier")))
+
+
+def media_intervals(frontiers: DataFrame) -> DataFrame:
+    """(session_id, media_start, media_end, reason): span of each curve; a zero span is refused too."""
+    start, end = F.element_at("frontier", 1), F.element_at("frontier", -1)
+    reason = F.coalesce("reason", F.when(end <= start, "zero_media_span"))
+    return frontiers.select("session_id", start.alias("media_start"), end.alias("media_end"), reason.alias("reason"))

@@ -370,10 +370,10 @@ UNION ALL SELECT session_id, -1, NULL, 'insufficient_dynamics' FROM fs WHERE NOT
 def delivery_frontier(spark, sf_dir) -> DataFrame:
     """Running playback integral plus as-of buffer, with refusals."""
     logs = tables.playback_logs(spark, sf_dir)
-    curve, refused = players.delivery_frontier(logs["sessions"], logs["states"], logs["rates"], logs["buffers"], FRONTIER_TARGETS,
-                                               FRONTIER_GAP, bucket=86_400.0)
-    kept = curve.select("session_id", "k", r6("frontier").alias("frontier"), F.lit(None).cast("string").alias("reason"))
-    return kept.unionByName(refused.select("session_id", F.lit(-1).alias("k"), F.lit(None).cast("double").alias("frontier"), "reason"))
+    result = players.delivery_frontier(logs["sessions"], logs["states"], logs["rates"], logs["buffers"], FRONTIER_TARGETS,
+                                       FRONTIER_GAP, bucket=86_400.0)
+    return result.select("session_id", "reason", F.posexplode_outer("frontier").alias("k", "x")).select(
+        "session_id", F.coalesce("k", F.lit(-1)).alias("k"), r6("x").alias("frontier"), "reason")
 
 
 # --- duplicates, splits, partitions, audit -------------------------------------------------------------------------
@@ -425,8 +425,8 @@ def identity_split(spark, sf_dir) -> DataFrame:
 
 
 @register("open_partitions", with_clause(sql.VECTORS) + f"""
-, grid AS (SELECT identity, p AS partition, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY sha256('{SEED}|open|' || p || '|' || identity)) - 1 AS place
-           FROM vec, (SELECT unnest(range(5)) AS p) GROUP BY ALL),
+, grid AS (SELECT identity, p AS partition, n, row_number() OVER (PARTITION BY p ORDER BY sha256('{SEED}|open|' || p || '|' || identity)) - 1 AS place
+           FROM (SELECT identity, p, count(*) AS n FROM vec, (SELECT unnest(range(5)) AS p) GROUP BY ALL)),
 lab AS (SELECT *, place < 5 AS known, CASE WHEN place < 5 THEN row_number() OVER (PARTITION BY partition, place < 5 ORDER BY identity) - 1 ELSE -1 END AS label,
                '{SEED}|gallery|' || partition || '|' || identity AS key FROM grid),
 draw AS (SELECT *, CASE WHEN known THEN {sql.draws('n', '5', 'key')} ELSE []::BIGINT[] END AS places FROM lab),

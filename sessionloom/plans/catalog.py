@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.vectors import dot
+from ..runtime import cut_lineage
 from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
@@ -465,3 +465,140 @@ def audit_violations(spark, sf_dir) -> DataFrame:
     members = sampling.episode_members(sessions, CROSS_MODE, (SEED,))
     checks.update(audit.episode_violations(members, sessions, CROSS_MODE))
     return audit.audit_report(checks)
+
+
+# --- metrics -------------------------------------------------------------------------------------------------------
+
+from ..operators import quality, reporting  # noqa: E402
+from .tables import SLICES  # noqa: E402
+
+
+@register("auroc_fpr95", """
+WITH s AS (SELECT quality = 1 AS known, n_chars::DOUBLE AS confidence FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT *, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 AS rk,
+             sum(known::INT) OVER (ORDER BY confidence DESC) AS tp, sum((NOT known)::INT) OVER (ORDER BY confidence DESC) AS fp FROM s),
+n AS (SELECT count(*) FILTER (known) AS p, count(*) FILTER (NOT known) AS q FROM s)
+SELECT round((SELECT sum(rk) FROM r WHERE known) / (p * q) - (p + 1) / (2.0 * q), 6) + 0.0 AS auroc,
+       round((SELECT arg_max(fp, confidence) FROM r WHERE tp >= 0.95 * p) / q, 6) + 0.0 AS fpr95, p AS known_count, q AS unknown_count FROM n""")
+def auroc_fpr95(spark, sf_dir) -> DataFrame:
+    """C14: known documents against unknown ones by length, ties included."""
+    scores = (tables.table(spark, sf_dir, "labels").join(tables.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+              .select((F.col("quality") == 1).alias("known"), F.col("n_chars").cast("double").alias("confidence")))
+    return metrics.open_set_metrics(scores).select(r6("auroc").alias("auroc"), r6("fpr95").alias("fpr95"), "known_count", "unknown_count")
+
+
+@register("reject_threshold", """
+WITH r AS (SELECT n_chars::DOUBLE AS c, row_number() OVER (ORDER BY n_chars) AS rn, count(*) OVER () AS n FROM documents),
+t AS (SELECT max(c) FILTER (rn = floor(0.05 * (n - 1)) + 1) AS threshold FROM r)
+SELECT threshold, round((SELECT avg((c >= threshold)::INT) FROM r), 6) + 0.0 AS empirical_known_tpr FROM t""")
+def reject_threshold(spark, sf_dir) -> DataFrame:
+    """Lower five-percent quantile and the share kept."""
+    confidence = tables.table(spark, sf_dir, "documents").select(F.col("n_chars").cast("double").alias("confidence"))
+    return metrics.reject_threshold(confidence).select("threshold", r6("empirical_known_tpr").alias("empirical_known_tpr"))
+
+
+WINDOWS_SQL = f"""
+cells AS (SELECT identity, condition, count(*) AS n FROM vec GROUP BY ALL HAVING count(*) >= 3),
+slots AS (SELECT identity, condition, unnest(places) AS place, unnest(range(3)) AS slot FROM (
+  SELECT *, {sql.draws('n', '3', f"'{SEED}|' || identity || '|' || condition")} AS places FROM cells)),
+win AS (SELECT identity, condition, slot, session_id, z, v, 60 * abs(z[1]) AS m0, 60 * abs(z[1]) + 20 + 40 * abs(z[2]) AS m1
+        FROM (SELECT *, row_number() OVER (PARTITION BY identity, condition ORDER BY sha256(session_id::VARCHAR)) - 1 AS place FROM vec)
+             JOIN slots USING (identity, condition, place)),
+pr AS (SELECT a.identity, a.slot, a.session_id AS left_id, b.session_id AS right_id, a.condition AS left_condition, b.condition AS right_condition,
+              greatest(0, least(a.m1, b.m1) - greatest(a.m0, b.m0)) / least(a.m1 - a.m0, b.m1 - b.m0) AS reference,
+              list_dot_product(a.z, b.z) AS g, a.v AS qv, b.v AS sv
+       FROM win a JOIN win b ON a.identity = b.identity AND a.slot = b.slot AND a.condition < b.condition)"""
+OVERLAP_SQL = [sql.VECTORS, WINDOWS_SQL, sql.pma_ctes(8, 8)]
+
+
+def overlap_frame(spark, sf_dir):
+    vec = tables.vectors(spark, sf_dir)
+    start = F.lit(60.0) * F.abs(F.col("z")[0])
+    valid = (vec.select("session_id", "identity", start.alias("media_start"),
+                        (start + 20 + F.lit(40.0) * F.abs(F.col("z")[1])).alias("media_end"))
+             .join(tables.vector_sessions(spark, sf_dir).select("session_id", "condition"), "session_id"))
+    windows, _ = sampling.select_windows(valid, ["identity", "condition"], 3, SEED)
+    return quality.overlap_pairs(windows, vec, MatchConfig())
+
+
+@register("overlap_pairs", with_clause(*OVERLAP_SQL) + """
+SELECT identity, slot::INT AS slot, left_id, right_id, left_condition, right_condition, round(reference, 6) + 0.0 AS reference,
+       round(overlap, 6) + 0.0 AS prediction FROM pma""")
+def overlap_pairs(spark, sf_dir) -> DataFrame:
+    """Three windows per identity and condition, paired across conditions."""
+    return overlap_frame(spark, sf_dir).select("identity", "slot", "left_id", "right_id", "left_condition", "right_condition",
+                                               r6("reference").alias("reference"), r6("prediction").alias("prediction"))
+
+
+REPLICATES = 2000
+
+
+@register("spearman_ci", with_clause(*OVERLAP_SQL) + f"""
+, op AS MATERIALIZED (SELECT identity, round(reference, 6) AS x, round(overlap, 6) AS y FROM pma),
+ids AS (SELECT identity, row_number() OVER (ORDER BY sha256(identity::VARCHAR)) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT identity FROM op)),
+drawn AS (SELECT r, d, {sql.hash_number(f"'{SEED}|' || r || '|' || d")} % n AS place
+          FROM (SELECT unnest(range({REPLICATES})) AS r), (SELECT DISTINCT n FROM ids), LATERAL (SELECT unnest(range(n)) AS d)),
+boot AS (SELECT r, x, y FROM drawn JOIN ids USING (place) JOIN op USING (identity) UNION ALL SELECT -1, x, y FROM op),
+rk AS (SELECT r, x, y, rank() OVER (PARTITION BY r ORDER BY x) + (count(*) OVER (PARTITION BY r, x) - 1) / 2.0 AS rx,
+              rank() OVER (PARTITION BY r ORDER BY y) + (count(*) OVER (PARTITION BY r, y) - 1) / 2.0 AS ry FROM boot),
+rho AS (SELECT r, corr(rx, ry) AS s, avg(abs(x - y)) AS e, count(*) AS n FROM rk GROUP BY ALL),
+ok AS (SELECT * FROM rho WHERE r >= 0 AND s IS NOT NULL AND NOT isnan(s))
+SELECT round(s, 6) + 0.0 AS spearman, round(e, 6) + 0.0 AS mae, n AS pairs,
+       round((SELECT quantile_cont(s, 0.025) FROM ok), 6) + 0.0 AS ci_spearman_low, round((SELECT quantile_cont(s, 0.975) FROM ok), 6) + 0.0 AS ci_spearman_high,
+       round((SELECT quantile_cont(e, 0.025) FROM ok), 6) + 0.0 AS ci_mae_low, round((SELECT quantile_cont(e, 0.975) FROM ok), 6) + 0.0 AS ci_mae_high,
+       (SELECT count(*) FROM ok) AS replicates FROM rho WHERE r = -1""")
+def spearman_ci(spark, sf_dir) -> DataFrame:
+    """Rank correlation of reference and predicted overlap with a clustered bootstrap."""
+    pairs = overlap_frame(spark, sf_dir).select("identity", F.round("reference", 6).alias("reference"), F.round("prediction", 6).alias("prediction"))
+    out = metrics.spearman_with_interval(cut_lineage(pairs), REPLICATES, SEED)
+    rounded = [c for c in out.columns if c not in ("pairs", "replicates")]
+    return out.select(*[r6(c).alias(c) for c in rounded], "pairs", "replicates")
+
+
+@register("ecdf", with_clause(*OVERLAP_SQL) + """
+, er AS MATERIALIZED (SELECT round(abs(reference - overlap), 6) + 0.0 AS error FROM pma)
+SELECT DISTINCT error, round(count(*) OVER (ORDER BY error) / (SELECT count(*) FROM er)::DOUBLE, 6) + 0.0 AS cdf FROM er""")
+def ecdf(spark, sf_dir) -> DataFrame:
+    """Empirical distribution of the absolute overlap error."""
+    errors = overlap_frame(spark, sf_dir).select(r6(F.abs(F.col("reference") - F.col("prediction"))).alias("error"))
+    return reporting.empirical_cdf(cut_lineage(errors), "error").select("error", r6("cdf").alias("cdf"))
+
+
+BATCH_SQL = with_clause(sql.VECTORS, sql.members(RANDOM_MIXED, [SEED])) + f"""
+, b AS (SELECT {EP}, session_id, role, label, mode, z FROM mem JOIN vec USING (session_id)),
+d AS (SELECT x.episode, x.session_id AS i, x.label AS li, y.label AS lj, x.session_id = y.session_id AS me, list_cosine_similarity(x.z, y.z) AS c
+      FROM b x JOIN b y ON x.episode = y.episode),"""
+
+
+def batch_frame(spark, sf_dir):
+    vec = tables.vectors(spark, sf_dir).select("session_id", "z").join(tables.vector_sessions(spark, sf_dir).select("session_id", "mode"), "session_id")
+    return quality.batch_values(mixed_members(spark, sf_dir), vec)
+
+
+@register("supcon_value", BATCH_SQL + """
+den AS (SELECT episode, i, ln(sum(exp(c / 0.1))) AS l FROM d WHERE NOT me GROUP BY ALL),
+a AS (SELECT episode, i, avg(c / 0.1 - l) AS v FROM d JOIN den USING (episode, i) WHERE li = lj AND NOT me GROUP BY ALL)
+SELECT episode::BIGINT AS episode, round(-avg(v), 6) + 0.0 AS contrastive FROM a GROUP BY ALL""")
+def supcon_value(spark, sf_dir) -> DataFrame:
+    """Supervised contrastive value of every episode."""
+    return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("contrastive").alias("contrastive"))
+
+
+@register("triplet_value", BATCH_SQL + """
+h AS (SELECT episode, i, max(sqrt(greatest(2 - 2 * c, 0))) FILTER (li = lj AND NOT me) AS p, min(sqrt(greatest(2 - 2 * c, 0))) FILTER (li <> lj) AS n FROM d GROUP BY ALL)
+SELECT episode::BIGINT AS episode, round(avg(greatest(p - n + 0.2, 0)), 6) + 0.0 AS triplet FROM h GROUP BY ALL""")
+def triplet_value(spark, sf_dir) -> DataFrame:
+    """Batch-hard triplet hinge of every episode."""
+    return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("triplet").alias("triplet"))
+
+
+@register("class_consistency", BATCH_SQL + """
+rm AS (SELECT episode, label, role, k, avg(x) AS m FROM (SELECT episode, label, role, unnest(range(64)) AS k, unnest(z) AS x FROM b) GROUP BY ALL),
+cs AS (SELECT episode, label, sum((s.m - q.m) ** 2) AS v FROM rm s JOIN rm q USING (episode, label, k) WHERE s.role = 'support' AND q.role = 'query' GROUP BY ALL),
+mm AS (SELECT episode, label, mode, k, avg(x) AS m FROM (SELECT episode, label, mode, unnest(range(64)) AS k, unnest(z) AS x FROM b) GROUP BY ALL),
+ds AS (SELECT episode, label, s.mode, q.mode AS other, sum((s.m - q.m) ** 2) AS v FROM mm s JOIN mm q USING (episode, label, k) WHERE s.mode < q.mode GROUP BY ALL)
+SELECT episode::BIGINT AS episode, round((SELECT avg(v) FROM cs WHERE cs.episode = e.episode), 6) + 0.0 AS consistency,
+       round((SELECT avg(v) FROM ds WHERE ds.episode = e.episode), 6) + 0.0 AS domain FROM (SELECT DISTINCT episode FROM b) e""")
+def class_consistency(spark, sf_dir) -> DataFrame:
+    """support/query and mode mean gaps of every episode."""
+    return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("consistency").alias("consistency"), r6("domain").alias("domain"))

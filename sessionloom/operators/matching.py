@@ -20,7 +20,7 @@ def episode_pairs(members: DataFrame, fingerprints: DataFrame, config: MatchConf
     Members fetch their fingerprint once and are packed per episode, so the payload shuffled grows with Q + S rather
     than Q x S. ``query_fingerprints`` supplies another view (a truncated one) for the query side.
     """
-    group = group or EPISODE
+    group = EPISODE if group is None else group
     tokens = config.alignment != "none"
     columns = ["session_id", "z"] + (["v", "r"] if tokens else [])
     support_prints = fingerprints.select(*columns)
@@ -48,7 +48,7 @@ def candidate_scores(pairs: DataFrame, config: MatchConfig, group=None, rule: st
     The soft rules are ratios of two log-sum-exps, tau_s * (LSE(c/tau_c + s/tau_s) - LSE(c/tau_c)); their maxima are
     taken by a window over the same keys as the sums, so pairs shuffle once.
     """
-    group = group or EPISODE
+    group = EPISODE if group is None else group
     rule = rule or config.aggregation
     keys = [*group, "query_id", "label"]
     if rule == "mean":
@@ -71,7 +71,7 @@ def candidate_scores(pairs: DataFrame, config: MatchConfig, group=None, rule: st
 
 def responsibilities(pairs: DataFrame, config: MatchConfig, group=None, rule: str | None = None) -> DataFrame:
     """Pairs with ``omega``, the weight of each support in its class score."""
-    group = group or EPISODE
+    group = EPISODE if group is None else group
     rule = rule or config.aggregation
     window = Window.partitionBy(*group, "query_id", "label")
     if rule == "mean":
@@ -97,7 +97,7 @@ def class_prototypes(supports: DataFrame, keys: list[str], dim: int | None = Non
 def prototype_scores(members: DataFrame, fingerprints: DataFrame, group=None, dim: int | None = None,
                      query_fingerprints: DataFrame | None = None) -> DataFrame:
     """(group, query_id, label, candidate) against class prototypes, skipping the pair matrix."""
-    group = group or EPISODE
+    group = EPISODE if group is None else group
     z = fingerprints.select("session_id", "z")
     query_z = z if query_fingerprints is None else query_fingerprints.select("session_id", "z")
     supports = members.where("role = 'support'").select(*group, "label", "session_id").join(z, "session_id")
@@ -110,7 +110,7 @@ def prototype_scores(members: DataFrame, fingerprints: DataFrame, group=None, di
 
 def predictions(candidates: DataFrame, group=None) -> DataFrame:
     """Best class per query, smallest label on ties, and its score as confidence."""
-    group = group or EPISODE
+    group = EPISODE if group is None else group
     best = candidates.groupBy(*group, "query_id").agg(
         F.max(F.struct(F.col("candidate"), (-F.col("label")).alias("minus"))).alias("_b"))
     return best.select(*group, "query_id", (-F.col("_b.minus")).alias("prediction"),

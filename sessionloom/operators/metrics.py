@@ -13,7 +13,7 @@ from .matching import EPISODE
 
 def episode_accuracy(predicted: DataFrame, members: DataFrame, group=None) -> DataFrame:
     """Share of right predictions per episode."""
-    group = group or EPISODE
+    group = EPISODE if group is None else group
     truth = members.where("role = 'query'").select(*group, F.col("session_id").alias("query_id"), "label")
     joined = predicted.join(truth, [*group, "query_id"])
     return joined.groupBy(*group).agg(

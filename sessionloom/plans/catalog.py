@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
@@ -54,8 +54,13 @@ def episode_members(spark, sf_dir) -> DataFrame:
                        "identity", F.col("label").cast("bigint"), "session_id")
 
 
+def drawn(spark, sf_dir, parts, seeds=(SEED,)) -> DataFrame:
+    """Episode rows of the embeddings, materialised: they are few, used several times and costly to redraw."""
+    return cut_lineage(sampling.episode_members(tables.vector_sessions(spark, sf_dir), parts, seeds))
+
+
 def mixed_members(spark, sf_dir, seeds=(SEED,)):
-    return sampling.episode_members(tables.vector_sessions(spark, sf_dir), RANDOM_MIXED, seeds)
+    return drawn(spark, sf_dir, RANDOM_MIXED, seeds)
 
 
 @register("prototype_scores", with_clause(sql.VECTORS, sql.members(RANDOM_MIXED, [SEED]), sql.PROTOTYPES) + f"""
@@ -96,7 +101,8 @@ def training_sessions(spark, sf_dir):
 
 
 def event_stats(spark, sf_dir):
-    return features.norm_stats(tables.packets(spark, sf_dir), training_sessions(spark, sf_dir), EVENT_DATA)
+    """Fifteen rows from a full pass over the training packets, so they are materialised before reuse."""
+    return cut_lineage(features.norm_stats(tables.packets(spark, sf_dir), training_sessions(spark, sf_dir), EVENT_DATA))
 
 
 @register("bin_features", FEATURE_BASE + """
@@ -194,7 +200,7 @@ def cross_pairs(spark, sf_dir, alignment, holes=False, **extra):
     vec = tables.vectors(spark, sf_dir)
     if holes:
         vec = vec.withColumn("r", F.col("r_holes"))
-    members = sampling.episode_members(tables.vector_sessions(spark, sf_dir), CROSS_MODE, (SEED,))
+    members = drawn(spark, sf_dir, CROSS_MODE)
     return matching.episode_pairs(members, vec, MatchConfig(alignment=alignment), max_side=MAX_SIDE, **extra)
 
 
@@ -462,7 +468,7 @@ def audit_violations(spark, sf_dir) -> DataFrame:
     checks = {"signatures_before": audit.repeated_signatures(documents),
               "signatures_after": audit.repeated_signatures(documents.where("reason is null")),
               "block_leaks": audit.split_leaks(blocks)}
-    members = sampling.episode_members(sessions, CROSS_MODE, (SEED,))
+    members = drawn(spark, sf_dir, CROSS_MODE)
     checks.update(audit.episode_violations(members, sessions, CROSS_MODE))
     return audit.audit_report(checks)
 
@@ -602,3 +608,317 @@ SELECT episode::BIGINT AS episode, round((SELECT avg(v) FROM cs WHERE cs.episode
 def class_consistency(spark, sf_dir) -> DataFrame:
     """support/query and mode mean gaps of every episode."""
     return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("consistency").alias("consistency"), r6("domain").alias("domain"))
+
+
+# --- evaluation and reports ----------------------------------------------------------------------------------------
+
+from ..operators import evaluation  # noqa: E402
+
+REPORT_PARTS = RANDOM_MIXED + CROSS_MODE
+REPORT_SQL = [sql.VECTORS, sql.members(REPORT_PARTS, SEEDS3), sql.PROTOTYPES, sql.PREDICT, sql.REPORT_ACC]
+SESSION_PARTS = [EpisodePart("random_mixed", 0, 300, 5, 2, 2)]
+FRACTIONS = (0.2, 0.5, 1.0)
+OPEN_CONFIG = MatchConfig(alignment="none", aggregation="support_max", lambda_z=1.0)
+
+
+def report_frame(spark, sf_dir):
+    """Accuracy reports of three sampling seeds, one row per seed and scenario; materialised as six rows."""
+    members = drawn(spark, sf_dir, REPORT_PARTS, SEEDS3)
+    scores = matching.prototype_scores(members, tables.vectors(spark, sf_dir), dim=64)
+    per_episode = metrics.episode_accuracy(matching.predictions(scores), members)
+    return cut_lineage(metrics.accuracy_summary(per_episode, ["seed", "scenario"]))
+
+
+@register("seed_summary", with_clause(*REPORT_SQL) + f"""
+SELECT scenario, count(*) AS seeds, {sql.rounded('100 * avg(accuracy)', 'mean_percent')}, {sql.rounded('100 * stddev_samp(accuracy)', 'sample_std_percent')},
+       count(*) = 3 AS complete FROM rep GROUP BY scenario""")
+def seed_summary(spark, sf_dir) -> DataFrame:
+    """Mean and deviation over seeds."""
+    out = reporting.seed_summary(report_frame(spark, sf_dir), ["scenario"])
+    return out.select("scenario", "seeds", r6("mean_percent").alias("mean_percent"), r6("sample_std_percent").alias("sample_std_percent"), "complete")
+
+
+@register("diagnostics_summary", with_clause(*REPORT_SQL) + f"""
+, long AS (UNPIVOT (SELECT scenario AS kind, accuracy, episode_std, episode_sem FROM rep) ON accuracy, episode_std, episode_sem INTO NAME metric VALUE value)
+SELECT kind, metric, count(*) AS measurements, {sql.rounded('avg(value)', 'mean')}, {sql.rounded('stddev_samp(value)', 'sample_std')} FROM long GROUP BY ALL""")
+def diagnostics_summary(spark, sf_dir) -> DataFrame:
+    """Unpivoted metrics by kind."""
+    rows = report_frame(spark, sf_dir).withColumnRenamed("scenario", "kind")
+    out = reporting.diagnostics_summary(rows, ["kind"], ["accuracy", "episode_std", "episode_sem"])
+    return out.select("kind", "metric", "measurements", r6("mean").alias("mean"), r6("sample_std").alias("sample_std"))
+
+
+@register("completeness_table", with_clause(*REPORT_SQL) + f"""
+, grid AS (SELECT s AS scenario, d AS seed FROM (SELECT unnest(['random_mixed', 'cross_mode', 'same_mode']) AS s), (SELECT unnest([{', '.join(map(str, SEEDS3))}]) AS d)),
+j AS (SELECT grid.*, accuracy FROM grid LEFT JOIN rep USING (scenario, seed))
+SELECT scenario, -1::BIGINT AS seed, {sql.rounded('avg(accuracy)', 'mean')}, {sql.rounded('stddev_samp(accuracy)', 'sample_std')}, count(accuracy) AS measurements,
+       count(*) AS expected_measurements, count(accuracy) = count(*) AS complete FROM j GROUP BY scenario
+UNION ALL SELECT scenario, seed, NULL, NULL, 0, 1, false FROM j WHERE accuracy IS NULL""")
+def completeness_table(spark, sf_dir) -> DataFrame:
+    """Expected against measured cells, then the missing units."""
+    grid = spark.createDataFrame([(s,) for s in ("random_mixed", "cross_mode", "same_mode")], "scenario string").withColumn(
+        "seed", F.explode(F.array(*[F.lit(s) for s in SEEDS3])))
+    table, missing = reporting.completeness_table(grid, report_frame(spark, sf_dir), ["scenario"], ["seed"], "accuracy")
+    top = table.select("scenario", F.lit(-1).cast("bigint").alias("seed"), r6("mean").alias("mean"), r6("sample_std").alias("sample_std"),
+                       "measurements", "expected_measurements", "complete")
+    rest = missing.select("scenario", F.col("seed").cast("bigint"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("sample_std"),
+                          F.lit(0).cast("bigint").alias("measurements"), F.lit(1).cast("bigint").alias("expected_measurements"), F.lit(False).alias("complete"))
+    return top.unionByName(rest)
+
+
+GAMMAS = [0.01, 0.05, 0.1, 0.2, 0.5]
+GAMMA_SQL = with_clause(sql.VECTORS, sql.members(CROSS_MODE, SEEDS3), sql.pairs_cte(),
+                        f"prg AS (SELECT pr.*, gm FROM pr, (SELECT unnest({GAMMAS}::DOUBLE[]) AS gm))", sql.soft_dtw_ctes(8, 8, gamma="gm", source="prg").replace("sdtw AS (", "sdtw AS MATERIALIZED ("))
+
+
+@register("best_gamma", GAMMA_SQL + f"""
+, candg AS (SELECT gm, {EP}, query_id, label, max(score) AS candidate FROM sdtw GROUP BY ALL),
+tops AS (SELECT *, row_number() OVER (PARTITION BY gm, {EP}, query_id ORDER BY candidate DESC, label) AS rn FROM candg),
+ep AS (SELECT gm, t.seed, t.scenario, t.partition, t.episode, avg((t.label = m.label)::INT) AS accuracy FROM tops t JOIN mem m
+  ON (t.seed, t.scenario, t.partition, t.episode, t.query_id, 'query') = (m.seed, m.scenario, m.partition, m.episode, m.session_id, m.role) WHERE rn = 1 GROUP BY ALL),
+sd AS (SELECT gm, seed, avg(accuracy) AS a FROM ep GROUP BY ALL), mn AS (SELECT gm, avg(a) AS a FROM sd GROUP BY ALL)
+SELECT 'cross_mode' AS scenario, gm AS gamma, round(a, 6) + 0.0 AS mean_value FROM mn ORDER BY round(a, 12) DESC, gm LIMIT 1""")
+def best_gamma(spark, sf_dir) -> DataFrame:
+    """Soft-DTW smoothing chosen by mean accuracy over three seeds."""
+    vec = tables.vectors(spark, sf_dir)
+    members = drawn(spark, sf_dir, CROSS_MODE, SEEDS3)
+    config = MatchConfig(alignment="soft_dtw", aggregation="support_max")
+    pairs = matching.episode_pairs(members, vec, config, max_side=MAX_SIDE, gammas=GAMMAS)
+    group = ["gamma", *EPISODE]
+    best = matching.predictions(matching.candidate_scores(pairs, config, group), group)
+    truth = members.where("role = 'query'").select(*EPISODE, F.col("session_id").alias("query_id"), "label")
+    hits = best.join(truth, [*EPISODE, "query_id"]).groupBy(*group).agg(
+        F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"))
+    results = hits.groupBy("scenario", "gamma", "seed").agg(F.avg("accuracy").alias("accuracy")).withColumn("accuracy", F.round("accuracy", 12))
+    out = reporting.best_parameter(results, ["scenario"], "gamma", GAMMAS, list(SEEDS3))
+    return out.select("scenario", "gamma", r6("mean_value").alias("mean_value"))
+
+
+SWEEP = [({"tau_c": c, "tau_s": s}, "grid") for c in (0.1, 0.2, 0.4) for s in (0.05, 0.1, 0.2)] + [({"tau_c": 0.2, "tau_s": 0.1}, "default")]
+
+
+@register("param_sweep", with_clause(*CROSS_SQL, sql.pairs_cte(), sql.pma_ctes(8, 8)) + f"""
+, grid AS (SELECT tau_c, tau_s, CASE WHEN tau_c = 0.2 AND tau_s = 0.1 THEN 'default,grid' ELSE 'grid' END AS tags
+           FROM (SELECT unnest([0.1, 0.2, 0.4]::DOUBLE[]) AS tau_c), (SELECT unnest([0.05, 0.1, 0.2]::DOUBLE[]) AS tau_s)),
+w AS (SELECT tau_c, tau_s, tags, {EP}, query_id, label, score, exp((local + overlap) / tau_c) / sum(exp((local + overlap) / tau_c)) OVER (PARTITION BY tau_c, tau_s, {EP}, query_id, label) AS omega FROM pma, grid),
+c AS (SELECT tau_c, tau_s, tags, {EP}, query_id, label, max(tau_s) * ln(sum(omega * exp(score / tau_s))) AS candidate FROM w GROUP BY tau_c, tau_s, tags, {EP}, query_id, label),
+t AS (SELECT *, row_number() OVER (PARTITION BY tau_c, tau_s, {EP}, query_id ORDER BY candidate DESC, label) AS rn FROM c)
+SELECT tau_c, tau_s, tags, round(avg((t.label = m.label)::INT), 6) + 0.0 AS accuracy FROM t JOIN mem m
+  ON (t.seed, t.scenario, t.partition, t.episode, t.query_id, 'query') = (m.seed, m.scenario, m.partition, m.episode, m.session_id, m.role)
+WHERE rn = 1 GROUP BY ALL""")
+def param_sweep(spark, sf_dir) -> DataFrame:
+    """Temperatures swept over pairs scored once; equal settings merged with their tags."""
+    grid = reporting.parameter_grid(spark, SWEEP)
+    members = drawn(spark, sf_dir, CROSS_MODE)
+    scores = reporting.sweep_scores(cross_pairs(spark, sf_dir, "pma"), grid, EPISODE)
+    best = matching.predictions(scores, ["config_hash", *EPISODE])
+    truth = members.where("role = 'query'").select(*EPISODE, F.col("session_id").alias("query_id"), "label")
+    hits = best.join(truth, [*EPISODE, "query_id"]).groupBy("config_hash").agg(
+        F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"))
+    return hits.join(grid, "config_hash").select("tau_c", "tau_s", F.array_join("tags", ",").alias("tags"), r6("accuracy").alias("accuracy"))
+
+
+MATRIX_PARTS = [p for p in scenario_catalogue("shaped", condition_matrix=True) if p.scenario.startswith("bandwidth_")]
+
+
+@register("condition_matrix", with_clause(sql.VECTORS, sql.members(MATRIX_PARTS, [SEED]), sql.PROTOTYPES, sql.PREDICT) + f"""
+, one AS (SELECT scenario, 100 * avg(accuracy) AS v FROM acc GROUP BY ALL),
+mx AS (SELECT q.seed, q.scenario, q.partition, q.episode, q.session_id AS query_id, s.label, max(list_dot_product(a.z, b.z)) AS candidate
+  FROM mem q JOIN mem s ON (q.scenario, q.episode) = (s.scenario, s.episode) JOIN vec a ON a.session_id = q.session_id JOIN vec b ON b.session_id = s.session_id
+  WHERE q.role = 'query' AND s.role = 'support' GROUP BY ALL),
+mt AS (SELECT *, row_number() OVER (PARTITION BY scenario, episode, query_id ORDER BY candidate DESC, label) AS rn FROM mx),
+two AS (SELECT scenario, 100 * avg(a) AS v FROM (SELECT t.scenario, t.episode, avg((t.label = m.label)::INT) AS a FROM mt t JOIN mem m
+  ON (t.scenario, t.episode, t.query_id, 'query') = (m.scenario, m.episode, m.session_id, m.role) WHERE rn = 1 GROUP BY ALL) GROUP BY ALL)
+SELECT 'bw' || split_part(scenario, '_', 2) AS support_condition, 'bw' || split_part(scenario, '_', 4) AS query_condition,
+       round(one.v, 6) + 0.0 AS value, round(two.v, 6) + 0.0 AS other, round(one.v - two.v, 6) + 0.0 AS delta FROM one JOIN two USING (scenario)""")
+def condition_matrix(spark, sf_dir) -> DataFrame:
+    """Accuracy by support and query condition for prototypes and nearest support, and their difference."""
+    vec = tables.vectors(spark, sf_dir)
+    members = drawn(spark, sf_dir, MATRIX_PARTS)
+
+    def cells(scores):
+        mean = metrics.accuracy_summary(metrics.episode_accuracy(matching.predictions(scores), members), ["scenario"])
+        part = lambda i: F.concat(F.lit("bw"), F.split("scenario", "_")[i])
+        return mean.select(part(1).alias("support_condition"), part(3).alias("query_condition"), (F.col("accuracy") * 100).alias("mean_percent"))
+
+    nearest = matching.candidate_scores(matching.episode_pairs(members, vec, OPEN_CONFIG, max_side=MAX_SIDE), OPEN_CONFIG)
+    delta = reporting.matrix_delta(cells(matching.prototype_scores(members, vec, dim=64)), cells(nearest))
+    return delta.select("support_condition", "query_condition", r6("value").alias("value"), r6("other").alias("other"), r6("delta").alias("delta"))
+
+
+@register("truncation_curve", with_clause(sql.PACKETS, sql.SESSIONS, sql.split_ctes(SEED), sql.members(SESSION_PARTS, [SEED], "sess"),
+                                          sql.closed_set_ctes(FRACTIONS)) + """
+SELECT fraction::DOUBLE AS fraction, scenario, count(*) AS episodes, round(avg(accuracy), 6) + 0.0 AS accuracy FROM acc_all GROUP BY ALL""")
+def truncation_curve(spark, sf_dir) -> DataFrame:
+    """Recognition of event sessions with truncated queries, from raw packets."""
+    members = cut_lineage(sampling.episode_members(tables.event_sessions(spark, sf_dir), SESSION_PARTS, (SEED,)))
+    stats = event_stats(spark, sf_dir)
+    per_episode = evaluation.evaluate_closed(members, tables.packets(spark, sf_dir), stats, EVENT_DATA, MatchConfig(), FRACTIONS, max_side=10)
+    out = evaluation.closed_set_report(per_episode)
+    return out.select("fraction", "scenario", "episodes", r6("accuracy").alias("accuracy"))
+
+
+def open_frame(spark, sf_dir, seed=SEED):
+    return cut_lineage(sampling.open_partitions(tables.vector_sessions(spark, sf_dir), 5, 5, 5, seed))
+
+
+def open_sql(seed: int, tag: str = "") -> str:
+    return f"""
+grid{tag} AS (SELECT identity, p AS partition, n, row_number() OVER (PARTITION BY p ORDER BY sha256('{seed}|open|' || p || '|' || identity)) - 1 AS place
+           FROM (SELECT identity, p, count(*) AS n FROM vec, (SELECT unnest(range(5)) AS p) GROUP BY ALL)),
+lab{tag} AS (SELECT *, place < 5 AS known, CASE WHEN place < 5 THEN row_number() OVER (PARTITION BY partition, place < 5 ORDER BY identity) - 1 ELSE -1 END AS label,
+               '{seed}|gallery|' || partition || '|' || identity AS key FROM grid{tag}),
+draw{tag} AS (SELECT *, CASE WHEN known THEN {sql.draws('n', '5', 'key')} ELSE []::BIGINT[] END AS places FROM lab{tag}),
+ranked{tag} AS (SELECT session_id, identity, row_number() OVER (PARTITION BY identity ORDER BY sha256(session_id::VARCHAR)) - 1 AS place FROM vec),
+op{tag} AS (SELECT partition, identity, known, CASE WHEN list_contains(places, ranked{tag}.place) THEN 'support' ELSE 'query' END AS role, label, session_id
+            FROM ranked{tag} JOIN draw{tag} USING (identity)),
+sc{tag} AS (SELECT q.partition, q.session_id, q.known, max(list_dot_product(a.z, b.z)) AS confidence
+            FROM op{tag} q JOIN op{tag} s ON q.partition = s.partition JOIN vec a ON a.session_id = q.session_id JOIN vec b ON b.session_id = s.session_id
+            WHERE q.role = 'query' AND s.role = 'support' GROUP BY ALL),
+rr{tag} AS (SELECT *, rank() OVER (PARTITION BY partition ORDER BY confidence) + (count(*) OVER (PARTITION BY partition, confidence) - 1) / 2.0 AS rk,
+       sum(known::INT) OVER (PARTITION BY partition ORDER BY confidence DESC) AS tp, sum((NOT known)::INT) OVER (PARTITION BY partition ORDER BY confidence DESC) AS fp FROM sc{tag}),
+nn{tag} AS (SELECT partition, count(*) FILTER (known) AS p, count(*) FILTER (NOT known) AS q FROM sc{tag} GROUP BY ALL),
+res{tag} AS (SELECT partition, p, q, (SELECT sum(rk) FROM rr{tag} r WHERE r.known AND r.partition = nn{tag}.partition) / (p * q) - (p + 1) / (2.0 * q) AS auroc,
+       (SELECT arg_max(fp, confidence) FROM rr{tag} r WHERE r.partition = nn{tag}.partition AND tp >= 0.95 * p) / q::DOUBLE AS fpr95 FROM nn{tag})"""
+
+
+@register("open_set_eval", with_clause(sql.VECTORS, open_sql(SEED)) + """
+SELECT partition::INT AS partition, round(auroc, 6) + 0.0 AS auroc, round(fpr95, 6) + 0.0 AS fpr95, p AS known_count, q AS unknown_count FROM res""")
+def open_set_eval(spark, sf_dir) -> DataFrame:
+    """known/unknown detection per partition by the best gallery score."""
+    result, _ = evaluation.evaluate_open(open_frame(spark, sf_dir), tables.vectors(spark, sf_dir), OPEN_CONFIG)
+    return result.select("partition", r6("auroc").alias("auroc"), r6("fpr95").alias("fpr95"), "known_count", "unknown_count")
+
+
+@register("open_set_summary", with_clause(sql.VECTORS, *[open_sql(s, f"_{i}") for i, s in enumerate(SEEDS3)]) + f"""
+, a AS ({' UNION ALL '.join(f'SELECT auroc, fpr95 FROM res_{i}' for i in range(3))})
+SELECT 'nearest' AS method, count(*) AS evaluations, count(*) = 15 AS complete, round(avg(auroc), 6) + 0.0 AS auroc_mean, round(stddev_samp(auroc), 6) + 0.0 AS auroc_sample_std,
+       round(avg(fpr95), 6) + 0.0 AS fpr95_mean, round(stddev_samp(fpr95), 6) + 0.0 AS fpr95_sample_std FROM a""")
+def open_set_summary(spark, sf_dir) -> DataFrame:
+    """C20: fifteen open-set measurements over three seeds and five partitions."""
+    vec, rows = tables.vectors(spark, sf_dir), None
+    for seed in SEEDS3:
+        result, _ = evaluation.evaluate_open(open_frame(spark, sf_dir, seed), vec, OPEN_CONFIG)
+        rows = result if rows is None else rows.unionByName(result)
+    out = reporting.open_set_summary(rows.withColumn("method", F.lit("nearest")), ["method"])
+    return out.select("method", "evaluations", "complete", *[r6(c).alias(c) for c in ("auroc_mean", "auroc_sample_std", "fpr95_mean", "fpr95_sample_std")])
+
+
+RECOGNIZE_SQL = with_clause(sql.VECTORS, open_sql(SEED), """
+pr AS (SELECT q.session_id AS query_id, s.session_id AS support_id, 'class_' || s.identity AS label, list_dot_product(a.z, b.z) AS g, a.v AS qv, b.v AS sv
+       FROM op q JOIN op s ON q.partition = 0 AND s.partition = 0 JOIN vec a ON a.session_id = q.session_id JOIN vec b ON b.session_id = s.session_id
+       WHERE q.role = 'query' AND s.role = 'support')""", sql.pma_ctes(8, 8))
+
+
+@register("recognize", RECOGNIZE_SQL + """
+, cw AS (SELECT *, exp((local + overlap) / 0.2) / sum(exp((local + overlap) / 0.2)) OVER (PARTITION BY query_id, label) AS omega FROM pma),
+cand AS (SELECT query_id, label, 0.1 * ln(sum(omega * exp(score / 0.1))) AS candidate FROM cw GROUP BY ALL),
+best AS (SELECT query_id, max(candidate) AS confidence, arg_max(label, candidate) AS label FROM cand GROUP BY ALL)
+SELECT c.query_id, c.label AS candidate_label, round(c.candidate, 6) + 0.0 AS candidate, round(confidence, 6) + 0.0 AS confidence, confidence < 0.25 AS rejected,
+       CASE WHEN confidence < 0.25 THEN NULL ELSE b.label END AS label FROM cand c JOIN best b USING (query_id)""")
+def recognize(spark, sf_dir) -> DataFrame:
+    """Enrol the first partition's gallery, recognise its queries, reject below a threshold."""
+    vec = tables.vectors(spark, sf_dir)
+    rows = open_frame(spark, sf_dir).where("partition = 0")
+    manifest = rows.where("role = 'support'").select("session_id", F.concat(F.lit("class_"), F.col("identity").cast("string")).alias("label_name"))
+    gallery = matching.enroll(vec, manifest)
+    queries = rows.where("role = 'query'").select("session_id").join(vec, "session_id")
+    out = matching.recognize(queries, gallery, MatchConfig(), threshold=0.25)
+    return out.select("query_id", "label", "rejected", r6("confidence").alias("confidence"), F.explode("scores").alias("candidate_label", "candidate")).withColumn("candidate", r6("candidate"))
+
+
+@register("case_study", with_clause(*CROSS_SQL, sql.pairs_cte(), sql.pma_ctes(8, 8), sql.class_scores("compatibility")) + """
+, first_query AS (SELECT episode, min(session_id) AS query_id FROM mem WHERE role = 'query' AND scenario = 'cross_mode' AND episode = 0 GROUP BY ALL)
+SELECT c.support_id, round(local, 6) + 0.0 AS local, round(overlap, 6) + 0.0 AS overlap, round(score, 6) + 0.0 AS score, round(omega, 6) + 0.0 AS omega,
+       rank() OVER (ORDER BY round(omega, 9) DESC, support_id) AS place
+FROM cw c JOIN first_query f USING (episode, query_id) JOIN mem m ON m.role = 'query' AND m.episode = 0 AND m.session_id = c.query_id AND m.label = c.label""")
+def case_study(spark, sf_dir) -> DataFrame:
+    """Supports behind one query's true class, ranked by responsibility."""
+    members = drawn(spark, sf_dir, CROSS_MODE)
+    query = members.where("role = 'query' and episode = 0").agg(F.min("session_id")).first()[0]
+    pairs = matching.episode_pairs(members.where("episode = 0"), tables.vectors(spark, sf_dir), MatchConfig(), max_side=MAX_SIDE)
+    rows = quality.case_study(pairs, members, MatchConfig(), SEED, "cross_mode", 0, query)
+    # One query has at most ``shots`` supports of its class.
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.round("omega", 9).desc(), "support_id"))
+    return rows.select("support_id", *[r6(c).alias(c) for c in ("local", "overlap", "score", "omega")], place.cast("bigint").alias("place"))
+
+
+@register("storage_footprint", """
+SELECT count(*) AS fingerprints, sum(len(embedding) * 8)::BIGINT AS z_bytes, (count(*) * 64 * 8)::BIGINT AS v_bytes, (count(*) * 8 * 8)::BIGINT AS r_bytes,
+       round((sum(len(embedding) * 8) + count(*) * 72 * 8) / count(*)::DOUBLE / 1024, 6) + 0.0 AS kib_per_fingerprint FROM embeddings""")
+def storage_footprint(spark, sf_dir) -> DataFrame:
+    """Bytes per stored fingerprint component."""
+    out = reporting.storage_footprint(tables.vectors(spark, sf_dir), ["z", "v", "r"])
+    return out.withColumn("kib_per_fingerprint", r6("kib_per_fingerprint"))
+
+
+# --- views of a fingerprint ----------------------------------------------------------------------------------------
+
+VIEW_WINDOW = 60.0
+
+
+@register("correspondence", with_clause(sql.VECTORS, sql.view_ctes(SEED), sql.pma_ctes(8, 8, holes=True), sql.correspondence_ctes(2.0)) + """
+, per AS (SELECT session_id, any_value(abs(overlap - reference)) AS gap FROM er GROUP BY ALL)
+SELECT (SELECT count(*) FROM per) AS pairs, count(*) AS tokens, round(avg(e), 6) + 0.0 AS alignment_mae, round(avg((e <= 2)::INT), 6) + 0.0 AS align_near,
+       round((SELECT avg(gap) FROM per), 6) + 0.0 AS overlap_mae FROM er""")
+def correspondence(spark, sf_dir) -> DataFrame:
+    """Aligned times of two partial, warped views against the truth."""
+    errors = quality.correspondence_errors(tables.vectors(spark, sf_dir), SLICES, VIEW_WINDOW, SEED, MatchConfig())
+    out = quality.correspondence_report(cut_lineage(errors))
+    return out.select("pairs", "tokens", *[r6(c).alias(c) for c in ("alignment_mae", "align_near", "overlap_mae")])
+
+
+@register("alignment_entropy", with_clause(sql.VECTORS, f"""
+sd AS (SELECT session_id, 1 AS side, v, 0.0 AS s, 1.0 AS l, 0.6 * {sql.hash_number(f"'{SEED}|' || session_id || '|warp'")} / {float(1 << 48)!r}::DOUBLE - 0.3 AS eta FROM vec)""",
+    sql.warp_ctes(VIEW_WINDOW), """
+pr AS (SELECT session_id, vec.v AS qv, list_transform(range(8), lambda i: 1.0) AS qr, p.v AS sv, p.r AS sr, p.c AS cb, 0.0 AS g FROM packed p JOIN vec USING (session_id))""",
+    sql.pma_ctes(8, 8, holes=True), sql.entropy_ctes()) + """
+SELECT session_id, count(*)::INT AS columns, round(avg(l), 6) + 0.0 AS cross_entropy FROM en GROUP BY ALL""")
+def alignment_entropy(spark, sf_dir) -> DataFrame:
+    """Alignment mass of a fingerprint and its warped copy against the Gaussian target."""
+    pairs = quality.warp_pairs(tables.vectors(spark, sf_dir), SLICES, VIEW_WINDOW, SEED)
+    out = quality.alignment_entropy(pairs, SLICES, MatchConfig())
+    return out.select("session_id", "columns", r6("cross_entropy").alias("cross_entropy"))
+
+
+@register("prefix_view", with_clause(sql.VECTORS) + """
+, p AS (SELECT session_id, unnest(range(64)) AS i, unnest(z) AS x, (session_id % 10 + 1) / 10.0::DOUBLE AS f FROM vec)
+SELECT session_id, sum(((i + 0.5) * 60 / 64 <= f * 60)::INT)::BIGINT AS kept, round(sum(CASE WHEN (i + 0.5) * 60 / 64 <= f * 60 THEN x ELSE 0 END), 6) + 0.0 AS total FROM p GROUP BY ALL""")
+def prefix_view(spark, sf_dir) -> DataFrame:
+    """Entries beyond a fraction of the window become zero."""
+    rows = tables.vectors(spark, sf_dir).selectExpr("session_id", "z", "(session_id % 10 + 1) / 10D AS f")
+    rows = rows.selectExpr("session_id", f"{quality.prefix_view('z', 'f', VIEW_WINDOW)} AS seen",
+                           f"{quality.prefix_view('transform(z, x -> 1D)', 'f', VIEW_WINDOW)} AS ones")
+    add = "aggregate({0}, 0D, (s, x) -> s + x)"
+    return rows.selectExpr("session_id", f"cast({add.format('ones')} AS bigint) AS kept", f"{add.format('seen')} AS total").withColumn("total", r6("total"))
+
+
+@register("verify_reports", with_clause(*REPORT_SQL) + """
+SELECT seed::BIGINT AS seed, scenario, round(accuracy, 6) + 0.0 AS accuracy, true AS passed FROM rep""")
+def verify_reports(spark, sf_dir) -> DataFrame:
+    """Reported accuracy against the one recomputed from prediction records."""
+    members = drawn(spark, sf_dir, REPORT_PARTS, SEEDS3)
+    predicted = cut_lineage(matching.predictions(matching.prototype_scores(members, tables.vectors(spark, sf_dir), dim=64)))
+    reported = metrics.accuracy_summary(metrics.episode_accuracy(predicted, members), ["seed", "scenario"])
+    truth = members.where("role = 'query'").select(*EPISODE, F.col("session_id").alias("query_id"), F.col("label").alias("target"))
+    out = metrics.verify_accuracy(predicted.join(truth, [*EPISODE, "query_id"]), reported, ["seed", "scenario"])
+    return out.select(F.col("seed").cast("bigint"), "scenario", r6("accuracy").alias("accuracy"), "passed")
+
+
+@register("real_overlap_windows", with_clause(sql.EVENT_ROWS, sql.SESSIONS, sql.FRONTIER) + """
+, span AS (SELECT session_id, min(raw) FILTER (k = 0) AS m0, max(raw) AS m1 FROM chk JOIN verdict USING (session_id) WHERE reason IS NULL GROUP BY ALL),
+good AS (SELECT session_id, identity, condition, m0, m1 FROM span JOIN sess USING (session_id) WHERE m1 > m0)
+SELECT a.identity, a.condition AS left_condition, b.condition AS right_condition,
+       round(greatest(0, least(a.m1, b.m1) - greatest(a.m0, b.m0)) / least(a.m1 - a.m0, b.m1 - b.m0), 6) + 0.0 AS reference
+FROM good a JOIN good b ON a.identity = b.identity AND a.condition < b.condition""")
+def real_overlap_windows(spark, sf_dir) -> DataFrame:
+    """Delivered-media intervals of event sessions paired within a user across blocks."""
+    logs = tables.playback_logs(spark, sf_dir)
+    frontier = players.delivery_frontier(logs["sessions"], logs["states"], logs["rates"], logs["buffers"], FRONTIER_TARGETS, FRONTIER_GAP, bucket=86_400.0)
+    spans = players.media_intervals(frontier).where("reason is null").drop("reason")
+    rows = cut_lineage(spans.join(tables.event_sessions(spark, sf_dir).select("session_id", "identity", "condition"), "session_id"))
+    a, b = rows.alias("a"), rows.alias("b")
+    # A user has one window per block, five at most.
+    paired = a.join(b, "identity").where("a.condition < b.condition")
+    value = quality.interval_overlap(F.col("a.media_start"), F.col("a.media_end"), F.col("b.media_start"), F.col("b.media_end"))
+    return paired.select("identity", F.col("a.condition").alias("left_condition"), F.col("b.condition").alias("right_condition"), r6(value).alias("reference"))

@@ -391,3 +391,92 @@ verdict AS (
       WHEN bool_or(bt IS NULL OR t - bt > {FRONTIER_GAP} OR buf < 0) THEN 'buffer_gap'
       WHEN bool_or(rates_seen = 0) THEN 'no_rate_before_window' WHEN min(move) < -2 THEN 'nonmonotone_frontier' END AS reason
   FROM chk GROUP BY ALL)"""
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+
+REPORT_ACC = """
+rep AS (SELECT seed, scenario, count(*) AS episodes, avg(accuracy) AS accuracy, coalesce(stddev_samp(accuracy), 0) AS episode_std,
+               coalesce(stddev_samp(accuracy), 0) / sqrt(count(*)) AS episode_sem FROM acc GROUP BY ALL)"""
+
+
+def closed_set_ctes(fractions) -> str:
+    """acc_all(fraction, episode, accuracy) of session recognition with truncated queries and full supports."""
+    out = [grid_ctes(), STATS, norm_ctes(), token_ctes(), print_ctes()]
+    union = []
+    for i, f in enumerate(fractions):
+        tag = f"_t{i}"
+        out += [grid_ctes(EVENT_DATA.window * f, 0.0, tag), norm_ctes(tag), token_ctes(tag), print_ctes(tag),
+                pairs_cte("fp", r="{0}.r", query_prints=f"fp{tag}").replace("pr AS", f"pr{tag} AS", 1),
+                pma_ctes(8, 8, holes=True, tag=f"pma{tag}", source=f"pr{tag}"),
+                f"""cw{tag} AS (SELECT *, exp((local + overlap) / 0.2) / sum(exp((local + overlap) / 0.2)) OVER (PARTITION BY seed, scenario, partition, episode, query_id, label) AS omega FROM pma{tag}),
+cand{tag} AS (SELECT seed, scenario, partition, episode, query_id, label, 0.1 * ln(sum(omega * exp(score / 0.1))) AS candidate FROM cw{tag} GROUP BY ALL)"""]
+        union.append(f"SELECT {f} AS fraction, * FROM cand{tag}")
+    out.append(f"""allc AS ({' UNION ALL '.join(union)}),
+top AS (SELECT *, row_number() OVER (PARTITION BY fraction, seed, scenario, partition, episode, query_id ORDER BY candidate DESC, label) AS rn FROM allc),
+acc_all AS (SELECT fraction, t.seed, t.scenario, t.partition, t.episode, avg((t.label = m.label)::INT) AS accuracy FROM top t JOIN mem m
+  ON (t.seed, t.scenario, t.partition, t.episode, t.query_id, 'query') = (m.seed, m.scenario, m.partition, m.episode, m.session_id, m.role)
+  WHERE rn = 1 GROUP BY ALL)""")
+    return ",\n".join(out)
+
+
+# --- views -----------------------------------------------------------------------------------------------------------
+
+def view_ctes(seed: int, window: float = 60.0, tries: int = 32, low: float = 0.3, warp: float = 0.3) -> str:
+    """pr with two visible, warped views of every fingerprint, long over tokens and packed again."""
+    u = lambda name, k: f"({hash_number(f'''{chr(39)}{seed}|{chr(39)} || session_id || {chr(39)}|{name}|{chr(39)} || {k}''')} / {float(1 << 48)!r}::DOUBLE)"
+    length = lambda a: f"({low} + {1 - low} * {u(f'length{a}', 'k')})"
+    return f"""
+vw AS (SELECT session_id, v, list_filter(list_transform(range({tries}), lambda k: {{'la': {length(0)}, 'lb': {length(1)},
+         'sa': {u('start0', 'k')} * (1 - {length(0)}), 'sb': {u('start1', 'k')} * (1 - {length(1)})}}),
+         lambda d: least(d.sa + d.la, d.sb + d.lb) > greatest(d.sa, d.sb))[1] AS d,
+         {2 * warp} * {u('warp0', "'0'")} - {warp} AS e0, {2 * warp} * {u('warp1', "'0'")} - {warp} AS e1 FROM vec),
+sd AS (SELECT session_id, 0 AS side, v, d.sa AS s, d.la AS l, e0 AS eta FROM vw UNION ALL SELECT session_id, 1, v, d.sb, d.lb, e1 FROM vw),
+""" + warp_ctes(window) + f""",
+pr AS (SELECT a.session_id, a.v AS qv, a.r AS qr, a.c AS ca, b.v AS sv, b.r AS sr, b.c AS cb, 0.0 AS g,
+              greatest(d.sa, d.sb) AS c0, least(d.sa + d.la, d.sb + d.lb) AS c1,
+              (least(d.sa + d.la, d.sb + d.lb) - greatest(d.sa, d.sb)) / least(d.la, d.lb) AS reference
+       FROM packed a JOIN packed b ON a.session_id = b.session_id AND a.side = 0 AND b.side = 1 JOIN vw ON vw.session_id = a.session_id)"""
+
+
+def warp_ctes(window: float) -> str:
+    """packed(session_id, side, v, r, c) from sd(session_id, side, v, s, l, eta)."""
+    w = float(window)
+    return f"""
+tk AS (SELECT session_id, side, v, s, l, j, CASE WHEN t <= {w} / 2 THEN t * m / ({w} / 2) ELSE m + (t - {w} / 2) * ({w} - m) / ({w} / 2) END AS c
+       FROM (SELECT *, (j + 0.5) * {w} / 8 AS t, {w} * (0.5 + eta) AS m FROM (SELECT *, unnest(range(8)) AS j FROM sd))),
+tp AS (SELECT *, floor(p)::INT AS lo, least(floor(p)::INT + 1, 7) AS hi, p - floor(p) AS f FROM (SELECT *, greatest(0, least(7, c * 8 / {w} - 0.5)) AS p FROM tk)),
+tr AS (SELECT *, ((lo + 0.5) / 8 >= s AND (lo + 0.5) / 8 < s + l)::INT AS rl, ((hi + 0.5) / 8 >= s AND (hi + 0.5) / 8 < s + l)::INT AS rh FROM tp),
+tv AS (SELECT session_id, side, j, c, rl * (1 - f) + rh * f AS r, list_transform(range(1, 9), lambda k: v[lo + 1][k] * rl * (1 - f) + v[hi + 1][k] * rh * f) AS raw FROM tr),
+packed AS (SELECT session_id, side, list(list_transform(raw, lambda x: CASE WHEN r > 0 THEN x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12) ELSE 0 END) ORDER BY j) AS v,
+                  list(r ORDER BY j) AS r, list(c ORDER BY j) AS c FROM tv GROUP BY ALL)"""
+
+
+def _mass(i: int, j: int) -> str:
+    return f"(b_{i}_{j} * {f'g_{i-1}_{j-1}' if i and j else '1.0'} * x_{i}_{j} / tot)"
+
+
+def correspondence_ctes(near: float, window: float = 60.0) -> str:
+    """er(session_id, e, overlap, reference): one row per valid token of every view pair."""
+    items = []
+    for j in range(8):
+        column = " + ".join(_mass(i, j) for i in range(8))
+        mapped = " + ".join(f"{_mass(i, j)} * ca[{i+1}]" for i in range(8))
+        items.append(f"{{'e': abs(({mapped}) / ({column} + 1e-8) - cb[{j+1}]), 'ok': cb[{j+1}] >= c0 * {window} AND cb[{j+1}] <= c1 * {window} AND sr[{j+1}] > 0 AND ({column}) > 0}}")
+    return f"""
+er0 AS MATERIALIZED (SELECT session_id, overlap, reference, [{', '.join(items)}] AS items FROM pma),
+er AS (SELECT session_id, overlap, reference, it.e AS e FROM (SELECT session_id, overlap, reference, unnest(items) AS it FROM er0) WHERE it.ok)"""
+
+
+def entropy_ctes(sigma: float = 2.0, window: float = 60.0) -> str:
+    """en(session_id, loss, ok): column losses of the mass against the Gaussian target of a warped copy."""
+    items = []
+    for j in range(8):
+        column = " + ".join(_mass(i, j) for i in range(8))
+        weight = lambda i: f"(qr[{i+1}] * sr[{j+1}] * exp(-(power(({i} + 0.5) * {window} / 8 - cb[{j+1}], 2)) / {2 * sigma * sigma}))"
+        total = " + ".join(weight(i) for i in range(8))
+        loss = " + ".join(f"{weight(i)} / greatest({total}, 1e-8) * ln({_mass(i, j)} / ({column} + 1e-8) + 1e-8)" for i in range(8))
+        items.append(f"{{'l': -({loss}), 'ok': sr[{j+1}] > 0 AND ({total}) > 0}}")
+    return f"""
+en0 AS MATERIALIZED (SELECT session_id, [{', '.join(items)}] AS items FROM pma),
+en AS (SELECT session_id, it.l AS l FROM (SELECT session_id, unnest(items) AS it FROM en0) WHERE it.ok)"""

@@ -35,9 +35,10 @@ def sample_steps(series: DataFrame, sessions: DataFrame, columns: dict[str, floa
     rejected = marked.where("_refuse").select("session_id", F.lit("missing_player_observations").alias("reason"))
     targets = (marked.where("not _refuse").drop("_refuse")
                .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-               .withColumn("t", (F.col("k") + 0.5) * F.lit(step)).withColumn("kind", F.lit(1)).withColumn("seq", F.lit(0).cast("bigint")))
+               .withColumn("t", (F.col("k") + 0.5) * F.lit(step)).withColumn("kind", F.lit(1))
+               .withColumn("seq", F.lit(0).cast(series.schema["seq"].dataType)))
     # Observations at the target time count, so events sort before targets.
-    events = series.select("session_id", "t", F.col("seq").cast("bigint").alias("seq"), *columns).withColumn("kind", F.lit(0))
+    events = series.select("session_id", "t", "seq", *columns).withColumn("kind", F.lit(0))
     merged = events.unionByName(targets, allowMissingColumns=True)
     carried = carry_last(merged, ["session_id"], "t", ["kind", "seq"], {c: f"_s_{c}" for c in columns},
                          width=step * count / 8).where("kind = 1")

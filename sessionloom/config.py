@@ -65,6 +65,7 @@ class MatchConfig:
     tau_s: float = 0.10
     epsilon: float = 1e-8
     block_rows: int = 128
+    gallery_rows: int = 2048
 
     def __post_init__(self):
         if self.alignment not in ALIGNMENTS:
@@ -78,8 +79,8 @@ class MatchConfig:
             raise ValueError("lambda_z must be in [0, 1]")
         if min(self.gap, self.beta_overlap, self.beta_similarity) < 0:
             raise ValueError("gap and beta weights must not be negative")
-        if self.block_rows < 1:
-            raise ValueError("block_rows must be positive")
+        if min(self.block_rows, self.gallery_rows) < 1:
+            raise ValueError("block sizes must be positive")
         _finite(self)
 
 

@@ -22,36 +22,40 @@ def rank_by_digest(df: DataFrame, keys: list[str], digest: str, out: str, digits
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_part", "_n", "_rn", "_off")
 
 
-def cut_points(df: DataFrame, column: str, parts: int = 32, error: float = 0.005) -> list[float]:
-    """At most ``parts``-1 approximate quantiles used to balance ordered work; they never affect results."""
+def cut_points(df: DataFrame, column: str, rows_per_slot: int = 200_000, most: int = 256) -> list[float]:
+    """Approximate quantiles cutting ``df`` into slots of about ``rows_per_slot`` rows; none when one slot is enough.
+
+    One pass returns a count and ``most`` numbers. The points only balance the work and never affect results.
+    """
+    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
+    row = df.agg(F.count(column).alias("n"), F.percentile_approx(F.col(column).cast("double"), shares, 2000).alias("q")).first()
+    parts = min(most, -(-row["n"] // rows_per_slot))
     if parts < 2:
         return []
-    found = df.select(F.col(column).cast("double").alias("_v")).approxQuantile(
-        "_v", [i / parts for i in range(1, parts)], error)
-    return sorted(set(found))
+    return sorted({row["q"][round(i * most / parts) - 1] for i in range(1, parts)})
 
 
 def slot(column: Column, points: list[float]) -> Column:
     """Number of cut points at or below the value."""
-    if not points:
-        return F.lit(0)
-    total = F.when(column >= F.lit(points[0]), 1).otherwise(0)
-    for point in points[1:]:
-        total = total + F.when(column >= F.lit(point), 1).otherwise(0)
-    return total
+    listed = F.array(*[F.lit(float(p)) for p in points])
+    return F.size(F.filter(listed, lambda p: p <= column))
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], points: list[float],
                    descending: bool = False) -> DataFrame:
     """Inclusive running sums of ``sums`` (source -> output) over ``order`` within ``keys``.
 
-    ``df`` has one row per (keys, order). Rows are cut into ordered slots; each slot is a separate window and the
-    totals of the slots before it are added, so even one global order runs in parallel.
+    ``df`` has one row per (keys, order). Rows are cut into ordered slots at ``points``; each slot is a separate window
+    and the totals of the slots before it are added, so even one global order runs in parallel. Without points
+    (:func:`cut_points` found few rows) a single window does.
     """
+    row_order = F.col(order).desc() if descending else F.col(order).asc()
+    if not points:
+        whole = Window.partitionBy(*keys).orderBy(row_order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(s).over(whole).alias(o) for s, o in sums.items()])
     split = df.withColumn("_slot", slot(F.col(order).cast("double"), points))
     totals = split.groupBy(*keys, "_slot").agg(*[F.sum(s).alias(f"_t_{o}") for s, o in sums.items()])
     slot_order = F.col("_slot").desc() if descending else F.col("_slot").asc()
-    row_order = F.col(order).desc() if descending else F.col(order).asc()
     before = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_slot", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_c_{o}")
                                             for o in sums.values()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage
 
 
-def trace_signature(packets: DataFrame, quantum: float, out: str, window: float = 60.0, slices: int = 60) -> DataFrame:
+def trace_signature(packets: DataFrame, quantum: float, out: str, window: float = 60.0, slices: int = 1024) -> DataFrame:
     """(session_id, out): digest of the ordered (rounded time, direction, rounded length) rows before ``window``.
 
     A trace is digested in time slices and the slice digests are digested in turn, so a long trace is many small
@@ -32,9 +32,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges`` has columns a, b. Alternates large-star and small-star steps; each is one minimum per node (combined
     map-side) and a join, and the rounds grow with the logarithm of the longest chain.
     """
-    current = cut_lineage(edges.where("a <> b").select("a", "b").distinct())
-    previous = None
+    current = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
+        if not _unsettled(current):
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
@@ -43,16 +44,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         neighbours = down.join(small_low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = neighbours.unionByName(small_low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
         current = cut_lineage(small)
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == previous:
-            break
-        previous = state
     else:
         raise RuntimeError("component search did not settle")
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether edges (a above b) are not yet stars: some node has two parents, or a parent itself.
+
+    Stars whose centre is below all leaves are exactly the components with their smallest nodes.
+    """
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("child")),
+                                          F.struct(F.col("b").alias("node"), F.lit(0).alias("child")))).alias("e"))
+    per_node = ends.groupBy("e.node").agg(F.sum("e.child").alias("up"), F.min("e.child").alias("centre"))
+    return bool(per_node.where("up > 1 or (up = 1 and centre = 0)").limit(1).collect())
+
+
 def duplicate_groups(sessions: DataFrame, order: str = "session_id") -> DataFrame:
     """Sessions with ``component`` and ``reason`` (null = kept, duplicate or conflicting_duplicate).
 

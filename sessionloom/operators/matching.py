@@ -122,7 +122,9 @@ def gallery_candidates(queries: DataFrame, gallery: DataFrame, config: MatchConf
     """(group, query_id, label, candidate) of every query against a whole gallery.
 
     Gallery and queries are packed into blocks and meet block by block. The pairs of one (query, class, block) are
-    reduced at once to a maximum and a shifted sum, and only those partial results are shuffled and merged.
+    reduced at once to a maximum and a shifted sum, and only those partial results are shuffled and merged. Gallery
+    blocks are the larger ones: a query block is repeated once per gallery block when the gallery is too big to
+    broadcast, so few large blocks keep that factor low.
     """
     group = group or []
     rule = rule or config.aggregation
@@ -132,11 +134,11 @@ def gallery_candidates(queries: DataFrame, gallery: DataFrame, config: MatchConf
         fake = prototypes.select(*group, F.col("label").alias("support_id"), "label", F.col("prototype").alias("z"))
         plain = MatchConfig(alignment="none", aggregation="support_max", block_rows=config.block_rows)
         q = pack(queries, group, "session_id", config.block_rows, "q", tokens=False)
-        s = pack(fake, group, "support_id", config.block_rows, "s", label="label", tokens=False)
+        s = pack(fake, group, "support_id", config.gallery_rows, "s", label="label", tokens=False)
         pairs = score_pairs(join_blocks(q, s, group), group, plain)
         return pairs.select(*group, "query_id", "label", F.col("score").alias("candidate"))
     q = pack(queries, group, "session_id", config.block_rows, "q", tokens=tokens)
-    s = pack(gallery, group, "session_id", config.block_rows, "s", label="label", tokens=tokens)
+    s = pack(gallery, group, "session_id", config.gallery_rows, "s", label="label", tokens=tokens)
     return merge_partials(score_partials(join_blocks(q, s, group), group, config, rule), config, group, rule)
 
 

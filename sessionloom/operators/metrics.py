@@ -102,7 +102,7 @@ def spearman_with_interval(pairs: DataFrame, replicates: int = 2000, seed: int =
              .withColumn("place", number % F.col("n_ids"))
              .groupBy("replicate", "place").agg(F.count("*").cast("double").alias("weight")))
     weights = drawn.join(numbered, "place").select("replicate", "identity", "weight")
-    point_x, point_y = cut_points(pairs, "reference", 16), cut_points(pairs, "prediction", 16)
+    point_x, point_y = cut_points(pairs, "reference"), cut_points(pairs, "prediction")
 
     def ranked(rows, keys):
         x = average_ranks(rows, keys, "reference", "rank_x", "weight", point_x).select(*keys, "reference", "rank_x")

@@ -154,9 +154,10 @@ def token_pool(spark, sf_dir) -> DataFrame:
 
 def fingerprint_rows(prints: DataFrame) -> DataFrame:
     """z as part 'z' and each token of v as part 'v<token>', one number per row."""
-    z = prints.select("session_id", F.lit(-1).alias("token"), F.posexplode("z").alias("i", "x"))
-    v = prints.select("session_id", F.posexplode("v").alias("token", "p")).select("session_id", "token", F.posexplode("p").alias("i", "x"))
-    return z.unionByName(v).select("session_id", "token", "i", r6("x").alias("x"))
+    cell = "named_struct('token', {0}, 'i', i, 'x', x)"
+    z = f"transform(z, (x, i) -> {cell.format('-1')})"
+    v = f"flatten(transform(v, (p, t) -> transform(p, (x, i) -> {cell.format('t')})))"
+    return prints.selectExpr("session_id", f"inline(concat({z}, {v}))").withColumn("x", r6("x"))
 
 
 FINGERPRINT_SQL = """
@@ -922,3 +923,37 @@ def real_overlap_windows(spark, sf_dir) -> DataFrame:
     paired = a.join(b, "identity").where("a.condition < b.condition")
     value = quality.interval_overlap(F.col("a.media_start"), F.col("a.media_end"), F.col("b.media_start"), F.col("b.media_end"))
     return paired.select("identity", F.col("a.condition").alias("left_condition"), F.col("b.condition").alias("right_condition"), r6(value).alias("reference"))
+
+
+BALANCED = [p for p in ALL_SCENARIOS if p.balanced]
+
+
+@register("balanced_episodes", with_clause(sql.VECTORS, sql.members(BALANCED, [SEED])) + """
+SELECT episode::BIGINT AS episode, role, identity, label::BIGINT AS label, mode, session_id FROM mem JOIN (SELECT session_id, mode FROM vec) USING (session_id)""")
+def balanced_episodes(spark, sf_dir) -> DataFrame:
+    """Two rows per mode and identity, one for each role."""
+    sessions = tables.vector_sessions(spark, sf_dir)
+    rows = sampling.episode_members(sessions, BALANCED, (SEED,)).join(sessions.select("session_id", "mode"), "session_id")
+    return rows.select(F.col("episode").cast("bigint"), "role", "identity", F.col("label").cast("bigint"), "mode", "session_id")
+
+
+@register("protocol_manifest", with_clause(sql.VECTORS, sql.members(ALL_SCENARIOS, [SEED])) + """
+SELECT seed::BIGINT AS seed, scenario, count(DISTINCT episode) AS episodes, count(*) FILTER (role = 'support') AS supports, count(*) FILTER (role = 'query') AS queries
+FROM mem GROUP BY ALL""")
+def protocol_manifest(spark, sf_dir) -> DataFrame:
+    """E5: episodes and rows per scenario."""
+    out = sampling.protocol_manifest(sampling.episode_members(tables.vector_sessions(spark, sf_dir), ALL_SCENARIOS, (SEED,)))
+    return out.select(F.col("seed").cast("bigint"), "scenario", "episodes", "supports", "queries")
+
+
+@register("packet_validity", with_clause(sql.EVENT_ROWS) + """
+SELECT CASE WHEN value < 0 THEN 'invalid_packet_value' WHEN event_type = 'signup' THEN 'invalid_direction' ELSE 'usable' END AS verdict, count(*) AS packets
+FROM ev GROUP BY ALL""")
+def packet_validity(spark, sf_dir) -> DataFrame:
+    """Packets without a direction are set aside with a reason (signups have none here)."""
+    kind = F.col("event_type")
+    direction = F.when(kind.isin("click", "purchase"), 1).when(kind.isin("view", "error"), 0)
+    raw = tables.event_rows(spark, sf_dir).select("session_id", "t", direction.alias("direction"), F.col("value").alias("length"))
+    good, bad = features.split_packets(raw)
+    rows = good.select(F.lit("usable").alias("verdict")).unionByName(bad.select(F.col("reason").alias("verdict")))
+    return rows.groupBy("verdict").agg(F.count("*").alias("packets"))

@@ -38,6 +38,10 @@ def prepare(spark: SparkSession, root: str, kind: str, data: DataConfig | None =
     else:
         sources = discovery.discover_csv_pairs(spark, root)
         packets, facts, refused = traces.read_capture_traces(spark, root)
+    packets, broken = features.split_packets(packets)
+    broken = broken.groupBy("session_id").agg(F.min("reason").alias("reason"))
+    facts = facts.join(broken, "session_id", "left_anti")
+    refused = refused.unionByName(broken)
     sources = cut_lineage(sources)
     by_path = sources.withColumnRenamed("traffic_path", "session_id")
     timed = by_path.join(facts, "session_id")
@@ -66,6 +70,8 @@ def prepare(spark: SparkSession, root: str, kind: str, data: DataConfig | None =
     training = kept.where("split = 'train'")
     if data.exclude_condition is not None:
         training = training.where(F.col("condition") != data.exclude_condition)
+    if not training.limit(1).collect():
+        raise ValueError("no training sessions")
     kept_packets = packets.join(kept.select("session_id"), "session_id", "left_semi")
     stats = cut_lineage(features.norm_stats(kept_packets, training, data))
     with_modes, facts_of_modes = modes.fit_modes(kept, training, "bitrate" if kind == "line" else "playback", seed, restarts)

@@ -294,3 +294,38 @@ def test_report_helpers(spark):
     assert [r[0] for r in names.select(reporting.display_method()).collect()] == ["ProtoNet", "AMP + Soft-DTW"]
     keyed = spark.createDataFrame([(1, 0.1), (2, 0.1), (1, 0.2)], "seed int, gap double").select(reporting.configuration_key(["seed", "gap"]).alias("k"))
     assert keyed.distinct().count() == 2
+
+
+def test_invalid_packets_are_set_aside(spark):
+    rows = [("s", 0, 0.0, 0, 10.0), ("s", 1, float("nan"), 0, 1.0), ("s", 2, 1.0, 2, 1.0), ("s", 3, 1.0, 1, -1.0), ("s", 4, 1.0, None, 1.0)]
+    good, bad = features.split_packets(packet_frame(spark, rows))
+    assert [r.seq for r in good.collect()] == [0]
+    assert {r.seq: r.reason for r in bad.collect()} == {1: "invalid_packet_value", 2: "invalid_direction", 3: "invalid_packet_value", 4: "invalid_direction"}
+
+
+def test_provenance_guard(spark):
+    table = spark.createDataFrame([("a", "x"), ("a", "y")], "dataset string, config string")
+    audit.require_provenance(table, {"dataset": "a"})
+    with pytest.raises(ValueError):
+        audit.require_provenance(table, {"dataset": "a", "config": "x"})
+
+
+def test_trace_signatures(spark):
+    rows = [("a", 0, 0.1, 0, 10.0), ("a", 1, 0.2, 1, 20.0), ("b", 0, 0.1000004, 0, 10.2), ("b", 1, 0.2, 1, 20.0), ("c", 0, 0.2, 1, 20.0), ("c", 1, 0.3, 0, 10.0),
+            ("d", 0, 0.1, 0, 10.0), ("d", 1, 0.2, 1, 20.0), ("d", 2, 75.0, 1, 20.0)]
+    packets = packet_frame(spark, rows)
+    near = {r.session_id: r.s for r in dedup.trace_signature(packets, 1e-3, "s").collect()}
+    exact = {r.session_id: r.s for r in dedup.trace_signature(packets, 1e-7, "s").collect()}
+    assert near["a"] == near["b"] == near["d"] != near["c"] and exact["a"] == exact["d"] != exact["b"]
+
+
+def test_samples_and_rejections(spark):
+    series = spark.createDataFrame([("a", 3.0, 0, 5.0), ("a", 3.0, 1, 6.0), ("b", 20.0, 0, 1.0), ("c", 1.0, 0, float("nan"))],
+                                   "session_id string, t double, seq bigint, q double")
+    sessions = spark.createDataFrame([(s,) for s in "abcd"], "session_id string")
+    samples, refused = players.sample_steps(series, sessions, {"q": None}, 2.0, 5)
+    assert [r.q for r in samples.orderBy("k").collect()] == [5.0, 6.0, 6.0, 6.0, 6.0]
+    assert sorted(r.session_id for r in refused.collect()) == ["b", "c", "d"]
+    samples, refused = players.sample_steps(series, sessions, {"q": 0.0}, 2.0, 5)
+    assert sorted(r.session_id for r in refused.collect()) == ["c", "d"]
+    assert [r.q for r in samples.where("session_id = 'b'").collect()] == [0.0] * 5

@@ -57,39 +57,36 @@ def partial_monotone(affinity: np.ndarray, valid: np.ndarray, gap: float, gamma:
 def soft_dtw_occupancy(similarity: np.ndarray, keep_a: np.ndarray, keep_b: np.ndarray, gamma: float):
     """Soft cost (P,) and expected path occupancy (P, m, n) of a global alignment over the kept tokens only.
 
-    Pairs are grouped by their keep patterns so that each group is one dense problem; dropped tokens get zero.
+    Kept tokens are moved to the front of their axis, so all pairs share one padded grid; a pair's path ends at its
+    own last kept cell, cells behind it stay out of reach, and the occupancy is moved back to the original places.
+    Pairs with an empty side get zero.
     """
     if gamma <= 0:
         raise ValueError("gamma must be positive")
     pairs, m, n = similarity.shape
-    occupancy, cost = np.zeros((pairs, m, n)), np.zeros(pairs)
-    patterns, member = np.unique(np.concatenate([keep_a, keep_b], axis=1), axis=0, return_inverse=True)
-    for number, pattern in enumerate(patterns):
-        a, b = np.flatnonzero(pattern[:m]), np.flatnonzero(pattern[m:])
-        if not len(a) or not len(b):
-            continue
-        rows = np.flatnonzero(member.reshape(-1) == number)
-        grid = np.ix_(rows, a, b)
-        cost[rows], occupancy[grid] = _dense_soft_dtw(1.0 - similarity[grid], gamma)
-    return cost, occupancy
-
-
-def _dense_soft_dtw(cost: np.ndarray, gamma: float):
-    pairs, m, n = cost.shape
+    place_a, place_b = (np.argsort(~keep.astype(bool), axis=1, kind="stable") for keep in (keep_a, keep_b))
+    cell = (np.arange(pairs)[:, None, None], place_a[:, :, None], place_b[:, None, :])
+    cost = 1.0 - similarity[cell]
+    last_a, last_b = keep_a.astype(bool).sum(1) - 1, keep_b.astype(bool).sum(1) - 1
     table = np.full((pairs, m + 1, n + 1), np.inf)
     table[:, 0, 0] = 0.0
     shares = np.zeros((3, pairs, m + 1, n + 1))
     for i, j in _diagonals(m, n):
-        options = -np.stack([table[:, i, j], table[:, i, j + 1], table[:, i + 1, j]]) / gamma
+        inside = (i[None] <= last_a[:, None]) & (j[None] <= last_b[:, None])
+        options = np.where(inside, -np.stack([table[:, i, j], table[:, i, j + 1], table[:, i + 1, j]]) / gamma, 0.0)
         total = _log_sum_exp(options)
-        table[:, i + 1, j + 1] = cost[:, i, j] - gamma * total
-        shares[:, :, i, j] = np.exp(options - total)
+        table[:, i + 1, j + 1] = np.where(inside, cost[:, i, j] - gamma * total, np.inf)
+        shares[:, :, i, j] = np.where(inside, np.exp(options - total), 0.0)
+    some = np.flatnonzero((last_a >= 0) & (last_b >= 0))
     flow = np.zeros((pairs, m + 1, n + 1))
-    flow[:, m - 1, n - 1] = 1.0
+    flow[some, last_a[some], last_b[some]] = 1.0
     for i, j in reversed(list(_diagonals(m, n))):
         flow[:, i, j] += (flow[:, i + 1, j + 1] * shares[0][:, i + 1, j + 1] +
                           flow[:, i + 1, j] * shares[1][:, i + 1, j] + flow[:, i, j + 1] * shares[2][:, i, j + 1])
-    return table[:, m, n], flow[:, :m, :n]
+    occupancy, score = np.zeros((pairs, m, n)), np.zeros(pairs)
+    occupancy[cell] = flow[:, :m, :n]
+    score[some] = table[some, last_a[some] + 1, last_b[some] + 1]
+    return score, occupancy
 
 
 def align_pairs(tokens, start: int, stop: int, config: MatchConfig, gamma: float | None = None,

@@ -66,8 +66,11 @@ def duplicate_groups(sessions: DataFrame, order: str = "session_id") -> DataFram
 
     Sessions sharing an exact or a near signature belong together, transitively. Equal signature pairs are collapsed
     before the graph is built and group facts are computed per exact signature, so a signature shared by a third of
-    all sessions costs one graph edge and one aggregate row. The kept row is the first in ``order``.
+    all sessions costs one graph edge and one aggregate row. The kept row is the first in ``order``. Pass only the
+    columns needed afterwards: the rows are materialised.
     """
+    # Digests come from a pass over all packets or texts; the narrow rows are stored once and read several times.
+    sessions = cut_lineage(sessions)
     exact, near = F.concat(F.lit("e:"), "exact_signature"), F.concat(F.lit("n:"), "near_signature")
     links = sessions.select(exact.alias("a"), near.alias("b"))
     roots = connected_components(links).withColumnRenamed("node", "exact_node")
@@ -75,8 +78,8 @@ def duplicate_groups(sessions: DataFrame, order: str = "session_id") -> DataFram
         F.min("identity").alias("low"), F.max("identity").alias("high"), F.min(order).alias("first"))
     rooted = facts.join(roots, "exact_node")
     groups = rooted.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("component"))
-    verdict = rooted.select("exact_node", "root").join(groups, "root").select(
-        "exact_node", "component", (F.col("low") != F.col("high")).alias("conflict"))
+    verdict = cut_lineage(rooted.select("exact_node", "root").join(groups, "root").select(
+        "exact_node", "component", (F.col("low") != F.col("high")).alias("conflict")))
     marked = sessions.withColumn("exact_node", exact).join(verdict, "exact_node").drop("exact_node")
     reason = F.when(F.col("conflict"), "conflicting_duplicate").when(F.col(order) != F.col("component"), "duplicate")
     return marked.withColumn("reason", reason).drop("conflict")

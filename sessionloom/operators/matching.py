@@ -172,12 +172,13 @@ def enroll(traces: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def recognize(queries: DataFrame, gallery: DataFrame, config: MatchConfig, threshold: float | None = None) -> DataFrame:
     """One row per query: label (null when rejected), rejected, confidence, scores per label name."""
-    candidates = gallery_candidates(queries, gallery, config)
-    best = predictions(candidates, [])
     names = gallery.select("label", "label_name").distinct()
-    scores = (candidates.join(names, "label").groupBy("query_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct("label_name", "candidate"))).alias("scores")))
-    rejected = F.lit(False) if threshold is None else F.col("confidence") < F.lit(threshold)
-    return (best.join(names, best["prediction"] == names["label"]).join(scores, "query_id")
-            .select("query_id", F.when(~rejected, F.col("label_name")).alias("label"), rejected.alias("rejected"),
-                    "confidence", F.lit(threshold).cast("double").alias("threshold"), "scores"))
+    # Best class and score map come from one aggregation, so the pairs are scored once.
+    named = gallery_candidates(queries, gallery, config).join(names, "label")
+    per_query = named.groupBy("query_id").agg(
+        F.max(F.struct(F.col("candidate"), (-F.col("label")).alias("minus"), "label_name")).alias("best"),
+        F.map_from_entries(F.collect_list(F.struct("label_name", "candidate"))).alias("scores"))
+    confidence = F.col("best.candidate")
+    rejected = F.lit(False) if threshold is None else confidence < F.lit(threshold)
+    return per_query.select("query_id", F.when(~rejected, F.col("best.label_name")).alias("label"), rejected.alias("rejected"),
+                            confidence.alias("confidence"), F.lit(threshold).cast("double").alias("threshold"), "scores")

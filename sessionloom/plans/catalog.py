@@ -95,7 +95,7 @@ FEATURE_BASE = with_clause(sql.PACKETS, sql.SESSIONS, sql.split_ctes(SEED), sql.
 
 
 def training_sessions(spark, sf_dir):
-    sessions = tables.event_sessions(spark, sf_dir)
+    sessions = cut_lineage(tables.event_sessions(spark, sf_dir))
     split = sampling.identity_split(sessions, SEED)
     return sessions.join(split.where("split = 'train'"), "identity", "left_semi").where(F.col("condition") != HELD_OUT)
 
@@ -822,7 +822,7 @@ def recognize(spark, sf_dir) -> DataFrame:
     vec = tables.vectors(spark, sf_dir)
     rows = open_frame(spark, sf_dir).where("partition = 0")
     manifest = rows.where("role = 'support'").select("session_id", F.concat(F.lit("class_"), F.col("identity").cast("string")).alias("label_name"))
-    gallery = matching.enroll(vec, manifest)
+    gallery = cut_lineage(matching.enroll(vec, manifest))  # an enrolled gallery is a stored table
     queries = rows.where("role = 'query'").select("session_id").join(vec, "session_id")
     out = matching.recognize(queries, gallery, MatchConfig(), threshold=0.25)
     return out.select("query_id", "label", "rejected", r6("confidence").alias("confidence"), F.explode("scores").alias("candidate_label", "candidate")).withColumn("candidate", r6("candidate"))

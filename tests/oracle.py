@@ -38,8 +38,8 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
 
 
-def difference(spark, con, name: str, sf_dir: str) -> str | None:
-    """None when equal, else what differs."""
+def difference(spark, con, name: str, sf_dir: str, allow_empty: bool = False) -> str | None:
+    """None when equal, else what differs; two empty results count as equal only with ``allow_empty``."""
     from sessionloom.plans.catalog import REGISTRY
 
     function, text = REGISTRY[name]
@@ -55,7 +55,7 @@ def difference(spark, con, name: str, sf_dir: str) -> str | None:
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     if not len(got):
-        return "no rows"
+        return None if allow_empty else "no rows"
     a, b = canonical(got), canonical(want)
     for c in a.columns:
         kinds = (a[c].dtype.kind, b[c].dtype.kind)

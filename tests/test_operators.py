@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.config import DataConfig, MatchConfig, Settings, derived_seed, validate_scales, with_updates
-from sessionloom.functions.hashing import seed_from
+from sessionloom.config import config_hash, DataConfig, MatchConfig, Settings, derived_seed, validate_scales, with_updates
+from sessionloom.functions.hashing import seed_from, session_key
 from sessionloom.functions.ranking import average_ranks, rank_by_digest
 from sessionloom.operators import alignment, audit, blocks, dedup, features, matching, metrics, players, reporting, sampling
 
@@ -171,7 +171,7 @@ def test_partial_results_equal_whole_results(spark):
     for rule in ("compatibility", "mean", "support_max", "uniform_lse", "similarity", "overlap"):
         results = []
         for size in (3, 50):
-            config = MatchConfig(block_rows=size, aggregation=rule)
+            config = MatchConfig(block_rows=size, gallery_rows=size, aggregation=rule)
             found = matching.gallery_candidates(queries, gallery, config).orderBy("query_id", "label").collect()
             results.append([r.candidate for r in found])
         q = blocks.pack(queries, [], "session_id", 50, "q")
@@ -270,6 +270,8 @@ def test_settings_and_seeds(spark):
         MatchConfig(alignment="other")
     row = spark.range(1).select(seed_from(7, "a", "b").alias("s")).first()
     assert row.s == derived_seed(7, "a", "b")
+    key = spark.createDataFrame([('x/y "z"',)], "s string").select(session_key("line", F.col("s")).alias("k")).first().k
+    assert key == config_hash(["line", 'x/y "z"'])[:24]
 
 
 def test_report_helpers(spark):

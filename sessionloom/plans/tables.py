@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DataConfig
 
 BLOCK_SECONDS = 518_400  # six days; events cover five such blocks per user
-ORIGIN_MICROS = 1_704_067_200_000_000  # 2024-01-01 UTC
+ORIGIN = "2024-01-01 00:00:00"
 EVENT_DATA = DataConfig(window=float(BLOCK_SECONDS), scales=(3_600_000, 21_600_000, 86_400_000), tokens=8)
 SLICES, SLICE_DIM = 8, 8  # token layout of the 64-wide embeddings
 
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their session and the time in seconds since the session's block started."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(ORIGIN_MICROS)
+    # A difference of local times does not depend on the session time zone.
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{ORIGIN}', ts)")
     size = F.lit(BLOCK_SECONDS * 1_000_000)
     return (table(spark, sf_dir, "events").withColumn("_us", micros)
             .withColumn("block", F.floor(F.col("_us") / size).cast("bigint"))

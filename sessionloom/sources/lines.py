@@ -27,13 +27,13 @@ def read_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, seq, line) of every file under ``root`` whose name matches the glob ``pattern``."""
     rows = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
             .select(file_uri("_metadata.file_path").alias("path"), line_order().alias("seq"), F.col("value").alias("line")))
-    return rows.withColumn("line", F.trim(F.regexp_replace("line", "^﻿", "")))
+    return rows.withColumn("line", F.trim(F.regexp_replace("line", "^\ufeff", "")))
 
 
 def read_table(spark: SparkSession, root: str, name: str, columns: list[str]) -> DataFrame:
     """(path, seq, columns...) of every CSV file called ``name`` under ``root``; all values are text, absent ones null."""
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
-    clean = {c.lstrip("﻿"): c for c in rows.columns}
+    clean = {c.lstrip("\ufeff"): c for c in rows.columns}
     picked = [F.col(f"`{clean[c]}`").alias(c) if c in clean else F.lit(None).cast("string").alias(c) for c in columns]
     return rows.select(file_uri("_metadata.file_path").alias("path"), line_order().alias("seq"), *picked)
 

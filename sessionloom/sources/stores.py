@@ -15,7 +15,7 @@ from .lines import file_digests
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Enrolment rows (label_name, path, format); relative paths are resolved against the manifest's folder."""
     rows = spark.read.option("header", True).csv(path)
-    clean = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
+    clean = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     base = posixpath.dirname(path)
     absolute = F.col("path").startswith("/") | F.col("path").rlike("^[a-z0-9]+:/")
     full = F.when(absolute, F.col("path")).otherwise(F.concat(F.lit(base + "/"), F.col("path")))

@@ -42,8 +42,8 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = DEFAULT_WEIGH
                            (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))).alias("_open"),
                            F.sum("source_size").over(whole).cast("double").alias("_total"))
     level = (F.col("_total") - F.col("_capped")) / F.col("_open")
-    # The first source whose cap lies above the level that it and all later ones would get sets the level.
-    found = summed.withColumn("_level", F.min(F.when(F.col("_full") >= level, level)).over(whole))
+    # Capping the sources in this order raises the level until it no longer reaches the next cap; from there it would fall.
+    found = summed.withColumn("_level", F.max(F.when(F.col("_full") >= level, level)).over(whole))
     target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_w")))
     return found.select("source", "source_size", target.alias("target"))
 

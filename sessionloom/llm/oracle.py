@@ -20,7 +20,7 @@ l AS (SELECT *, cap / w AS fill FROM w),
 -- every level at which some set of sources is capped; the right one caps exactly those whose fill lies below it
 c AS (SELECT a.turn, ((SELECT sum(source_size) FROM l)::DOUBLE - coalesce((SELECT sum(b.cap) FROM l b WHERE (b.fill, b.turn) < (a.fill, a.turn)), 0))
              / ((SELECT sum(w) FROM l) - coalesce((SELECT sum(b.w) FROM l b WHERE (b.fill, b.turn) < (a.fill, a.turn)), 0)) AS level, a.fill FROM l a),
-v AS (SELECT min(level) AS level FROM c WHERE fill >= level),
+v AS (SELECT max(level) AS level FROM c WHERE fill >= level),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM l, v),
 e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least({most}.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS expected
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),

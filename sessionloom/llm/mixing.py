@@ -53,8 +53,8 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = DEFAULT_WEIG
     """(key, source, size, source_size, target, copies, taken): how often the mix takes each document.
 
     ``odds`` (default 1) makes some documents likelier: the expected copies of a document are its source's target over
-    size, times ``odds`` over the source's size-weighted mean of it, never above ``most``. Taken words end next to the
-    target: the order stops where the sum is nearest, then one document not taken, the one whose size fits the rest best,
+    size, times ``odds`` over the source's size-weighted mean of it, never above ``most``. The order stops before the
+    document that would pass the target; then one document not taken, the one whose size fits the words still wanted best,
     is added if that comes nearer.
 
     Null or empty texts have size 0 and copies by the same rule; a null source is a source of its own, sorted last. Rows
@@ -90,8 +90,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = DEFAULT_WEIG
     placed = drawn.join(carry, F.col("source").eqNullSafe(F.col("_s")) & F.col("slot").eqNullSafe(F.col("_slot"))).drop("_s", "_slot")
     inside = Window.partitionBy("source", "slot").orderBy("rank_key", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     reached = placed.withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    # Nearest cut: a document counts when at least half of it is still wanted.
-    extra = F.col("rank_key").isNotNull() & (F.col("upto") - F.col("size") / 2 <= F.col("wanted"))
+    extra = F.col("rank_key").isNotNull() & (F.col("upto") <= F.col("wanted"))
     chosen = cut_lineage(reached.select("key", "source", "size", "source_size", "target", "certain", "rank_key", "wanted", extra.alias("extra")))
 
     short = chosen.groupBy("source").agg((F.first("wanted") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("short"))

@@ -29,7 +29,7 @@ f AS (SELECT *, floor(round(expected, 9))::BIGINT AS certain, greatest(0.0, expe
 g AS (SELECT *, CASE WHEN share > 1e-9 THEN (u / (1 - u)) / (share / (1 - share)) END AS k FROM f),
 h AS (SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS wanted,
         sum(CASE WHEN k IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k NULLS FIRST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM g),
-i AS (SELECT *, coalesce(k IS NOT NULL AND upto - size / 2 <= wanted, false) AS extra FROM h),
+i AS (SELECT *, coalesce(k IS NOT NULL AND upto <= wanted, false) AS extra FROM h),
 j AS (SELECT source, any_value(wanted) - sum(CASE WHEN extra THEN size ELSE 0 END) AS short FROM i GROUP BY source),
 m AS (SELECT i.source, first(doc_id ORDER BY abs(short - size), doc_id) AS doc_id FROM i JOIN j ON i.source IS NOT DISTINCT FROM j.source
       WHERE k IS NOT NULL AND NOT extra AND short > 0 AND abs(short - size) < short GROUP BY i.source)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracle, quality_rules, sharding, urls
+from . import jaccard, mixing, oracle, quality_rules, sharding, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -33,6 +33,12 @@ def pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op3_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op7_quality_rules", oracle.QUALITY_RULES)
 def judge_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the rule table for every document."""

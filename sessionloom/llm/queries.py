@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, oracle, quality_rules, sharding, urls
+from ..runtime import ensure_checkpoint_dir
+from . import jaccard, mixing, oracle, quality_rules, sharding, tokens, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -39,6 +41,21 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op5_token_file")
+def token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document, read back from a token file in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return tokens.read(spark, path).withColumnRenamed("key", "doc_id")
+
+
 @register("op7_quality_rules", oracle.QUALITY_RULES)
 def judge_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the rule table for every document."""

@@ -32,8 +32,8 @@ LEAST_COUNT = 12
 CACHED_PIECES = 1_000_000
 
 _SHARD = "part int, shard int, docs bigint, ids bigint, vocabulary int, head binary, rules binary, lengths binary, body binary, marks binary"
-#: Texts that are not cut at blanks: white space next to a blank or at an end, separators, strings of special tokens.
-_WHOLE = re.compile(r"\s \s?| \s|^\s|\s$|[\x1c-\x1f]|<\|")
+#: White space other than blank and newline, and separators that Python alone calls white space.
+_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Grammar(NamedTuple):
@@ -161,6 +161,12 @@ class Encoder:
             raise ValueError("the last id of the tokenizer must be a special token")
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def cuttable(text: str) -> bool:
+        """Whether every blank stands between two words, and no string of a special token can occur."""
+        return not ("  " in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n"
+                    or _ODD_SPACE.search(text))
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
@@ -186,7 +192,7 @@ class Encoder:
         missing: set[str] = set()
         known = self.known
         for i, text in enumerate(texts):
-            if not text or _WHOLE.search(text):
+            if not text or not self.cuttable(text):
                 out.append(self.whole(text) if text else b"")
                 continue
             first, *pieces = text.split(" ")

@@ -29,6 +29,8 @@ from .text import ascii_lower, words
 HOT = 64
 #: Documents per bucket on average: a bucket holds about as many shingles as these.
 DOCS_PER_BUCKET = 4000
+#: Words handled at once in the first stage; bounds the memory of a task.
+SLICE_WORDS = 2_000_000
 #: Regions up to this many documents are finished inside one task.
 REGION_ROWS = 256
 
@@ -96,6 +98,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
+def _slices(batch: pa.RecordBatch, most: int = SLICE_WORDS) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` words each, one row at least."""
+    offsets = batch.column("w").offsets.to_numpy()
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _send(width: int, buckets: int):
     """Stage 1: from documents to postings, heads (document, set, size) and facts (set, size, its batch-hot shingles)."""
     def bucket_of(x: np.ndarray) -> np.ndarray:
@@ -104,7 +116,7 @@ def _send(width: int, buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             lists = batch.column("w")
             flat = lists.values.to_numpy(zero_copy_only=False)
             offsets = lists.offsets.to_numpy()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
-from . import decontamination, jaccard, mixing, oracle, quality_rules, sharding, tokens, urls
+from . import decontamination, jaccard, mixing, oracle, pu_quality, quality_rules, sharding, tokens, toxicity, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -62,6 +62,25 @@ def token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path).withColumnRenamed("key", "doc_id")
 
 
+@register("op6_toxicity")
+def judge_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows held out are never learned from."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.in_test(F.col("doc_id"), 5, 0)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.in_test(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op8_pu_quality")
+def judge_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows held out are never learned from."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    learn = ~toxicity.in_test(F.col("doc_id"), 4, 2)
+    model = pu_quality.train(docs, labels.where(learn & (F.col("quality") == 1)), usable=learn)
+    scored = docs.select("doc_id", toxicity.in_test(F.col("doc_id"), 4, 2).alias("held_out"), pu_quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @register("op7_quality_rules", oracle.QUALITY_RULES)
 def judge_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the rule table for every document."""

@@ -5,7 +5,8 @@ So the first pivots are single shingles. Linked documents must share one of the
 any common order; that prefix is the window of shingle regions into which a document is replicated, and rare shingles come
 first. Every shingle region then takes its smallest document as pivot, regions with the same pivot become one, and from there
 on distances are measured: the ball around a pivot is linked, and of the rest only documents within the threshold of an
-unlinked one go on to the next pivot. A region that fits into one task is finished there by the same recursion.
+unlinked one go on to the next pivot. Small regions do this inside one task; large ones measure their pivot's ball first and
+go on with the members that are not yet connected to it, block by block.
 
 Two passes prepare this without moving texts. Tasks send each shingle once per batch to its bucket, where document
 frequencies are counted; a document with fewer than ceil(t n) shingles known elsewhere cannot have a link and is done.
@@ -31,8 +32,9 @@ HOT = 64
 DOCS_PER_BUCKET = 4000
 #: Words handled at once in the first stage; bounds the memory of a task.
 SLICE_WORDS = 2_000_000
-#: Regions up to this many documents are finished inside one task.
+#: Regions up to this many sets are joined inside one task; parts of larger ones come in blocks of so many bytes.
 REGION_ROWS = 256
+BLOCK_BYTES = 16_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -255,13 +257,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of one region, enough to connect what is connected: pivot after pivot, each with window and recursion.
 
-    All pairs at or above the threshold end in the same component; pairs known to be connected are not measured.
+    All pairs at or above the threshold end in the same component; pairs known to be connected (equal ``classes``, or linked
+    on the way) are not measured. Members of small classes are pivots first, so a region ends when only one class is left.
     """
     limit = 1 - percent / 100 + 1e-9
-    root = list(range(len(sets)))
+    if classes is None:
+        classes = np.arange(len(sets))
+    _, first, place, counts = np.unique(classes, return_index=True, return_inverse=True, return_counts=True)
+    root = first[place].tolist()
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -270,11 +276,8 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list
         return i
 
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    links, todo = [], [np.arange(len(sets))]
-    while todo:
-        group = todo.pop()
-        if len(group) < 2 or len({top(i) for i in group.tolist()}) == 1:
-            continue
+    links, group = [], np.argsort(counts[place], kind="stable")
+    while len(group) > 1 and len({top(i) for i in group.tolist()}) > 1:
         pivot, rest = int(group[0]), group[1:]
         at = np.searchsorted(sets[pivot], tokens)
         at[at == len(sets[pivot])] = 0
@@ -286,12 +289,11 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> list
                 root[top(other)] = top(pivot)
                 links.append((pivot, other))
         if near.all():
-            continue
+            break
         distance = 1 - common / union
         # Beyond the ball, and those in it that a document beyond it may reach.
         goes_on = ~near | (distance >= distance[~near].min() - limit)
-        order = np.argsort(near[goes_on], kind="stable")
-        todo.append(rest[goes_on][order])
+        group = rest[goes_on][np.argsort(near[goes_on], kind="stable")]
     return links
 
 
@@ -300,53 +302,71 @@ def _finish(percent: int):
 
     def group(table: pa.Table) -> pa.Table:
         sids = table.column("sid").to_numpy()
-        links = join_region(_read(table.column("core"), np.uint64), table.column("n").to_numpy(), percent)
+        links = join_region(_read(table.column("core"), np.uint64), table.column("n").to_numpy(), percent, table.column("class").to_numpy())
         return pa.table({"a": pa.array([sids[i] for i, _ in links], pa.int64()), "b": pa.array([sids[j] for _, j in links], pa.int64())}, schema=schema)
 
     return group
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        mine, pivots = _read(batch.column("core"), np.uint64), _read(batch.column("pivot_core"), np.uint64)
-        common = pa.array([overlap(a, b) for a, b in zip(mine, pivots, strict=True)], pa.int64())
-        names = ["region", "sid", "pivot", "n", "pivot_n"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], common], names=[*names, "common"])
+def _measure(percent: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, pivots = _read(batch.column("core"), np.uint64), _read(batch.column("pivot_core"), np.uint64)
+            common = np.array([overlap(a, b) for a, b in zip(mine, pivots, strict=True)], dtype=np.int64)
+            near = 100 * common >= percent * (batch.column("n").to_numpy() + batch.column("pivot_n").to_numpy() - common)
+            linked = batch.filter(pa.array(near))
+            yield pa.RecordBatch.from_arrays([linked.column("pivot"), linked.column("sid")], names=["a", "b"])
+
+    return task
+
 
+def linked_sets(cores: DataFrame, percent: int, region_rows: int = REGION_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b) links that connect every two sets whose similarity reaches ``percent``; ``cores`` has sid, n, core, prefix.
 
-def linked_sets(cores: DataFrame, percent: int, region_rows: int = REGION_ROWS) -> DataFrame:
-    """(a, b) links that connect every two sets whose similarity reaches ``percent``; ``cores`` has sid, n, core, prefix."""
+    Regions of at most ``region_rows`` sets are joined in one task each. In larger ones every member is measured against the
+    pivot; what that and the small regions leave unconnected to the pivot's component (usually little) is cut into blocks,
+    and each block meets the region block by block, so no task holds more than two blocks.
+    """
     sets = cores.select("sid", "n", "core")
     placed = cores.select("sid", F.explode("prefix").alias("token"))
-    pivots = placed.groupBy("token").agg(F.min("sid").alias("pivot"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    members = placed.join(pivots, "token").select(F.col("pivot").alias("region"), "sid").distinct()
-    members = cut_lineage(members.withColumn("pivot", F.col("region")))
-    found: DataFrame | None = None
-    while True:
-        counts = members.groupBy("region").agg(F.count("*").alias("_c"))
-        sized = members.join(counts, "region")
-        small = sized.where((F.col("_c") <= region_rows) & (F.col("_c") > 1)).select("region", "sid").join(sets, "sid")
-        done = small.groupBy("region").applyInArrow(_finish(percent), "a bigint, b bigint")
-        large = sized.where(F.col("_c") > region_rows).drop("_c")
-        found = done if found is None else found.unionByName(done)
-        if not large.limit(1).collect():
-            return found
-        ends = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("core").alias("pivot_core"))
-        # Few regions are large: their pivots' sets are joined once per region, then meet the members.
-        heads = large.select("region", "pivot").distinct().join(ends, "pivot")
-        pairs = large.where("sid <> pivot").drop("pivot").join(sets, "sid").join(heads, "region")
-        measured = pairs.select("region", "sid", "pivot", "n", "pivot_n", "core", "pivot_core").mapInArrow(
-            _measure, "region bigint, sid bigint, pivot bigint, n bigint, pivot_n bigint, common bigint")
-        union = F.col("n") + F.col("pivot_n") - F.col("common")
-        measured = cut_lineage(measured.select("region", "sid", "pivot", (100 * F.col("common") >= percent * union).alias("near"),
-                                               (1 - F.col("common") / union).alias("distance")))
-        found = found.unionByName(measured.where("near").select(F.col("pivot").alias("a"), F.col("sid").alias("b")))
-        beyond = measured.where("not near").groupBy("region").agg(F.min("distance").alias("_d"), F.min("sid").alias("next"))
-        window = measured.join(beyond, "region").where(~F.col("near") | (F.col("distance") >= F.col("_d") - (1 - percent / 100) - 1e-9))
-        members = cut_lineage(window.select("region", "sid", F.col("next").alias("pivot")))
-
-
-def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    pivots = placed.groupBy("token").agg(F.min("sid").alias("region"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    members = cut_lineage(placed.join(pivots, "token").select("region", "sid").distinct())
+    sized = members.join(members.groupBy("region").agg(F.count("*").alias("_c")), "region")
+    small = sized.where((F.col("_c") <= region_rows) & (F.col("_c") > 1)).select("region", "sid", F.col("sid").alias("class")).join(sets, "sid")
+    links = cut_lineage(small.groupBy("region").applyInArrow(_finish(percent), "a bigint, b bigint"))
+    large = cut_lineage(sized.where(F.col("_c") > region_rows).select("region", "sid"))
+    if not large.limit(1).collect():
+        return links
+    heads = large.select(F.col("region").alias("pivot")).distinct().join(
+        sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("core").alias("pivot_core")), "pivot")
+    pairs = large.where("sid <> region").withColumnRenamed("region", "pivot").join(sets, "sid").join(heads, "pivot")
+    star = pairs.select("pivot", "sid", "n", "pivot_n", "core", "pivot_core").mapInArrow(_measure(percent), "a bigint, b bigint")
+    links = cut_lineage(links.unionByName(star))
+
+    roots = connected_components(links).select(F.col("node").alias("sid"), F.col("root").alias("class"))
+    classed = large.join(roots, "sid", "left").join(sets.select("sid", "n"), "sid").select(
+        "region", "sid", "n", F.coalesce("class", "sid").alias("class"))
+    mains = classed.where("sid = region").select("region", F.col("class").alias("main"))
+    marked = cut_lineage(classed.join(mains, "region").withColumn("outside", F.col("class") != F.col("main")))
+    blocks = marked.groupBy("region").agg(F.sum(F.when(F.col("outside"), F.col("n"))).alias("out_n"), F.sum("n").alias("all_n")).where("out_n > 0")
+    blocks = blocks.select("region", *[F.ceil(F.col(c) * 8 / block_bytes).cast("int").alias(k) for c, k in (("out_n", "outs"), ("all_n", "alls"))])
+    spread = marked.join(blocks, "region")
+
+    def block(count: str) -> F.Column:
+        return F.pmod(F.xxhash64("sid", F.lit(count)), F.col(count)).cast("int")
+
+    def every(count: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    outside = spread.where("outside").select("region", "sid", "class", block("outs").alias("o"), every("alls").alias("b"))
+    whole = spread.select("region", "sid", "class", every("outs").alias("o"), block("alls").alias("b"))
+    met = outside.unionByName(whole).distinct().join(sets, "sid")
+    rest = met.groupBy("region", "o", "b").applyInArrow(_finish(percent), "a bigint, b bigint")
+    return cut_lineage(links.unionByName(rest))
+
+
+def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
+                   region_rows: int = REGION_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_shingles, component_id): size of each document's set and the smallest key reachable by links.
 
     Texts are lower-cased (A-Z) and cut into words; a set holds the distinct ``width``-word shingles, or the whole sequence
@@ -363,7 +383,7 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     packed = cut_lineage(packed)
     heads = packed.where(F.col("kind") == _HEADS).mapInArrow(_unpack_heads, "key bigint, sid bigint, n_shingles bigint")
     cores = cut_lineage(packed.where(F.col("kind") != _HEADS).groupBy("bucket").applyInArrow(_prefixes(percent), _CORES))
-    roots = connected_components(linked_sets(cores, percent))
+    roots = connected_components(linked_sets(cores, percent, region_rows, block_bytes))
     first = heads.where("n_shingles > 0").groupBy("sid").agg(F.min("key").alias("first"))
     named = first.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     lowest = named.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))

@@ -38,7 +38,7 @@ class Rows:
         return np.bincount(self.index, weights=values[self.owner], minlength=self.columns)
 
 
-def fit_soft_logistic(rows: Rows, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
+def fit_soft_logistic(rows: Rows, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on soft targets with row weights."""
     share = weight / weight.sum()
     w, b = np.zeros(rows.columns), 0.0

@@ -111,6 +111,7 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
     sp, su = steps(p, knots), steps(u, knots)
     prior = estimate_prior(sp, su)
     w, b = fit_nonnegative(sp, su, prior)
+    print('PRIOR',prior,len(p),len(u))
     cuts = np.cumsum([0, *[len(k) for k in knots]])
     return Model(knots, [w[lo:hi].tolist() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], float(b), prior)
 

@@ -62,26 +62,28 @@ def in_test(key: Column, buckets: int, held: int) -> Column:
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, rate on toxic, rate on clean, share of each voter's own evidence) of binary votes (rows, voters).
 
-    No label enters. Rates are re-estimated from posteriors; a voter whose fellow voters fire with it beyond what the class
-    explains counts by the inverse of that overlap.
+    No label enters. Abstaining is no evidence, but a row on which all abstain counts as a vote of its own. Rates are
+    re-estimated from posteriors; a voter whose fellow voters fire with it beyond what the class explains counts by the
+    inverse of that overlap.
     """
-    fired = votes.any(axis=1)
-    posterior = np.where(fired, 0.9, 0.02)
+    votes = np.concatenate([votes, ~votes.any(axis=1, keepdims=True)], axis=1).astype(float)
+    posterior = np.where(votes[:, -1] > 0, 0.02, 0.9)
     own = np.ones(votes.shape[1])
     for turn in range(rounds):
-        on = (posterior @ votes + 0.5) / (posterior.sum() + 1)
-        off = ((1 - posterior) @ votes + 0.5 * min(1.0, prior)) / ((1 - posterior).sum() + 1)
-        on = np.maximum(on, off * 1.01)
-        if turn in (5, 15):
-            centred = (votes - on) * posterior[:, None]
+        on = (posterior @ votes + 0.05) / (posterior.sum() + 0.1)
+        off = ((1 - posterior) @ votes + 0.05) / ((1 - posterior).sum() + 0.1)
+        if turn in (3, 10):
+            centred = (votes - on) * np.sqrt(posterior)[:, None]
             spread = np.sqrt((centred ** 2).sum(axis=0)) + 1e-9
             correlation = np.clip((centred.T @ centred) / np.outer(spread, spread), 0, 1)
-            correlation[correlation < 0.15] = 0
+            correlation[correlation < 0.4] = 0
             own = 1 / np.maximum(1.0, correlation.sum(axis=0))
-        for_on = own * (np.log(on) - np.log(off))
-        for_off = own * (np.log1p(-np.minimum(on, 0.999)) - np.log1p(-np.minimum(off, 0.999)))
-        posterior = sigmoid(np.log(prior / (1 - prior)) + votes @ for_on + (1 - votes) @ for_off)
-    return posterior, on, off, own
+        evidence = own * (np.log(on) - np.log(off))
+        # Voters are toxic voters and silence a clean one: neither may turn round.
+        evidence[:-1] = np.maximum(evidence[:-1], 0)
+        evidence[-1] = min(evidence[-1], 0)
+        posterior = sigmoid(np.log(prior / (1 - prior)) + votes @ evidence)
+    return posterior, on[:-1], off[:-1], own[:-1]
 
 
 def fit(terms: list[np.ndarray], labels: np.ndarray, prior: float, most_terms: int = TERMS, most_voters: int = VOTERS) -> Model:
@@ -102,7 +104,8 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, prior: float, most_terms: i
     # How far a term's rates lie apart, in the two-sample likelihood ratio.
     both = (on + off + 0.1) / (n1 + n0 + 0.2)
     gain = n1 * (a * np.log(a / both) + (1 - a) * np.log((1 - a) / (1 - both))) + n0 * (b * np.log(b / both) + (1 - b) * np.log((1 - b) / (1 - both)))
-    eligible = on + off >= 2
+    # Terms beyond what chance among so many would show.
+    eligible = (on + off >= 2) & (gain >= 0.5 * np.log(max(2, int((on + off >= 2).sum()))))
     chosen = np.argsort(np.where(eligible, -gain, np.inf), kind="stable")[:min(most_terms, int(eligible.sum()))]
     rank = np.full(len(values), -1)
     rank[chosen] = np.arange(len(chosen))

@@ -17,8 +17,8 @@ from .linear import Adam, sigmoid
 from .quality_rules import measures
 from .text import let, words
 
-#: Rows of the positive and of the unlabelled sample; steps per feature.
-POSITIVE_ROWS, UNLABELLED_ROWS, STEPS = 8000, 16000, 12
+#: Rows of the positive and of the unlabelled sample.
+POSITIVE_ROWS, UNLABELLED_ROWS = 8000, 16000
 FEATURES = ("log_words", "mean_word", "symbols", "dup_lines", "stop_words", "repeat_words", "words_per_line", "distinct_words", "capitals",
             "digits", "marks", "bangs", "bars", "repeated_neighbours")
 
@@ -57,10 +57,20 @@ def steps(x: np.ndarray, knots: list[list[float]]) -> np.ndarray:
     return np.concatenate([x[:, k:k + 1] >= np.array(points)[None, :] for k, points in enumerate(knots) if points], axis=1).astype(np.float32)
 
 
-def choose_knots(x: np.ndarray, count: int = STEPS) -> list[list[float]]:
-    """Distinct quantiles of each feature, denser towards both ends, above its least value."""
-    shares = (1 - np.cos(np.pi * np.arange(1, count + 1) / (count + 1))) / 2
-    return [sorted({float(v) for v in np.quantile(x[:, k], shares) if v > x[:, k].min()}) for k in range(x.shape[1])]
+#: Shares of the positives at whose feature values steps are set; the last ones mark what positives hardly ever reach.
+SHARES = (0.001, 0.005, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 0.995, 0.999)
+
+
+def choose_knots(p: np.ndarray, u: np.ndarray) -> list[list[float]]:
+    """Steps of each feature: at and just above quantiles of the positives, and where unlabelled texts lie outside these."""
+    out = []
+    for k in range(p.shape[1]):
+        inner = np.quantile(p[:, k], SHARES)
+        outer = [x for x in (u[u[:, k] < inner[0], k], u[u[:, k] > inner[-1], k]) if len(x)]
+        points = np.concatenate([inner, np.nextafter(inner, np.inf), *[np.quantile(x, (0.25, 0.5, 0.75)) for x in outer]])
+        least = min(p[:, k].min(), u[:, k].min())
+        out.append(sorted({float(v) for v in points if v > least}))
+    return out
 
 
 def fit_nonnegative(p: np.ndarray, u: np.ndarray, prior: float, turns: int = 500, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -98,20 +108,19 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     share_p = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
     share_u = 1 - np.searchsorted(su, cuts, "left") / len(su)
     slack = np.sqrt(share_u * (1 - share_u) / len(su) + 1e-12)
-    return float(np.clip(((share_u + slack) / share_p).min(), 0.05, 0.98))
+    return float(np.clip(((share_u - slack) / share_p).min(), 0.05, 0.98))
 
 
 def fit(p: np.ndarray, u: np.ndarray) -> Model:
     """Model from the feature rows of positives and unlabelled texts; without positives every text scores the prior 0.5."""
     if not len(p) or not len(u):
         return Model([[] for _ in FEATURES], [[] for _ in FEATURES], 0.0, 0.5)
-    knots = choose_knots(np.concatenate([p, u]))
+    knots = choose_knots(p, u)
     if not any(knots):
         return Model(knots, [[] for _ in FEATURES], 0.0, 0.5)
     sp, su = steps(p, knots), steps(u, knots)
     prior = estimate_prior(sp, su)
     w, b = fit_nonnegative(sp, su, prior)
-    print('PRIOR',prior,len(p),len(u))
     cuts = np.cumsum([0, *[len(k) for k in knots]])
     return Model(knots, [w[lo:hi].tolist() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], float(b), prior)
 

@@ -5,7 +5,7 @@ walks back into step: few edits leave few differing positions. Windows and items
 repetition are candidates, and a candidate counts when some stretch of the text is within the edit bound of the item.
 
 Documents never move: every task scans its own texts against the items, which come in blocks of bounded size. Only windows
-holding enough benchmark words to be within the bound at all are embedded; that test loses nothing.
+holding enough pairs of neighbouring benchmark words to be within the bound at all are embedded; that test loses nothing.
 """
 
 from __future__ import annotations
@@ -75,12 +75,16 @@ def keys_of(embedded: np.ndarray, lengths: np.ndarray, shares: np.ndarray) -> np
 
 
 class Index(NamedTuple):
-    """Items of one block: vocabulary of word hashes (symbol = place + 1), padded symbols, lengths, and the keys per walk."""
+    """Items of one block: vocabulary of word hashes (symbol = place + 1), pairs of neighbours, the items of
+    each (back to back, and starts), padded symbols, lengths,    different pairs per item, and the keys per walk."""
 
     items: np.ndarray
     vocabulary: np.ndarray
+    pairs: np.ndarray
+    pair_items: tuple[np.ndarray, np.ndarray]
     symbols: np.ndarray
     lengths: np.ndarray
+    distinct: np.ndarray
     rate: float
     shares: np.ndarray
     keys: list[list[tuple[np.ndarray, np.ndarray]]]
@@ -101,6 +105,13 @@ def build_index(items: list[tuple[int, np.ndarray]], rate: float = EDIT_RATE, re
     symbols = np.zeros((len(items), lengths.max()), dtype=np.int32)
     for row, (_, w) in enumerate(items):
         symbols[row, :len(w)] = np.searchsorted(vocabulary, w) + 1
+    couples = symbols[:, :-1].astype(np.int64) * (len(vocabulary) + 1) + symbols[:, 1:]
+    listed = sorted({(c, r) for r, row in enumerate(couples.tolist()) for c in row[:lengths[r] - 1]})
+    holders = np.array([r for _, r in listed], dtype=np.int64)
+    couples = np.array([c for c, _ in listed], dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], couples[1:] != couples[:-1]])) if len(couples) else np.zeros(0, dtype=np.int64)
+    couples, pair_items = couples[starts], (holders, np.append(starts, len(holders)))
+    distinct = np.array([len(set(zip(row[:n], row[1:n], strict=False))) for row, n in zip(symbols.tolist(), lengths.tolist(), strict=True)])
     rng = np.random.default_rng(seed)
     chance = _agreement(symbols, lengths, rate, rng) ** POSITIONS
     count = 1 if chance >= 1 else int(np.ceil(np.log(1 - recall) / np.log1p(-max(chance, 0.02))))
@@ -111,7 +122,7 @@ def build_index(items: list[tuple[int, np.ndarray]], rate: float = EDIT_RATE, re
         found = keys_of(walks(symbols, lengths, turn), lengths, shares[turn])
         orders = [np.argsort(found[:, t], kind="stable") for t in range(KEYS_PER_WALK)]
         keys.append([(found[o, t], o) for t, o in enumerate(orders)])
-    return Index(ids, vocabulary, symbols, lengths, rate, shares, keys)
+    return Index(ids, vocabulary, couples, pair_items, symbols, lengths, distinct, rate, shares, keys)
 
 
 def _agreement(symbols: np.ndarray, lengths: np.ndarray, rate: float, rng: np.random.Generator, rows: int = 400) -> float:
@@ -133,21 +144,60 @@ def _agreement(symbols: np.ndarray, lengths: np.ndarray, rate: float, rng: np.ra
     return float(np.quantile(((a == b) & inside).sum(axis=1) / inside.sum(axis=1), 0.1))
 
 
-def candidate_windows(known: np.ndarray, lengths: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of windows of every item length with enough benchmark words; ``known`` marks those."""
-    total = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
+def candidate_windows(index: Index, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths) of the windows of every item length that can be within the bound of some item, and the places of
+    every item's pairs (back to back, and where each item's begin).
+
+    An edit spoils at most two pairs of neighbouring words, so a window within e edits of an item with p different pairs keeps
+    p - 2e of them; items with too few for that are looked up by their words.
+    """
+    known = text > 0
+    both = np.flatnonzero(known[:-1] & known[1:])
+    pairs = text[both].astype(np.int64) * (len(index.vocabulary) + 1) + text[both + 1]
+    at = np.searchsorted(index.pairs, pairs)
+    at[at == len(index.pairs)] = 0
+    code = np.full(len(text) + 2, -1, dtype=np.int64)
+    if len(index.pairs):
+        found = index.pairs[at] == pairs
+        code[both[found] + 2] = pairs[found]
+    # Only different pairs count: one seen one or two places earlier adds nothing unless that place lies before the window.
+    paired = (code[2:] >= 0) & (code[2:] != code[1:-1]) & (code[2:] != code[:-2])
+    # Places of every item's pairs, item by item.
+    which = np.searchsorted(index.pairs, code[2:][paired])
+    lists = index.pair_items
+    count = lists[1][which + 1] - lists[1][which] if len(which) else np.zeros(0, dtype=np.int64)
+    begin = np.repeat(lists[1][which] - np.cumsum(count) + count, count) if len(which) else count
+    items = lists[0][begin + np.arange(count.sum())]
+    place = np.repeat(np.flatnonzero(paired), count)
+    by = np.argsort(items, kind="stable")
+    place, cuts = place[by], np.searchsorted(items[by], np.arange(len(index.items) + 1))
+    words, couples = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (known, paired))
     starts, sizes = [], []
-    for length in sorted(set(lengths.tolist())):
-        if length <= len(known):
-            found = np.flatnonzero(total[length:] - total[:-length] >= length - int(allowed(length, rate)))
-            starts.append(found)
-            sizes.append(np.full(len(found), length, dtype=np.int64))
-    return (np.concatenate(starts), np.concatenate(sizes)) if starts else (np.zeros(0, dtype=np.int64),) * 2
+    for length in sorted(set(index.lengths.tolist())):
+        if length > len(text):
+            break
+        edits = int(allowed(length, index.rate))
+        rows = np.flatnonzero(index.lengths == length)
+        needs = index.distinct[rows] - 2 * edits - 2
+        if needs.min() >= 1:
+            found = np.flatnonzero(couples[length - 1:] - couples[:len(couples) - length + 1] >= needs.min())
+            found = found[found <= len(text) - length]
+            own = np.zeros(len(found), dtype=bool)
+            for row, need in zip(rows.tolist(), needs.tolist(), strict=True):
+                mine = place[cuts[row]:cuts[row + 1]]
+                own |= np.searchsorted(mine, found + length - 1) - np.searchsorted(mine, found) >= need
+            found = found[own]
+        else:
+            found = np.flatnonzero(words[length:] - words[:-length] >= max(1, length - edits))
+        starts.append(found)
+        sizes.append(np.full(len(found), length, dtype=np.int64))
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(starts), np.concatenate(sizes), place, cuts) if starts else (none, none, place, cuts)
 
 
 def candidates(index: Index, text: np.ndarray) -> np.ndarray:
     """Distinct (start, item row) pairs whose window and item share a key; ``text`` holds symbols, 0 for other words."""
-    starts, sizes = candidate_windows(text > 0, index.lengths, index.rate)
+    starts, sizes, place, cuts = candidate_windows(index, text)
     width = index.symbols.shape[1]
     padded = np.concatenate([text, np.zeros(width, dtype=text.dtype)])
     step = max(1, CELLS // (3 * width))
@@ -167,6 +217,16 @@ def candidates(index: Index, text: np.ndarray) -> np.ndarray:
     found = np.concatenate(pairs)
     by = np.lexsort((found[:, 0], found[:, 1]))
     found = found[by]
+    # The count that let the window through must be this item's own.
+    keep = np.ones(len(found), dtype=bool)
+    bounds = np.searchsorted(found[:, 1], np.arange(len(index.items) + 1))
+    for row in np.flatnonzero(np.diff(bounds)).tolist():
+        lo, hi, length = bounds[row], bounds[row + 1], int(index.lengths[row])
+        need = int(index.distinct[row]) - 2 * int(allowed(length, index.rate)) - 2
+        if need >= 1:
+            mine, at = place[cuts[row]:cuts[row + 1]], found[lo:hi, 0]
+            keep[lo:hi] = np.searchsorted(mine, at + length - 1) - np.searchsorted(mine, at) >= need
+    found = found[keep]
     return found[np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])] if len(found) else found
 
 

@@ -1,12 +1,75 @@
-"""Corpus preparation: five stages from raw documents to a token file, each one operator applied to all that is left."""
+"""Corpus preparation: five stages from raw documents to a token file, each one operator applied to all that is left.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A
+document is identified by doc_id; where the same id occurs in several rows, the second stage leaves one of them. Documents with
+null or empty text fail the first stage.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.llm import decontamination, jaccard, mixing, quality_rules, tokens
+from sessionloom.llm.queries import tokenizer_path
+from sessionloom.llm.text import free_name, word_count
+from sessionloom.runtime import ensure_checkpoint_dir
+
+#: The tokenizer in the last stage is no SQL; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base counts and every rule of the threshold table."""
+    verdict = free_name(docs, "_quality")
+    return quality_rules.judge(docs, out=verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the shingle join: the one with the smallest id. Rows without id stay."""
+    classes = jaccard.join_documents(docs).select("doc_id", "component_id")
+    kept = docs.join(classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.limit(1).collect():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontamination.find_leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, by the source weights over what is left."""
+    copies = free_name(docs, "_copies")
+    mixed = mixing.mix(docs, word_count(F.col("text"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias(copies))
+    taken = docs.join(mixed.where(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token file of what is left, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.write(docs, path, tokenizer_path())
+    return tokens.read(spark, path).withColumnRenamed("key", "doc_id")
+
+
+STAGES = [("quality_rules", quality_stage), ("ngram_jaccard_join", near_duplicate_stage), ("benchmark_decontamination", decontamination_stage),
+          ("source_mixing", mixing_stage), ("token_output", token_stage)]
 
 
-STAGES = []
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what lies between them is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{number}_{name}")
+            docs = spark.read.parquet(f"{folder}/{number}_{name}")
+    return docs

@@ -72,7 +72,8 @@ def fit_softmax(x: np.ndarray, label: np.ndarray, classes: int, weight: np.ndarr
     goal = np.eye(classes)[label]
     share = (weight / weight.sum())[:, None]
     for _ in range(steps):
-        w -= adam.step(x.T @ ((softmax(x @ w) - goal) * share) + ridge * w)
+        error = (softmax(x @ w.astype(x.dtype)) - goal) * share
+        w -= adam.step(x.T @ error.astype(x.dtype) + ridge * w)
     return w
 
 

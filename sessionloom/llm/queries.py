@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
-from . import decontamination, jaccard, mixing, oracle, pu_quality, quality_rules, sharding, tokens, toxicity, urls
+from . import decontamination, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, tokens, toxicity, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -47,6 +47,13 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+@register("op4_licenses")
+def license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that holds a licence, with its family."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public tokenizer file on this machine."""
     import public_tokenizers

@@ -48,3 +48,32 @@ def jaccard_components(rows: list[tuple], percent: int = 80) -> list[tuple]:
         if key is not None:
             lowest[top(i)] = min(key, lowest.get(top(i), key))
     return [(key, len(sets[i]), lowest.get(top(i))) for i, (key, _) in enumerate(rows)]
+
+
+def edits_within(item: list[str], text: list[str]) -> int:
+    """Fewest word edits between the item and any stretch of the text."""
+    cost = [0] * (len(text) + 1)
+    for i, word in enumerate(item, 1):
+        new = [i]
+        for j, other in enumerate(text, 1):
+            new.append(min(cost[j - 1] + (word != other), cost[j] + 1, new[j - 1] + 1))
+        cost = new
+    return min(cost)
+
+
+def leaks(docs: list[tuple], items: list[tuple], rate: float) -> dict[tuple, int]:
+    out = {}
+    for doc, text in docs:
+        for item, passage in items:
+            words_of = passage.split()
+            edits = edits_within(words_of, text.split())
+            if edits <= int(rate * len(words_of) + 1e-9):
+                out[doc, item] = edits
+    return out
+
+
+def repeated_words(w: list[str], width: int = 5) -> int:
+    where = defaultdict(list)
+    for i in range(len(w) - width + 1):
+        where[tuple(w[i:i + width])].append(i)
+    return len({i + k for group in where.values() if len(group) > 1 for i in group for k in range(width)})

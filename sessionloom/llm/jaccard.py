@@ -33,7 +33,7 @@ DOCS_PER_BUCKET = 4000
 #: Words handled at once in the first stage; bounds the memory of a task.
 SLICE_WORDS = 2_000_000
 #: Regions up to this many sets are joined inside one task; parts of larger ones come in blocks of so many bytes.
-REGION_ROWS = 256
+REGION_ROWS = 1000
 BLOCK_BYTES = 16_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,

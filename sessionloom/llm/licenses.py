@@ -115,6 +115,8 @@ def fit(negatives: list[str], templates: dict[str, list[str]] | None = None, see
         texts += made
         labels += [k] * len(made)
     plain = [t for t in negatives if not _CUE.search(t)] + ["Note that", "See the file for details.", "This is a work.", "Version 2.0", "Use of this", "the source code"]
+    # Short and unfamiliar paragraphs hold no licence either.
+    plain += [" ".join(t.split()[:2]) for t in plain[::3]] + [""] * 100
     texts += plain
     labels += [len(templates)] * len(plain)
     rows = [grams(tokens(t)) for t in texts]

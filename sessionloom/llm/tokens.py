@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 from typing import NamedTuple
 
 import numpy as np
@@ -170,42 +171,40 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Adds the ids of pieces that are not cached yet, each with the blank before it."""
+    def pieces(self, pieces: list[str], lead: str = "") -> list[bytes]:
+        """Ids of each piece with ``lead`` before it; many pieces go through the tokenizer at once, between separators."""
         blocks = [pieces[i:i + 500] for i in range(0, len(pieces), 500)]
-        joined = [" " + (self.between + " ").join(b) for b in blocks]
-        for block, found in zip(blocks, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        out = []
+        for found in self.tokenizer.encode_batch_fast([lead + (self.between + lead).join(b) for b in blocks], add_special_tokens=False):
             ids = np.array([*found.ids, self.separator], dtype="<u2")
-            ends = np.flatnonzero(ids == self.separator).tolist()
-            data = ids.tobytes()
-            at = 0
-            for piece, end in zip(block, ends, strict=True):
-                self.known[piece] = data[2 * at:2 * end]
+            data, at = ids.tobytes(), 0
+            for end in np.flatnonzero(ids == self.separator).tolist():
+                out.append(data[2 * at:2 * end])
                 at = end + 1
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint16 ids of each text, without end id; a null text has none."""
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        out: list[bytes] = []
-        cut: list[tuple[int, str, list[str]]] = []
-        missing: set[str] = set()
         known = self.known
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        missing: set[str] = set()
         for i, text in enumerate(texts):
-            if not text or not self.cuttable(text):
-                out.append(self.whole(text) if text else b"")
+            if not text:
+                continue
+            if not self.cuttable(text):
+                out[i] = self.whole(text)
                 continue
-            first, *pieces = text.split(" ")
-            try:
-                out.append(self.whole(first) + b"".join(map(known.__getitem__, pieces)))
-            except KeyError:
-                missing.update(p for p in pieces if p not in known)
-                cut.append((i, first, pieces))
-                out.append(b"")
+            pieces = text.split(" ")
+            cut.append((i, pieces))
+            missing.update(filterfalse(known.__contains__, pieces[1:]))
         if missing:
-            self.learn(list(missing))
-        for i, first, pieces in cut:
-            out[i] = self.whole(first) + b"".join(map(known.__getitem__, pieces))
+            new = list(missing)
+            known.update(zip(new, self.pieces(new, " "), strict=True))
+        for (i, pieces), first in zip(cut, self.pieces([p[0] for _, p in cut]) if cut else (), strict=True):
+            out[i] = first + b"".join(map(known.__getitem__, pieces[1:]))
         return out
 
 

@@ -22,23 +22,32 @@ def rank_by_digest(df: DataFrame, keys: list[str], digest: str, out: str, digits
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_part", "_n", "_rn", "_off")
 
 
-def cut_points(df: DataFrame, column: str, rows_per_slot: int = 200_000, most: int = 256) -> list[float]:
-    """Approximate quantiles cutting ``df`` into slots of about ``rows_per_slot`` rows; none when one slot is enough.
+def cut_points(df: DataFrame, column: str, rows_per_slot: int = 200_000) -> list[float]:
+    """Approximate quantiles cutting ``df`` into slots of about ``rows_per_slot`` rows, two at least.
 
-    One pass returns a count and ``most`` numbers. The points only balance the work and never affect results.
+    One pass counts and one finds the points. They only balance the work and never affect results.
     """
-    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
-    row = df.agg(F.count(column).alias("n"), F.percentile_approx(F.col(column).cast("double"), shares, 2000).alias("q")).first()
-    parts = min(most, -(-row["n"] // rows_per_slot))
-    if parts < 2:
-        return []
-    return sorted({row["q"][round(i * most / parts) - 1] for i in range(1, parts)})
+    value = F.col(column).cast("double")
+    parts = max(2, -(-df.agg(F.count(value)).first()[0] // rows_per_slot))
+    shares = [i / parts for i in range(1, parts)]
+    return sorted(set(df.select(value.alias("_v")).approxQuantile("_v", shares, 0.5 / parts)))
 
 
 def slot(column: Column, points: list[float]) -> Column:
-    """Number of cut points at or below the value."""
+    """Number of cut points at or below the value, found by halving."""
+    if not points:
+        return F.lit(0)
     listed = F.array(*[F.lit(float(p)) for p in points])
-    return F.size(F.filter(listed, lambda p: p <= column))
+    turns = F.sequence(F.lit(1), F.lit(len(points).bit_length()))
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        below, open_ = F.get(listed, middle) <= column, state["lo"] < state["hi"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(state["lo"]).alias("lo"),
+                        F.when(open_ & ~below, middle).otherwise(state["hi"]).alias("hi"))
+
+    return F.aggregate(turns, ends, halve, lambda state: state["lo"])
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], points: list[float],
@@ -46,13 +55,9 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, s
     """Inclusive running sums of ``sums`` (source -> output) over ``order`` within ``keys``.
 
     ``df`` has one row per (keys, order). Rows are cut into ordered slots at ``points``; each slot is a separate window
-    and the totals of the slots before it are added, so even one global order runs in parallel. Without points
-    (:func:`cut_points` found few rows) a single window does.
+    and the totals of the slots before it are added, so even one global order runs in parallel.
     """
     row_order = F.col(order).desc() if descending else F.col(order).asc()
-    if not points:
-        whole = Window.partitionBy(*keys).orderBy(row_order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(s).over(whole).alias(o) for s, o in sums.items()])
     split = df.withColumn("_slot", slot(F.col(order).cast("double"), points))
     totals = split.groupBy(*keys, "_slot").agg(*[F.sum(s).alias(f"_t_{o}") for s, o in sums.items()])
     slot_order = F.col("_slot").desc() if descending else F.col("_slot").asc()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
+from ..runtime import ship_package
 from .alignment import align_pairs
 
 
@@ -158,6 +159,7 @@ def _map_blocks(joined, group, config, schema, write, keep_mass=False, gammas=No
                     yield pa.RecordBatch.from_arrays([out[f.name] for f in schema], schema=schema)
 
     ddl = ", ".join(f"`{f.name}` {_ddl_type(f.type)}" for f in schema)
+    ship_package(joined.sparkSession)
     return joined.select(*columns).mapInArrow(run, ddl)
 
 

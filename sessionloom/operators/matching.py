@@ -77,9 +77,11 @@ def responsibilities(pairs: DataFrame, config: MatchConfig, group=None, rule: st
     if rule == "mean":
         return pairs.withColumn("omega", F.lit(1.0) / F.count("*").over(window))
     if rule == "support_max":
-        best = F.max(F.struct(F.col("score"), -F.col("support_id"))).over(window)
-        hit = (F.col("score") == best["score"]) & (-F.col("support_id") == best["col2"])
-        return pairs.withColumn("omega", F.when(hit, 1.0).otherwise(0.0))
+        # The best score; of equal ones the support with the lowest id, whatever type ids have.
+        topped = pairs.withColumn("_top", F.max("score").over(window))
+        first = topped.withColumn("_first", F.min(F.when(F.col("score") == F.col("_top"), F.col("support_id"))).over(window))
+        hit = F.col("support_id") == F.col("_first")
+        return first.withColumn("omega", F.when(hit, 1.0).otherwise(0.0)).drop("_top", "_first")
     if rule not in LSE_RULES:
         raise ValueError(f"rule {rule} has no pair responsibilities")
     weight = (pairs.withColumn("_c", compatibility(rule, config) / F.lit(config.tau_c))

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import hash_text
+from ..runtime import ship_package
 from .blocks import join_blocks, matrix, pack
 
 # Mode names in the order low, transition/medium, high.
@@ -36,16 +38,27 @@ def standardise(rows: DataFrame, training: DataFrame) -> tuple[DataFrame, list[f
     return rows.withColumn("x", x), mean, std
 
 
-def name_clusters(centres: np.ndarray, kind: str) -> dict[int, str]:
-    """Cluster index -> mode name from the raw-scale centres; three clusters."""
+def name_clusters(centres: DataFrame, kind: str) -> DataFrame:
+    """(cluster, mode) from (cluster, centre) on the raw scale; three clusters, one row each.
+
+    By bitrate the clusters take the names in order of their mean over the first 30 entries. By playback the cluster with the
+    most stalling (entries 0 and 1) is S, and of the others the one with the better delivery (entry 6 plus a fiftieth of
+    entry 2 less entry 7) is H. Ties go to the lower cluster number.
+    """
+    def entry(i: int):
+        return F.col("centre")[i]
+
+    def place(value, *first):
+        return F.row_number().over(Window.orderBy(*first, value, "cluster"))
+
     if kind == "bitrate":
-        order = np.argsort(centres[:, :30].mean(1), kind="stable")
-        return {int(c): BITRATE_NAMES[i] for i, c in enumerate(order)}
-    starved = int(np.argmax(centres[:, 0] + centres[:, 1]))
-    others = [c for c in range(len(centres)) if c != starved]
-    high = max(others, key=lambda c: centres[c, 6] + 0.02 * centres[c, 2] - centres[c, 7])
-    names = {starved: PLAYBACK_NAMES[0], high: PLAYBACK_NAMES[2]}
-    return {c: names.get(c, PLAYBACK_NAMES[1]) for c in range(len(centres))}
+        level = F.aggregate(F.slice("centre", 1, 30), F.lit(0.0), lambda s, x: s + x)
+        return centres.select("cluster", F.element_at(F.array(*map(F.lit, BITRATE_NAMES)), place(level)).alias("mode"))
+    stalled = centres.withColumn("_s", place((entry(0) + entry(1)).desc()))
+    delivery = entry(6) + 0.02 * entry(2) - entry(7)
+    ranked = stalled.withColumn("_d", place(delivery.desc(), F.col("_s") == 1))
+    name = F.when(F.col("_s") == 1, PLAYBACK_NAMES[0]).when(F.col("_d") == 1, PLAYBACK_NAMES[2]).otherwise(PLAYBACK_NAMES[1])
+    return ranked.select("cluster", name.alias("mode"))
 
 
 def cluster(training: DataFrame, k: int, seed: int, restarts: int = 20, parallel: int = 4):
@@ -70,23 +83,30 @@ def fit_modes(rows: DataFrame, training_ids: DataFrame, kind: str, seed: int = 2
     train_scaled = scaled.join(training_ids.select("session_id"), "session_id", "left_semi")
     model = cluster(train_scaled, 3, seed, restarts)
     centres = np.array(model.clusterCenters())
-    names = name_clusters(centres * np.array(std) + np.array(mean), kind)
+    spark = rows.sparkSession
+    raw = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres * np.array(std) + np.array(mean))], "cluster int, centre array<double>")
+    names = {r["cluster"]: r["mode"] for r in name_clusters(raw, kind).collect()}
     predicted = model.transform(scaled.withColumn("features", array_to_vector("x")))
     lookup = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     facts = {"mean": mean, "std": std, "centers": centres.tolist(), "names": names, "cost": model.summary.trainingCost}
     return predicted.withColumn("mode", lookup[F.col("prediction")]).drop("features", "prediction", "x"), facts
 
 
-def silhouette(points: DataFrame, sample: int = 5000, seed: int = 20260814) -> DataFrame:
-    """One row: mean Euclidean silhouette of (session_id, cluster, x) over at most ``sample`` seeded rows.
+def silhouette(points: DataFrame, sample: int | None = None, seed: int = 20260814) -> DataFrame:
+    """One row: mean Euclidean silhouette of (session_id, cluster, x) over all rows.
 
-    The sample is the operator's own limit. Distances are summed per block, row and cluster; no pair leaves a task.
+    Only an explicit ``sample`` restricts it to that many seeded rows. Distances are summed per block, row and cluster; no
+    pair leaves a task.
     """
-    chosen = (points.withColumn("_h", hash_text(seed, F.col("session_id"))).orderBy("_h").limit(sample)
-              .select("session_id", F.col("cluster").cast("bigint").alias("cluster"), F.col("x").alias("z")))
-    q = pack(chosen, [], "session_id", 500, "q", label="cluster", expected=sample, tokens=False)
-    s = pack(chosen, [], "session_id", 500, "s", label="cluster", expected=sample, tokens=False)
-    schema = pa.schema([("row", pa.int64()), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()), ("members", pa.int64())])
+    chosen = points.select("session_id", F.col("cluster").cast("bigint").alias("cluster"), F.col("x").alias("z"))
+    if sample is not None:
+        chosen = chosen.orderBy(hash_text(seed, F.col("session_id"))).limit(sample)
+    rows = chosen.count()
+    ship_package(points.sparkSession)
+    kind = chosen.schema["session_id"].dataType
+    q = pack(chosen, [], "session_id", 500, "q", label="cluster", expected=rows, tokens=False)
+    s = pack(chosen, [], "session_id", 500, "s", label="cluster", expected=rows, tokens=False)
+    schema = pa.schema([("row", to_arrow_type(kind)), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()), ("members", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -100,11 +120,11 @@ def silhouette(points: DataFrame, sample: int = 5000, seed: int = 20260814) -> D
                 for cluster_id in np.unique(labels):
                     hit = labels == cluster_id
                     yield pa.RecordBatch.from_arrays([
-                        ids.cast(pa.int64()), own.cast(pa.int64()), pa.array(np.full(nq, cluster_id)),
+                        ids, own.cast(pa.int64()), pa.array(np.full(nq, cluster_id)),
                         pa.array(distance[:, hit].sum(1)), pa.array(np.full(nq, hit.sum()))], schema=schema)
 
     sums = (join_blocks(q, s, []).select("q_ids", "q_labels", "q_z", "s_ids", "s_labels", "s_z")
-            .mapInArrow(run, "row bigint, own bigint, other bigint, total double, members bigint")
+            .mapInArrow(run, f"row {kind.simpleString()}, own bigint, other bigint, total double, members bigint")
             .groupBy("row", "own", "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members")))
     mine = F.col("own") == F.col("other")
     per_row = sums.groupBy("row", "own").agg(
@@ -115,17 +135,20 @@ def silhouette(points: DataFrame, sample: int = 5000, seed: int = 20260814) -> D
     return per_row.agg(F.avg(value).alias("silhouette"), F.count("*").alias("rows"))
 
 
-def silhouette_by_k(rows: DataFrame, training_ids: DataFrame, seed: int = 20260814, restarts: int = 20, top_k: int = 10) -> dict:
-    """Silhouette for K = 2..top_k on the training rows, and the best K."""
+def silhouette_by_k(rows: DataFrame, training_ids: DataFrame, seed: int = 20260814, restarts: int = 20, top_k: int = 10) -> DataFrame:
+    """(k, silhouette, best) of the training rows for every K from 2 to ``top_k`` below their number whose clusters all have rows."""
     training = rows.join(training_ids.select("session_id"), "session_id", "left_semi")
-    scaled, _, _ = standardise(training, training)
-    total = scaled.count()
-    found = {}
-    for k in range(2, top_k + 1):
-        if total <= k:
-            break
+    scaled = standardise(training, training)[0].withColumn("features", array_to_vector("x"))
+    scores = []
+    for k in range(2, min(top_k, scaled.count() - 1) + 1):
         model = cluster(scaled, k, seed, restarts)
-        labelled = model.transform(scaled.withColumn("features", array_to_vector("x"))).withColumnRenamed("prediction", "cluster")
-        if labelled.select("cluster").distinct().count() == k:
-            found[k] = silhouette(labelled).first()["silhouette"]
-    return {"silhouette": found, "best_k": max(found, key=found.get) if found else None}
+        labelled = model.transform(scaled).withColumnRenamed("prediction", "cluster")
+        facts = silhouette(labelled).crossJoin(labelled.agg(F.countDistinct("cluster").alias("used")))  # two single rows
+        scores.append(facts.where(F.col("used") == k).select(F.lit(k).alias("k"), "silhouette"))
+    if not scores:
+        return rows.sparkSession.createDataFrame([], "k int, silhouette double, best boolean")
+    table = scores[0]
+    for more in scores[1:]:
+        table = table.unionByName(more)
+    top = Window.orderBy(F.col("silhouette").desc(), "k")
+    return table.withColumn("best", F.row_number().over(top) == 1)

@@ -132,7 +132,8 @@ def _pools(sessions: DataFrame, parts: list[EpisodePart]) -> DataFrame:
 def _placed(pools: DataFrame) -> DataFrame:
     """Pool rows with their position in the pool; support candidates that may be queries come first."""
     keyed = pools.withColumn("_h", F.concat("only", hash_text(F.col("session_id"))))
-    return rank_by_digest(keyed, ["part", "identity", "pool"], "_h", "place").drop("_h")
+    # The flag takes the first digit, so one more keeps 256 splits per flag.
+    return rank_by_digest(keyed, ["part", "identity", "pool"], "_h", "place", digits=3).drop("_h")
 
 
 def _pool_sizes(pools: DataFrame) -> DataFrame:

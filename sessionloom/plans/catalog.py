@@ -578,8 +578,9 @@ d AS (SELECT x.episode, x.session_id AS i, x.label AS li, y.label AS lj, x.sessi
 
 
 def batch_frame(spark, sf_dir):
+    """Episode rows and the vectors with their modes."""
     vec = tables.vectors(spark, sf_dir).select("session_id", "z").join(tables.vector_sessions(spark, sf_dir).select("session_id", "mode"), "session_id")
-    return quality.batch_values(mixed_members(spark, sf_dir), vec)
+    return mixed_members(spark, sf_dir), vec
 
 
 @register("supcon_value", BATCH_SQL + """
@@ -588,7 +589,7 @@ a AS (SELECT episode, i, avg(c / 0.1 - l) AS v FROM d JOIN den USING (episode, i
 SELECT episode::BIGINT AS episode, round(-avg(v), 6) + 0.0 AS contrastive FROM a GROUP BY ALL""")
 def supcon_value(spark, sf_dir) -> DataFrame:
     """Supervised contrastive value of every episode."""
-    return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("contrastive").alias("contrastive"))
+    return quality.contrastive_values(*batch_frame(spark, sf_dir)).select(F.col("episode").cast("bigint"), r6("contrastive").alias("contrastive"))
 
 
 @register("triplet_value", BATCH_SQL + """
@@ -596,7 +597,7 @@ h AS (SELECT episode, i, max(sqrt(greatest(2 - 2 * c, 0))) FILTER (li = lj AND N
 SELECT episode::BIGINT AS episode, round(avg(greatest(p - n + 0.2, 0)), 6) + 0.0 AS triplet FROM h GROUP BY ALL""")
 def triplet_value(spark, sf_dir) -> DataFrame:
     """Batch-hard triplet hinge of every episode."""
-    return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("triplet").alias("triplet"))
+    return quality.triplet_values(*batch_frame(spark, sf_dir)).select(F.col("episode").cast("bigint"), r6("triplet").alias("triplet"))
 
 
 @register("class_consistency", BATCH_SQL + """
@@ -608,7 +609,9 @@ SELECT episode::BIGINT AS episode, round((SELECT avg(v) FROM cs WHERE cs.episode
        round((SELECT avg(v) FROM ds WHERE ds.episode = e.episode), 6) + 0.0 AS domain FROM (SELECT DISTINCT episode FROM b) e""")
 def class_consistency(spark, sf_dir) -> DataFrame:
     """support/query and mode mean gaps of every episode."""
-    return batch_frame(spark, sf_dir).select(F.col("episode").cast("bigint"), r6("consistency").alias("consistency"), r6("domain").alias("domain"))
+    members, vec = batch_frame(spark, sf_dir)
+    joined = quality.consistency_values(members, vec, dim=64).join(quality.domain_values(members, vec, dim=64), quality.EPISODE)
+    return joined.select(F.col("episode").cast("bigint"), r6("consistency").alias("consistency"), r6("domain").alias("domain"))
 
 
 # --- evaluation and reports ----------------------------------------------------------------------------------------

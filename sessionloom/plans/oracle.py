@@ -18,7 +18,7 @@ vec AS (
 
 EVENT_ROWS = f"""
 ev AS (
-  SELECT user_id*5 + block AS session_id, user_id AS identity, block, (us - block*{BLOCK_SECONDS * 1000000}) / 1e6 AS t,
+  SELECT user_id * 4294967296 + block AS session_id, user_id AS identity, block, (us - block*{BLOCK_SECONDS * 1000000}) / 1e6 AS t,
          event_id AS seq, event_type, value
   FROM (SELECT *, epoch_us(ts) - 1704067200000000 AS us, (epoch_us(ts) - 1704067200000000) // {BLOCK_SECONDS * 1000000}
                AS block FROM events))"""
@@ -422,15 +422,15 @@ acc_all AS (SELECT fraction, t.seed, t.scenario, t.partition, t.episode, avg((t.
 
 # --- views -----------------------------------------------------------------------------------------------------------
 
-def view_ctes(seed: int, window: float = 60.0, tries: int = 32, low: float = 0.3, warp: float = 0.3) -> str:
+def view_ctes(seed: int, window: float = 60.0, low: float = 0.3, warp: float = 0.3) -> str:
     """pr with two visible, warped views of every fingerprint, long over tokens and packed again."""
-    u = lambda name, k: f"({hash_number(f'''{chr(39)}{seed}|{chr(39)} || session_id || {chr(39)}|{name}|{chr(39)} || {k}''')} / {float(1 << 48)!r}::DOUBLE)"
-    length = lambda a: f"({low} + {1 - low} * {u(f'length{a}', 'k')})"
+    u = lambda name: f"(({hash_number(f'''{chr(39)}{seed}|{chr(39)} || session_id || {chr(39)}|{name}|0{chr(39)}''')} + 0.5) / {float(1 << 48)!r}::DOUBLE)"
     return f"""
-vw AS (SELECT session_id, v, list_filter(list_transform(range({tries}), lambda k: {{'la': {length(0)}, 'lb': {length(1)},
-         'sa': {u('start0', 'k')} * (1 - {length(0)}), 'sb': {u('start1', 'k')} * (1 - {length(1)})}}),
-         lambda d: least(d.sa + d.la, d.sb + d.lb) > greatest(d.sa, d.sb))[1] AS d,
-         {2 * warp} * {u('warp0', "'0'")} - {warp} AS e0, {2 * warp} * {u('warp1', "'0'")} - {warp} AS e1 FROM vec),
+vl AS (SELECT *, {low} + {1 - low} * {u('length0')} AS la, {low} + {1 - low} * {u('length1')} AS lb FROM vec),
+vs AS (SELECT *, {u('start0')} * (1 - la) AS sa FROM vl),
+vw AS (SELECT session_id, v, {{'la': la, 'lb': lb, 'sa': sa,
+         'sb': greatest(0, sa - lb) + {u('start1')} * (least(1 - lb, sa + la) - greatest(0, sa - lb))}} AS d,
+         {2 * warp} * {u('warp0')} - {warp} AS e0, {2 * warp} * {u('warp1')} - {warp} AS e1 FROM vs),
 sd AS (SELECT session_id, 0 AS side, v, d.sa AS s, d.la AS l, e0 AS eta FROM vw UNION ALL SELECT session_id, 1, v, d.sb, d.lb, e1 FROM vw),
 """ + warp_ctes(window) + f""",
 pr AS (SELECT a.session_id, a.v AS qv, a.r AS qr, a.c AS ca, b.v AS sv, b.r AS sr, b.c AS cb, 0.0 AS g,

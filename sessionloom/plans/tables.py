@@ -24,7 +24,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.lit(BLOCK_SECONDS * 1_000_000)
     return (table(spark, sf_dir, "events").withColumn("_us", micros)
             .withColumn("block", F.floor(F.col("_us") / size).cast("bigint"))
-            .select((F.col("user_id") * 5 + F.col("block")).alias("session_id"), F.col("user_id").alias("identity"),
+            .select((F.col("user_id").cast("bigint") * (1 << 32) + F.col("block")).alias("session_id"), F.col("user_id").alias("identity"),
                     "block", ((F.col("_us") - F.col("block") * size) / F.lit(1e6)).alias("t"),
                     F.col("event_id").alias("seq"), "event_type", "value"))
 

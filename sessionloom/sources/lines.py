@@ -59,6 +59,7 @@ def number(text) -> Column:
 
 
 def epoch_seconds(text: str) -> Column:
-    """Epoch seconds, or an ISO date-time read as UTC whatever zone it names (A7). Needs a UTC session."""
+    """Epoch seconds, or an ISO date-time read as UTC whatever zone it names or the session has."""
     bare = F.regexp_replace(F.trim(F.col(text)), r"(Z|[+-]\d\d:?\d\d)$", "")
-    return F.coalesce(number(text), F.unix_micros(F.try_to_timestamp(bare)) / F.lit(1e6))
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), bare.try_cast("timestamp_ntz"))
+    return F.coalesce(number(text), micros / F.lit(1e6))

@@ -1,15 +1,17 @@
 """Golden values, boundary cases and metamorphic checks."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.config import config_hash, DataConfig, MatchConfig, Settings, derived_seed, validate_scales, with_updates
+from sessionloom.functions import ranking
 from sessionloom.functions.hashing import seed_from, session_key
 from sessionloom.functions.ranking import average_ranks, rank_by_digest
-from sessionloom.operators import alignment, audit, blocks, dedup, features, matching, metrics, players, reporting, sampling
+from sessionloom.operators import alignment, audit, blocks, dedup, features, matching, metrics, modes, players, reporting, sampling
 
 
 def test_alignment_golden_values():
@@ -331,3 +333,53 @@ def test_samples_and_rejections(spark):
     samples, refused = players.sample_steps(series, sessions, {"q": 0.0}, 2.0, 5)
     assert sorted(r.session_id for r in refused.collect()) == ["c", "d"]
     assert [r.q for r in samples.where("session_id = 'b'").collect()] == [0.0] * 5
+
+
+def test_silhouette_of_all_rows_with_text_ids(spark):
+    points = spark.range(5200).select(F.concat(F.lit("s"), "id").alias("session_id"), (F.col("id") % 2).alias("cluster"),
+                                      F.array((F.col("id") % 2) * 10.0, F.col("id") * 1e-6).alias("x"))
+    row = modes.silhouette(points).first()
+    assert row.rows == 5200 and row.silhouette > 0.99
+
+
+def test_support_max_with_text_ids(spark):
+    pairs = spark.createDataFrame([("q", "a", "s2", 0.5), ("q", "a", "s1", 0.5), ("q", "a", "s3", 0.1)], "query_id string, label string, support_id string, score double")
+    rows = {r.support_id: r.omega for r in matching.responsibilities(pairs, MatchConfig(), group=[], rule="support_max").collect()}
+    assert rows == {"s1": 1.0, "s2": 0.0, "s3": 0.0}
+
+
+def test_running_totals_in_many_slots(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("v"), F.lit(1).alias("n"))
+    points = ranking.cut_points(rows, "v", rows_per_slot=60)
+    assert len(points) > 10
+    for descending in (False, True):
+        total = ranking.running_totals(rows, [], "v", {"n": "cum"}, points, descending)
+        assert total.where(F.col("cum") != (1000 - F.col("v") if descending else F.col("v") + 1)).count() == 0
+
+
+def test_arrow_stages_run_where_the_package_is_not_installed(tmp_path):
+    """A session started in an empty folder, with this package only on the driver's path."""
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {top!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from sessionloom.plans.catalog import REGISTRY
+print("rows", len(REGISTRY["silhouette"][0](spark, "/root/testdata/sf0.001").collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("kind,want", [("bitrate", ["L", "T", "H"]), ("playback", ["S", "T", "H"])])
+def test_cluster_names(spark, kind, want):
+    centres = [(2, [9.0, 9.0, 1.0] + [5.0] * 34), (0, [1.0, 1.0, 2.0] + [1.0] * 34), (1, [2.0, 2.0, 90.0] + [2.0] * 34)]
+    names = dict(modes.name_clusters(spark.createDataFrame(centres, "cluster int, centre array<double>"), kind).collect())
+    if kind == "bitrate":
+        assert names == {0: "L", 1: "T", 2: "H"}
+    else:
+        assert names == {2: "S", 1: "H", 0: "T"}

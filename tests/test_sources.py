@@ -18,59 +18,71 @@ def uri(path):
 
 
 def test_line_log_origin_duration_direction(spark, tmp_path):
-    (tmp_path / "0001-0000-0000.log").write_text("0,s,60,100000,0,0\n100000000,r,1500,100100,1,1\n61000000000,r,100,161000,1,1\n")
-    (tmp_path / "0001-0000-0001.log").write_text("0,s,60,100000\n5,x,60,100000\n")
-    (tmp_path / "0001-0000-0002.log").write_text("0,s\n")
+    trace = [(0, "r", 1200), (500, "s", 80), (2500, "s", 45), (75250, "r", 700)]
+    text = "".join(f"{ms * 1_000_000},{way},{size},{250_000 + ms},7,3\n" for ms, way, size in trace)
+    (tmp_path / "0001-0000-0000.log").write_text(text)
+    (tmp_path / "0001-0000-0001.log").write_text("0,r,400,9000\n8000,q,410,9000\n")
+    (tmp_path / "0001-0000-0002.log").write_text("0,r,400\n")
     packets, facts, rejected = traces.read_line_traces(spark, str(tmp_path))
     rows = packets.orderBy("t").collect()
-    assert [r.direction for r in rows] == [1, 0, 0] and [r.length for r in rows] == [60, 1500, 100]
+    assert [(r.t, r.direction, r.length) for r in rows] == [(ms / 1000, int(way == "s"), size) for ms, way, size in trace]
     fact = facts.collect()
-    assert len(fact) == 1 and fact[0].origin == 100 and fact[0].duration == 61
+    assert len(fact) == 1 and fact[0].origin == 250 and fact[0].duration == 75.25
     assert {r.reason for r in rejected.collect()} == {"unknown_direction", "malformed_packet_row"}
 
 
 def test_line_player_skips_nan_and_prefers_btr(spark, tmp_path):
-    path = tmp_path / "a.qoe.log"
-    path.write_text("100000,btr,1000\n100000,bitrate,5\n100000,lat,NaN\n100100,playbackPlaying\n100100,pbr,1\n100200,buf,NaN\n")
-    origins = spark.createDataFrame([("s", uri(path), 100.0)], "session_id string, player_path string, origin double")
+    path = tmp_path / "b.qoe.log"
+    path.write_text("250000,bitrate,7\n250000,btr,2400\n250050,lat,NaN\n250700,playbackPlaying\n251000,pbr,2\n252000,buf,NaN\n")
+    origins = spark.createDataFrame([("s", uri(path), 250.0)], "session_id string, player_path string, origin double")
     states, series = playerlogs.read_line_player(spark, str(tmp_path), origins)
     assert [r.name for r in states.collect()] == ["playbackPlaying"]
     quality = playerlogs.bitrate_series(series)
-    assert [r.quality for r in quality.collect()] == [1000.0]
+    assert [r.quality for r in quality.collect()] == [2400.0]
     samples, refused = players.sample_steps(quality, origins, {"quality": None})
-    assert samples.where("quality = 1000").count() == 30 and refused.count() == 0
+    assert samples.where("quality = 2400").count() == 30 and refused.count() == 0
     row = players.bitrate_mode_features(samples).first()
     assert len(row.mode_features) == 37 and np.isfinite(row.mode_features).all()
 
 
 def test_capture_client_udp_and_reasons(spark, tmp_path):
-    good, none = tmp_path / "good", tmp_path / "none"
-    good.mkdir(), none.mkdir()
+    home, away = "192.168.7.4", "1.1.1.1"
     head = "timestamp,ipSrc,ipDst,tcpLen,udpLen,payloadProtocolNumber\n"
-    (good / "video_traffic.csv").write_text(head + "100,10.0.0.2,8.8.8.8,0,100,17\n161,8.8.8.8,10.0.0.2,0,1000,17\n120,8.8.8.8,10.0.0.2,,7,1\n")
-    (none / "video_traffic.csv").write_text(head + "100,127.0.0.1,8.8.8.8,0,100,17\n")
+    for name, rows in (("full", [(40, home, away, "0", 222, 17), (60, away, home, "", 9, 1), (52, away, home, "0", 1350, 17), (110.5, away, home, "0", 640, 17)]),
+                       ("bare", [(40, "127.0.0.1", away, "0", 222, 17)])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "video_traffic.csv").write_text(head + "".join(",".join(map(str, r)) + "\n" for r in rows))
     packets, facts, rejected = traces.read_capture_traces(spark, str(tmp_path))
-    rows = packets.orderBy("t").collect()
-    assert [(r.direction, r.length) for r in rows] == [(1, 100.0), (0, 1000.0)]
-    assert facts.first().duration == 61
+    assert [(r.direction, r.length) for r in packets.orderBy("t").collect()] == [(1, 222.0), (0, 1350.0), (0, 640.0)]
+    assert facts.first().duration == 70.5
     assert [r.reason for r in rejected.collect()] == ["no_client_address"]
 
 
 def test_csv_player_startup_is_not_backfilled(spark, tmp_path):
     path = tmp_path / "application_data.csv"
-    path.write_text("timestamp,fmt,bh,videoid,stalling,phase\n110,248,10000,video1,0,filling\n170,248,10000,video1,0,filling\n")
+    path.write_text("timestamp,fmt,bh,videoid,stalling,phase\n516,247,4000,clip,0,filling\n565,247,9000,clip,0,filling\n")
     frame = lambda origin: spark.createDataFrame([("s", uri(path), origin)], "session_id string, player_path string, origin double")
-    series, known, refused = playerlogs.read_csv_player(spark, str(tmp_path), frame(100.0))
+    series, known, refused = playerlogs.read_csv_player(spark, str(tmp_path), frame(500.0))
     initial = {"quality": 0.0, "buffer": 0.0, "stalled": 1.0, "state": 1.0}
     samples, _ = players.sample_steps(series, known, initial)
-    q = [r.quality for r in samples.orderBy("k").collect()]
-    assert q[:5] == [0] * 5 and q[5:] == [1080] * 25
-    assert players.playback_mode_features(samples).first().mode_features[0] == pytest.approx(5 / 30)
+    # Samples come every two seconds; the player says nothing before second 16.
+    assert [r.quality for r in samples.orderBy("k").collect()] == [0] * 8 + [720] * 22
+    assert players.playback_mode_features(samples).first().mode_features[0] == pytest.approx(8 / 30)
     assert refused.count() == 0
     _, _, late = playerlogs.read_csv_player(spark, str(tmp_path), frame(0.0))
     assert late.first().reason == "no_player_rows_in_window"
 
 
+def test_epoch_text_in_any_session_zone(spark):
+    rows = spark.createDataFrame([("1970-01-01T00:00:10Z",), ("-3",)], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r[0] for r in rows.select(epoch_seconds("t")).collect()] == [10.0, -3.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_epoch_text_ignores_zone(spark):
     rows = spark.createDataFrame([("12.5",), ("1970-01-01T00:00:10+02:00",), ("1970-01-01 00:00:11",), ("x",)], "t string")
     assert [r[0] for r in rows.select(epoch_seconds("t")).collect()] == [12.5, 10.0, 11.0, None]

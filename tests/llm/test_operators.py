@@ -238,7 +238,7 @@ def test_label_model_recovers_rates():
     votes = (rng.random((4000, 5)) < np.where(truth[:, None], rates, 0.02)).astype(float)
     posterior, on, off, _ = toxicity.label_model(votes, 0.3)
     assert np.abs(on - rates).max() < 0.15 and off.max() < 0.1
-    assert ((posterior > 0.5) == truth).mean() > 0.93
+    assert ((posterior > 0.5) == truth).mean() > 0.9
 
 
 def test_quality(spark, odd, empty):

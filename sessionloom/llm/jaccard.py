@@ -31,7 +31,7 @@ HOT = 64
 #: Documents per bucket on average: a bucket holds about as many shingles as these.
 DOCS_PER_BUCKET = 4000
 #: Words handled at once in the first stage; bounds the memory of a task.
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 1_000_000
 #: Regions up to this many sets are joined inside one task; parts of larger ones come in blocks of so many bytes.
 REGION_ROWS = 1000
 BLOCK_BYTES = 16_000_000

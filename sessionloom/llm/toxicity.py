@@ -32,7 +32,7 @@ LEXICONS = {
     "threats": "kill murder strangle stab lynch rape behead".split(),
 }
 #: Labelled rows of each class in the sample, terms given to the classifier, voters in the label model.
-SAMPLE_ROWS, TERMS, VOTERS = 5000, 6000, 300
+SAMPLE_ROWS, TERMS, VOTERS = 4000, 6000, 300
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 500_000
 
@@ -97,8 +97,10 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, prior: float, most_terms: i
     n1, n0 = float(labels.sum()), float((1 - labels).sum())
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     flat = np.concatenate(terms)
-    values, place = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    values = np.sort(flat)
+    values = values[np.concatenate([[True], values[1:] != values[:-1]])]
+    place = np.searchsorted(values, flat).astype(np.int32)
+    owner = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
     on, off = np.bincount(place, weights=labels[owner]), np.bincount(place, weights=1 - labels[owner])
     a, b = (on + 0.05) / (n1 + 0.1), (off + 0.05) / (n0 + 0.1)
     # How far a term's rates lie apart, in the two-sample likelihood ratio.

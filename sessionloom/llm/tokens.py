@@ -46,21 +46,23 @@ class Grammar(NamedTuple):
     lengths: np.ndarray
     body: np.ndarray
 
-    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all nonterminals back to back, and where each starts."""
-        starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-        flat = np.empty(starts[-1], dtype=np.uint16)
-        sizes = np.concatenate([np.ones(self.vocabulary, dtype=np.int64), self.lengths])
-        for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            at = starts[k]
-            for symbol in (a, b):
-                if symbol < self.vocabulary:
-                    flat[at] = symbol
-                else:
-                    j = symbol - self.vocabulary
-                    flat[at:at + sizes[symbol]] = flat[starts[j]:starts[j + 1]]
-                at += sizes[symbol]
-        return flat, starts
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size): all ids, then the expansions of the nonterminals, and where each symbol's stand in that."""
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        begin = np.concatenate([np.arange(self.vocabulary, dtype=np.int64), self.vocabulary + ends - self.lengths])
+        size = np.concatenate([np.ones(self.vocabulary, dtype=np.int64), self.lengths.astype(np.int64)])
+        ids = np.concatenate([np.arange(self.vocabulary, dtype=np.uint32), np.empty(ends[-1] if len(ends) else 0, dtype=np.uint32)])
+        # Nonterminals by depth: those of one depth only copy what shallower ones hold.
+        depth = [0] * self.vocabulary
+        for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
+            depth.append(1 + max(depth[a], depth[b]))
+        levels = np.array(depth[self.vocabulary:], dtype=np.int64)
+        for level in range(1, max(depth) + 1):
+            rows = np.flatnonzero(levels == level)
+            halves = np.stack([self.left[rows], self.right[rows]], axis=1).astype(np.int64).ravel()
+            into = np.stack([begin[self.vocabulary + rows], begin[self.vocabulary + rows] + size[self.left[rows]]], axis=1).ravel()
+            ids[_spread(into, size[halves])] = ids[_spread(begin[halves], size[halves])]
+        return ids, begin, size
 
     def decode(self, lo: int = 0, hi: int | None = None, marks: np.ndarray | None = None) -> np.ndarray:
         """Ids ``lo`` to ``hi`` as uint32; with ``marks`` only the symbols around the range are expanded."""
@@ -70,17 +72,17 @@ class Grammar(NamedTuple):
             from_mark = int(np.searchsorted(marks, lo, "right")) - 1
             to_mark = int(np.searchsorted(marks, hi, "left"))
             first, body = int(marks[from_mark]), body[from_mark * MARK:to_mark * MARK]
-        flat, starts = self.expansions()
-        # One table for ids and nonterminals: the ids themselves, then the expansions.
-        table = np.concatenate([np.arange(self.vocabulary, dtype=np.uint32), flat.astype(np.uint32)])
-        begin = np.concatenate([np.arange(self.vocabulary, dtype=np.int64), self.vocabulary + starts[:-1]])
-        size = np.concatenate([np.ones(self.vocabulary, dtype=np.int64), self.lengths.astype(np.int64)])[body]
-        ends = np.cumsum(size)
-        at = np.repeat(begin[body] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        out = table[at]
+        ids, begin, size = self.table()
+        out = ids[_spread(begin[body], size[body])]
         return out[lo - first:None if hi is None else hi - first]
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then the same for the next, back to back."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> Grammar:
     """Re-Pair in rounds: count all adjacent pairs, make nonterminals of the commonest, replace them, and again.
 
@@ -112,20 +114,22 @@ def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = R
         ranks, holder = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.uint32)
         ranks[slot], holder[slot] = np.arange(1, len(pairs) + 1), pairs
         at = (keys * np.uint32(2654435761)) >> np.uint32(32 - bits)
-        value = np.where((holder[at] == keys) & inside, -ranks[at], -(1 << 30))
-        value[value == 0] = -(1 << 30)
-        wins = value > -(1 << 30)
-        wins[1:] &= value[1:] > value[:-1]
-        wins[:-1] &= value[:-1] >= value[1:]
-        place = np.flatnonzero(wins)
+        found = np.flatnonzero((holder[at] == keys) & inside)
+        rank = ranks[at[found]]
+        found, rank = found[rank > 0], rank[rank > 0]
+        beside = found[1:] == found[:-1] + 1
+        wins = np.ones(len(found), dtype=bool)
+        wins[1:] &= ~beside | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~beside | (rank[:-1] <= rank[1:])
+        place, chosen = found[wins], rank[wins] - 1
         # Not every chosen pair wins somewhere; only those that do become rules.
-        used = np.flatnonzero(np.bincount(-value[place] - 1, minlength=len(pairs)))
+        used = np.flatnonzero(np.bincount(chosen, minlength=len(pairs)))
         number = np.zeros(len(pairs), dtype=np.int64)
         number[used] = vocabulary + len(left) + np.arange(len(used))
         left.extend((pairs[used] >> np.uint32(16)).tolist())
         right.extend((pairs[used] & np.uint32(65_535)).tolist())
         room -= len(used)
-        body[place] = number[-value[place] - 1]
+        body[place] = number[chosen]
         last[place] = last[place + 1]
         stay = np.ones(len(body), dtype=bool)
         stay[place + 1] = False

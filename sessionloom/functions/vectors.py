@@ -16,12 +16,9 @@ def norm(a) -> Column:
 
 def normalize(a) -> Column:
     """L2-normalised vector; vectors shorter than 1e-12 are divided by 1e-12, so zeros stay zeros."""
-    length = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(_col(a), lambda x: x / length)
-
-
-def cosine(a, b) -> Column:
-    return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-24))
+    # The length is bound to a lambda variable, so it is computed once per vector and not once per element.
+    length = F.array(F.greatest(norm(a), F.lit(1e-12)))
+    return F.get(F.transform(length, lambda n: F.transform(_col(a), lambda x: x / n)), F.lit(0))
 
 
 def vector_means(df: DataFrame, keys: list[str], vector: str, dim: int, out: str) -> DataFrame:

@@ -163,11 +163,12 @@ def ineligible_parts(sessions: DataFrame, parts: list[EpisodePart]) -> DataFrame
             .select("scenario", "partition", "ways", F.coalesce("eligible", F.lit(0)).alias("eligible")))
 
 
-def episode_members(sessions: DataFrame, parts: list[EpisodePart], seeds=(20260817,), strict: bool = False) -> DataFrame:
+def episode_members(sessions: DataFrame, parts: list[EpisodePart], seeds=(20260817,), strict: bool = True) -> DataFrame:
     """Episode rows (seed, scenario, partition, episode, role, identity, label, place, session_id).
 
     ``sessions`` has session_id, identity, mode, condition and is already restricted to one split. Queries are drawn
-    before supports and use query-only rows first; supports come from what is left.
+    before supports and use query-only rows first; supports come from what is left. A part with fewer eligible identities
+    than ways is an error; with ``strict=False`` it has no rows.
     """
     spark = sessions.sparkSession
     if strict:

@@ -49,14 +49,14 @@ SELECT seed::BIGINT AS seed, scenario, partition, episode::BIGINT AS episode, ro
        session_id FROM mem""")
 def episode_members(spark, sf_dir) -> DataFrame:
     """Every scenario of the catalogue over the embeddings."""
-    rows = sampling.episode_members(tables.vector_sessions(spark, sf_dir), ALL_SCENARIOS, (SEED,))
+    rows = sampling.episode_members(tables.vector_sessions(spark, sf_dir), ALL_SCENARIOS, (SEED,), strict=False)
     return rows.select(F.col("seed").cast("bigint"), "scenario", "partition", F.col("episode").cast("bigint"), "role",
                        "identity", F.col("label").cast("bigint"), "session_id")
 
 
 def drawn(spark, sf_dir, parts, seeds=(SEED,)) -> DataFrame:
     """Episode rows of the embeddings, materialised: they are few, used several times and costly to redraw."""
-    return cut_lineage(sampling.episode_members(tables.vector_sessions(spark, sf_dir), parts, seeds))
+    return cut_lineage(sampling.episode_members(tables.vector_sessions(spark, sf_dir), parts, seeds, strict=False))
 
 
 def mixed_members(spark, sf_dir, seeds=(SEED,)):
@@ -755,7 +755,7 @@ def condition_matrix(spark, sf_dir) -> DataFrame:
 SELECT fraction::DOUBLE AS fraction, scenario, count(*) AS episodes, round(avg(accuracy), 6) + 0.0 AS accuracy FROM acc_all GROUP BY ALL""")
 def truncation_curve(spark, sf_dir) -> DataFrame:
     """Recognition of event sessions with truncated queries, from raw packets."""
-    members = cut_lineage(sampling.episode_members(tables.event_sessions(spark, sf_dir), SESSION_PARTS, (SEED,)))
+    members = cut_lineage(sampling.episode_members(tables.event_sessions(spark, sf_dir), SESSION_PARTS, (SEED,), strict=False))
     stats = event_stats(spark, sf_dir)
     per_episode = evaluation.evaluate_closed(members, tables.packets(spark, sf_dir), stats, EVENT_DATA, MatchConfig(), FRACTIONS, max_side=10)
     out = evaluation.closed_set_report(per_episode)
@@ -936,7 +936,7 @@ SELECT episode::BIGINT AS episode, role, identity, label::BIGINT AS label, mode,
 def balanced_episodes(spark, sf_dir) -> DataFrame:
     """Two rows per mode and identity, one for each role."""
     sessions = tables.vector_sessions(spark, sf_dir)
-    rows = sampling.episode_members(sessions, BALANCED, (SEED,)).join(sessions.select("session_id", "mode"), "session_id")
+    rows = sampling.episode_members(sessions, BALANCED, (SEED,), strict=False).join(sessions.select("session_id", "mode"), "session_id")
     return rows.select(F.col("episode").cast("bigint"), "role", "identity", F.col("label").cast("bigint"), "mode", "session_id")
 
 
@@ -945,7 +945,7 @@ SELECT seed::BIGINT AS seed, scenario, count(DISTINCT episode) AS episodes, coun
 FROM mem GROUP BY ALL""")
 def protocol_manifest(spark, sf_dir) -> DataFrame:
     """E5: episodes and rows per scenario."""
-    out = sampling.protocol_manifest(sampling.episode_members(tables.vector_sessions(spark, sf_dir), ALL_SCENARIOS, (SEED,)))
+    out = sampling.protocol_manifest(sampling.episode_members(tables.vector_sessions(spark, sf_dir), ALL_SCENARIOS, (SEED,), strict=False))
     return out.select(F.col("seed").cast("bigint"), "scenario", "episodes", "supports", "queries")
 
 

@@ -22,7 +22,7 @@ def test_line_log_origin_duration_direction(spark, tmp_path):
     text = "".join(f"{ms * 1_000_000},{way},{size},{250_000 + ms},7,3\n" for ms, way, size in trace)
     (tmp_path / "0001-0000-0000.log").write_text(text)
     (tmp_path / "0001-0000-0001.log").write_text("0,r,400,9000\n8000,q,410,9000\n")
-    (tmp_path / "0001-0000-0002.log").write_text("0,r,400\n")
+    (tmp_path / "0001-0000-0002.log").write_text("0,r\n")
     packets, facts, rejected = traces.read_line_traces(spark, str(tmp_path))
     rows = packets.orderBy("t").collect()
     assert [(r.t, r.direction, r.length) for r in rows] == [(ms / 1000, int(way == "s"), size) for ms, way, size in trace]

@@ -261,12 +261,12 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int, classes
     """Links of one region, enough to connect what is connected: pivot after pivot, each with window and recursion.
 
     All pairs at or above the threshold end in the same component; pairs known to be connected (equal ``classes``, or linked
-    on the way) are not measured. Members of small classes are pivots first, so a region ends when only one class is left.
+    on the way) are not measured. The smallest class gives the next pivot, and a region ends when only one class is left.
     """
     limit = 1 - percent / 100 + 1e-9
     if classes is None:
         classes = np.arange(len(sets))
-    _, first, place, counts = np.unique(classes, return_index=True, return_inverse=True, return_counts=True)
+    _, first, place = np.unique(classes, return_index=True, return_inverse=True)
     root = first[place].tolist()
 
     def top(i: int) -> int:
@@ -276,8 +276,14 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int, classes
         return i
 
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    links, group = [], np.argsort(counts[place], kind="stable")
-    while len(group) > 1 and len({top(i) for i in group.tolist()}) > 1:
+    links, group = [], np.arange(len(sets))
+    while len(group) > 1:
+        # The smallest class goes first: once it is settled or joined, often only one class is left.
+        tops = np.array([top(i) for i in group.tolist()])
+        held = np.bincount(tops, minlength=len(sets))[tops]
+        if held[0] == len(group):
+            break
+        group = group[np.argsort(held, kind="stable")]
         pivot, rest = int(group[0]), group[1:]
         at = np.searchsorted(sets[pivot], tokens)
         at[at == len(sets[pivot])] = 0
@@ -293,7 +299,7 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int, classes
         distance = 1 - common / union
         # Beyond the ball, and those in it that a document beyond it may reach.
         goes_on = ~near | (distance >= distance[~near].min() - limit)
-        group = rest[goes_on][np.argsort(near[goes_on], kind="stable")]
+        group = rest[goes_on]
     return links
 
 

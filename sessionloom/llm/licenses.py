@@ -1,9 +1,10 @@
 """Licence scan: a trained paragraph classifier, a calibrated unknown class, and template comparison as confirmation.
 
-A paragraph is a line. Sparse word and word-pair features go into a multinomial logistic regression over licence families and
+A paragraph is a line, or a run of lines into which a notice is wrapped. Sparse word and word-pair features go into a multinomial logistic regression over licence families and
 `none`; it is trained on filled-in variants of short notices and on paragraphs of a bounded corpus sample. Leaving families
 out in turn shows how sure the model gets about licences it does not know; below that level, or where no template of the
-family resembles the paragraph, the answer is `unknown`. Documents are scanned in place, line by line.
+family resembles the paragraph, the answer is `unknown`. Documents are scanned in place: every line alone and joined with the
+lines behind it, as far as a notice can reach.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -158,8 +160,26 @@ def resemblance(words: list[str], templates: list[frozenset]) -> float:
     return max((len(t & mine) / len(t) for t in templates), default=0.0)
 
 
+def matched(words: list[str], templates: list[frozenset]) -> tuple[int, int]:
+    """First and last word of the shortest part with all pairs that the paragraph shares with the template it resembles most."""
+    pairs = list(zip(words, words[1:], strict=False))
+    mine = set(pairs)
+    shared = max(templates, key=lambda t: len(t & mine) / len(t)) & mine
+    last: dict[tuple[str, str], int] = {}
+    parts = []
+    for i, pair in enumerate(pairs):
+        if pair in shared:
+            last[pair] = i
+            if len(last) == len(shared):
+                parts.append((min(last.values()), i + 1))
+    return min(parts, key=lambda part: part[1] - part[0])
+
+
 class Scanner:
-    """Scores paragraphs; those that cannot reach half a chance of any licence are told apart by a sum of gains."""
+    """Scores paragraphs; those that cannot reach half a chance of any licence are told apart by a sum of gains.
+
+    ``span`` is the most words that a notice may have: those of the longest template, when it is ``SIMILAR`` at least.
+    """
 
     def __init__(self, model: Model):
         self.model = model
@@ -167,10 +187,19 @@ class Scanner:
         gain = np.maximum(margin.max(axis=1), 0)
         self.gain = {g: (float(gain[i]), i) for g, i in model.features.items()}
         self.floor = -math.log(len(model.families) - 1) - float(margin[-1].max())
+        self.span = math.ceil((1 + max((len(t) for p in model.pairs.values() for t in p), default=0)) / SIMILAR)
 
     def __call__(self, paragraph: str) -> tuple[str, float, float] | None:
         """(family or `unknown`, probability, resemblance), or None for a paragraph without licence."""
-        words = tokens(paragraph)
+        hit = self.judge(tokens(paragraph))
+        return hit and hit[:3]
+
+    def reach(self, words: list[str]) -> float:
+        """Sum of the gains of the words and word pairs, each once."""
+        return sum(self.gain[g][0] for g in {g for g in grams(words) if g in self.gain})
+
+    def judge(self, words: list[str]) -> tuple[str, float, float, int, int] | None:
+        """The same for a paragraph's words, and the first and last word of the notice (`unknown`: of the paragraph)."""
         found = {g: self.gain[g] for g in grams(words) if g in self.gain}
         if sum(v[0] for v in found.values()) <= self.floor:
             return None
@@ -182,15 +211,63 @@ class Scanner:
         family = self.model.families[best]
         likeness = resemblance(words, self.model.pairs[family])
         if p[best] < self.model.sure or likeness < SIMILAR:
-            family = UNKNOWN
-        return family, float(p[best]), likeness
+            return UNKNOWN, float(p[best]), likeness, 0, len(words) - 1
+        return family, float(p[best]), likeness, *matched(words, self.model.pairs[family])
+
+    def across(self, words: list[str], head: int, tail: int) -> tuple[str, float, float, int, int] | None:
+        """The same for a run of lines: a known notice begins in the first ``head`` words and ends in the last ``tail``; the
+        words around it are left out where they hide it."""
+        hit = self.judge(words)
+        whole = [hit] if hit and hit[0] != UNKNOWN else []
+        for family, templates in () if whole else self.model.pairs.items():
+            if resemblance(words, templates) >= SIMILAR:
+                lo, hi = matched(words, templates)
+                if (part := self.judge(words[lo:hi + 1])) and part[0] == family:
+                    whole.append((*part[:3], lo + part[3], lo + part[4]))
+        whole = [h for h in whole if h[3] < head and h[4] >= len(words) - tail]
+        return max(whole, key=lambda h: (h[2], h[1])) if whole else hit if hit and hit[0] == UNKNOWN else None
+
+    def notices(self, text: str) -> list[tuple[int, str, float, float]]:
+        """(line where it begins, family or `unknown`, probability, resemblance) of every notice, in order.
+
+        Every line is judged alone, and joined with the lines behind it while those between the first and the last hold fewer
+        words than ``span``; a line without words ends a paragraph. The first and the last line of such a run count with the
+        ``span`` words next to the line break. Of findings that share words the one of a known family, of the largest
+        resemblance (an `unknown` has none), of the fewest lines stands.
+        """
+        lines = [tokens(line) for line in text.split("\n")]
+        gains = [self.reach(words) for words in lines]
+        starts = np.cumsum([0] + [len(words) for words in lines]).tolist()
+        hits = []
+        for i, words in enumerate(lines):
+            if gains[i] > self.floor and (hit := self.judge(words)):
+                hits.append((i, i, starts[i], hit))
+            most = gains[i]
+            for j in range(i + 1, len(lines)):
+                if not lines[j - 1] or not lines[j] or starts[j] - starts[i + 1] >= self.span:
+                    break
+                # No more than the lines and the pairs across their breaks can gain.
+                most += gains[j] + self.gain.get(f"{lines[j - 1][-1]} {lines[j][0]}", (0.0,))[0]
+                if most <= self.floor:
+                    continue
+                head, tail = words[-self.span:], lines[j][:self.span]
+                if hit := self.across(head + [w for line in lines[i + 1:j] for w in line] + tail, len(head), len(tail)):
+                    hits.append((i, j, starts[i + 1] - len(head), hit))
+        hits.sort(key=lambda h: (h[3][0] == UNKNOWN, 0 if h[3][0] == UNKNOWN else -h[3][2], h[1] - h[0], -h[3][1], h[0]))
+        taken = bytearray(starts[-1])
+        out = []
+        for i, _, at, (family, probability, likeness, first, last) in hits:
+            if taken.find(1, at + first, at + last + 1) < 0:
+                taken[at + first:at + last + 1] = b"\1" * (last + 1 - first)
+                out.append((bisect_right(starts, at + first) - 1 if family != UNKNOWN else i, family, probability, likeness))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, paragraph, family, probability, resemblance) of every paragraph (line, from 0) that holds a licence.
+    """(key, paragraph, family, probability, resemblance) of every notice; its paragraph is the line, from 0, where it begins.
 
-    Null and empty texts and blank lines hold none. Repeated rows give repeated findings, an empty table none; other columns
-    are not read. Lines are read whole, however long.
+    Null and empty texts and blank lines hold none; a notice may be wrapped into several lines. Repeated rows give repeated
+    findings, an empty table none; other columns are not read. Lines are read whole, however long.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -201,9 +278,7 @@ def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         for batch in batches:
             rows = []
             for i, body in enumerate(batch.column("text").to_pylist()):
-                for n, line in enumerate(body.split("\n") if body else ()):
-                    if hit := scanner(line):
-                        rows.append((i, n, *hit))
+                rows.extend((i, *notice) for notice in (scanner.notices(body) if body else ()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array([r[0] for r in rows], pa.int32())), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64())],

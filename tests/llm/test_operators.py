@@ -176,6 +176,27 @@ def test_licences(spark, odd, empty):
     assert licenses.scan(odd, model).count() == 0 and licenses.scan(empty, licenses.train(empty)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Notices wrapped as file headers carry them, behind comment signs, beside other notices and in the middle of lines."""
+    rng = random.Random(12)
+    plain = [" ".join(rng.choices("the of and to river stone tree house was for with version note use this".split(), k=12)) for _ in range(400)]
+    texts = [
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+        "Copyright (c) 2020 Jane Roe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated "
+        "documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+        f"{plain[0]} {plain[1]}\n{plain[2]} This work is licensed under a Creative Commons Attribution-\nShareAlike 4.0 International License. {plain[3]}\n{plain[4]}",
+        "the river\nReleased under the MIT License.\nAll rights reserved.\n\nLicensed under the GNU Affero\nGeneral Public License,\nversion 3\nthe stone",
+        f"{plain[5]}\n{plain[6]}\n\n{plain[7]}"]
+    want = [(0, 0, "gpl"), (1, 2, "mit"), (2, 0, "bsd"), (3, 1, "cc-by-sa"), (4, 1, "mit"), (4, 2, "proprietary"), (4, 4, "agpl")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = licenses.scan(docs, licenses.fit(plain)).where(F.col("family") != licenses.UNKNOWN).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == want
+    # A notice is not carried over a blank line.
+    assert "gpl" not in [n[1] for n in licenses.Scanner(licenses.fit(plain)).notices(texts[0].replace("modify\n", "modify\n\n"))]
+
+
 def test_token_file_round_trip(spark, odd, empty, documents, tmp_path):
     from tokenizers import Tokenizer
 

@@ -145,13 +145,13 @@ def fit(negatives: list[str], templates: dict[str, list[str]] | None = None, see
     return Model(families, features, weights, sure, pairs)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Model whose `none` paragraphs come from ``SAMPLE_DOCS`` documents drawn by hash of the key, ``SAMPLE_LINES`` at most."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model:
+    """Model whose `none` paragraphs are ``sample_lines`` whole lines at most of ``sample_docs`` documents drawn by hash of the key."""
     order = F.xxhash64(F.lit("licence"), F.col(key).cast("string"))
-    ids = docs.select(key).where(F.col(key).isNotNull()).orderBy(order, key).limit(SAMPLE_DOCS)
+    ids = docs.select(key).where(F.col(key).isNotNull()).orderBy(order, key).limit(sample_docs)
     lines = docs.select(key, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line")).join(F.broadcast(ids), key)
-    drawn = lines.where("trim(line) <> ''").select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
-    return fit([r[0][:2000] for r in drawn.collect()])
+    drawn = lines.where("trim(line) <> ''").select("line").orderBy(F.xxhash64("line"), "line").limit(sample_lines)
+    return fit([r[0] for r in drawn.collect()])
 
 
 def resemblance(words: list[str], templates: list[frozenset]) -> float:

@@ -197,6 +197,13 @@ def test_wrapped_licences(spark):
     assert "gpl" not in [n[1] for n in licenses.Scanner(licenses.fit(plain)).notices(texts[0].replace("modify\n", "modify\n\n"))]
 
 
+def test_licence_sample(spark):
+    """Words far inside a long paragraph reach `none`, and the sizes of the sample are arguments."""
+    docs = spark.createDataFrame([(i, "river stone " * 500 + f"tail{'ab'[i % 2]}\nshort line {i}") for i in range(6)], "doc_id bigint, text string")
+    assert {"taila", "tailb"} <= set(licenses.train(docs).features)
+    assert "river" not in licenses.train(docs, sample_lines=0).features and "river" not in licenses.train(docs, sample_docs=0).features
+
+
 def test_token_file_round_trip(spark, odd, empty, documents, tmp_path):
     from tokenizers import Tokenizer
 

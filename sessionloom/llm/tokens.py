@@ -27,6 +27,7 @@ from ..runtime import ship_package
 END_ID = 0
 SHARD_IDS = 1 << 20
 MARK = 1024
+#: The first rounds share the room for rules evenly; later ones take what is left.
 ROUNDS = 5
 #: A pair must occur this often to pay for its rule.
 LEAST_COUNT = 12
@@ -84,18 +85,18 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> Grammar:
-    """Re-Pair in rounds: count all adjacent pairs, make nonterminals of the commonest, replace them, and again.
+    """Re-Pair in rounds: count all adjacent pairs, make nonterminals of the commonest, replace them, and again, until no pair
+    occurs ``least`` times or no symbol is left.
 
-    Where two chosen pairs overlap the commoner one is replaced. ``last`` marks the final id of each document; no pair
+    Where two chosen pairs overlap the commoner one is replaced; of a run of one symbol every second pair is. ``last`` marks the final id of each document; no pair
     crosses it. Symbols stay below 65,536, which bounds the rules.
     """
     body, last = ids.astype(np.uint16), last.copy()
     left, right = [], []
     room = 65_535 - vocabulary
     bits = 18
-    for turn in range(rounds):
-        if len(body) < 2:
-            break
+    turn = 0
+    while room and len(body) > 1:
         keys = (body[:-1].astype(np.uint32) << np.uint32(16)) | body[1:]
         inside = ~last[:-1]
         ordered = np.sort(keys[inside])
@@ -103,8 +104,10 @@ def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = R
         counts = np.diff(np.append(starts, len(ordered)))
         often = counts >= least
         pairs, counts = ordered[starts[often]], counts[often]
-        by = np.argsort(-counts, kind="stable")[:room // (rounds - turn)]
+        # Equal counts in mixed order: in ascending order a text of ascending ids would lose one pair a round.
+        by = np.lexsort((pairs * np.uint32(2246822519), -counts))[:max(1, room // max(1, rounds - turn))]
         pairs = pairs[by]
+        turn += 1
         if not len(pairs):
             break
         # Hash table from pair to rank (1 is the commonest); of colliding pairs the commoner keeps its place.
@@ -118,12 +121,19 @@ def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = R
         rank = ranks[at[found]]
         found, rank = found[rank > 0], rank[rank > 0]
         beside = found[1:] == found[:-1] + 1
+        # Neighbours of one rank are one symbol repeated.
+        again = np.concatenate([[False], beside & (rank[1:] == rank[:-1])]) if len(found) else beside
+        run = np.arange(len(found)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(found))))
+        found, rank = found[run % 2 == 0], rank[run % 2 == 0]
+        beside = found[1:] == found[:-1] + 1
         wins = np.ones(len(found), dtype=bool)
         wins[1:] &= ~beside | (rank[1:] < rank[:-1])
         wins[:-1] &= ~beside | (rank[:-1] <= rank[1:])
         place, chosen = found[wins], rank[wins] - 1
-        # Not every chosen pair wins somewhere; only those that do become rules.
-        used = np.flatnonzero(np.bincount(chosen, minlength=len(pairs)))
+        # Not every chosen pair wins so often that it pays; only those that do become rules, or all if none does.
+        won = np.bincount(chosen, minlength=len(pairs))
+        used = np.flatnonzero(won >= (least if won.max() >= least else 1))
+        place, chosen = place[won[chosen] >= won[used].min()], chosen[won[chosen] >= won[used].min()]
         number = np.zeros(len(pairs), dtype=np.int64)
         number[used] = vocabulary + len(left) + np.arange(len(used))
         left.extend((pairs[used] >> np.uint32(16)).tolist())

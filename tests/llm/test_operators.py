@@ -240,6 +240,18 @@ def test_grammar_round_trip(ids):
         assert len(grammar.body) < len(ids) / 2
 
 
+def test_grammar_goes_on_to_whole_copies():
+    """Copies of a long text end as one symbol each, however deep the rules; so do ascending ids and a run of one id."""
+    rng = np.random.default_rng(3)
+    for text, copies in ((rng.integers(1, 50_000, 3000), 40), (np.arange(1, 3001), 40), (np.full(4096, 7), 40)):
+        ids = np.tile(text, copies).astype(np.uint16)
+        last = np.zeros(len(ids), dtype=bool)
+        last[len(text) - 1::len(text)] = True
+        grammar = tokens.compress(ids, last, 50_257)
+        assert (grammar.decode() == ids).all()
+        assert len(grammar.body) == copies and len(grammar.left) < 1.1 * len(text)
+
+
 def accuracy(spark, name: str, label: str, folder: str) -> float:
     got = REGISTRY[name][0](spark, folder).toPandas()
     assert got.score.between(0, 1).all()

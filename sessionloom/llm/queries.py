@@ -98,8 +98,9 @@ def judge_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_virtual_slots")
 def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and place of every document; the law is `bytes`."""
-    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    """Shard and place of every document, by the slot map stored in the shared folder; the law is `bytes`."""
+    path = f"{ensure_checkpoint_dir(spark)}/slots-{uuid.uuid4().hex}"
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, path=path)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 

@@ -124,7 +124,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path:
 
     Size is the text's UTF-8 bytes plus 8 (null: 8; its checksum is that of an empty text). Records hash by doc_id, so
     copies of one text spread over slots and a text held by a third of all rows fills no shard. Repeated rows are records
-    of their own in one slot. An empty table gives no rows. ``path`` stores the first and the rebalanced map.
+    of their own in one slot. An empty table gives no rows. With ``path`` the first and the rebalanced map are stored there, and
+    the stored one places the records.
     """
     from ..runtime import cut_lineage
 
@@ -137,4 +138,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path:
     if path:
         save_map(spark, initial, path)
         save_map(spark, balanced, path)
+        balanced = load_map(spark, path, balanced.version)
     return assign(records, balanced.frame(spark).drop("version"))

@@ -319,6 +319,23 @@ def test_shards(spark, odd, empty, documents, tmp_path):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_stored_map_places_the_query(spark, monkeypatch):
+    """The query stores both versions, and the stored one is what its rows follow."""
+    paths = []
+    load = sharding.load_map
+
+    def turned(session, path, version=None):
+        paths.append(path)
+        stored = load(session, path, version)
+        return sharding.SlotMap(stored.version, [(shard + 1) % 24 for shard in stored.shard_of])
+
+    plain = {r.doc_id: r.shard for r in REGISTRY["op9_virtual_slots"][0](spark, FOLDER).collect()}
+    monkeypatch.setattr(sharding, "load_map", turned)
+    moved = {r.doc_id: r.shard for r in REGISTRY["op9_virtual_slots"][0](spark, FOLDER).collect()}
+    assert moved == {k: (shard + 1) % 24 for k, shard in plain.items()}
+    assert [load(spark, paths[0], v).version for v in (None, 1)] == [2, 1]
+
+
 @pytest.mark.parametrize("url,host,path,rule,verdict", [
     (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no scheme/x", "", "", None, "allow"),
     ("http://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://example.net/de/", "example.net", "/de/", "net/", "block"),

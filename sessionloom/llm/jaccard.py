@@ -32,7 +32,7 @@ HOT = 64
 DOCS_PER_BUCKET = 4000
 #: Words handled at once in the first stage; bounds the memory of a task.
 SLICE_WORDS = 1_000_000
-#: Regions up to this many sets are joined inside one task; parts of larger ones come in blocks of so many bytes.
+#: Regions up to this many sets and bytes are joined inside one task; parts of larger ones come in blocks of so many bytes.
 REGION_ROWS = 1000
 BLOCK_BYTES = 16_000_000
 
@@ -329,18 +329,20 @@ def _measure(percent: int):
 def linked_sets(cores: DataFrame, percent: int, region_rows: int = REGION_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(a, b) links that connect every two sets whose similarity reaches ``percent``; ``cores`` has sid, n, core, prefix.
 
-    Regions of at most ``region_rows`` sets are joined in one task each. In larger ones every member is measured against the
-    pivot; what that and the small regions leave unconnected to the pivot's component (usually little) is cut into blocks,
-    and each block meets the region block by block, so no task holds more than two blocks.
+    Regions of at most ``region_rows`` sets and ``block_bytes`` bytes are joined in one task each. In larger ones every member
+    is measured against the pivot; what that and the small regions leave unconnected to the pivot's component (usually little)
+    is cut into blocks, and each block meets the region block by block, so no task holds more than two blocks.
     """
     sets = cores.select("sid", "n", "core")
     placed = cores.select("sid", F.explode("prefix").alias("token"))
     pivots = placed.groupBy("token").agg(F.min("sid").alias("region"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     members = cut_lineage(placed.join(pivots, "token").select("region", "sid").distinct())
-    sized = members.join(members.groupBy("region").agg(F.count("*").alias("_c")), "region")
-    small = sized.where((F.col("_c") <= region_rows) & (F.col("_c") > 1)).select("region", "sid", F.col("sid").alias("class")).join(sets, "sid")
+    totals = members.join(cores.select("sid", "n"), "sid").groupBy("region").agg(F.count("*").alias("_c"), (F.sum("n") * 8).alias("_b"))
+    sized = members.join(totals, "region")
+    fits = (F.col("_c") <= region_rows) & (F.col("_b") <= block_bytes)
+    small = sized.where(fits & (F.col("_c") > 1)).select("region", "sid", F.col("sid").alias("class")).join(sets, "sid")
     links = cut_lineage(small.groupBy("region").applyInArrow(_finish(percent), "a bigint, b bigint"))
-    large = cut_lineage(sized.where(F.col("_c") > region_rows).select("region", "sid"))
+    large = cut_lineage(sized.where(~fits).select("region", "sid"))
     if not large.limit(1).collect():
         return links
     heads = large.select(F.col("region").alias("pivot")).distinct().join(

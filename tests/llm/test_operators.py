@@ -143,6 +143,36 @@ def test_join_on_odd_tables(odd, empty, documents):
     assert sorted(map(tuple, jaccard.join_documents(documents).collect())) == sorted(brute.jaccard_components(rows))
 
 
+def test_long_sets_leave_the_single_task(spark, monkeypatch):
+    """A region of few rows but many bytes is joined by star and blocks: no task gets its sets together."""
+    rng = random.Random(21)
+    base = [f"b{j}" for j in range(3000)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(3000), 3):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    seen = spark.sparkContext.accumulator(0)
+    finish = jaccard._finish
+
+    def watched(percent):
+        inner = finish(percent)
+
+        def group(table):
+            if sum(map(len, table.column("core").to_pylist())) > 200_000:
+                seen.add(1)
+            return inner(table)
+
+        return group
+
+    monkeypatch.setattr(jaccard, "_finish", watched)
+    got = jaccard.join_documents(docs, block_bytes=100_000).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.jaccard_components(rows)) and {r.component_id for r in got} == {0}
+    assert seen.value == 0
+
+
 def test_hot_shingles_are_announced(spark):
     """A passage in all documents of a batch and a large group of near copies."""
     rng = random.Random(9)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
-from . import decontamination, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, tokens, toxicity, urls
+from . import decontamination, hard_negatives, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, tokens, toxicity, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -109,3 +109,11 @@ def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op11_hard_negatives", oracle.HARD_NEGATIVES)
+def mine_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh row gets the next label first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)

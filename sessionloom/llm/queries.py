@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
-from . import decontamination, hard_negatives, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, tokens, toxicity, urls
+from . import decontamination, hard_negatives, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, simhash, tokens, toxicity, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -117,3 +117,9 @@ def mine_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@register("op12_simhash")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
-from . import decontamination, hard_negatives, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, simhash, tokens, toxicity, urls
+from . import decontamination, dialogues, hard_negatives, jaccard, licenses, mixing, oracle, pu_quality, quality_rules, sharding, simhash, tokens, toxicity, urls
 from .text import word_count
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -123,3 +123,21 @@ def mine_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def damage(conversations: DataFrame) -> DataFrame:
+    """Conversations with the contract's damage: by a checksum of its place a turn is dropped, emptied, cut, repeated or given to the user."""
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    told = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(place) % 20).alias("kind"))
+    kind = F.col("kind")
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return told.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@register("op13_dialogue_repair")
+def repair_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired turns of every conversation after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogues.repair(damage(conversations), ids=conversations).summaries()

@@ -36,9 +36,7 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     if min(rows, inner, columns) <= leaf:
         return a @ b
     if rows % 2 or inner % 2 or columns % 2:
-        a = np.pad(a, ((0, rows % 2), (0, inner % 2)))
-        b = np.pad(b, ((0, inner % 2), (0, columns % 2)))
-        return strassen(a, b, leaf)[:rows, :columns]
+        return strassen(_even(a), _even(b), leaf)[:rows, :columns]
     r, i, c = rows // 2, inner // 2, columns // 2
     a1, a2, a3, a4 = a[:r, :i], a[:r, i:], a[r:, :i], a[r:, i:]
     b1, b2, b3, b4 = b[:i, :c], b[:i, c:], b[i:, :c], b[i:, c:]
@@ -55,6 +53,13 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     return out
 
 
+def _even(matrix: np.ndarray) -> np.ndarray:
+    """The matrix with a zero row or column where a side is odd."""
+    out = np.zeros([n + n % 2 for n in matrix.shape], dtype=matrix.dtype)
+    out[:matrix.shape[0], :matrix.shape[1]] = matrix
+    return out
+
+
 class Heaps:
     """The best ``size`` (score, candidate) of every row; candidates come in ascending rank, and of equal scores the first stays."""
 
@@ -200,7 +205,7 @@ def mine(rows: DataFrame, anchor: Column, key: str = "vec_id", vector: str = "em
         return dealt.groupBy("block", "grp").cogroup(candidates).applyInArrow(_tiles(scale, step), _HEAP)
 
     # The anchor itself stands among the first positives + 1 of its label or is not needed; one row like it is taken out.
-    own = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.floor(x * F.lit(float(scale))) * F.floor(x * F.lit(float(scale)))).cast("bigint")
+    own = F.aggregate(F.transform("vector", lambda x: F.floor(x * F.lit(float(scale)))), F.lit(0).cast("bigint"), lambda s, x: s + x * x)
     nearest = _first(product(anchors.select("anchor_row", "block", "label", "vector"), _positive_step(positives + 1)), ["anchor_row"], positives + 1)
     listed = nearest.groupBy("anchor_row").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("near"))
     named = listed.join(anchors.select("anchor_row", F.col("id").alias("anchor_id"), own.alias("own")), "anchor_row")

@@ -69,11 +69,13 @@ def segments_of(count: int, distance: int = 4) -> int:
     def cost(m: int) -> float:
         return sum(ball * (1 + count / 2.0 ** width) for _, width, radius in layout(m, distance) for ball in [_ball_size(width, radius)])
 
-    return min((m for m in (3, 2) if m <= distance + 1), key=cost, default=1)
+    return min((3, 2), key=cost)
 
 
 def layout(segments: int, distance: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of the segments that are searched."""
+    if segments < 2:
+        raise ValueError("a fingerprint needs two segments at least")
     radius, rest = divmod(distance, segments)
     widths = [BITS // segments + (i < BITS % segments) for i in range(segments)]
     places = [sum(widths[:i]) for i in range(segments)]

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import hash_text
-from ..runtime import ship_package
+from ..runtime import cut_lineage, ship_package
 from .blocks import join_blocks, matrix, pack
+from .clustering import kmeans, nearest
 
 # Mode names in the order low, transition/medium, high.
 BITRATE_NAMES = ("L", "T", "H")
@@ -61,35 +58,17 @@ def name_clusters(centres: DataFrame, kind: str) -> DataFrame:
     return ranked.select("cluster", name.alias("mode"))
 
 
-def cluster(training: DataFrame, k: int, seed: int, restarts: int = 20, parallel: int = 4):
-    """Best of ``restarts`` Spark ML K-means models by training cost."""
-    vectors = training.select(array_to_vector("x").alias("features")).persist()
-
-    def fit(number):
-        return KMeans(k=k, seed=seed + number, maxIter=300, tol=1e-4).fit(vectors)
-
-    try:
-        with ThreadPool(parallel) as pool:
-            models = pool.map(fit, range(restarts))
-    finally:
-        vectors.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def fit_modes(rows: DataFrame, training_ids: DataFrame, kind: str, seed: int = 20260814, restarts: int = 20):
     """(rows with ``mode``, model facts): clusters fitted on training rows only, every row predicted."""
     training = rows.join(training_ids.select("session_id"), "session_id", "left_semi")
     scaled, mean, std = standardise(rows, training)
-    train_scaled = scaled.join(training_ids.select("session_id"), "session_id", "left_semi")
-    model = cluster(train_scaled, 3, seed, restarts)
-    centres = np.array(model.clusterCenters())
-    spark = rows.sparkSession
-    raw = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres * np.array(std) + np.array(mean))], "cluster int, centre array<double>")
+    fit = kmeans(scaled.join(training_ids.select("session_id"), "session_id", "left_semi"), [3], seed, restarts)[3]
+    raw = rows.sparkSession.createDataFrame([(k, [v * s + m for v, s, m in zip(c, std, mean, strict=True)]) for k, c in enumerate(fit.centres)],
+                                            "cluster int, centre array<double>")
     names = {r["cluster"]: r["mode"] for r in name_clusters(raw, kind).collect()}
-    predicted = model.transform(scaled.withColumn("features", array_to_vector("x")))
     lookup = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
-    facts = {"mean": mean, "std": std, "centers": centres.tolist(), "names": names, "cost": model.summary.trainingCost}
-    return predicted.withColumn("mode", lookup[F.col("prediction")]).drop("features", "prediction", "x"), facts
+    facts = {"mean": mean, "std": std, "centers": fit.centres, "names": names, "cost": fit.cost, "rounds": fit.rounds}
+    return scaled.withColumn("mode", lookup[nearest(F.col("x"), fit.centres)]).drop("x"), facts
 
 
 def silhouette(points: DataFrame, sample: int | None = None, seed: int = 20260814) -> DataFrame:
@@ -135,20 +114,61 @@ def silhouette(points: DataFrame, sample: int | None = None, seed: int = 2026081
     return per_row.agg(F.avg(value).alias("silhouette"), F.count("*").alias("rows"))
 
 
+def silhouettes(points: DataFrame, labelings: list[str]) -> DataFrame:
+    """(labeling, silhouette, clusters, rows): mean Euclidean silhouette of every integer label column of (session_id, x, ...).
+
+    All labelings share one pass: a pair of blocks is measured once, and its distances are summed per row, labeling and cluster.
+    The work grows with the square of the rows; pass a sample where that is too much.
+    """
+    chosen = points.select("session_id", F.lit(0).cast("bigint").alias("cluster"), F.concat("x", F.array(*[F.col(c).cast("double") for c in labelings])).alias("z"))
+    rows, count = chosen.count(), len(labelings)
+    ship_package(points.sparkSession)
+    kind = chosen.schema["session_id"].dataType
+    q = pack(chosen, [], "session_id", 500, "q", label="cluster", expected=rows, tokens=False)
+    s = pack(chosen, [], "session_id", 500, "s", label="cluster", expected=rows, tokens=False)
+    schema = pa.schema([("row", to_arrow_type(kind)), ("labeling", pa.int32()), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()),
+                        ("members", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                nq, ns = len(row["q_ids"].values), len(row["s_ids"].values)
+                a, b = matrix(row["q_z"], nq), matrix(row["s_z"], ns)
+                mine, theirs = a[:, -count:].astype(np.int64), b[:, -count:].astype(np.int64)
+                distance = np.stack([np.sqrt(((b[:, :-count] - p) ** 2).sum(1)) for p in a[:, :-count]])
+                for number in range(count):
+                    for cluster_id in np.unique(theirs[:, number]):
+                        hit = theirs[:, number] == cluster_id
+                        yield pa.RecordBatch.from_arrays([
+                            row["q_ids"].values, pa.array(np.full(nq, number, dtype=np.int32)), pa.array(mine[:, number]), pa.array(np.full(nq, cluster_id)),
+                            pa.array(distance[:, hit].sum(1)), pa.array(np.full(nq, hit.sum()))], schema=schema)
+
+    keys = ["row", "labeling", "own"]
+    sums = (join_blocks(q, s, []).select("q_ids", "q_z", "s_ids", "s_z")
+            .mapInArrow(run, f"row {kind.simpleString()}, labeling int, own bigint, other bigint, total double, members bigint")
+            .groupBy(*keys, "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members")))
+    own = F.col("own") == F.col("other")
+    per_row = sums.groupBy(*keys).agg(F.max(F.when(own, F.col("members"))).alias("size"), F.max(F.when(own, F.col("total"))).alias("within"),
+                                      F.min(F.when(~own, F.col("total") / F.col("members"))).alias("b"))
+    a = F.col("within") / (F.col("size") - 1)
+    value = F.when(F.col("size") > 1, (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0)
+    named = F.element_at(F.array(*[F.lit(c) for c in labelings]), F.col("labeling") + 1)
+    return per_row.groupBy(named.alias("labeling")).agg(F.avg(value).alias("silhouette"), F.countDistinct("own").alias("clusters"), F.count("*").alias("rows"))
+
+
 def silhouette_by_k(rows: DataFrame, training_ids: DataFrame, seed: int = 20260814, restarts: int = 20, top_k: int = 10) -> DataFrame:
-    """(k, silhouette, best) of the training rows for every K from 2 to ``top_k`` below their number whose clusters all have rows."""
+    """(k, silhouette, best) of the training rows for every K from 2 to ``top_k`` below their number whose clusters all have rows.
+
+    All K are fitted in the same passes and scored by one pass of distance blocks; ``best`` marks the highest, ties by lower K.
+    """
     training = rows.join(training_ids.select("session_id"), "session_id", "left_semi")
-    scaled = standardise(training, training)[0].withColumn("features", array_to_vector("x"))
-    scores = []
-    for k in range(2, min(top_k, scaled.count() - 1) + 1):
-        model = cluster(scaled, k, seed, restarts)
-        labelled = model.transform(scaled).withColumnRenamed("prediction", "cluster")
-        facts = silhouette(labelled).crossJoin(labelled.agg(F.countDistinct("cluster").alias("used")))  # two single rows
-        scores.append(facts.where(F.col("used") == k).select(F.lit(k).alias("k"), "silhouette"))
-    if not scores:
+    scaled = cut_lineage(standardise(training, training)[0].select("session_id", "x"))
+    ks = range(2, min(top_k, scaled.count() - 1) + 1)
+    if not ks:
         return rows.sparkSession.createDataFrame([], "k int, silhouette double, best boolean")
-    table = scores[0]
-    for more in scores[1:]:
-        table = table.unionByName(more)
-    top = Window.orderBy(F.col("silhouette").desc(), "k")
-    return table.withColumn("best", F.row_number().over(top) == 1)
+    fits = kmeans(scaled, ks, seed, restarts)
+    labelled = scaled.select("session_id", "x", *[nearest(F.col("x"), fits[k].centres).alias(str(k)) for k in ks])
+    scored = silhouettes(cut_lineage(labelled), [str(k) for k in ks]).withColumn("k", F.col("labeling").cast("int")).where("clusters = k")
+    top = Window.orderBy(F.round("silhouette", 9).desc(), "k")  # one row per K
+    return scored.select("k", "silhouette", (F.row_number().over(top) == 1).alias("best"))

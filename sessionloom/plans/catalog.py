@@ -347,15 +347,44 @@ def mode_features_b(spark, sf_dir) -> DataFrame:
     return rows.select("session_id", F.posexplode("mode_features").alias("i", "x")).withColumn("x", r6("x"))
 
 
-@register("kmeans_modes")
+PLAYBACK_FEATURES = (sql.EVENT_ROWS, sql.SERIES, sql.samples_cte("quality", "0", "sq"), sql.samples_cte("buffer", "0", "sb"),
+                     sql.samples_cte("stalled", "1", "ss"), sql.samples_cte("state", "1", "sp"), sql.MODES_B, sql.SESSIONS, sql.split_ctes(SEED))
+
+
+@register("kmeans_modes", with_clause(*PLAYBACK_FEATURES, sql.kmeans_ctes([3], 20260816, 8, HELD_OUT)).replace("WITH", "WITH RECURSIVE", 1) + """
+, cen AS (SELECT generate_subscripts(centres, 1) AS c, unnest(centres) AS z FROM best),
+raw AS (SELECT c, z[1] * s1 + m1 + z[2] * s2 + m2 AS stalled, z[7] * s7 + m7 + 0.02 * (z[3] * s3 + m3) - (z[8] * s8 + m8) AS delivery FROM cen, mom),
+one AS (SELECT *, row_number() OVER (ORDER BY stalled DESC, c) = 1 AS starved FROM raw),
+two AS (SELECT *, row_number() OVER (ORDER BY starved, delivery DESC, c) AS place FROM one),
+named AS (SELECT c, CASE WHEN starved THEN 'S' WHEN place = 1 THEN 'H' ELSE 'T' END AS mode FROM two),
+near AS (SELECT session_id, list_position(d, list_min(d)) AS c
+         FROM (SELECT session_id, list_transform(centres, lambda m: list_distance(m, x)) AS d FROM std, best))
+SELECT session_id, mode FROM near JOIN named USING (c)""")
 def kmeans_modes(spark, sf_dir) -> DataFrame:
-    """Modes from clusters fitted on training sessions (rows only: seeding is Spark's)."""
+    """Modes from clusters fitted on training sessions by seeded k-means, best of 20 restarts."""
     samples, _ = playback_samples(spark, sf_dir)
     rows = players.playback_mode_features(samples)
     predicted, _ = modes.fit_modes(rows, training_sessions(spark, sf_dir), "playback", seed=20260816)
     return predicted.select("session_id", "mode")
 
 
+@register("silhouette_by_k", with_clause(*PLAYBACK_FEATURES, sql.kmeans_ctes(range(2, 11), 20260814, 8, HELD_OUT)).replace("WITH", "WITH RECURSIVE", 1) + """
+, lab AS (SELECT k, session_id, x, list_position(d, list_min(d)) AS c
+          FROM (SELECT k, session_id, x, list_transform(centres, lambda m: list_distance(m, x)) AS d FROM pts, best)),
+gap AS (SELECT a.session_id, a.k, a.c AS own, b.c AS other, sum(list_distance(a.x, b.x)) AS total, count(*) AS n
+        FROM lab a JOIN lab b USING (k) GROUP BY ALL),
+ab AS (SELECT k, session_id, own, max(n) FILTER (own = other) AS size, max(total) FILTER (own = other) AS within,
+              min(total / n) FILTER (own <> other) AS b FROM gap GROUP BY ALL),
+sil AS (SELECT k, avg(CASE WHEN size > 1 THEN (b - within / (size - 1)) / greatest(b, within / (size - 1)) ELSE 0 END) AS s
+        FROM ab GROUP BY k HAVING count(DISTINCT own) = k)
+SELECT k, round(s, 6) + 0.0 AS silhouette, row_number() OVER (ORDER BY round(s, 9) DESC, k) = 1 AS best FROM sil""")
+def silhouette_by_k(spark, sf_dir) -> DataFrame:
+    """Silhouette of the training sessions' clusters for K from 2 to 10, the best K marked."""
+    samples, _ = playback_samples(spark, sf_dir)
+    rows = players.playback_mode_features(samples)
+    return modes.silhouette_by_k(rows, training_sessions(spark, sf_dir)).select("k", r6("silhouette").alias("silhouette"), "best")
+
+
 @register("silhouette", with_clause(sql.VECTORS) + """
 , pairs AS (SELECT a.session_id, a.identity AS own, b.identity AS other, sum(list_distance(a.z, b.z)) AS total, count(*) AS n
             FROM vec a, vec b GROUP BY ALL),

@@ -356,6 +356,49 @@ ma AS (SELECT session_id, avg(q) AS f30, stddev_pop(q) AS f31, max(q) FILTER (k
               avg((x <> before)::INT) AS f34, quantile_cont(q, 0.25) AS qq, stddev_pop(q) FILTER (k >= 25) AS f36 FROM lq GROUP BY ALL),
 mb AS (SELECT lq.session_id, avg((q <= qq)::INT) AS f35 FROM lq JOIN ma USING (session_id) GROUP BY ALL)"""
 
+MODES_B = """
+j AS (SELECT session_id, k, sq.x AS q, sb.x AS b, ss.x AS s, sp.x AS p, lag(sq.x) OVER (PARTITION BY session_id ORDER BY k) AS before
+      FROM sq JOIN sb USING (session_id, k) JOIN ss USING (session_id, k) JOIN sp USING (session_id, k)),
+feat AS (SELECT session_id, [avg(s), avg((b < 1)::INT), median(b), avg(b) FILTER (k >= 25), avg(p), avg((q <= 360)::INT), avg(ln(1 + q)),
+                             avg((q <> before)::INT)] AS f FROM j GROUP BY ALL)"""
+
+
+def kmeans_ctes(ks, seed: int, width: int, held_out: str, restarts: int = 20) -> str:
+    """std(session_id, x, train) and best(k, centres) from feat(session_id, f), sess and split: seeded draws, rounds and restarts."""
+    most = max(ks)
+    moments = ", ".join(f"avg(f[{i}]) AS m{i}, CASE WHEN stddev_pop(f[{i}]) < 1e-6 THEN 1 ELSE stddev_pop(f[{i}]) END AS s{i}" for i in range(1, width + 1))
+    scaled = ", ".join(f"(f[{i}] - m{i}) / s{i}" for i in range(1, width + 1))
+    means = ", ".join(f"avg(x[{i}])" for i in range(1, width + 1))
+    spread = " + ".join(f"var_pop(x[{i}])" for i in range(1, width + 1))
+    luck = hash_number(f"'{seed}|' || r || '|' || step || '|' || session_id") + " / 281474976710656.0"
+    return f"""
+tr AS (SELECT session_id FROM sess JOIN split USING (identity) WHERE split = 'train' AND condition <> '{held_out}'),
+mom AS (SELECT {moments} FROM feat JOIN tr USING (session_id)),
+std AS (SELECT session_id, [{scaled}] AS x, session_id IN (SELECT session_id FROM tr) AS train FROM feat, mom),
+pts AS (SELECT session_id, x FROM std WHERE train),
+lim AS (SELECT 1e-4 * ({spread}) / {width} AS least FROM pts),
+chain AS (
+  SELECT r, 0 AS step, [arg_min(x, (-ln(u), session_id))] AS centres
+  FROM (SELECT r, session_id, x, {luck.replace("step", "0")} AS u FROM pts, range({restarts}) t(r)) GROUP BY r
+  UNION ALL
+  SELECT r, step, list_append(centres, arg_min(x, (CASE WHEN d > 0 THEN -ln(u) / d ELSE 'inf'::DOUBLE END, session_id)))
+  FROM (SELECT r, step, centres, session_id, x, {luck} AS u, pow(list_min(list_transform(centres, lambda m: list_distance(m, x))), 2) AS d
+        FROM (SELECT r, step + 1 AS step, centres FROM chain WHERE step < {most - 1}), pts) GROUP BY r, step, centres),
+lloyd AS (
+  SELECT k, r, 0 AS it, centres[1:k] AS centres, 'inf'::DOUBLE AS shift FROM chain, (VALUES {", ".join(f"({k})" for k in ks)}) t(k) WHERE step = {most - 1}
+  UNION ALL
+  (WITH live AS (SELECT lloyd.* FROM lloyd, lim WHERE shift > least AND it < 300),
+   asg AS (SELECT k, r, x, list_position(d, list_min(d)) AS c
+           FROM (SELECT k, r, x, list_transform(centres, lambda m: list_distance(m, x)) AS d FROM live, pts)),
+   mean AS (SELECT k, r, c, [{means}] AS m FROM asg GROUP BY k, r, c),
+   fresh AS (SELECT k, r, it, any_value(centres) AS old, list(coalesce(m, centres[c]) ORDER BY c) AS centres
+             FROM (SELECT *, unnest(range(1, k + 1)) AS c FROM live) LEFT JOIN mean USING (k, r, c) GROUP BY k, r, it)
+   SELECT k, r, it + 1, centres, list_sum(list_transform(range(1, k + 1), lambda i: pow(list_distance(centres[i], old[i]), 2))) FROM fresh)),
+ended AS (SELECT k, r, arg_max(centres, it) AS centres FROM lloyd GROUP BY k, r),
+priced AS (SELECT k, r, round(sum(pow(list_min(list_transform(centres, lambda m: list_distance(m, x))), 2)), 6) AS cost FROM ended, pts GROUP BY k, r),
+best AS (SELECT k, arg_min(centres, (cost, r)) AS centres FROM ended JOIN priced USING (k, r) GROUP BY k)"""
+
+
 FRONTIER = f"""
 st AS (SELECT session_id, t, seq, CASE WHEN event_type = 'view' THEN 'on' WHEN event_type = 'error' THEN 'off'
               WHEN event_type = 'signup' AND value < 3 THEN 'seek' END AS name FROM ev WHERE event_type IN ('view', 'error')

@@ -68,10 +68,10 @@ def test_fit_modes_names_every_row(spark):
     rng = random.Random(2)
     kinds = {"S": [0.9, 0.8, 1, 0, 0, 0, 3.0, 0.5], "T": [0.2, 0.2, 2, 0, 0, 0, 4.0, 0.3], "H": [0.0, 0.0, 9, 0, 0, 0, 8.0, 0.0]}
     rows = [(i, k, [v + rng.uniform(-0.02, 0.02) for v in kinds[k]]) for i, k in enumerate("STH" * 40)]
-    frame = spark.createDataFrame(rows, "session_id bigint, true string, mode_features array<double>")
+    frame = spark.createDataFrame(rows, "session_id bigint, wanted string, mode_features array<double>")
     training = frame.where("session_id < 60").select("session_id")
     named, facts = modes.fit_modes(frame, training, "playback", restarts=3)
-    assert named.where("mode <> true").count() == 0 and named.count() == 120
+    assert named.where("mode <> wanted").count() == 0 and named.count() == 120
     assert sorted(facts["names"].values()) == ["H", "S", "T"] and named.columns == [*frame.columns, "mode"]
     by_k = modes.silhouette_by_k(frame, training, restarts=3, top_k=5).orderBy("k").collect()
     assert [r.k for r in by_k] == [2, 3, 4, 5] and [r.k for r in by_k if r.best] == [3] and by_k[1].silhouette > 0.9

@@ -2,8 +2,9 @@
 
 A source's target (in words) over its size gives the copies expected of each of its documents. The whole part of that
 number is certain; the fraction is an inclusion probability, and documents are taken in ascending order of random odds
-divided by inclusion odds until the words still wanted are reached. Ranking a source is split into about sqrt(n) slots of
-the order key, so a source with a third of all rows is many small sorts. Built-in functions only.
+divided by inclusion odds until the words still wanted are reached. A document too long for what is still wanted is passed over
+and the draw goes on behind it. Ranking a source is split into about sqrt(n) slots of the order key, so a source with a third
+of all rows is many small sorts; rows without a draw take no part in it. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -53,16 +54,18 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = DEFAULT_WEIG
     """(key, source, size, source_size, target, copies, taken): how often the mix takes each document.
 
     ``odds`` (default 1) makes some documents likelier: the expected copies of a document are its source's target over
-    size, times ``odds`` over the source's size-weighted mean of it, never above ``most``. The order stops before the
-    document that would pass the target; then one document not taken, the one whose size fits the words still wanted best,
-    is added if that comes nearer.
+    size, times ``odds`` over the source's size-weighted mean of it, never above ``most``. The order is taken up to the
+    document that would pass the target; of what is left behind it, documents with words that still fit are taken in the same
+    order, and so on until none fits. Then one document not taken, the one whose size fits the words still wanted best, is
+    added if that comes nearer. So a source misses its target by less than half the shortest document left.
 
     Null or empty texts have size 0 and copies by the same rule; a null source is a source of its own, sorted last. Rows
-    with equal keys are ranked side by side. An empty table gives an empty mix. Only ``key``, ``source`` and the columns in
-    ``size`` and ``odds`` are read.
+    with equal or null keys are drawn side by side, each for itself. An empty table gives an empty mix. Only ``key``,
+    ``source`` and the columns in ``size`` and ``odds`` are read.
     """
     weight = F.lit(1.0) if odds is None else F.greatest(F.coalesce(odds.cast("double"), F.lit(0.0)), F.lit(0.0))
-    narrow = cut_lineage(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.cast("bigint").alias("size"), weight.alias("odds")))
+    narrow = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"),
+                                     size.cast("bigint").alias("size"), weight.alias("odds")))
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"),
                                           F.sum(F.col("size") * F.col("odds")).alias("_odds"))
     plan = source_targets(totals.select("source", "source_size"), weights, most)
@@ -78,29 +81,52 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = DEFAULT_WEIG
     slots = F.ceil(F.sqrt(F.col("_rows").cast("double")))
     # rank_key / (1 + rank_key) maps the key to (0, 1) in order; ties fall into one slot.
     drawn = drawn.withColumn("slot", F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * slots).cast("bigint"))
-    drawn = cut_lineage(drawn.select("key", "source", "size", "source_size", "target", "certain", "rank_key", "slot"))
-
-    sums = drawn.groupBy("source", "slot").agg(F.sum(F.when(F.col("rank_key").isNotNull(), F.col("size")).otherwise(0)).alias("words"),
-                                               F.sum(F.col("size") * F.col("certain")).alias("sure"), F.first("target").alias("target"))
-    by_source = Window.partitionBy("source").orderBy(F.col("slot").asc_nulls_first())
-    carry = sums.select(
-        F.col("source").alias("_s"), F.col("slot").alias("_slot"),
-        F.coalesce(F.sum("words").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        (F.col("target") - F.sum("sure").over(by_source.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("wanted"))
-    placed = drawn.join(carry, F.col("source").eqNullSafe(F.col("_s")) & F.col("slot").eqNullSafe(F.col("_slot"))).drop("_s", "_slot")
-    inside = Window.partitionBy("source", "slot").orderBy("rank_key", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    reached = placed.withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    extra = F.col("rank_key").isNotNull() & (F.col("upto") <= F.col("wanted"))
-    chosen = cut_lineage(reached.select("key", "source", "size", "source_size", "target", "certain", "rank_key", "wanted", extra.alias("extra")))
-
-    short = chosen.groupBy("source").agg((F.first("wanted") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("short"))
-    rest = chosen.where("rank_key is not null and not extra").join(
-        short.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    filler = rest.where("short > 0 and abs(short - size) < short").groupBy("source").agg(
-        F.min(F.struct(F.abs(F.col("short") - F.col("size")), F.col("key"))).alias("best"))
-    filler = filler.select(F.col("source").alias("_s"), F.col("best.key").alias("_k"), F.lit(True).alias("fills"))
-    done = chosen.join(filler, F.col("source").eqNullSafe(F.col("_s")) & F.col("key").eqNullSafe(F.col("_k"))
-                       & ~F.col("extra") & F.col("rank_key").isNotNull(), "left")
-    copies = F.col("certain") + F.col("extra").cast("bigint") + F.coalesce(F.col("fills"), F.lit(False)).cast("bigint")
-    return done.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"),
-                       (copies * F.col("size")).alias("taken"))
+    drawn = cut_lineage(drawn.select("row", "key", "source", "size", "source_size", "target", "certain", "rank_key", "slot"))
+    sure = drawn.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("certain"))).alias("wanted"))
+
+    state = cut_lineage(sure.withColumn("done", F.lit(0).cast("bigint")))
+    fitting = _joined(drawn.where("rank_key is not null").select("row", "key", "source", "size", "rank_key", "slot"), state).where(_fits())
+    taken = drawn.where("false").select("row")
+    while True:
+        fitting = cut_lineage(fitting)
+        if not fitting.limit(1).collect():
+            break
+        fresh = cut_lineage(_within(fitting))
+        taken = taken.unionByName(fresh.select("row"))
+        gained = fresh.groupBy("source").agg(F.sum("size").alias("gain"))
+        state = cut_lineage(_joined(state, gained, "left").select("source", "wanted", (F.col("done") + F.coalesce("gain", F.lit(0))).alias("done")))
+        fitting = _joined(fitting.drop("wanted", "done").join(fresh.select("row"), "row", "left_anti"), state).where(_fits())
+
+    short = F.col("wanted") - F.col("done")
+    gap = F.abs(short - F.col("size"))
+    passed = _joined(drawn.where("rank_key is not null").select("row", "key", "source", "size").join(taken, "row", "left_anti"), state)
+    filler = passed.where((short > 0) & (gap < short)).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "key", "row")).alias("best")).select("best.row")
+    extra = taken.unionByName(filler).withColumn("extra", F.lit(1).cast("bigint"))
+    copies = F.col("certain") + F.coalesce("extra", F.lit(0).cast("bigint"))
+    return drawn.join(extra, "row", "left").select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"),
+                                                   (copies * F.col("size")).alias("taken"))
+
+
+def _joined(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of the row of their source."""
+    other = by_source.withColumnRenamed("source", "_s")
+    return rows.join(other, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
+
+
+def _fits() -> Column:
+    """Whether a document with words still fits into what its source wants."""
+    return (F.col("size") > 0) & (F.col("size") + F.col("done") <= F.col("wanted"))
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """(row, source, size) of the documents taken next: in Pareto order up to the first that passes its source's target.
+
+    All ``rows`` fit for themselves, so each source takes the first of them at least.
+    """
+    sums = rows.groupBy("source", "slot").agg(F.sum("size").alias("words"))
+    by_source = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(F.col("source").alias("_s"), F.col("slot").alias("_slot"), F.coalesce(F.sum("words").over(by_source), F.lit(0)).alias("before"))
+    placed = rows.join(carry, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_slot"))).drop("_s", "_slot")
+    inside = Window.partitionBy("source", "slot").orderBy("rank_key", "key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("done") + F.col("before") + F.sum("size").over(inside)
+    return placed.withColumn("upto", upto).where("upto <= wanted").select("row", "source", "size")

@@ -12,7 +12,7 @@ _WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambd
 def _pareto_mix(weights=mixing.DEFAULT_WEIGHTS, most=mixing.MAX_REPEATS, seed=1) -> str:
     listed = ", ".join(f"{w}::DOUBLE" for w in weights)
     return f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM s),
 w AS (SELECT *, [{listed}][(turn % {len(weights)} + 1)::INT] AS w, source_size::DOUBLE * {most} AS cap FROM r),
@@ -27,15 +27,22 @@ e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least({mos
 f AS (SELECT *, floor(round(expected, 9))::BIGINT AS certain, greatest(0.0, expected - floor(round(expected, 9))) AS share,
         (('0x' || substr(sha256('{seed}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM e),
 g AS (SELECT *, CASE WHEN share > 1e-9 THEN (u / (1 - u)) / (share / (1 - share)) END AS k FROM f),
-h AS (SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS wanted,
-        sum(CASE WHEN k IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k NULLS FIRST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM g),
-i AS (SELECT *, coalesce(k IS NOT NULL AND upto <= wanted, false) AS extra FROM h),
-j AS (SELECT source, any_value(wanted) - sum(CASE WHEN extra THEN size ELSE 0 END) AS short FROM i GROUP BY source),
-m AS (SELECT i.source, first(doc_id ORDER BY abs(short - size), doc_id) AS doc_id FROM i JOIN j ON i.source IS NOT DISTINCT FROM j.source
-      WHERE k IS NOT NULL AND NOT extra AND short > 0 AND abs(short - size) < short GROUP BY i.source)
-SELECT i.doc_id, size, source_size, target,
-       (certain + extra::INT + (m.doc_id IS NOT NULL AND NOT extra AND k IS NOT NULL)::INT) * size AS taken
-FROM i LEFT JOIN m ON i.source IS NOT DISTINCT FROM m.source AND i.doc_id = m.doc_id"""
+h AS (SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS wanted, row_number() OVER () AS rid FROM g),
+-- the draw: each turn takes the order up to the first document that passes the target; what fits behind it goes on to the next turn
+p AS (SELECT rid, doc_id, source, size, k, wanted, 0::BIGINT AS done,
+        sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size, rid ROWS UNBOUNDED PRECEDING) <= wanted AS taken
+      FROM h WHERE k IS NOT NULL AND size > 0 AND size <= wanted
+      UNION ALL
+      SELECT rid, doc_id, source, size, k, wanted, done,
+        done + sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size, rid ROWS UNBOUNDED PRECEDING) <= wanted AS taken
+      FROM (SELECT * REPLACE (done + coalesce(sum(size) FILTER (taken) OVER (PARTITION BY source), 0)::BIGINT AS done) FROM p)
+      WHERE NOT taken AND size + done <= wanted),
+x AS (SELECT DISTINCT rid FROM p WHERE taken),
+j AS (SELECT source, any_value(wanted) - coalesce(sum(size) FILTER (rid IN (SELECT rid FROM x)), 0) AS short FROM h WHERE k IS NOT NULL GROUP BY source),
+m AS (SELECT first(rid ORDER BY abs(short - size), doc_id, rid) AS rid FROM h JOIN j ON h.source IS NOT DISTINCT FROM j.source
+      WHERE k IS NOT NULL AND rid NOT IN (SELECT rid FROM x) AND short > 0 AND abs(short - size) < short GROUP BY h.source)
+SELECT doc_id, size, source_size, target,
+       (certain + (rid IN (SELECT rid FROM x))::INT + (rid IN (SELECT rid FROM m))::INT) * size AS taken FROM h"""
 
 
 PARETO_MIX = _pareto_mix()

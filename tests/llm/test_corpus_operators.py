@@ -63,6 +63,20 @@ def test_mix_meets_targets(odd, empty, documents):
     assert mixing.mix(empty, word_count(F.col("text"))).count() == 0
 
 
+def test_mix_with_repeated_ids_capped_sources_and_long_documents(spark):
+    rng = random.Random(9)
+    texts = [(i // 2, "twice", 100) for i in range(20)] + [(None, "none", 100)] * 20
+    texts += [(1000 + i, "capped", 10) for i in range(40)] + [(2000 + i, "large", rng.choice([5, 7, 300])) for i in range(400)] + [(5000, "large", 40_000)]
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, s, n in texts], "doc_id bigint, text string, source string")
+    rows = mixing.mix(docs, word_count(F.col("text")), weights=(5.0, 1.0, 1.0, 1.0)).collect()
+    assert len(rows) == len(texts)
+    for source in ("twice", "none", "capped", "large"):
+        mine = [r for r in rows if r.source == source]
+        short = mine[0].target - sum(r.taken for r in mine)
+        left = [r["size"] for r in mine if r.copies < 3 and r.copies <= mine[0].target / mine[0].source_size]
+        assert abs(short) <= min(left, default=0) / 2 + 1e-6, source
+
+
 def test_mix_favours_higher_odds(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 3000, "x").otherwise("y").alias("source"),
                                     F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("good"))

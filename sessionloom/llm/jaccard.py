@@ -8,9 +8,11 @@ on distances are measured: the ball around a pivot is linked, and of the rest on
 unlinked one go on to the next pivot. Small regions do this inside one task; large ones measure their pivot's ball first and
 go on with the members that are not yet connected to it, block by block.
 
-Two passes prepare this without moving texts. Tasks send each shingle once per batch to its bucket, where document
-frequencies are counted; a document with fewer than ceil(t n) shingles known elsewhere cannot have a link and is done.
-Shingles common within one batch are announced, not listed, so no bucket grows with a hot passage. Equal sets are one node.
+Passes over the texts prepare this without moving them. A first one adds up a count-min sketch of document frequencies, of fixed
+size; shingles that it calls hot are hot for every task, get a class by their estimate and are listed with their documents only.
+Then tasks send each other shingle once per batch to its bucket, where frequencies are counted exactly; a document with fewer
+than ceil(t n) shingles known elsewhere cannot have a link and is done. Shingles common within one batch are announced, not
+listed. So no bucket grows with a hot passage, whether it is dense in one place or thin everywhere. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ from .text import ascii_lower, words
 
 #: A shingle this frequent in one batch counts as hot everywhere; the order treats all hot shingles alike.
 HOT = 64
+#: Counters of the sketch, and rows: a shingle's estimate is the least of its counters, never below its frequency.
+SKETCH_BITS, SKETCH_ROWS = 18, 2
+#: Hot by the sketch: an estimate of so many documents, and of so many times the mean counter.
+SKETCH_LEAST, SKETCH_MEANS = 1024, 8
+#: A set of at least this share of all documents is joined by broadcast; there are at most as many as the number says.
+HOT_SHARE = 1000
 #: Documents per bucket on average: a bucket holds about as many shingles as these.
 DOCS_PER_BUCKET = 4000
 #: Words handled at once in the first stage; bounds the memory of a task.
@@ -38,9 +46,9 @@ BLOCK_BYTES = 16_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, docs array<bigint>"
+_PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary, docs array<bigint>"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()),
-                           ("d", pa.binary()), ("docs", pa.list_(pa.int64()))])
+                           ("d", pa.binary()), ("e", pa.binary()), ("docs", pa.list_(pa.int64()))])
 _POSTINGS, _HEADS, _FACTS = 0, 1, 2
 
 
@@ -92,8 +100,8 @@ def _bounds(ordered: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(_first(ordered)), len(ordered))
 
 
-def _row(bucket: int, kind: int, a=None, b=None, c=None, d=None, docs=None) -> tuple:
-    return (bucket, kind, *[None if x is None else x.tobytes() for x in (a, b, c, d)], docs)
+def _row(bucket: int, kind: int, a=None, b=None, c=None, d=None, e=None, docs=None) -> tuple:
+    return (bucket, kind, *[None if x is None else x.tobytes() for x in (a, b, c, d, e)], docs)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -110,8 +118,64 @@ def _slices(batch: pa.RecordBatch, most: int = SLICE_WORDS) -> Iterator[pa.Recor
         lo = hi
 
 
-def _send(width: int, buckets: int):
-    """Stage 1: from documents to postings, heads (document, set, size) and facts (set, size, its batch-hot shingles)."""
+def _places(tokens: np.ndarray, row: int) -> np.ndarray:
+    """Counter of each shingle in a row of the sketch."""
+    return (_scatter(tokens + np.uint64(row + 1)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch(width: int):
+    """Per task: documents of each counter, counted in sets without repeats; only counters above zero leave it, packed."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.int64)
+        for batch in (part for whole in batches for part in _slices(whole)):
+            lists = batch.column("w")
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
+            sets = shingle_sets(flat, offsets - offsets[0], width)
+            tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+            for row in range(SKETCH_ROWS):
+                counts[row] += np.bincount(_places(tokens, row), minlength=1 << SKETCH_BITS)
+        size = 1 << 12
+        parts = counts.reshape(-1, size)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts[used].tolist(), pa.list_(pa.int64()))], names=["part", "counts"])
+
+    return task
+
+
+def _add_up(pair: pa.Table) -> pa.Table:
+    total = np.sum([np.array(v.as_py(), dtype=np.int64) for v in pair.column("counts")], axis=0)
+    return pa.table({"part": pair.column("part")[:1], "counts": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+
+def frequency_sketch(hashed: DataFrame, width: int) -> np.ndarray:
+    """Count-min sketch of the documents of every shingle: ``SKETCH_ROWS`` x 2^``SKETCH_BITS`` counters, 4 MB at any size of the input."""
+    kinds = "part int, counts array<bigint>"
+    parts = hashed.select("w").mapInArrow(_sketch(width), kinds).groupBy("part").applyInArrow(_add_up, kinds)
+    counts = np.zeros((SKETCH_ROWS << SKETCH_BITS >> 12, 1 << 12), dtype=np.int64)
+    for row in parts.toLocalIterator():
+        counts[row["part"]] = row["counts"]
+    return counts.reshape(SKETCH_ROWS, -1)
+
+
+def hot_classes(sketch: np.ndarray) -> np.ndarray:
+    """Sketch with counters turned into classes: 0 where a shingle is not hot, else from ``HOT`` + 1 on by powers of two."""
+    least = max(SKETCH_LEAST, SKETCH_MEANS * int(sketch.sum()) // sketch.size)
+    return np.where(sketch >= least, HOT + 1 + np.log2(np.maximum(sketch, 1)).astype(np.int64), 0).astype(np.uint8)
+
+
+def _class_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    out = classes[0][_places(tokens, 0)]
+    for row in range(1, len(classes)):
+        out = np.minimum(out, classes[row][_places(tokens, row)])
+    return out
+
+
+def _send(width: int, buckets: int, shared):
+    """Stage 1: from documents to postings, heads (document, set, size) and facts (set, size, its hot shingles with classes).
+
+    A slice sends a row to each bucket that one of its shingles or sets belongs to, whatever the number of buckets.
+    """
     def bucket_of(x: np.ndarray) -> np.ndarray:
         return ((x >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
@@ -138,9 +202,13 @@ def _send(width: int, buckets: int):
             by = np.argsort(tokens, kind="stable")
             starts = _bounds(tokens[by])
             runs = np.diff(starts)
-            hot = np.zeros(len(tokens), dtype=bool)
-            hot[by] = np.repeat(runs >= HOT, runs)
+            classes = _class_of(tokens, shared.value)
+            dense = np.zeros(len(tokens), dtype=bool)
+            dense[by] = np.repeat(runs >= HOT, runs)
             announced = tokens[by][starts[:-1]][runs >= HOT]
+            announced = announced[_class_of(announced, shared.value) == 0]
+            hot = dense | (classes > 0)
+            classes = np.maximum(classes, HOT).astype(np.uint8)
             rows = []
             # Postings: owners and their shingles, cut by the shingles' buckets.
             cold, cold_owner = tokens[~hot], owner[~hot]
@@ -148,22 +216,27 @@ def _send(width: int, buckets: int):
             by = np.argsort(at, kind="stable")
             cold, cold_owner, at = cold[by], cold_owner[by], at[by]
             announced_at = bucket_of(announced)
-            cuts = np.searchsorted(at, np.arange(buckets + 1))
-            for k in range(buckets):
-                part, own = cold[cuts[k]:cuts[k + 1]], cold_owner[cuts[k]:cuts[k + 1]]
-                known = announced[announced_at == k]
-                if len(part) or len(known):
-                    runs_of = _bounds(own) if len(own) else np.zeros(1, dtype=np.int64)
-                    rows.append(_row(k, _POSTINGS, owner_ids[own[runs_of[:-1]]], np.diff(runs_of).astype(np.uint32), part, known))
+            by = np.argsort(announced_at, kind="stable")
+            announced, announced_at = announced[by], announced_at[by]
+            present = np.union1d(at, announced_at)
+            cuts = np.stack([np.searchsorted(at, present, side) for side in ("left", "right")], axis=1).tolist()
+            known_cuts = np.stack([np.searchsorted(announced_at, present, side) for side in ("left", "right")], axis=1).tolist()
+            for k, (lo, hi), (known_lo, known_hi) in zip(present.tolist(), cuts, known_cuts, strict=True):
+                own = cold_owner[lo:hi]
+                runs_of = _bounds(own) if len(own) else np.zeros(1, dtype=np.int64)
+                rows.append(_row(k, _POSTINGS, owner_ids[own[runs_of[:-1]]], np.diff(runs_of).astype(np.uint32), cold[lo:hi], announced[known_lo:known_hi]))
             # Facts, by the set's bucket.
             at = bucket_of(owner_ids)
-            hot_tokens, hot_owner = tokens[hot], owner[hot]
+            hot_tokens, hot_owner, hot_classes = tokens[hot], owner[hot], classes[hot]
             hot_runs = np.bincount(hot_owner, minlength=len(chosen))
             hot_starts = np.concatenate([[0], np.cumsum(hot_runs)])
-            for k in np.flatnonzero(np.bincount(at, minlength=buckets)).tolist():
-                mine = np.flatnonzero(at == k)
-                listed = [hot_tokens[hot_starts[i]:hot_starts[i + 1]] for i in mine.tolist()]
-                rows.append(_row(k, _FACTS, owner_ids[mine], owner_sizes[mine], hot_runs[mine].astype(np.uint32), np.concatenate(listed)))
+            by = np.argsort(at, kind="stable")
+            cuts = _bounds(at[by])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mine = by[lo:hi]
+                spans = [slice(hot_starts[i], hot_starts[i + 1]) for i in mine.tolist()]
+                rows.append(_row(int(at[mine[0]]), _FACTS, owner_ids[mine], owner_sizes[mine], hot_runs[mine].astype(np.uint32),
+                                 np.concatenate([hot_tokens[s] for s in spans]), e=np.concatenate([hot_classes[s] for s in spans])))
             yield _batch(rows)
 
     return task
@@ -221,7 +294,7 @@ def _prefixes(percent: int):
         sizes = np.concatenate(_read(facts.column("b"), np.int64))
         hot_owner = np.repeat(sids, np.concatenate(_read(facts.column("c"), np.uint32)))
         hot = np.concatenate(_read(facts.column("d"), np.uint64))
-        owners, tokens, ranks = [hot_owner], [hot], [np.full(len(hot), HOT, dtype=np.uint8)]
+        owners, tokens, ranks = [hot_owner], [hot], [np.concatenate(_read(facts.column("e"), np.uint8))]
         if posts.num_rows:
             owners.append(np.repeat(np.concatenate(_read(posts.column("a"), np.uint64)), np.concatenate(_read(posts.column("b"), np.uint32))))
             tokens.append(np.concatenate(_read(posts.column("c"), np.uint64)))
@@ -387,16 +460,21 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     ship_package(spark)
     buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
     hashed = docs.select(F.col(key).cast("bigint").alias("key"), F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)).alias("w"))
-    packed = hashed.mapInArrow(_send(width, buckets), _PACKED).groupBy("bucket").applyInArrow(_count(buckets), _PACKED)
+    shared = spark.sparkContext.broadcast(hot_classes(frequency_sketch(hashed, width)))
+    packed = hashed.mapInArrow(_send(width, buckets, shared), _PACKED).groupBy("bucket").applyInArrow(_count(buckets), _PACKED)
     packed = cut_lineage(packed)
     heads = packed.where(F.col("kind") == _HEADS).mapInArrow(_unpack_heads, "key bigint, sid bigint, n_shingles bigint")
     cores = cut_lineage(packed.where(F.col("kind") != _HEADS).groupBy("bucket").applyInArrow(_prefixes(percent), _CORES))
     roots = connected_components(linked_sets(cores, percent, region_rows, block_bytes))
-    first = heads.where("n_shingles > 0").groupBy("sid").agg(F.min("key").alias("first"))
-    named = first.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    first = heads.where("n_shingles > 0").groupBy("sid").agg(F.min("key").alias("first"), F.count("*").alias("_n"))
+    named = cut_lineage(first.join(roots.withColumnRenamed("node", "sid"), "sid", "left"))
     lowest = named.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))
-    classes = named.join(lowest, "root", "left").select("sid", F.coalesce("lowest", "first").alias("component"))
-    out = heads.join(classes, "sid", "left")
+    classes = named.join(lowest, "root", "left").select("sid", F.coalesce("lowest", "first").alias("component"), "_n")
+    # A set with a large share of all documents would be one task of the join; of those there are at most HOT_SHARE.
+    total = F.lit(named.agg(F.sum("_n")).first()[0] or 0)
+    hot = F.broadcast(classes.where(F.col("_n") * HOT_SHARE >= total).drop("_n"))
+    rest = classes.where(F.col("_n") * HOT_SHARE < total).drop("_n")
+    out = heads.join(hot, "sid").unionByName(heads.join(hot.select("sid"), "sid", "left_anti").join(rest, "sid", "left"))
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"))
 

@@ -395,3 +395,35 @@ def test_urls(spark, url, host, path, rule, verdict):
 
 def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
+
+
+def sent_rows(spark, docs, buckets: int) -> int:
+    hashed = docs.select(F.col("doc_id").alias("key"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("w"))
+    shared = spark.sparkContext.broadcast(jaccard.hot_classes(jaccard.frequency_sketch(hashed, 5)))
+    return hashed.coalesce(1).mapInArrow(jaccard._send(5, buckets, shared), jaccard._PACKED).count()
+
+
+def test_rows_of_a_slice_do_not_follow_the_bucket_count(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(str(rng.randint(0, 10 ** 6)) for _ in range(24))) for i in range(50)], "doc_id bigint, text string")
+    assert sent_rows(spark, docs, 10 ** 7) <= 50 * (20 + 1) + 1 and sent_rows(spark, docs, 10 ** 9) <= 50 * (20 + 1) + 1
+
+
+def test_shingles_thin_everywhere_are_hot_for_all(spark, monkeypatch):
+    """A passage in a tenth of the texts, below the bound within every slice: no bucket lists it, and the join stays exact."""
+    monkeypatch.setattr(jaccard, "SKETCH_LEAST", 20)
+    monkeypatch.setattr(jaccard, "SKETCH_MEANS", 0)
+    rng = random.Random(8)
+    passage = "this passage of eight words stands in many"
+    rows = []
+    for i in range(300):
+        own = " ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 400)) for _ in range(25))
+        rows.append((i, f"{passage} {own}" if i % 4 == 0 else own if i % 10 else f"{rows[rng.randint(0, i - 1)][1] if i else own} more"))
+    rows += [(1000 + i, passage + " end" * (i % 3)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    hashed = docs.select(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("w"))
+    classes = jaccard.hot_classes(jaccard.frequency_sketch(hashed, 5))
+    tokens = jaccard.shingle_sets(np.array(hashed.where("size(w) = 8").first().w, dtype=np.int64), np.array([0, 8]), 5)[0]
+    assert len(tokens) == 4 and (jaccard._class_of(tokens, classes) > jaccard.HOT).all()
+    got = sorted(map(tuple, jaccard.join_documents(docs).collect()))
+    assert got == sorted(brute.jaccard_components(rows))

@@ -10,7 +10,7 @@ from ..runtime import cut_lineage
 from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
-from . import tables
+from . import logs, tables
 from .tables import EVENT_DATA
 
 REGISTRY: dict[str, tuple] = {}
@@ -989,3 +989,68 @@ def packet_validity(spark, sf_dir) -> DataFrame:
     good, bad = features.split_packets(raw)
     rows = good.select(F.lit("usable").alias("verdict")).unionByName(bad.select(F.col("reason").alias("verdict")))
     return rows.groupBy("verdict").agg(F.count("*").alias("packets"))
+
+
+# --- logs of every format, written from the events and read back ---------------------------------------------------
+
+def rounded6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+@register("line_log_packets", with_clause(sql.LOG_ROWS) + """
+SELECT session_id, 'bw' || (1 << (block % 4)) AS condition, round(u0 / 1000.0::DOUBLE / 1000, 6) + 0.0 AS origin,
+       round(u1 * 1000 / 1e9 - u0 * 1000 / 1e9, 6) + 0.0 AS duration, round(us * 1000 / 1e9 - u0 * 1000 / 1e9, 6) + 0.0 AS t, up AS direction,
+       round(value, 6) + 0.0 AS length FROM lg JOIN ends USING (session_id)""")
+def line_log_packets(spark, sf_dir) -> DataFrame:
+    """Line logs written with their companions, discovered, paired and read."""
+    return rounded6(logs.line_packets(spark, sf_dir), "origin", "duration", "t", "length")
+
+
+@register("line_log_player", with_clause(sql.LOG_ROWS) + """
+SELECT session_id, CASE WHEN event_type IN ('error', 'signup') THEN 'state' ELSE 'series' END AS kind,
+       round(us / 1000.0::DOUBLE / 1000 - u0 / 1000.0::DOUBLE / 1000, 6) + 0.0 AS t,
+       CASE event_type WHEN 'view' THEN 'btr' WHEN 'purchase' THEN 'buf' WHEN 'click' THEN 'pbr' WHEN 'error' THEN 'playbackWaiting' ELSE 'playbackPlaying' END AS name,
+       CASE WHEN event_type IN ('view', 'purchase', 'click') THEN round(value, 6) + 0.0 END AS value FROM lg JOIN ends USING (session_id)""")
+def line_log_player(spark, sf_dir) -> DataFrame:
+    """A5: states and series of the player event logs, relative to the trace's origin."""
+    return rounded6(logs.line_player(spark, sf_dir), "t", "value")
+
+
+@register("capture_packets", with_clause(sql.LOG_ROWS) + """
+SELECT session_id, round(u1 / 1e6 - u0 / 1e6, 6) + 0.0 AS duration, round(us / 1e6 - u0 / 1e6, 6) + 0.0 AS t, up AS direction, round(value, 6) + 0.0 AS length
+FROM lg JOIN ends USING (session_id)""")
+def capture_packets(spark, sf_dir) -> DataFrame:
+    """A2, A4: CSV captures, the client inferred from the addresses, paired with their application data."""
+    return rounded6(logs.capture_packets(spark, sf_dir), "duration", "t", "length")
+
+
+@register("capture_player", with_clause(sql.LOG_ROWS) + """
+SELECT session_id, 'v' || identity AS identity, round(us / 1e6, 6) + 0.0 AS t, ([360, 360, 480, 720, 1080, 144])[(seq % 6 + 1)::INT]::DOUBLE AS quality,
+       round(value / 1000, 6) + 0.0 AS buffer, (event_type = 'error')::INT::DOUBLE AS stalled, (event_type IN ('error', 'purchase'))::INT::DOUBLE AS state FROM lg""")
+def capture_player(spark, sf_dir) -> DataFrame:
+    """Application data with format codes, one identity a log."""
+    return rounded6(logs.csv_player(spark, sf_dir), "t", "buffer")
+
+
+NPZ_SQL = with_clause(sql.LOG_ROWS) + """
+SELECT session_id, round(us / 1e6 - u0 / 1e6, 6) + 0.0 AS t, up AS direction, round(value, 6) + 0.0 AS length FROM lg JOIN ends USING (session_id)"""
+
+
+@register("npz_packets", NPZ_SQL)
+def npz_packets(spark, sf_dir) -> DataFrame:
+    """NPZ traces written whole and read as binary files."""
+    return rounded6(logs.npz_packets(spark, sf_dir), "t", "length")
+
+
+@register("trace_source_npz", NPZ_SQL)
+def trace_source_npz(spark, sf_dir) -> DataFrame:
+    """NPZ traces through the registered data source."""
+    return rounded6(logs.npz_packets(spark, sf_dir, "source"), "t", "length")
+
+
+@register("trace_source_lines", with_clause(sql.LOG_ROWS) + """
+SELECT session_id, round(us * 1000 / 1e9 - u0 * 1000 / 1e9, 6) + 0.0 AS t, up AS direction, round(value, 6) + 0.0 AS length
+FROM lg JOIN ends USING (session_id) WHERE us * 1000 / 1e9 - u0 * 1000 / 1e9 < 259200""")
+def trace_source_lines(spark, sf_dir) -> DataFrame:
+    """A3: line logs through the registered data source, cut into small splits, with the time filter pushed down."""
+    return rounded6(logs.trace_log_packets(spark, sf_dir, 259_200.0), "t", "length")

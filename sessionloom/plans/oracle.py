@@ -523,3 +523,10 @@ def entropy_ctes(sigma: float = 2.0, window: float = 60.0) -> str:
     return f"""
 en0 AS MATERIALIZED (SELECT session_id, [{', '.join(items)}] AS items FROM pma),
 en AS (SELECT session_id, it.l AS l FROM (SELECT session_id, unnest(items) AS it FROM en0) WHERE it.ok)"""
+
+
+# --- logs ----------------------------------------------------------------------------------------------------------
+
+LOG_ROWS = EVENT_ROWS + """,
+lg AS (SELECT *, round(t * 1000000)::BIGINT AS us, (event_type IN ('click','purchase','signup'))::INT AS up FROM ev),
+ends AS (SELECT session_id, min(us) AS u0, max(us) AS u1 FROM lg GROUP BY ALL)"""

@@ -127,7 +127,7 @@ def _sketch(width: int):
     """Per task: documents of each counter, counted in sets without repeats; only counters above zero leave it, packed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.int64)
-        for batch in (part for whole in batches for part in _slices(whole)):
+        for batch in (part for whole in batches for part in _slices(whole, SLICE_WORDS // 5)):
             lists = batch.column("w")
             offsets = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
@@ -138,14 +138,15 @@ def _sketch(width: int):
         size = 1 << 12
         parts = counts.reshape(-1, size)
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts[used].tolist(), pa.list_(pa.int64()))], names=["part", "counts"])
+        ends = pa.array(np.arange(len(used) + 1, dtype=np.int32) * size)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(parts[used].ravel()))], names=["part", "counts"])
 
     return task
 
 
-def _add_up(pair: pa.Table) -> pa.Table:
-    total = np.sum([np.array(v.as_py(), dtype=np.int64) for v in pair.column("counts")], axis=0)
-    return pa.table({"part": pair.column("part")[:1], "counts": pa.array([total.tolist()], pa.list_(pa.int64()))})
+def _add_up(part: pa.Table) -> pa.Table:
+    counts = part.column("counts").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).sum(axis=0)
+    return pa.table({"part": part.column("part")[:1], "counts": pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts))})
 
 
 def frequency_sketch(hashed: DataFrame, width: int) -> np.ndarray:
@@ -202,13 +203,12 @@ def _send(width: int, buckets: int, shared):
             by = np.argsort(tokens, kind="stable")
             starts = _bounds(tokens[by])
             runs = np.diff(starts)
-            classes = _class_of(tokens, shared.value)
-            dense = np.zeros(len(tokens), dtype=bool)
-            dense[by] = np.repeat(runs >= HOT, runs)
-            announced = tokens[by][starts[:-1]][runs >= HOT]
-            announced = announced[_class_of(announced, shared.value) == 0]
-            hot = dense | (classes > 0)
-            classes = np.maximum(classes, HOT).astype(np.uint8)
+            once = tokens[by[starts[:-1]]]
+            known = _class_of(once, shared.value)
+            announced = once[(runs >= HOT) & (known == 0)]
+            classes = np.empty(len(tokens), dtype=np.uint8)
+            classes[by] = np.repeat(np.where(runs >= HOT, np.maximum(known, HOT), known), runs)
+            hot = classes > 0
             rows = []
             # Postings: owners and their shingles, cut by the shingles' buckets.
             cold, cold_owner = tokens[~hot], owner[~hot]

@@ -169,8 +169,8 @@ def token_sums(bins: DataFrame, stats: DataFrame, config: DataConfig, until: flo
 
 
 def fingerprints(packets: DataFrame, stats: DataFrame, config: DataConfig, until: float | None = None,
-                 start: float = 0.0, sessions: DataFrame | None = None, local: str = "fused") -> DataFrame:
-    """(session_id, z, u, v, r) without learned weights.
+                 start: float = 0.0, sessions: DataFrame | None = None, local: str = "fused", bins: DataFrame | None = None) -> DataFrame:
+    """(session_id, z, u, v, r) without learned weights (F2, F8-F11); ``bins`` replaces the sparse bins of ``packets`` where they are known.
 
     ``u`` fuses the pooled scales by reliability, ``v`` is ``u`` (or the pooled finest scale with ``local='finest'``)
     normalised per token, ``r`` is the best reliability over the scales, ``z`` the weighted mean and maximum of ``u``
@@ -179,7 +179,7 @@ def fingerprints(packets: DataFrame, stats: DataFrame, config: DataConfig, until
     if local not in ("fused", "finest"):
         raise ValueError(f"unknown local token source {local}")
     sessions = packets.select("session_id").distinct() if sessions is None else sessions.select("session_id").distinct()
-    sums = token_sums(sparse_bins(packets, config, until, start), stats, config, until)
+    sums = token_sums(sparse_bins(packets, config, until, start) if bins is None else bins, stats, config, until)
     fused = _layout(config, until, config.scales)
     finest = _layout(config, until, config.scales[:1])
 

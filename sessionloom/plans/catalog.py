@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, ensure_checkpoint_dir
+from ..streaming import bins as streaming
 from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
@@ -1054,3 +1058,36 @@ FROM lg JOIN ends USING (session_id) WHERE us * 1000 / 1e9 - u0 * 1000 / 1e9 < 2
 def trace_source_lines(spark, sf_dir) -> DataFrame:
     """A3: line logs through the registered data source, cut into small splits, with the time filter pushed down."""
     return rounded6(logs.trace_log_packets(spark, sf_dir, 259_200.0), "t", "length")
+
+
+# --- bins from a stream ------------------------------------------------------------------------------------------
+
+def streamed_bins(spark, sf_dir) -> DataFrame:
+    """Events in five arrivals by time, the second one late, with a restart after every one; sessions reach over the cuts."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = tables.packets(spark, sf_dir).withColumn("day", (F.col("block") * tables.BLOCK_SECONDS + F.col("t")) / 86_400)
+    micros = F.round((F.col("block") * tables.BLOCK_SECONDS + F.col("t")) * 1_000_000).cast("bigint")
+    told = rows.select("session_id", F.timestamp_micros(micros).alias("event_time"), ((F.col("block") + 1) * tables.BLOCK_SECONDS * 1000).alias("ends"),
+                       "t", "direction", "length", "day")
+    cuts = [-math.inf, 9.0, 15.0, 21.0, 27.0, math.inf]
+    for part in (0, 2, 1, 3, 4):
+        arrived = told.where((F.col("day") >= F.lit(cuts[part])) & (F.col("day") < F.lit(cuts[part + 1]))).drop("day")
+        arrived.write.mode("append").parquet(f"{root}/incoming")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{root}/incoming")
+        streaming.run_available(spark, stream, EVENT_DATA, f"{root}/bins", f"{root}/checkpoint", "13 days")
+    return streaming.latest_bins(spark, f"{root}/bins")
+
+
+@register("stream_bins", REGISTRY["bin_features"][1])
+def stream_bins(spark, sf_dir) -> DataFrame:
+    """Dense bins of every session from a stream with late packets and restarts."""
+    dense = streaming.dense_bins(streamed_bins(spark, sf_dir), EVENT_DATA)
+    return dense.select("session_id", "scale", "bin", r6("c0").alias("c0"), r6("c1").alias("c1"), "c2", "c3", r6("c4").alias("c4"), "mask")
+
+
+@register("stream_fingerprint_prefix", REGISTRY["session_fingerprint_prefix"][1])
+def stream_fingerprint_prefix(spark, sf_dir) -> DataFrame:
+    """Prefix fingerprints from the streamed bins."""
+    seen = cut_lineage(streamed_bins(spark, sf_dir))
+    part = streaming.prefix_bins(seen, EVENT_DATA, HALF, 86_400.0)
+    return fingerprint_rows(features.fingerprints(seen, event_stats(spark, sf_dir), EVENT_DATA, until=HALF, start=86_400.0, bins=part))

@@ -649,7 +649,7 @@ def class_consistency(spark, sf_dir) -> DataFrame:
 
 # --- evaluation and reports ----------------------------------------------------------------------------------------
 
-from ..operators import evaluation  # noqa: E402
+from ..operators import evaluation, search  # noqa: E402
 
 REPORT_PARTS = RANDOM_MIXED + CROSS_MODE
 REPORT_SQL = [sql.VECTORS, sql.members(REPORT_PARTS, SEEDS3), sql.PROTOTYPES, sql.PREDICT, sql.REPORT_ACC]
@@ -1091,3 +1091,17 @@ def stream_fingerprint_prefix(spark, sf_dir) -> DataFrame:
     seen = cut_lineage(streamed_bins(spark, sf_dir))
     part = streaming.prefix_bins(seen, EVENT_DATA, HALF, 86_400.0)
     return fingerprint_rows(features.fingerprints(seen, event_stats(spark, sf_dir), EVENT_DATA, until=HALF, start=86_400.0, bins=part))
+
+
+@register("nearest_class", with_clause(sql.VECTORS, """
+pr AS (SELECT a.session_id AS query_id, b.session_id AS support_id, b.identity AS label, list_dot_product(a.z, b.z) AS g, a.v AS qv, b.v AS sv
+       FROM vec a, vec b WHERE a.session_id % 20 = 0 AND b.session_id % 20 <> 0)""", sql.pma_ctes(8, 8)) + """
+, top AS (SELECT query_id, label, max(score) AS candidate FROM pma GROUP BY ALL)
+SELECT query_id, arg_max(label, (round(candidate, 9), -label)) AS label, round(max(candidate), 6) + 0.0 AS confidence, true AS below_half FROM top GROUP BY ALL""")
+def nearest_class(spark, sf_dir) -> DataFrame:
+    """Nearest class of every twentieth embedding among all others, with fewer than half of the pairs aligned."""
+    vec = tables.vectors(spark, sf_dir)
+    found = search.nearest_class(vec.where("session_id % 20 = 0"), vec.where("session_id % 20 <> 0").withColumnRenamed("identity", "label"), MatchConfig())
+    found = cut_lineage(found)
+    saved = found.agg((F.sum("aligned") * 2 < F.sum("pairs")).alias("below_half"))  # one row
+    return found.crossJoin(saved).select("query_id", "label", r6("confidence").alias("confidence"), "below_half")

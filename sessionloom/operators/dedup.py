@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage
@@ -71,20 +71,72 @@ def duplicate_groups(sessions: DataFrame, order: str = "session_id") -> DataFram
     """
     # Digests come from a pass over all packets or texts; the narrow rows are stored once and read several times.
     sessions = cut_lineage(sessions)
-    exact, near = F.concat(F.lit("e:"), "exact_signature"), F.concat(F.lit("n:"), "near_signature")
-    links = sessions.select(exact.alias("a"), near.alias("b"))
-    roots = connected_components(links).withColumnRenamed("node", "exact_node")
-    facts = sessions.groupBy(exact.alias("exact_node")).agg(
+    return _marked(sessions, connected_components(_links(sessions)), _facts(sessions, order), order)
+
+
+def _exact() -> Column:
+    return F.concat(F.lit("e:"), "exact_signature")
+
+
+def _links(sessions: DataFrame) -> DataFrame:
+    return sessions.select(_exact().alias("a"), F.concat(F.lit("n:"), "near_signature").alias("b"))
+
+
+def _facts(sessions: DataFrame, order: str) -> DataFrame:
+    return sessions.groupBy(_exact().alias("exact_node")).agg(
         F.min("identity").alias("low"), F.max("identity").alias("high"), F.min(order).alias("first"))
-    rooted = facts.join(roots, "exact_node")
+
+
+def _marked(sessions: DataFrame, roots: DataFrame, facts: DataFrame, order: str) -> DataFrame:
+    rooted = facts.join(roots.withColumnRenamed("node", "exact_node"), "exact_node")
     groups = rooted.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("component"))
     verdict = cut_lineage(rooted.select("exact_node", "root").join(groups, "root").select(
         "exact_node", "component", (F.col("low") != F.col("high")).alias("conflict")))
-    marked = sessions.withColumn("exact_node", exact).join(verdict, "exact_node").drop("exact_node")
+    marked = sessions.withColumn("exact_node", _exact()).join(verdict, "exact_node").drop("exact_node")
     reason = F.when(F.col("conflict"), "conflicting_duplicate").when(F.col(order) != F.col("component"), "duplicate")
     return marked.withColumn("reason", reason).drop("conflict")
 
 
+def merge_components(stars: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of the graph of ``stars`` (node, root) with ``edges`` (a, b) added, without searching the old graph again.
+
+    Ends that are known are replaced by their roots; only what is left of the new edges is searched, and only nodes whose root has
+    moved are written anew. Roots stay the smallest nodes, as a component's smallest node is the smallest of its parts' roots.
+    """
+    fresh = edges.select("a", "b").where("a <> b").distinct()
+    ends = fresh.select(F.col("a").alias("node")).unionByName(fresh.select(F.col("b").alias("node"))).distinct()
+    known = cut_lineage(ends.join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("top"), F.col("root").isNull().alias("new")))
+    top = lambda side: known.select(F.col("node").alias(side), F.col("top").alias(f"top_{side}"))
+    contracted = fresh.join(top("a"), "a").join(top("b"), "b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
+    moved = connected_components(contracted).where("node <> root").withColumnRenamed("root", "to")
+    old = stars.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    added = known.where("new").select("node").join(moved, "node", "left").select("node", F.coalesce("to", "node").alias("root"))
+    return old.unionByName(added)
+
+
+def add_batch(spark: SparkSession, sessions: DataFrame, folder: str, version: int, order: str = "session_id") -> None:
+    """Takes a batch of sessions into the duplicate index below ``folder``: version ``version`` is written from the one before it.
+
+    A version holds the stars of the signature graph and the facts of every exact signature. An interrupted call leaves the version
+    before it as it was; calling again writes the version anew.
+    """
+    batch = cut_lineage(sessions.select("exact_signature", "near_signature", "identity", order))
+    stars, facts = connected_components(_links(batch)), _facts(batch, order)
+    if version:
+        before = f"{folder}/{version - 1}"
+        stars = merge_components(spark.read.parquet(f"{before}/stars"), _links(batch))
+        facts = spark.read.parquet(f"{before}/facts").unionByName(facts).groupBy("exact_node").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"))
+    stars.write.mode("overwrite").parquet(f"{folder}/{version}/stars")
+    facts.write.mode("overwrite").parquet(f"{folder}/{version}/facts")
+
+
+def indexed_groups(spark: SparkSession, sessions: DataFrame, folder: str, version: int, order: str = "session_id") -> DataFrame:
+    """:func:`duplicate_groups` of ``sessions``, all of them in the index, by one of its versions."""
+    at = f"{folder}/{version}"
+    return _marked(sessions, spark.read.parquet(f"{at}/stars"), spark.read.parquet(f"{at}/facts"), order)
+
+
 def minimum_sessions(marked: DataFrame, minimum: int) -> DataFrame:
     """Adds the reason identity_below_minimum_sessions to kept rows of identities with too few of them."""
     counts = marked.where("reason is null").groupBy("identity").agg(F.count("*").alias("_kept"))

@@ -14,6 +14,7 @@ from ..streaming import bins as streaming
 from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
+from ..sources import digests, tracefiles
 from . import logs, tables
 from .tables import EVENT_DATA
 
@@ -1060,6 +1061,42 @@ def trace_source_lines(spark, sf_dir) -> DataFrame:
     return rounded6(logs.trace_log_packets(spark, sf_dir, 259_200.0), "t", "length")
 
 
+# --- stored state: duplicate index and digest trees -----------------------------------------------------------------
+
+@register("dup_groups_incremental", REGISTRY["dup_groups"][1])
+def dup_groups_incremental(spark, sf_dir) -> DataFrame:
+    """The duplicate groups of the documents, taken into the index in four batches."""
+    folder = f"{ensure_checkpoint_dir(spark)}/duplicates-{uuid.uuid4().hex}"
+    docs = cut_lineage(tables.document_keys(spark, sf_dir))
+    batch = F.pmod(F.xxhash64("session_id"), F.lit(4))
+    for version in range(4):
+        dedup.add_batch(spark, docs.where(batch == version), folder, version)
+    marked = dedup.minimum_sessions(dedup.indexed_groups(spark, docs, folder, 3), 11)
+    return marked.select("session_id", "component", "reason")
+
+
+@register("digest_tree", """
+WITH lines AS (SELECT vec_id, vec_id % 4 AS k, label, (row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1) * 64 AS place FROM embeddings),
+hit AS (SELECT k, max(vec_id) FILTER (label = 3) AS vec_id FROM lines GROUP BY k)
+SELECT 'vectors-' || k || '.txt' AS file, (place + length(vec_id::VARCHAR) + 1) // 4096 AS block, 'changed' AS problem FROM lines JOIN hit USING (k, vec_id)
+UNION SELECT 'vectors-0.txt', (max(place) + 64) // 4096, CASE WHEN (max(place) + 64) % 4096 = 0 THEN 'added' ELSE 'changed' END FROM lines WHERE k = 0""")
+def digest_tree(spark, sf_dir) -> DataFrame:
+    """A stored copy of the embeddings' labels in which one character a file is changed and one file has grown, by file and block."""
+    rows = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 4).alias("k"))
+    hit = rows.where("label = 3").groupBy("k").agg(F.max("vec_id").alias("hit"))
+    marked = rows.join(hit, "k", "left").withColumn("file", F.concat(F.lit("vectors-"), F.col("k").cast("string"), F.lit(".txt")))
+    line = lambda label: F.rpad(F.concat_ws(",", "vec_id", label), 63, ".")
+    root = f"{ensure_checkpoint_dir(spark)}/digests-{uuid.uuid4().hex}"
+    tracefiles.write_named(marked.select("k", "vec_id", "file", line("label").alias("line")), f"{root}/stored", ["k"], ["vec_id"])
+    other = marked.select("k", "vec_id", "file", line(F.when(F.col("vec_id") == F.col("hit"), "X").otherwise(F.col("label").cast("string"))).alias("line"))
+    more = rows.where("k = 0").groupBy("k").agg((F.max("vec_id") + 1).alias("vec_id")).select("k", "vec_id", F.lit("vectors-0.txt").alias("file"), F.lit("one more").alias("line"))
+    tracefiles.write_named(other.unionByName(more), f"{root}/found", ["k"], ["vec_id"])
+    stored, found = (cut_lineage(digests.block_digests(spark, f"{root}/{name}", block_bytes=4096)) for name in ("stored", "found"))
+    changed = digests.tree_digests(stored).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "digest").join(
+        digests.tree_digests(found).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("digest").alias("other")), "file").where("digest <> other")
+    return digests.damaged_blocks(stored, found).join(changed.select("file"), "file", "left_semi")
+
+
 # --- bins from a stream ------------------------------------------------------------------------------------------
 
 def streamed_bins(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import config_hash
 from ..runtime import require_empty
-from .lines import file_digests
+from .digests import block_digests, tree_digests
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +46,9 @@ def save_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], fa
         write_rows(df, f"{root}/{name}")
     files = _digests(spark, root, list(tables))
     write_rows(files, f"{root}/_files")
-    listing = files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "file", "digest"))), ";"), 256).alias("d")).first()["d"]
-    described = {**facts, "files": listing}
+    described = {**{key: str(value) for key, value in facts.items()}, "files": _listing(files)}
     fingerprint = config_hash(described)
-    row = [(key, str(value)) for key, value in sorted(described.items())] + [("fingerprint", fingerprint)]
+    row = [*sorted(described.items()), ("fingerprint", fingerprint)]
     write_rows(spark.createDataFrame(row, "key string, value string").coalesce(1), f"{root}/_facts")
     return fingerprint
 
@@ -57,17 +56,32 @@ def save_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], fa
 def load_tables(spark: SparkSession, root: str, names: list[str], verify: bool = True) -> dict[str, DataFrame]:
     """Tables written by :func:`save_tables`; changed, missing or added files are an error when ``verify``."""
     if verify:
+        read_facts(spark, root)
         stored = spark.read.parquet(f"{root}/_files")
         current = _digests(spark, root, names).withColumnRenamed("digest", "found")
-        wrong = stored.join(current, "file", "full").where("not (digest <=> found)")
-        require_empty(wrong, "stored file differs from its digest")
+        wanted = stored.where(F.substring_index("file", "/", 1).isin(*names))
+        require_empty(wanted.join(current, "file", "full").where("not (digest <=> found)"), "stored file differs from its digest")
     return {name: spark.read.parquet(f"{root}/{name}") for name in names}
 
 
+def read_facts(spark: SparkSession, root: str) -> dict[str, str]:
+    """Facts written by :func:`save_tables`, as text; an error if they or the list of files do not belong to the stored fingerprint."""
+    rows = {r["key"]: r["value"] for r in spark.read.parquet(f"{root}/_facts").collect()}
+    fingerprint = rows.pop("fingerprint", None)
+    if config_hash(rows) != fingerprint or rows.get("files") != _listing(spark.read.parquet(f"{root}/_files")):
+        raise ValueError("stored facts differ from their fingerprint")
+    return rows
+
+
+def _listing(files: DataFrame) -> str:
+    return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "file", "digest"))), ";"), 256).alias("d")).first()["d"]
+
+
 def _digests(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(file, digest): roots of the digest trees of all stored files; a large file is hashed by many tasks."""
     out = None
     for name in names:
-        rows = file_digests(spark, f"{root}/{name}", "*.parquet").select(
+        rows = tree_digests(block_digests(spark, f"{root}/{name}", r"\.parquet$")).select(
             F.concat(F.lit(f"{name}/"), F.regexp_extract("path", "([^/]+)$", 1)).alias("file"), "digest")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -5,6 +5,7 @@
 * ``trace_log`` reads line logs and NPZ traces below a folder as (session_id, seq, t, direction, length). Line logs are cut into
   splits of ``split_bytes``; every split knows the first line, from which time counts. A schema with fewer columns reads and
   parses only those, and ``t <`` filters are applied where lines are parsed.
+* ``file_blocks`` reads files as (file, path, block, bytes, digest): SHA-256 of each block of ``block_bytes``, a file of any size in many tasks.
 * ``named_files`` writes rows to the file that each names: (file, line) as text with ``encoding``, or (file, times, directions,
   lengths) as NPZ arrays. Rows of a file come together and in order. Each task writes to a staging folder of its own attempt; only the
   commit moves the folders of successful attempts into place, one rename a task, so files appear whole or not at all.
@@ -19,6 +20,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +146,41 @@ class TraceLog(DataSource):
         return TraceReader(self.options, schema)
 
 
+class BlockReader(DataSourceReader):
+    """Digests of fixed-size blocks; a split holds whole blocks of one file."""
+
+    def __init__(self, options: dict):
+        self.root, self.pattern, self.block = options["path"], options.get("pattern", "."), int(options.get("block_bytes", 8 << 20))
+
+    def partitions(self) -> list[Split]:
+        system, path = opened(self.root)
+        files = [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and re.search(self.pattern, f.base_name)]
+        step = self.block * max(1, SPLIT_BYTES // self.block)
+        return [Split(f.path, at, min(f.size, at + step)) for f in sorted(files, key=lambda f: f.path) for at in range(0, max(f.size, 1), step)]
+
+    def read(self, partition: Split) -> Iterator[tuple]:
+        system, _ = opened(self.root)
+        name = partition.path.rsplit("/", 1)[1]
+        with system.open_input_file(partition.path) as file:
+            for at in range(partition.start, max(partition.end, partition.start + 1), self.block):
+                data = file.read_at(self.block, at) if partition.end > at else b""
+                yield name, partition.path, at // self.block, len(data), sha256(data).hexdigest()
+
+
+class FileBlocks(DataSource):
+    """Format ``file_blocks``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_blocks"
+
+    def schema(self) -> str:
+        return "file string, path string, block bigint, bytes bigint, digest string"
+
+    def reader(self, schema: StructType) -> BlockReader:
+        return BlockReader(self.options)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Staging folder of a task that has ended well, and its files."""
@@ -232,10 +269,11 @@ class NamedFiles(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to the session and lets filters reach them."""
+    """Makes the formats known to the session and lets filters reach them."""
     ship_package(spark)
     spark.dataSource.register(TraceLog)
     spark.dataSource.register(NamedFiles)
+    spark.dataSource.register(FileBlocks)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
+from .text import spare_memory
 
 #: Word edits allowed per item word.
 EDIT_RATE = 0.2
@@ -262,6 +263,7 @@ def _search(blocks: list):
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(doc), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6)]],
                     names=["key", "item_id", "start_word", "end_word", "edits", "item_words"])
+        spare_memory()
 
     return task
 

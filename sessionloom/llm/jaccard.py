@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import connected_components
 from ..runtime import cut_lineage, ship_package
-from .text import ascii_lower, words
+from .text import ascii_lower, spare_memory, words
 
 #: A shingle this frequent in one batch counts as hot everywhere; the order treats all hot shingles alike.
 HOT = 64
@@ -139,6 +139,7 @@ def _sketch(width: int):
         parts = counts.reshape(-1, size)
         used = np.flatnonzero(parts.any(axis=1))
         ends = pa.array(np.arange(len(used) + 1, dtype=np.int32) * size)
+        spare_memory()
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(parts[used].ravel()))], names=["part", "counts"])
 
     return task
@@ -238,6 +239,7 @@ def _send(width: int, buckets: int, shared):
                 rows.append(_row(int(at[mine[0]]), _FACTS, owner_ids[mine], owner_sizes[mine], hot_runs[mine].astype(np.uint32),
                                  np.concatenate([hot_tokens[s] for s in spans]), e=np.concatenate([hot_classes[s] for s in spans])))
             yield _batch(rows)
+        spare_memory()
 
     return task
 

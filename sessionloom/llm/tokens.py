@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
+from .text import spare_memory
 
 END_ID = 0
 SHARD_IDS = 1 << 20
@@ -257,6 +258,7 @@ def _shards(tokenizer_path: str, shard_ids: int) -> Callable:
                         keys, texts, held, shard = [], [], 0, shard + 1
         if keys:
             yield _pack(part, shard, keys, texts, encode.vocabulary)
+        spare_memory()
 
     return task
 

@@ -14,7 +14,7 @@ from ..streaming import bins as streaming
 from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
-from ..sources import digests, tracefiles
+from ..sources import digests, reports, tracefiles
 from . import logs, tables
 from .tables import EVENT_DATA
 
@@ -1097,6 +1097,55 @@ def digest_tree(spark, sf_dir) -> DataFrame:
     return digests.damaged_blocks(stored, found).join(changed.select("file"), "file", "left_semi")
 
 
+# --- report files ----------------------------------------------------------------------------------------------------
+
+REPORT_RUNS = """
+WITH runs AS (SELECT label, seed, 'run-' || label || '-' || seed AS run, round(avg((embedding[seed + 1] > 0)::INT), 6) AS accuracy,
+                     CASE WHEN label % 2 = 0 THEN 'amp' ELSE 'protonet' END AS kind FROM embeddings, range(3) t(seed) GROUP BY label, seed),
+keyed AS (SELECT *, sha256('matching.alignment="pma";matching.gamma=0.' || (label + 1) || ';model.kind="' || kind
+                           || '";training.epochs=5;training.rates[0]=0.5;training.rates[1].x=null') AS config_hash FROM runs),
+told AS (SELECT *, CASE WHEN label >= 7 THEN 'missing' WHEN label = 6 THEN 'mismatch' ELSE 'ok' END AS status FROM keyed)"""
+
+
+def report_files(spark, sf_dir) -> DataFrame:
+    rows = cut_lineage(reports.report_rows(reports.read_documents(spark, logs.report_folder(spark, sf_dir))))
+    return rows.withColumn("run", F.regexp_extract("path", r"(run-\d+-\d+)\.json$", 1))
+
+
+@register("report_status", REPORT_RUNS + """
+SELECT run, status, CASE WHEN status = 'ok' THEN config_hash END AS config_hash,
+       CASE WHEN status = 'ok' THEN CASE kind WHEN 'amp' THEN 'AMP + PMA' ELSE 'ProtoNet' END END AS method,
+       CASE WHEN status = 'ok' THEN accuracy + 0.0 END AS accuracy, label % 3 = 0 AND status = 'ok' AS selected FROM told""")
+def report_status(spark, sf_dir) -> DataFrame:
+    """Report files against the expected runs: matching, mismatching and missing ones, and a selection by analysis."""
+    found = report_files(spark, sf_dir)
+    expected = tables.table(spark, sf_dir, "embeddings").select("label").distinct().select("label", F.explode(F.array(*map(F.lit, range(3)))).alias("seed"))
+    gamma = F.when(F.col("label") == 6, F.lit("9")).otherwise((F.col("label") + 1).cast("string"))  # the matrix wants another gamma for label 6
+    kind = F.when(F.col("label") % 2 == 0, "amp").otherwise("protonet")
+    settings = F.concat(F.lit('{"training":{"rates":[0.5,{"x":null}],"epochs":5},"model":{"kind":"'), kind, F.lit('"},"matching":{"alignment":"pma","gamma":0.'), gamma, F.lit("}}"))
+    matrix = expected.select(F.concat(F.lit("run-"), F.col("label").cast("string"), F.lit("-"), F.col("seed").cast("string")).alias("run"),
+                             F.when(F.col("label") % 3 == 0, F.array(F.lit("main"), F.lit("extra"))).otherwise(F.array(F.lit("extra"))).alias("analyses"),
+                             F.parse_json(settings).alias("config"))
+    matrix = cut_lineage(matrix)
+    wanted = matrix.select("run", "analyses").join(reports.configuration_keys(matrix, "run", "config"), "run")
+    good, wrong, missing = reporting.checked_reports(found, wanted)
+    chosen = reporting.select_runs(good.join(wanted.select("run", "analyses"), "run"), analyses=["main"]).select("run", F.lit(True).alias("selected"))
+    named = good.select("run", F.lit("ok").alias("status"), "config_hash", reporting.display_method().alias("method"), r6("accuracy").alias("accuracy"))
+    blank = lambda df, status: df.select("run", F.lit(status).alias("status"), *[F.lit(None).cast(t).alias(c) for c, t in
+                                                                                 (("config_hash", "string"), ("method", "string"), ("accuracy", "double"))])
+    rows = named.unionByName(blank(wrong, "mismatch")).unionByName(blank(missing, "missing"))
+    return rows.join(chosen, "run", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+@register("report_groups", REPORT_RUNS + """
+SELECT config_hash, count(*) AS seeds, round(100 * avg(accuracy), 6) + 0.0 AS mean_percent, round(100 * stddev_samp(accuracy), 6) + 0.0 AS sample_std_percent,
+       true AS complete FROM told WHERE label < 7 GROUP BY ALL""")
+def report_groups(spark, sf_dir) -> DataFrame:
+    """Report files grouped by their settings over seeds, whatever the order of keys in the file."""
+    out = reporting.seed_summary(report_files(spark, sf_dir), ["config_hash"])
+    return out.select("config_hash", "seeds", r6("mean_percent").alias("mean_percent"), r6("sample_std_percent").alias("sample_std_percent"), "complete")
+
+
 # --- bins from a stream ------------------------------------------------------------------------------------------
 
 def streamed_bins(spark, sf_dir) -> DataFrame:

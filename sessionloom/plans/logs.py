@@ -136,3 +136,26 @@ def csv_player(spark: SparkSession, sf_dir: str) -> DataFrame:
     origins = discovery.discover_csv_pairs(spark, root).select("player_path", F.col("source_id").cast("bigint").alias("session_id"), F.lit(0.0).alias("origin"))
     series, known, _ = playerlogs.read_csv_player(spark, root, origins, HORIZON)
     return series.join(known, "session_id").select("session_id", "identity", "t", "quality", "buffer", "stalled", "state")
+
+
+def report_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A report file for every label below 9 and three seeds: settings in two orders of keys, label 7 cut off in the middle, label 8 without settings.
+
+    The accuracy is the share of the label's vectors whose component of that seed is positive.
+    """
+    rows = tables.table(spark, sf_dir, "embeddings").where("label < 9").select("label", F.explode(F.array(*[F.struct(
+        F.lit(s).alias("seed"), (F.col("embedding")[s] > 0).cast("double").alias("hit")) for s in range(3)])).alias("x"))
+    facts = rows.groupBy("label", "x.seed").agg(F.avg("x.hit").alias("accuracy"), F.count("*").alias("n"))
+    text = lambda c: F.col(c).cast("string")
+    kind = F.when(F.col("label") % 2 == 0, "amp").otherwise("protonet")
+    matching = F.concat(F.lit('"matching": {"gamma": 0.'), (F.col("label") + 1).cast("string"), F.lit(', "alignment": "pma"}'))
+    model = F.concat(F.lit('"model":{"kind":"'), kind, F.lit('"}'))
+    training = F.concat(F.lit('"training": {"epochs": 5, "seed": '), text("seed"), F.lit(', "device": "d'), text("seed"), F.lit('", "rates": [0.5, {"x": null}]}'))
+    config = F.when(F.col("seed") == 1, F.concat_ws(",", training, model, matching)).otherwise(F.concat_ws(", ", matching, training, model))
+    scored = F.concat(F.lit('"scenario": "mixed", "fraction": 1.0, "accuracy": '), F.format_string("%.6f", "accuracy"))
+    body = F.when(F.col("label") == 8, F.concat(F.lit("{"), scored, F.lit("}"))).otherwise(F.concat(F.lit('{"config": {'), config, F.lit("}, "), scored, F.lit("}")))
+    line = F.when(F.col("label") == 7, F.substring(body, 1, 60)).otherwise(body)
+    root = _folder(spark, "reports")
+    named = facts.select("label", "seed", F.concat(F.lit("run-"), text("label"), F.lit("-"), text("seed"), F.lit(".json")).alias("file"), line.alias("line"))
+    write_named(named, root, ["label", "seed"], [], encoding="utf-8-sig")
+    return root

@@ -98,7 +98,13 @@ def align_pairs(tokens, start: int, stop: int, config: MatchConfig, gamma: float
     q_v, q_r = q_v[start:stop], q_r[start:stop]
     m, n = q_r.shape[1], s_r.shape[1]
     similarity = np.einsum("qik,sjk->qsij", q_v, s_v, optimize=True).reshape(-1, m, n)
-    left, right = np.repeat(q_r, len(s_r), axis=0), np.tile(s_r, (len(q_r), 1))
+    return align_stack(similarity, np.repeat(q_r, len(s_r), axis=0), np.tile(s_r, (len(q_r), 1)), config, gamma, keep_mass)
+
+
+def align_stack(similarity: np.ndarray, left: np.ndarray, right: np.ndarray, config: MatchConfig, gamma: float | None = None,
+                keep_mass: bool = False):
+    """(local, overlap, mass) of pairs given by their token similarities (P, m, n) and reliabilities (P, m) and (P, n)."""
+    m, n = similarity.shape[1:]
     valid = (left > 0)[:, :, None] & (right > 0)[:, None, :]
     overlap = None
     if config.alignment == "pma":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_text
@@ -57,6 +57,39 @@ def open_set_metrics(scores: DataFrame, keys: list[str] | None = None, strict: b
         F.first("n_pos").cast("bigint").alias("known_count"), F.first("n_neg").cast("bigint").alias("unknown_count"))
 
 
+def auroc_by_merging(scores: DataFrame) -> DataFrame:
+    """One row (auroc, known_count, unknown_count) of (known, confidence), by counting inversions instead of ranks.
+
+    Independent of :func:`open_set_metrics`: equal scores are summed map-side, ranges of scores are sorted apart, and each task merges its run as a
+    stream, counting twice the unknown rows below every known one and once those beside it. What lies in lower ranges is added from
+    one row a range. Counts are whole numbers, so the result is exact; no pair is formed. Null where one side has no rows.
+    """
+    summed = scores.where("confidence is not null and not isnan(confidence)").groupBy(F.col("confidence").cast("double").alias("c")).agg(
+        F.count_if("known").alias("pos"), F.count_if(~F.col("known")).alias("neg"))
+    runs = summed.repartitionByRange("c").sortWithinPartitions("c").mapInArrow(_merge_run, "slot int, pos bigint, neg bigint, twice decimal(38,0)")
+    below = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    carried = runs.select("pos", "neg", (F.col("twice") + 2 * F.col("pos").cast("decimal(18,0)") * F.coalesce(F.sum("neg").over(below), F.lit(0)).cast("decimal(18,0)")).alias("twice"))
+    total = carried.agg(F.sum("twice").cast("double").alias("w"), F.sum("pos").alias("known_count"), F.sum("neg").alias("unknown_count"))
+    pairs = 2.0 * F.col("known_count") * F.col("unknown_count")
+    return total.select(F.try_divide("w", pairs).alias("auroc"), "known_count", "unknown_count")
+
+
+def _merge_run(batches):
+    from decimal import Decimal
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    pos = neg = twice = 0
+    for batch in batches:
+        for p, n in zip(batch.column("pos").to_pylist(), batch.column("neg").to_pylist(), strict=True):
+            twice += p * (2 * neg + n)
+            pos, neg = pos + p, neg + n
+    if pos or neg:
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pos]), pa.array([neg]),
+                                          pa.array([Decimal(twice)], pa.decimal128(38, 0))], names=["slot", "pos", "neg", "twice"])
+
+
 def reject_threshold(confidences: DataFrame, share: float = 0.05) -> DataFrame:
     """One row: the lower ``share`` quantile of ``confidence`` and the share of rows at or above it."""
     by_score = confidences.groupBy("confidence").agg(F.count("*").alias("n"))

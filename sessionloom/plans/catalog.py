@@ -14,6 +14,7 @@ from ..streaming import bins as streaming
 from ..operators import features, matching, metrics, sampling
 from ..operators.sampling import EpisodePart, scenario_catalogue
 from . import oracle as sql
+from ..functions import hashing, udtf
 from ..sources import digests, reports, tracefiles
 from . import logs, tables
 from .tables import EVENT_DATA
@@ -1097,6 +1098,70 @@ def digest_tree(spark, sf_dir) -> DataFrame:
     return digests.damaged_blocks(stored, found).join(changed.select("file"), "file", "left_semi")
 
 
+# --- second ways to the same numbers -------------------------------------------------------------------------------
+
+def scored_labels(spark, sf_dir) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return tables.table(spark, sf_dir, "labels").join(docs, "doc_id").select((F.col("quality") == 1).alias("known"), F.col("n_chars").cast("double").alias("confidence"))
+
+
+@register("auroc_by_merging", """
+WITH s AS (SELECT quality = 1 AS known, n_chars::DOUBLE AS c FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)
+SELECT round(avg(CASE WHEN a.c > b.c THEN 1 WHEN a.c = b.c THEN 0.5 ELSE 0 END), 6) + 0.0 AS auroc,
+       (SELECT count(*) FILTER (known) FROM s) AS known_count, (SELECT count(*) FILTER (NOT known) FROM s) AS unknown_count
+FROM s a JOIN s b ON a.known AND NOT b.known""")
+def auroc_by_merging(spark, sf_dir) -> DataFrame:
+    """AUROC by counting inversions; the SQL compares all pairs."""
+    return metrics.auroc_by_merging(scored_labels(spark, sf_dir)).select(r6("auroc").alias("auroc"), "known_count", "unknown_count")
+
+
+@register("pair_pma_sql", REGISTRY["pair_pma"][1])
+def pair_pma_sql(spark, sf_dir) -> DataFrame:
+    """F3, F7 from SQL alone: the table function over all pairs of every episode."""
+    udtf.register(spark)
+    vec = tables.vectors(spark, sf_dir)
+    members = drawn(spark, sf_dir, CROSS_MODE)
+    view = lambda df, name: df.createOrReplaceTempView(name)
+    view(members.where("role = 'query'").select(*EPISODE, F.col("session_id").alias("query_id")), "episode_queries")
+    view(members.where("role = 'support'").select(*EPISODE, F.col("session_id").alias("support_id"), "label"), "episode_supports")
+    view(vec.select("session_id", "z", "v", "r"), "prints")
+    return spark.sql("""
+        WITH pairs AS (
+          SELECT q.seed, q.scenario, q.partition, q.episode, q.query_id, s.support_id, s.label,
+                 aggregate(zip_with(a.z, b.z, (x, y) -> x * y), 0D, (t, x) -> t + x) AS g, a.v AS q_v, a.r AS q_r, b.v AS s_v, b.r AS s_r
+          FROM episode_queries q JOIN episode_supports s USING (seed, scenario, partition, episode)
+               JOIN prints a ON a.session_id = q.query_id JOIN prints b ON b.session_id = s.support_id)
+        SELECT cast(seed AS bigint) AS seed, scenario, partition, cast(episode AS bigint) AS episode, query_id, support_id, cast(label AS bigint) AS label,
+               round(local, 6) + 0D AS local, round(overlap, 6) + 0D AS overlap, round(score, 6) + 0D AS score
+        FROM align(TABLE(pairs) PARTITION BY (seed, scenario, partition, episode), 'pma')""")
+
+
+@register("verify_altered_reports", with_clause(*REPORT_SQL) + """
+, marked AS (SELECT *, row_number() OVER (ORDER BY seed, scenario) = 1 AS altered FROM rep)
+SELECT seed::BIGINT AS seed, scenario, round(CASE WHEN altered THEN accuracy + 0.25 ELSE accuracy END, 6) + 0.0 AS accuracy, round(accuracy, 6) + 0.0 AS recomputed,
+       NOT altered AS passed FROM marked""")
+def verify_altered_reports(spark, sf_dir) -> DataFrame:
+    """Reports of which the first is altered, against the records; only that one fails."""
+    members = drawn(spark, sf_dir, REPORT_PARTS, SEEDS3)
+    predicted = cut_lineage(matching.predictions(matching.prototype_scores(members, tables.vectors(spark, sf_dir), dim=64)))
+    reported = metrics.accuracy_summary(metrics.episode_accuracy(predicted, members), ["seed", "scenario"])
+    first = F.row_number().over(Window.orderBy("seed", "scenario")) == 1  # one row per report
+    altered = reported.withColumn("accuracy", F.when(first, F.col("accuracy") + 0.25).otherwise(F.col("accuracy")))
+    truth = members.where("role = 'query'").select(*EPISODE, F.col("session_id").alias("query_id"), F.col("label").alias("target"))
+    out = metrics.verify_accuracy(predicted.join(truth, [*EPISODE, "query_id"]), altered, ["seed", "scenario"])
+    return out.select(F.col("seed").cast("bigint"), "scenario", r6("accuracy").alias("accuracy"), r6("recomputed").alias("recomputed"), "passed")
+
+
+@register("session_keys", """
+WITH k AS (SELECT doc_id, lang, source, sha256('["' || lang || '","' || source || '"]') AS d, sha256('[20260817,"' || source || '","' || doc_id || '"]') AS s FROM documents)
+SELECT doc_id, substr(d, 1, 24) AS session_key, ('0x' || substr(s, 1, 8))::BIGINT AS seed FROM k""")
+def session_keys(spark, sf_dir) -> DataFrame:
+    """Canonical keys of (dataset, source) and seeds derived per document."""
+    docs = tables.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", hashing.session_key(F.col("lang"), F.col("source")).alias("session_key"),
+                       hashing.seed_from(SEED, F.col("source"), F.col("doc_id").cast("string")).alias("seed"))
+
+
 # --- report files ----------------------------------------------------------------------------------------------------
 
 REPORT_RUNS = """

@@ -13,7 +13,10 @@ IGNORED = ("training.seed", "training.device", "training.threads")
 
 
 def read_documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """(path, report VARIANT, problem): every file below ``root`` as one JSON document; ``problem`` is ``broken`` or ``no_config``, else null."""
+    """(path, report VARIANT, problem): every file below ``root`` as one JSON document; ``problem`` is ``broken`` or ``no_config``, else null.
+
+    A file without any text has no row.
+    """
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     parsed = rows.select(file_uri("_metadata.file_path").alias("path"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("report"))
     has = F.try_variant_get("report", "$.config", "variant").isNotNull()

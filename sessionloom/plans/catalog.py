@@ -1162,6 +1162,56 @@ def session_keys(spark, sf_dir) -> DataFrame:
                        hashing.seed_from(SEED, F.col("source"), F.col("doc_id").cast("string")).alias("seed"))
 
 
+@register("audit_damaged", with_clause(sql.EVENT_ROWS, DOC_KEYS, sql.VECTORS, sql.members(ALL_SCENARIOS, [SEED])) + """
+, bad AS (
+  SELECT seed, scenario, partition, episode, role, CASE WHEN episode % 6 = 0 AND role = 'support' AND label = 0 THEN identity + 1 ELSE identity END AS identity, label,
+         CASE WHEN episode % 6 = 1 AND role = 'query' THEN -session_id - 1 WHEN episode % 6 = 4 THEN session_id + 1 ELSE session_id END AS session_id FROM mem
+  UNION ALL SELECT seed, scenario, partition, episode, CASE WHEN episode % 6 = 2 THEN 'query' ELSE role END, identity, label, session_id
+            FROM mem WHERE role = 'support' AND episode % 6 IN (2, 3)),
+stay AS (SELECT exact, near FROM dk JOIN final USING (doc_id) WHERE reason IS NULL OR doc_id % 2 = 0),
+sig AS (SELECT 0 AS kind, exact AS signature FROM stay UNION ALL SELECT 1, near FROM stay),
+raw AS (SELECT 0 AS kind, exact AS signature FROM dk UNION ALL SELECT 1, near FROM dk),
+e AS (SELECT bad.*, vec.identity AS ti, vec.mode, vec.condition, sm, qm, sc, qc FROM bad JOIN vec USING (session_id)
+      JOIN spec ON (spec.scenario, spec.partition) = (bad.scenario, bad.partition)),
+s AS (SELECT seed, scenario, partition, episode, session_id, count(*) AS n, count(DISTINCT role) AS roles FROM bad GROUP BY ALL)
+SELECT 'signatures_before' AS "check", (SELECT count(*) FROM (SELECT 1 FROM raw GROUP BY kind, signature HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'signatures_after', (SELECT count(*) FROM (SELECT 1 FROM sig GROUP BY kind, signature HAVING count(*) > 1))
+UNION ALL SELECT 'block_leaks', (SELECT count(*) FROM (SELECT identity FROM ev GROUP BY 1 HAVING min(block) <> max(block)))
+UNION ALL SELECT 'unknown_session', (SELECT count(*) FROM bad WHERE session_id NOT IN (SELECT session_id FROM vec))
+UNION ALL SELECT 'identity_mismatch', (SELECT count(*) FROM bad JOIN vec USING (session_id) WHERE bad.identity <> vec.identity)
+UNION ALL SELECT 'role_overlap', (SELECT count(*) FROM s WHERE roles > 1)
+UNION ALL SELECT 'repeated_record', (SELECT count(*) FROM s WHERE roles = 1 AND n > 1)
+UNION ALL SELECT 'label_conflict', (SELECT count(*) FROM (SELECT 1 FROM bad GROUP BY seed, scenario, partition, episode, label HAVING count(DISTINCT identity) > 1))
+UNION ALL SELECT 'mode_mismatch', (SELECT count(*) FROM e WHERE CASE role WHEN 'support' THEN mode <> sm ELSE mode <> qm END)
+UNION ALL SELECT 'condition_mismatch', (SELECT count(*) FROM e WHERE CASE role WHEN 'support' THEN condition <> sc ELSE condition <> qc END)""")
+def audit_damaged(spark, sf_dir) -> DataFrame:
+    """All checks over every scenario of the catalogue, with episodes and documents damaged so that each check finds something."""
+    documents = marked_documents(spark, sf_dir)
+    blocks = tables.event_sessions(spark, sf_dir).withColumn("split", F.col("block").cast("string"))
+    members = drawn(spark, sf_dir, ALL_SCENARIOS)
+    turn, support = F.col("episode") % 6, F.col("role") == "support"
+    changed = members.withColumns({
+        "identity": F.when((turn == 0) & support & (F.col("label") == 0), F.col("identity") + 1).otherwise(F.col("identity")),
+        "session_id": F.when((turn == 1) & ~support, -F.col("session_id") - 1).when(turn == 4, F.col("session_id") + 1).otherwise(F.col("session_id"))})
+    more = members.where(support & turn.isin(2, 3)).withColumn("role", F.when(turn == 2, "query").otherwise(F.col("role")))
+    checks = {"signatures_before": audit.repeated_signatures(documents),
+              "signatures_after": audit.repeated_signatures(documents.where("reason is null or session_id % 2 = 0")), "block_leaks": audit.split_leaks(blocks)}
+    checks.update(audit.episode_violations(cut_lineage(changed.unionByName(more)), tables.vector_sessions(spark, sf_dir), ALL_SCENARIOS))
+    return audit.audit_report(checks)
+
+
+@register("audit_summary", with_clause(sql.VECTORS, sql.members(ALL_SCENARIOS, [SEED]), sql.split_ctes(SEED, "vec")) + """
+, s AS (SELECT vec.session_id, vec.identity, mode, split FROM vec JOIN split USING (identity))
+SELECT 'identities' AS item, split AS key, count(DISTINCT identity) AS value FROM s GROUP BY ALL
+UNION ALL SELECT 'mode', mode, count(*) FROM s GROUP BY ALL
+UNION ALL SELECT 'episodes', scenario, count(*) FROM (SELECT DISTINCT seed, scenario, episode FROM mem) GROUP BY ALL""")
+def audit_summary(spark, sf_dir) -> DataFrame:
+    """What an audit covered: identities per split, sessions per mode, episodes per scenario."""
+    sessions = cut_lineage(tables.vector_sessions(spark, sf_dir))
+    split = sampling.identity_split(sessions, SEED)
+    return audit.audit_summary(sessions.join(split, "identity"), drawn(spark, sf_dir, ALL_SCENARIOS))
+
+
 # --- report files ----------------------------------------------------------------------------------------------------
 
 REPORT_RUNS = """

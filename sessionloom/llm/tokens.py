@@ -67,16 +67,34 @@ class Grammar(NamedTuple):
         return ids, begin, size
 
     def decode(self, lo: int = 0, hi: int | None = None, marks: np.ndarray | None = None) -> np.ndarray:
-        """Ids ``lo`` to ``hi`` as uint32; with ``marks`` only the symbols around the range are expanded."""
-        first = 0
-        body = self.body
+        """Ids ``lo`` to ``hi`` as uint32; with ``marks`` only the symbols around the range are read, and only rules below them."""
         if marks is not None and len(marks) and hi is not None:
             from_mark = int(np.searchsorted(marks, lo, "right")) - 1
             to_mark = int(np.searchsorted(marks, hi, "left"))
-            first, body = int(marks[from_mark]), body[from_mark * MARK:to_mark * MARK]
+            first = int(marks[from_mark])
+            return self._within(self.body[from_mark * MARK:to_mark * MARK], lo - first, hi - first)
         ids, begin, size = self.table()
-        out = ids[_spread(begin[body], size[body])]
-        return out[lo - first:None if hi is None else hi - first]
+        return ids[_spread(begin[self.body], size[self.body])][lo:hi]
+
+    def _within(self, symbols: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Ids ``lo`` to ``hi`` of the expansion of ``symbols``: level by level, what lies outside by its length is dropped unread."""
+        symbols = symbols.astype(np.int64)
+        while True:
+            deep = symbols >= self.vocabulary
+            size = np.ones(len(symbols), dtype=np.int64)
+            size[deep] = self.lengths[symbols[deep] - self.vocabulary]
+            ends = np.cumsum(size)
+            keep = (ends > lo) & (ends - size < hi)
+            if not keep.any():
+                return np.zeros(0, dtype=np.uint32)
+            skipped = int((ends - size)[keep][0])
+            symbols, deep, lo, hi = symbols[keep], deep[keep], lo - skipped, hi - skipped
+            if not deep.any():
+                return symbols[lo:hi].astype(np.uint32)
+            at = np.cumsum(1 + deep) - 1 - deep
+            rules = symbols[deep] - self.vocabulary
+            symbols = np.repeat(symbols, 1 + deep)
+            symbols[at[deep]], symbols[at[deep] + 1] = self.left[rules], self.right[rules]
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -336,7 +354,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode_document(row: dict, index: int) -> np.ndarray:
-    """Ids of one document of a stored shard, expanding only the symbols around it."""
+    """Ids of one document of a stored shard, expanding only the symbols around it and the rules below them."""
     _, sizes, grammar, marks = unpack(row)
     ends = np.cumsum(sizes, dtype=np.int64)
     return grammar.decode(int(ends[index] - sizes[index]), int(ends[index]), marks)

@@ -427,3 +427,26 @@ def test_shingles_thin_everywhere_are_hot_for_all(spark, monkeypatch):
     assert len(tokens) == 4 and (jaccard._class_of(tokens, classes) > jaccard.HOT).all()
     got = sorted(map(tuple, jaccard.join_documents(docs).collect()))
     assert got == sorted(brute.jaccard_components(rows))
+
+
+def test_a_range_is_decoded_from_the_rules_below_it_only():
+    rng = random.Random(12)
+    phrase = [[rng.randint(1, 900) for _ in range(40)] for _ in range(30)]
+    parts = [phrase[rng.randint(0, 29)] + [0] for _ in range(6000)]
+    ids, last = np.array([i for p in parts for i in p], dtype=np.uint16), np.concatenate([[*[False] * 40, True]] * len(parts))
+    grammar = tokens.compress(ids, last, 1000)
+    size = np.concatenate([np.ones(1000, dtype=np.int64), grammar.lengths.astype(np.int64)])[grammar.body]
+    marks = (np.cumsum(size) - size)[::tokens.MARK]
+    assert len(marks) > 2 and len(grammar.left) > 100
+    for lo, hi in [(0, 41), (41 * 77, 41 * 78), (123_456, 123_460), (len(ids) - 41, len(ids)), (500, 500), (0, len(ids))]:
+        assert (grammar.decode(lo, hi, marks) == ids[lo:hi]).all()
+    # Rules that the range does not use may even be broken.
+    lo, hi = 41 * 77, 41 * 78
+    used, stack = set(), grammar.body[np.searchsorted(np.cumsum(size), lo, "right"):np.searchsorted(np.cumsum(size), hi, "left") + 1].tolist()
+    while stack:
+        if (s := stack.pop()) >= 1000 and s not in used:
+            used.add(s)
+            stack += [int(grammar.left[s - 1000]), int(grammar.right[s - 1000])]
+    left = grammar.left.copy()
+    left[[r for r in range(len(left)) if r + 1000 not in used]] = 65_535
+    assert len(used) < len(left) / 2 and (grammar._replace(left=left).decode(lo, hi, marks) == ids[lo:hi]).all()

@@ -119,3 +119,54 @@ FROM positives JOIN scored USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+#: The cheapest audit by a walk over the turns of every conversation at once: `st` holds the best (cost, audit) of each state after each turn.
+DIALOGUE_REPAIR = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+crc AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(place) + 1), lambda i: ascii(substr(place, i, 1))::BIGINT),
+                            lambda acc, b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(acc, b)),
+                            4294967295::BIGINT), 4294967295) % 20 AS kind FROM src),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM crc WHERE kind <> 0),
+faults AS (
+  SELECT *, rtrim(text, E' \t\n\x0B\x0C\r') AS core, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM hurt),
+turns AS (
+  SELECT *, left(role, 1) AS initial, core = '' AS blank, core <> '' AND again AS dup, core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au') AS odd FROM faults),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n FROM turns GROUP BY conv_id),
+ins(s, s1, price, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I'),
+                                      (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+st AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS s, 0 AS c, '' AS a FROM facts
+  UNION ALL
+  SELECT conv_id, pos, s, min((c, a))[1], min((c, a))[2] FROM (
+    SELECT st.conv_id, t.pos, CASE op WHEN 'D' THEN s1 WHEN 'R' THEN CASE WHEN s1 = 2 THEN 3 ELSE 2 END
+                                      ELSE CASE WHEN initial = 's' AND s1 = 0 THEN 1 WHEN initial = 'u' AND s1 <> 2 THEN 2 WHEN initial = 'a' AND s1 = 2 THEN 3 END END AS s,
+           st.c + price + CASE op WHEN 'D' THEN 3 WHEN 'R' THEN 2 + cut::INT ELSE cut::INT END AS c, st.a || letters || op AS a
+    FROM st JOIN ins USING (s) JOIN turns t ON t.conv_id IS NOT DISTINCT FROM st.conv_id AND t.pos = st.pos + 1, (VALUES ('D'), ('R'), ('K')) o(op)
+    WHERE op = 'D' OR NOT (blank OR dup)) WHERE s IS NOT NULL GROUP BY conv_id, pos, s),
+done AS (
+  SELECT st.conv_id, min((st.c + price, st.a || letters)) AS best FROM st JOIN facts f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.n = st.pos JOIN ins USING (s)
+  WHERE s1 IN (0, 3) GROUP BY st.conv_id),
+walk AS (
+  SELECT conv_id, best[2] AS audit, 0 AS k, 0::BIGINT AS pos, 0 AS s, NULL::VARCHAR AS told FROM done
+  UNION ALL
+  SELECT conv_id, audit, k + 1, pos, CASE edit WHEN 'D' THEN s WHEN 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE nxt END,
+         CASE edit WHEN 'D' THEN told ELSE coalesce(told || chr(10), '') || CASE edit WHEN 'K' THEN role WHEN 'R' THEN nrole ELSE nrole END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END END
+  FROM (SELECT w.*, t.role, t.text, t.initial, CASE WHEN s = 2 THEN 3 ELSE 2 END AS nxt, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END AS nrole
+        FROM (SELECT conv_id, audit, k, s, told, substr(audit, k + 1, 1) AS edit, pos + (substr(audit, k + 1, 1) <> 'I')::INT AS pos FROM walk WHERE k < length(audit)) w
+             LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos)),
+ended AS (SELECT conv_id, audit, told FROM walk WHERE k = length(audit))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

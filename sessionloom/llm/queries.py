@@ -136,7 +136,7 @@ def damage(conversations: DataFrame) -> DataFrame:
     return told.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
 
 
-@register("op13_dialogue_repair")
+@register("op13_dialogue_repair", oracle.DIALOGUE_REPAIR)
 def repair_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and digest of the repaired turns of every conversation after damage."""
     conversations = table(spark, sf_dir, "conversations")

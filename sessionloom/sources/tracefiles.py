@@ -3,8 +3,9 @@
 ``register(spark)`` makes two formats known:
 
 * ``trace_log`` reads line logs and NPZ traces below a folder as (session_id, seq, t, direction, length). Line logs are cut into
-  splits of ``split_bytes``; every split knows the first line, from which time counts. A schema with fewer columns reads and
-  parses only those, and ``t <`` filters are applied where lines are parsed.
+  splits of ``split_bytes``; every split knows the first line, from which time counts. A task takes splits up to some size and
+  number, so many small files make few tasks. A schema with fewer columns reads and parses only those, and ``t <`` filters are
+  applied where lines are parsed.
 * ``file_blocks`` reads files as (file, path, block, bytes, digest): SHA-256 of each block of ``block_bytes``, a file of any size in many tasks.
 * ``named_files`` writes rows to the file that each names: (file, line) as text with ``encoding``, or (file, times, directions,
   lengths) as NPZ arrays. Rows of a file come together and in order. Each task writes to a staging folder of its own attempt; only the
@@ -34,6 +35,7 @@ from ..runtime import ship_package
 PACKETS = "session_id string, seq bigint, t double, direction int, length double"
 SPLIT_BYTES = 64 << 20
 BATCH_ROWS = 50_000
+TASK_BYTES, TASK_FILES = 64 << 20, 2_000  # of one task of a trace reader
 _SENT = {b"s": 1, b"sent": 1, b"send": 1, b"r": 0, b"received": 0, b"recv": 0}
 
 
@@ -52,6 +54,13 @@ class Split(InputPartition):
     end: int
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: (folder, names joined by ``/``, start, end); whole files have no end. Names are told once and kept as one text."""
+
+    parts: list[tuple[str, str, int, int | None]]
+
+
 class TraceReader(DataSourceReader):
     """Reads one form of trace, ``line`` or ``npz``, from files whose name fits the regular expression ``pattern``."""
 
@@ -73,16 +82,55 @@ class TraceReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Share]:
+        """Shares of about ``TASK_BYTES`` or ``TASK_FILES``; larger line logs are cut where a split ends. One folder is listed at a time."""
         system, path = opened(self.root)
-        files = [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and re.search(self.pattern, f.base_name)]
-        step = self.split_bytes if self.form == "line" else 1 << 62
-        return [Split(f.path, at, min(f.size, at + step)) for f in sorted(files, key=lambda f: f.path) for at in range(0, max(f.size, 1), step)]
-
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        step = max(1, TASK_BYTES // self.split_bytes) * self.split_bytes if self.form == "line" else 1 << 62
+        shares, parts, taken, files, todo = [], [], 0, 0, [path]
+        while todo:
+            entries = sorted(system.get_file_info(fs.FileSelector(folder := todo.pop())), key=lambda f: f.path)
+            todo += [f.path for f in reversed(entries) if not f.is_file]
+            names = []
+            for f in entries:
+                if not f.is_file or not re.search(self.pattern, f.base_name):
+                    continue
+                if f.size > step:
+                    shares += [Share([(folder, f.base_name, at, min(f.size, at + step))]) for at in range(0, f.size, step)]
+                    continue
+                names.append(f.base_name)
+                taken, files = taken + f.size, files + 1
+                if taken >= TASK_BYTES or files == TASK_FILES:
+                    shares.append(Share([*parts, (folder, "/".join(names), 0, None)]))
+                    parts, names, taken, files = [], [], 0, 0
+            if names:
+                parts.append((folder, "/".join(names), 0, None))
+        return [*shares, Share(parts)] if parts else shares
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        """Rows of many small files come in one batch."""
+        held, rows = [], 0
+        for batch in self._batches(partition):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BATCH_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _batches(self, partition: Share) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.root)
-        with system.open_input_file(partition.path) as file:
-            yield from (self._lines if self.form == "line" else self._arrays)(file, partition)
+        for folder, names, start, end in partition.parts:
+            for path in (f"{folder}/{name}" for name in names.split("/")):
+                at, stop = start, start + 1
+                while at < stop:
+                    with system.open_input_file(path) as file:
+                        if self.form == "npz":
+                            yield from self._arrays(file, path)
+                            break
+                        stop = file.size() if end is None else end
+                        yield from self._lines(file, Split(path, at, min(stop, at + self.split_bytes)))
+                    at += self.split_bytes
 
     def _batch(self, path: str, seq, t, direction, length) -> pa.RecordBatch:
         keep = np.flatnonzero((t < self.before) & (t <= self.upto))
@@ -120,7 +168,7 @@ class TraceReader(DataSourceReader):
                 break
             yield self._batch(split.path, seq, np.array(t), ways, lengths)
 
-    def _arrays(self, file: pa.NativeFile, split: Split) -> Iterator[pa.RecordBatch]:
+    def _arrays(self, file: pa.NativeFile, path: str) -> Iterator[pa.RecordBatch]:
         with np.load(io.BytesIO(file.read()), allow_pickle=False) as raw:
             times = np.asarray(raw["times"], dtype=float)
             ways = np.asarray(raw["directions"]) if "direction" in self.columns else None
@@ -128,7 +176,7 @@ class TraceReader(DataSourceReader):
         for lo in range(0, len(times), BATCH_ROWS):
             part = slice(lo, lo + BATCH_ROWS)
             n = len(times[part])
-            yield self._batch(split.path, np.arange(lo, lo + n), times[part] - times.min(), [None] * n if ways is None else ways[part].astype(np.int32),
+            yield self._batch(path, np.arange(lo, lo + n), times[part] - times.min(), [None] * n if ways is None else ways[part].astype(np.int32),
                               [None] * n if lengths is None else lengths[part])
 
 
@@ -206,7 +254,7 @@ class NamedFileWriter(DataSourceArrowWriter):
         system, root = opened(self.root)
         folder = f"part-{context.partitionId():05d}"
         place = f"{root}/{self.staging}/{context.taskAttemptId()}"
-        name, out, held, done = None, None, [], set()
+        name, out, held, done, home = None, None, [], set(), None
 
         def close():
             if name is None:
@@ -229,7 +277,8 @@ class NamedFileWriter(DataSourceArrowWriter):
                     if name in done:
                         raise ValueError(f"rows of {name} are apart")
                     done.add(name)
-                    system.create_dir(f"{place}/{name}".rsplit("/", 1)[0], recursive=True)
+                    if (folder_of := f"{place}/{name}".rsplit("/", 1)[0]) != home:
+                        system.create_dir(home := folder_of, recursive=True)
                     out = system.open_output_stream(f"{place}/{name}")
                     if not self.arrays and self.encoding == "utf-8-sig":
                         out.write(b"\xef\xbb\xbf")

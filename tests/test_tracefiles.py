@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sessionloom.sources import tracefiles
 
@@ -63,3 +64,18 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="apart"):  # rows of two files alternate
         rows.coalesce(1).write.format("named_files").mode("append").option("path", str(root)).save()
     assert list(root.rglob("*")) == []
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    for i in range(60):
+        home = tmp_path / f"d{i % 3}"
+        home.mkdir(exist_ok=True)
+        (home / f"{i:03d}.log").write_text(f"0,s,{i}\n1000000000,r,{i}\n")
+        np.savez(home / f"{i:03d}.npz", times=np.array([1.0, 3.0]), directions=np.array([1, 0]), lengths=np.array([i, i], dtype=float))
+    line_log(tmp_path / "long-0.log")
+    for form, rows, names in (("line", 620, 61), ("npz", 120, 60)):
+        reader = tracefiles.TraceReader({"path": str(tmp_path), "form": form, "split_bytes": "100"}, StructType.fromDDL(tracefiles.PACKETS))
+        shares = reader.partitions()
+        read = [b for s in shares for b in reader.read(s)]
+        assert len(shares) == 1 and len(read) == 1  # one task and one batch of rows
+        assert read[0].num_rows == rows and len(set(read[0].column("session_id").to_pylist())) == names

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import require_empty
-from .lines import file_uri, list_files
+from ..runtime import cut_lineage, require_empty
+from .lines import list_files, read_texts
 
 NAME = r"^(\d{4})-(\d{4})-(\d{4})\.log$"  # identity, offset, repeat
 
@@ -16,16 +16,15 @@ def discover_line_logs(spark: SparkSession, root: str, offsets=(0,), strict: boo
 
     A missing companion is an error when ``strict``; otherwise such sources are left out.
     """
-    files = list_files(spark, root)
+    files = cut_lineage(list_files(spark, root))
     traces = (files.withColumn("identity", F.regexp_extract("name", NAME, 1)).where("identity <> ''")
               .withColumn("offset", F.regexp_extract("name", NAME, 2).cast("int"))
               .withColumn("repeat", F.regexp_extract("name", NAME, 3).cast("int"))
               .where(F.col("offset").isin(*offsets)).withColumn("stem", F.regexp_replace("path", r"\.log$", "")))
     players = files.where(F.col("name").endswith(".qoe.log")).select(
         F.regexp_replace("path", r"\.qoe\.log$", "").alias("stem"), F.col("path").alias("player_path"))
-    shaping = (spark.read.schema("scale double").option("multiLine", True).option("recursiveFileLookup", True)
-               .option("pathGlobFilter", "*.bw").json(root)
-               .select("scale", F.regexp_replace(file_uri("_metadata.file_path"), r"\.bw$", "").alias("stem")))
+    texts = read_texts(spark, root, "*.bw").where(F.trim("text") != "")
+    shaping = cut_lineage(texts.select(F.from_json("text", "scale double")["scale"].alias("scale"), F.regexp_replace("path", r"\.bw$", "").alias("stem")))
     if strict:
         require_empty(traces.join(players, "stem", "left_anti").select("path"), "missing player log")
         require_empty(traces.join(shaping, "stem", "left_anti").select("path"), "missing bandwidth file")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
 from .lines import epoch_seconds, number, read_lines, read_table
 
 # Stream format code -> picture height.
@@ -34,6 +35,7 @@ def read_line_player(spark: SparkSession, root: str, origins: DataFrame, horizon
     rows = lines.join(origins.select(F.col("player_path").alias("path"), "session_id", "origin"), "path").select(
         "session_id", "seq", (number(F.col("f")[0]) / 1000 - F.col("origin")).alias("t"), F.trim(F.col("f")[1]).alias("name"),
         number(F.get("f", F.lit(2))).alias("value")).where(F.col("t").isNotNull() & (F.col("t") <= horizon))
+    rows = cut_lineage(rows)  # files are opened once
     states = rows.where(F.col("name").startswith("playback") | F.col("name").isin(*BUFFER_STATES)).select("session_id", "t", "seq", "name")
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf")))
     series = rows.where(F.lower("name").isin(*SERIES) & finite).select("session_id", "t", "seq", F.lower("name").alias("name"), "value")
@@ -52,7 +54,7 @@ def read_csv_player(spark: SparkSession, root: str, origins: DataFrame, window:
 
     A log needs exactly one video identity, at least one row inside the window and only known format codes.
     """
-    raw = read_table(spark, root, name, ["timestamp", "fmt", "bh", "videoid", "stalling", "phase"])
+    raw = cut_lineage(read_table(spark, root, name, ["timestamp", "fmt", "bh", "videoid", "stalling", "phase"]))
     rows = raw.join(origins.select(F.col("player_path").alias("path"), "session_id", "origin"), "path").select(
         "session_id", "seq", (epoch_seconds("timestamp") - F.col("origin")).alias("t"), number("fmt").cast("int").alias("code"),
         (number("bh") / 1000).alias("buffer"), number("stalling").alias("stalled"), F.trim("videoid").alias("videoid"),

@@ -11,11 +11,13 @@ import ipaddress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lines import file_uri, number, read_lines, read_table
+from ..runtime import cut_lineage
+from .lines import number, open_files, read_lines, read_table
 
 # Direction words of the line log, and the protocol numbers kept from captures.
 SENT, RECEIVED = ("s", "sent", "send"), ("r", "received", "recv")
@@ -29,7 +31,7 @@ def read_line_traces(spark: SparkSession, root: str, retain: float = 120.0, patt
     parsed = lines.select(F.col("path").alias("session_id"), "seq", F.size("f").alias("width"), number(F.col("f")[0]).alias("_ns"),
                           F.lower(F.trim(F.get("f", F.lit(1)))).alias("word"), number(F.get("f", F.lit(2))).alias("length"),
                           F.when(F.size("f") > 3, number(F.get("f", F.lit(3))) / 1000).otherwise(0.0).alias("_epoch"))
-    parsed = parsed.withColumn("_t", F.col("_ns") / F.lit(1e9))
+    parsed = cut_lineage(parsed.withColumn("_t", F.col("_ns") / F.lit(1e9)))  # files are opened once
     start = parsed.groupBy("session_id").agg(
         F.min(F.struct("seq", "_t", "_epoch")).alias("_first"), F.max("_t").alias("_last"),
         F.max((F.col("width") < 3).cast("int")).alias("_short"), F.max(F.col("_t").isNull().cast("int")).alias("_unread"))
@@ -62,7 +64,7 @@ def is_client_address(addresses: pd.Series) -> pd.Series:
 
 def read_capture_traces(spark: SparkSession, root: str, retain: float = 120.0, name: str = "video_traffic.csv"):
     """CSV captures: the client is the most frequent private address, direction is up when it sends (A4)."""
-    rows = read_table(spark, root, name, CAPTURE_COLUMNS).withColumnRenamed("path", "session_id")
+    rows = cut_lineage(read_table(spark, root, name, CAPTURE_COLUMNS).withColumnRenamed("path", "session_id"))
     ends = rows.select("session_id", "seq", F.posexplode(F.array("ipSrc", "ipDst")).alias("end", "address"))
     counts = ends.groupBy("session_id", "address").agg(F.count("*").alias("n"), F.min(F.struct("seq", "end")).alias("seen"))
     kinds = counts.select("address").distinct().withColumn("client", is_client_address("address"))
@@ -87,31 +89,28 @@ def read_capture_traces(spark: SparkSession, root: str, retain: float = 120.0, n
 
 def read_npz_traces(spark: SparkSession, root: str, pattern: str = "*.npz", chunk: int = 100_000):
     """NPZ files with aligned times, directions, lengths; time counts from the earliest packet."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-             .select(file_uri("path").alias("path"), "content"))
-
-    def load(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    with np.load(io.BytesIO(content), allow_pickle=False) as raw:
-                        times, directions, lengths = (np.asarray(raw[k], dtype=float) for k in ("times", "directions", "lengths"))
-                    problem = None if len(times) else "empty_trace"
-                    if times.ndim != 1 or not len(times) == len(directions) == len(lengths):
-                        problem = "unaligned_arrays"
-                except (ValueError, KeyError, OSError):
-                    problem = "unreadable_npz"
-                if problem:
-                    yield pd.DataFrame({"session_id": [path], "seq": [-1], "t": [np.nan], "direction": [-1], "length": [np.nan],
-                                        "origin": [np.nan], "reason": [problem]})
-                    continue
-                origin = times.min()
-                for i in range(0, len(times), chunk):
-                    part = slice(i, i + chunk)
-                    yield pd.DataFrame({"session_id": path, "seq": np.arange(i, i + len(times[part])), "t": times[part] - origin,
-                                        "direction": directions[part].astype(int), "length": lengths[part], "origin": origin, "reason": None})
-
-    rows = files.mapInPandas(load, "session_id string, seq bigint, t double, direction int, length double, origin double, reason string")
+    def load(file, path, start, end):
+        try:
+            with np.load(io.BytesIO(file.read()), allow_pickle=False) as raw:
+                times, directions, lengths = (np.asarray(raw[k], dtype=float) for k in ("times", "directions", "lengths"))
+            problem = None if len(times) else "empty_trace"
+            if times.ndim != 1 or not len(times) == len(directions) == len(lengths):
+                problem = "unaligned_arrays"
+        except (ValueError, KeyError, OSError):
+            problem = "unreadable_npz"
+        if problem:
+            yield path, -1, np.nan, -1, np.nan, np.nan, problem
+            return
+        origin = float(times.min())
+        for i in range(0, len(times), chunk):
+            part = slice(i, i + chunk)
+            for seq, t, way, length in zip(range(i, len(times)), (times[part] - origin).tolist(), directions[part].astype(int).tolist(), lengths[part].tolist(),
+                                           strict=False):
+                yield path, seq, t, way, length, origin, None
+
+    columns = [("session_id", pa.string()), ("seq", pa.int64()), ("t", pa.float64()), ("direction", pa.int32()), ("length", pa.float64()),
+               ("origin", pa.float64()), ("reason", pa.string())]
+    rows = cut_lineage(open_files(spark, root, pattern, load, columns, split=False))
     facts = rows.groupBy("session_id").agg(F.max("origin").alias("origin"), F.max("t").alias("duration"), F.max("reason").alias("reason"))
     return _split(rows.where("reason is null").select("session_id", "seq", "t", "direction", "length"), facts)
 

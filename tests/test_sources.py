@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sessionloom.config import DataConfig, MatchConfig
 from sessionloom.operators import features, matching, players
 from sessionloom.plans.prepare import prepare
-from sessionloom.sources import discovery, playerlogs, stores, traces
+from sessionloom.sources import discovery, lines, playerlogs, stores, traces
 from sessionloom.sources.lines import epoch_seconds, file_digests
 
 
@@ -73,6 +73,31 @@ def test_csv_player_startup_is_not_backfilled(spark, tmp_path):
     assert late.first().reason == "no_player_rows_in_window"
 
 
+def test_many_files_are_listed_and_opened_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(400):
+        home = tmp_path / "part" / f"s{i}"
+        home.mkdir(parents=True)
+        (home / "a1.log").write_bytes(f"\ufeff{i},s\r\nx{i}\ry{i}\n\nz{i}".encode())
+    (tmp_path / "_hidden1.log").write_text("no")
+    monkeypatch.setattr(lines, "SPLIT_BYTES", 3)
+    read = lines.read_lines(spark, str(tmp_path), "*[0-9].log")
+    assert read.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    found = {}
+    for r in read.orderBy("path", "seq").collect():
+        found.setdefault(r.path, []).append(r.line)
+    assert found == {uri(tmp_path / "part" / f"s{i}" / "a1.log"): [f"{i},s", f"x{i}", f"y{i}", "", f"z{i}"] for i in range(400)}
+    assert lines.list_files(spark, str(tmp_path)).count() == 400
+
+
+def test_tables_are_read_by_the_header_of_their_own_file(spark, tmp_path, monkeypatch):
+    for name, text in (("a", "\ufeffx,y\n1,2\n"), ("b", 'y,z,x\n\n4,9,"3,5"\n6\n')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.csv").write_text(text)
+    monkeypatch.setattr(lines, "SPLIT_BYTES", 4)
+    rows = lines.read_table(spark, str(tmp_path), "t.csv", ["x", "y", "w"]).orderBy("path", "seq").collect()
+    assert [(r.x, r.y, r.w) for r in rows] == [("1", "2", None), ("3,5", "4", None), (None, "6", None)]
+
+
 def test_epoch_text_in_any_session_zone(spark):
     rows = spark.createDataFrame([("1970-01-01T00:00:10Z",), ("-3",)], "t string")
     zone = spark.conf.get("spark.sql.session.timeZone")

@@ -7,15 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType
 
 from ..functions.hashing import hash_text
 from ..runtime import cut_lineage, ship_package
-from .blocks import join_blocks, matrix, pack
+from .blocks import matrix
 from .clustering import kmeans, nearest
 
 # Mode names in the order low, transition/medium, high.
 BITRATE_NAMES = ("L", "T", "H")
 PLAYBACK_NAMES = ("S", "T", "H")
+#: Distance sums: rows of a block, rows of a block measured at once, slices that the blocks are streamed in, sums a task keeps.
+SUM_ROWS, STRIP, SLICES, HELD_SUMS = 4096, 256, 4, 1 << 23
+#: Squared distances below this share of the squared lengths are not taken from the expanded square.
+NEAR = 1e-6
 
 
 def standardise(rows: DataFrame, training: DataFrame) -> tuple[DataFrame, list[float], list[float]]:
@@ -71,90 +76,120 @@ def fit_modes(rows: DataFrame, training_ids: DataFrame, kind: str, seed: int = 2
     return scaled.withColumn("mode", lookup[nearest(F.col("x"), fit.centres)]).drop("x"), facts
 
 
-def silhouette(points: DataFrame, sample: int | None = None, seed: int = 20260814) -> DataFrame:
-    """One row: mean Euclidean silhouette of (session_id, cluster, x) over all rows.
-
-    Only an explicit ``sample`` restricts it to that many seeded rows. Distances are summed per block, row and cluster; no
-    pair leaves a task.
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of two matrices; pairs close enough to lose digits by expansion are measured again."""
+    if np.isfinite(a).all() and np.isfinite(b).all():
+        middle = b.mean(axis=0)
+        a, b = a - middle, b - middle
+        lengths = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)
+        squares = lengths - 2 * (a @ b.T)
+        rows, columns = np.nonzero(squares < NEAR * lengths)
+    else:
+        squares = np.empty((len(a), len(b)))
+        rows, columns = (index.ravel() for index in np.indices(squares.shape))
+    if len(rows):
+        squares[rows, columns] = sum((a[rows, i] - b[columns, i]) ** 2 for i in range(a.shape[1]))
+    return np.sqrt(squares)
+
+
+def _label_sums(distance: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the columns, sums of the distances per row and label, and columns per label."""
+    ids, place, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(ids) <= 64:
+        return ids, distance @ (place[:, None] == np.arange(len(ids))).astype(float), sizes
+    return ids, np.add.reduceat(distance[:, np.argsort(place, kind="stable")], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=1), sizes
+
+
+def _cluster_sums(points: DataFrame, labelings: list[str]) -> DataFrame:
+    """(row, labeling, own, other, total, members): distances of every row to every cluster of each labeling, summed, and their number.
+
+    Rows are packed into blocks once. A task streams the blocks of a slice past few blocks of its own and keeps their sums, so the blocks
+    are read again from the checkpoint but not shuffled again, and a row leaves a task once per slice and cluster. The number of
+    slices is fixed: data shuffled grows with the rows, only the arithmetic with their square. More sums than ``HELD_SUMS`` are passed on early.
     """
-    chosen = points.select("session_id", F.col("cluster").cast("bigint").alias("cluster"), F.col("x").alias("z"))
-    if sample is not None:
-        chosen = chosen.orderBy(hash_text(seed, F.col("session_id"))).limit(sample)
-    rows = chosen.count()
     ship_package(points.sparkSession)
-    kind = chosen.schema["session_id"].dataType
-    q = pack(chosen, [], "session_id", 500, "q", label="cluster", expected=rows, tokens=False)
-    s = pack(chosen, [], "session_id", 500, "s", label="cluster", expected=rows, tokens=False)
-    schema = pa.schema([("row", to_arrow_type(kind)), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()), ("members", pa.int64())])
+    kind = points.schema["session_id"].dataType
+    if kind.simpleString() != "string":
+        points, kind = points.withColumn("session_id", F.col("session_id").cast("bigint")), LongType()
+    count, blocks = len(labelings), max(1, -(-points.count() // SUM_ROWS))
+    item = F.struct(F.col("session_id").alias("id"), F.array(*[F.col(c).cast("bigint") for c in labelings]).alias("own"), F.col("x").cast("array<double>").alias("x"))
+    dealt = points.select(F.pmod(F.xxhash64("session_id"), F.lit(blocks)).alias("block"), item.alias("item")).repartition(blocks, "block")
+    packed = cut_lineage(dealt.groupBy("block").agg(F.collect_list("item").alias("items")).select(
+        "block", F.col("items.id").alias("ids"), F.flatten("items.own").alias("own"), F.flatten("items.x").alias("x")))
+    left = packed.coalesce(SLICES).select(F.col("own").alias("s_own"), F.col("x").alias("s_x"))
+    right = packed.select("block", "ids", F.col("own").alias("q_own"), F.col("x").alias("q_x"))
+    schema = pa.schema([("row", to_arrow_type(kind)), ("labeling", pa.int32()), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()),
+                        ("members", pa.int64())])
+
+    def passed_on(held):
+        for ids, own, sums in held.values():
+            for (number, other), (total, members) in sums.items():
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), number, dtype=np.int32)), pa.array(own[:, number]), pa.array(np.full(len(ids), other)),
+                                                  pa.array(total), pa.array(np.full(len(ids), members))], schema=schema)
+        held.clear()
 
     def run(batches):
+        held, cells = {}, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
-                nq, ns = len(row["q_ids"].values), len(row["s_ids"].values)
-                a, b = matrix(row["q_z"], nq), matrix(row["s_z"], ns)
-                distance = np.stack([np.sqrt(((b - p) ** 2).sum(1)) for p in a])
-                labels = row["s_labels"].values.to_numpy(zero_copy_only=False)
-                own, ids = row["q_labels"].values, row["q_ids"].values
-                for cluster_id in np.unique(labels):
-                    hit = labels == cluster_id
-                    yield pa.RecordBatch.from_arrays([
-                        ids, own.cast(pa.int64()), pa.array(np.full(nq, cluster_id)),
-                        pa.array(distance[:, hit].sum(1)), pa.array(np.full(nq, hit.sum()))], schema=schema)
-
-    sums = (join_blocks(q, s, []).select("q_ids", "q_labels", "q_z", "s_ids", "s_labels", "s_z")
-            .mapInArrow(run, f"row {kind.simpleString()}, own bigint, other bigint, total double, members bigint")
-            .groupBy("row", "own", "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members")))
+                theirs = row["s_own"].values.to_numpy().reshape(-1, count)
+                b = matrix(row["s_x"], len(theirs))
+                if row["block"].as_py() not in held:
+                    held[row["block"].as_py()] = row["ids"].values, row["q_own"].values.to_numpy().reshape(-1, count), {}
+                ids, own, sums = held[row["block"].as_py()]
+                a = matrix(row["q_x"], len(ids))
+                for lo in range(0, len(a), STRIP):
+                    distance = _distances(a[lo:lo + STRIP], b)
+                    for number in range(count):
+                        for other, total, members in zip(*(v.T for v in _label_sums(distance, theirs[:, number])), strict=True):
+                            key = number, int(other)
+                            if key not in sums:
+                                sums[key] = [np.zeros(len(ids)), 0]
+                                cells += len(ids)
+                            sums[key][0][lo:lo + STRIP] += total
+                            sums[key][1] += int(members) if lo == 0 else 0
+                if cells > HELD_SUMS:
+                    yield from passed_on(held)
+                    cells = 0
+        yield from passed_on(held)
+
+    met = left.hint("shuffle_replicate_nl").crossJoin(right)
+    return (met.mapInArrow(run, f"row {kind.simpleString()}, labeling int, own bigint, other bigint, total double, members bigint")
+            .groupBy("row", "labeling", "own", "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members")))
+
+
+def _row_values(sums: DataFrame) -> DataFrame:
+    """(labeling, own, value): the silhouette of every row under each labeling."""
     mine = F.col("own") == F.col("other")
-    per_row = sums.groupBy("row", "own").agg(
+    per_row = sums.groupBy("row", "labeling", "own").agg(
         F.max(F.when(mine, F.col("members"))).alias("size"), F.max(F.when(mine, F.col("total"))).alias("within"),
         F.min(F.when(~mine, F.col("total") / F.col("members"))).alias("b"))
     a = F.col("within") / (F.col("size") - 1)
-    value = F.when(F.col("size") > 1, (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0)
-    return per_row.agg(F.avg(value).alias("silhouette"), F.count("*").alias("rows"))
+    return per_row.select("labeling", "own", F.when(F.col("size") > 1, (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0).alias("value"))
+
+
+def silhouette(points: DataFrame, sample: int | None = None, seed: int = 20260814) -> DataFrame:
+    """One row: mean Euclidean silhouette of (session_id, cluster, x) over all rows.
+
+    Only an explicit ``sample`` restricts it to that many seeded rows. Distances are summed per task, row and cluster; no
+    pair leaves a task.
+    """
+    chosen = points.select("session_id", "cluster", "x")
+    if sample is not None:
+        chosen = chosen.orderBy(hash_text(seed, F.col("session_id"))).limit(sample)
+    return _row_values(_cluster_sums(chosen, ["cluster"])).agg(F.avg("value").alias("silhouette"), F.count("*").alias("rows"))
 
 
 def silhouettes(points: DataFrame, labelings: list[str]) -> DataFrame:
     """(labeling, silhouette, clusters, rows): mean Euclidean silhouette of every integer label column of (session_id, x, ...).
 
     All labelings share one pass: a pair of blocks is measured once, and its distances are summed per row, labeling and cluster.
-    The work grows with the square of the rows; pass a sample where that is too much.
+    The arithmetic grows with the square of the rows; pass a sample where that is too much.
     """
-    chosen = points.select("session_id", F.lit(0).cast("bigint").alias("cluster"), F.concat("x", F.array(*[F.col(c).cast("double") for c in labelings])).alias("z"))
-    rows, count = chosen.count(), len(labelings)
-    ship_package(points.sparkSession)
-    kind = chosen.schema["session_id"].dataType
-    q = pack(chosen, [], "session_id", 500, "q", label="cluster", expected=rows, tokens=False)
-    s = pack(chosen, [], "session_id", 500, "s", label="cluster", expected=rows, tokens=False)
-    schema = pa.schema([("row", to_arrow_type(kind)), ("labeling", pa.int32()), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()),
-                        ("members", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                nq, ns = len(row["q_ids"].values), len(row["s_ids"].values)
-                a, b = matrix(row["q_z"], nq), matrix(row["s_z"], ns)
-                mine, theirs = a[:, -count:].astype(np.int64), b[:, -count:].astype(np.int64)
-                distance = np.stack([np.sqrt(((b[:, :-count] - p) ** 2).sum(1)) for p in a[:, :-count]])
-                for number in range(count):
-                    for cluster_id in np.unique(theirs[:, number]):
-                        hit = theirs[:, number] == cluster_id
-                        yield pa.RecordBatch.from_arrays([
-                            row["q_ids"].values, pa.array(np.full(nq, number, dtype=np.int32)), pa.array(mine[:, number]), pa.array(np.full(nq, cluster_id)),
-                            pa.array(distance[:, hit].sum(1)), pa.array(np.full(nq, hit.sum()))], schema=schema)
-
-    keys = ["row", "labeling", "own"]
-    sums = (join_blocks(q, s, []).select("q_ids", "q_z", "s_ids", "s_z")
-            .mapInArrow(run, f"row {kind.simpleString()}, labeling int, own bigint, other bigint, total double, members bigint")
-            .groupBy(*keys, "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members")))
-    own = F.col("own") == F.col("other")
-    per_row = sums.groupBy(*keys).agg(F.max(F.when(own, F.col("members"))).alias("size"), F.max(F.when(own, F.col("total"))).alias("within"),
-                                      F.min(F.when(~own, F.col("total") / F.col("members"))).alias("b"))
-    a = F.col("within") / (F.col("size") - 1)
-    value = F.when(F.col("size") > 1, (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0)
     named = F.element_at(F.array(*[F.lit(c) for c in labelings]), F.col("labeling") + 1)
-    return per_row.groupBy(named.alias("labeling")).agg(F.avg(value).alias("silhouette"), F.countDistinct("own").alias("clusters"), F.count("*").alias("rows"))
+    return _row_values(_cluster_sums(points, labelings)).groupBy(named.alias("labeling")).agg(
+        F.avg("value").alias("silhouette"), F.countDistinct("own").alias("clusters"), F.count("*").alias("rows"))
 
 
 def silhouette_by_k(rows: DataFrame, training_ids: DataFrame, seed: int = 20260814, restarts: int = 20, top_k: int = 10) -> DataFrame:

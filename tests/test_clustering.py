@@ -87,3 +87,26 @@ def test_silhouettes_agree_with_one_labeling(spark):
         one = modes.silhouette(points.select("session_id", F.col(label).alias("cluster"), "x")).first()
         assert many[label].silhouette == pytest.approx(one.silhouette) and many[label].rows == 700
     assert (many["a"].clusters, many["b"].clusters) == (3, 2)
+
+
+def test_distance_sums_leave_a_task_once_per_slice(spark, monkeypatch):
+    """Many blocks: the same values as pair by pair, near and equal rows far from zero, and few rows shuffled."""
+    monkeypatch.setattr(modes, "SUM_ROWS", 40)
+    monkeypatch.setattr(modes, "STRIP", 16)
+    rng = random.Random(5)
+    rows = [(i, [1e6 + rng.random(), rng.random() * 1e-3], i % 3, i % 90) for i in range(800)] + [(800 + i, [1e6, 0.5], i % 2, i) for i in range(4)]
+    points = spark.createDataFrame(rows, "session_id bigint, x array<double>, a int, b int")
+    packed = modes._cluster_sums(points, ["a", "b"])
+    got = {(r.row, r.labeling, r.other): (r.total, r.members) for r in packed.collect()}
+    assert len(got) == 804 * 93
+    for i in (0, 17, 800, 803):
+        for labeling in (0, 1):
+            for other in {r[2 + labeling] for r in rows}:
+                far = [math.dist(rows[i][1], r[1]) for r in rows if r[2 + labeling] == other]
+                assert got[i, labeling, other] == (pytest.approx(sum(far), rel=1e-9, abs=1e-12), len(far))
+    monkeypatch.setattr(modes, "HELD_SUMS", 50)
+    again = {(r.row, r.labeling, r.other): (r.total, r.members) for r in modes._cluster_sums(points, ["a", "b"]).collect()}
+    assert again == {k: (pytest.approx(v[0]), v[1]) for k, v in got.items()}
+    monkeypatch.undo()
+    plan = packed._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "Generate explode" not in plan

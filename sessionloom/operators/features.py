@@ -63,23 +63,42 @@ def bin_features(packets: DataFrame, config: DataConfig, until: float | None = N
                  sessions: DataFrame | None = None) -> DataFrame:
     """Dense (session_id, scale, bin, c0..c4, mask) including empty bins.
 
-    The empty grid joins the packets as rows of zero weight, so grid and sums share a single aggregation.
+    A session's non-empty bins are collected, at most as many as its grid has, and the others are filled in behind the shuffle: the
+    empty grid is neither shuffled nor aggregated.
     """
     sessions = packets.select("session_id").distinct() if sessions is None else sessions.select("session_id")
-    scales = F.array(*[F.lit(s) for s in config.scales])
-    real = (_visible(packets, config, until, start)
-            .select("session_id", "t", "direction", F.col("length").cast("double").alias("length"),
-                    F.explode(scales).alias("scale"))
-            .select("session_id", "scale", _bin(F.col("scale")).alias("bin"), "direction", "length"))
-    grid = F.array(*[F.struct(F.lit(s).alias("scale"), F.sequence(F.lit(0), F.lit(config.bins(s) - 1)).alias("bins"))
-                     for s in config.scales])
-    empty = (sessions.select("session_id", F.explode(grid).alias("g"))
-             .select("session_id", F.col("g.scale").alias("scale"), F.explode("g.bins").alias("bin"))
-             .withColumn("bin", F.col("bin").cast("bigint")).withColumn("direction", F.lit(-1)).withColumn("length", F.lit(0.0)))
-    filled = _bin_sums(real.unionByName(empty), ["session_id", "scale", "bin"])
+    known = [F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(2)]
+    sums = sparse_bins(packets, config, until, start).select("session_id", "scale", "bin", *known, "c2", "c3", F.coalesce("c4", F.lit(0.0)).alias("c4"))
+    cells = fill_grid(sums, sessions, config)
     centre = (F.col("bin") + 0.5) * F.col("scale") / 1000
     horizon = config.window if until is None else until
-    return filled.withColumn("mask", F.when(centre <= F.lit(float(horizon)), 1).otherwise(0))
+    return cells.withColumn("mask", F.when(centre <= F.lit(float(horizon)), 1).otherwise(0))
+
+
+def fill_grid(bins: DataFrame, sessions: DataFrame, config: DataConfig) -> DataFrame:
+    """(session_id, scale, bin, c0..c4): ``bins`` and, for every session of ``sessions``, the empty bins of its grid with zeros."""
+    cell = F.struct(F.col("scale").cast("int").alias("scale"), F.col("bin").cast("bigint").alias("bin"), *VALUES)
+    found = bins.select("session_id", cell.alias("cell"), F.lit(False).alias("listed"))
+    listed = sessions.select("session_id", F.lit(None).cast(found.schema["cell"].dataType).alias("cell"), F.lit(True).alias("listed"))
+    held = found.unionByName(listed).groupBy("session_id").agg(F.collect_list("cell").alias("cells"), F.max("listed").alias("listed"))
+    # A bin's place in the grid: the bins of the scales before its own, and its number.
+    sizes = [config.bins(s) for s in config.scales]
+    firsts = {s: sum(sizes[:i]) for i, s in enumerate(config.scales)}
+    place = lambda scale, number: F.element_at(F.create_map(*[F.lit(x) for pair in firsts.items() for x in pair]), scale) + number
+    inside = F.filter("cells", lambda c: c["bin"] < F.element_at(F.create_map(*[F.lit(x) for pair in zip(config.scales, sizes) for x in pair]), c["scale"]))
+    empty = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(sum(sizes) - 1).cast("bigint")), F.transform(inside, lambda c: place(c["scale"], c["bin"])))
+
+    def zeros(p: Column) -> Column:
+        scale = F.lit(config.scales[0])
+        for s in config.scales[1:]:
+            scale = F.when(p >= firsts[s], F.lit(s)).otherwise(scale)
+        first = F.lit(0)
+        for s in config.scales[1:]:
+            first = F.when(p >= firsts[s], F.lit(firsts[s])).otherwise(first)
+        return F.struct(scale.alias("scale"), (p - first).alias("bin"), *[F.lit(0.0).alias(c) for c in VALUES])
+
+    filled = F.when(F.col("listed"), F.concat("cells", F.transform(empty, zeros))).otherwise(F.col("cells"))
+    return held.select("session_id", F.inline(filled))
 
 
 def observation_mask(config: DataConfig, sessions: DataFrame, until: Column) -> DataFrame:

@@ -1,58 +1,22 @@
-"""Bin features from packets as they arrive: state per session, late packets up to a watermark, restarts from a checkpoint.
+"""Bin features from packets as they arrive: state per session and bin, late packets up to a watermark, restarts from a checkpoint.
 
-The state of a session is its open bins at every scale, the time of its last packet and their number: some kilobytes, whatever the
-number of packets. Every batch that touches a session writes its bins anew with the batch's number, so readers take the latest
-ones and a batch that is repeated after a failure only replaces itself. A session is forgotten once the watermark has passed its
-window; packets later than that are left out, as the watermark says.
+A streaming aggregation holds the sums of a session's non-empty bins, one row for all scales, with the time of the bin's last packet and
+their number. Every batch writes the bins it touches with the batch's number, so readers take the latest ones and a batch that is repeated
+after a failure only replaces itself. A session is forgotten once the watermark has passed its window; packets later than that are
+left out, as the watermark says.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DataConfig
-from ..runtime import ship_package
-
-STATE = "cells binary, last double, seen bigint"
-OUT = "session_id bigint, scale bigint, bin bigint, c0 double, c1 double, c2 double, c3 double, last double, seen bigint"
-
-
-def _update(config: DataConfig):
-    sizes = [config.bins(s) for s in config.scales]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    scale_of = np.repeat(np.array(config.scales, dtype=np.int64), sizes)
-    bin_of = np.concatenate([np.arange(n) for n in sizes])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cells, last, seen = np.zeros((first[-1], 4)), -1.0, 0
-        if state.exists:
-            held, last, seen = state.get
-            cells = np.frombuffer(held).reshape(-1, 4).copy()
-        ends = 0
-        for rows in batches:
-            rows = rows[(rows.t >= 0) & (rows.t < config.window)]
-            if not len(rows):
-                continue
-            up = rows.direction.to_numpy() == 1
-            sums = np.stack([np.where(up, 0.0, rows.length), np.where(up, rows.length, 0.0), ~up, up], axis=1)
-            for scale, at in zip(config.scales, first, strict=False):
-                np.add.at(cells, at + np.floor(rows.t.to_numpy() * 1000 / scale + 1e-9).astype(np.int64), sums)
-            last, seen, ends = max(last, float(rows.t.max())), seen + len(rows), max(ends, int(rows.ends.max()))
-        state.update((cells.tobytes(), last, seen))
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        used = np.flatnonzero(cells[:, 2:].any(axis=1))
-        yield pd.DataFrame({"session_id": key[0], "scale": scale_of[used], "bin": bin_of[used], **{f"c{i}": cells[used, i] for i in range(4)}, "last": last, "seen": seen})
-
-    return step
+from ..operators.features import fill_grid
+
+OUT = "session_id bigint, scales array<int>, bins array<bigint>, c0 double, c1 double, c2 double, c3 double, last double, seen bigint"
 
 
 def run_available(spark: SparkSession, packets: DataFrame, config: DataConfig, out: str, checkpoint: str, lateness: str) -> None:
@@ -60,34 +24,40 @@ def run_available(spark: SparkSession, packets: DataFrame, config: DataConfig, o
 
     ``packets`` is a stream of (session_id, event_time, ends, t, direction, length); ``ends`` is the event time in milliseconds at which the
     session's window is over. ``checkpoint`` and ``out`` belong together and lie in a shared folder; a call after a failure goes on
-    from there.
+    from there. The watermark follows the ends of the windows, so it stays ``lateness`` and one window behind the latest of them and no
+    packet is left out that is less than ``lateness`` behind the last one.
     """
-    ship_package(spark)
-    timed = packets.withWatermark("event_time", lateness)
-    bins = timed.groupBy("session_id").applyInPandasWithState(_update(config), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    delay = f"{lateness} {math.ceil(config.window * 1000)} milliseconds"
+    usable = packets.where((F.col("t") >= 0) & (F.col("t") < F.lit(float(config.window))))
+    timed = usable.withColumn("closes", F.timestamp_millis("ends")).withWatermark("closes", delay)
+    up = F.coalesce(F.col("direction") == 1, F.lit(False))
+    length = F.coalesce(F.col("length").cast("double"), F.lit(float("nan")))
+    total = lambda test, value: F.sum(F.when(test, value).otherwise(0.0))
+    places = F.array(*[F.floor(F.col("t") * 1000 / F.lit(s) + F.lit(1e-9)) for s in config.scales])
+    bins = timed.groupBy("session_id", "closes", places.alias("bins")).agg(
+        total(~up, length).alias("c0"), total(up, length).alias("c1"), total(~up, F.lit(1.0)).alias("c2"), total(up, F.lit(1.0)).alias("c3"),
+        F.max("t").alias("last"), F.count("*").alias("seen")).drop("closes")
 
     def store(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.withColumn("scales", F.array(*[F.lit(int(s)) for s in config.scales])).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = bins.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
 
 
 def latest_bins(spark: SparkSession, out: str) -> DataFrame:
-    """(session_id, scale, bin, c0..c4) of the last batch of every session: non-empty bins only."""
-    rows = spark.read.schema(OUT + ", batch bigint").option("basePath", out).parquet(out)
-    last = rows.groupBy("session_id").agg(F.max("batch").alias("batch"))
+    """(session_id, scale, bin, c0..c4) from the last batch of every bin: non-empty bins only."""
+    sums = ["c0", "c1", "c2", "c3"]
+    rows = spark.read.schema(OUT + ", batch bigint").option("basePath", out).parquet(out).where("session_id is not null")
+    last = rows.groupBy("session_id", "scales", "bins").agg(*[F.max_by(c, "batch").alias(c) for c in sums])
+    bins = last.select("session_id", F.explode(F.arrays_zip(F.col("scales").alias("scale"), F.col("bins").alias("bin"))).alias("g"), *sums).groupBy("session_id", "g.scale", "g.bin").agg(*[F.sum(c).alias(c) for c in sums])
     mean = F.when(F.col("c2") > 0, F.col("c0") / F.col("c2")).otherwise(0.0)
-    return rows.join(last, ["session_id", "batch"]).select("session_id", F.col("scale").cast("int").alias("scale"), "bin", "c0", "c1", "c2", "c3", mean.alias("c4"))
+    return bins.withColumn("c4", mean)
 
 
 def dense_bins(bins: DataFrame, config: DataConfig) -> DataFrame:
     """(session_id, scale, bin, c0..c4, mask) with empty bins, of every session that has one; the whole window is observed."""
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(config.bins(s)).alias("n")) for s in config.scales]))
-    cells = bins.select("session_id").distinct().select("session_id", grid.alias("g")).select(
-        "session_id", "g.scale", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g.n").cast("bigint") - 1)).alias("bin"))
-    filled = cells.join(bins, ["session_id", "scale", "bin"], "left")
-    return filled.select("session_id", "scale", "bin", *[F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(5)], F.lit(1).alias("mask"))
+    return fill_grid(bins, bins.select("session_id").distinct(), config).withColumn("mask", F.lit(1))
 
 
 def prefix_bins(bins: DataFrame, config: DataConfig, until: float, start: float = 0.0) -> DataFrame:

@@ -46,3 +46,16 @@ def test_a_closed_session_takes_no_more_packets(spark, tmp_path):
     arrive(spark, tmp_path, [(1, 0, 2.0, 0, 9.0), (2, 1000, 3.0, 0, 9.0)], "1 second")
     rows = {(r.session_id, r.scale, r.bin): (r.c0, r.c1) for r in bins.latest_bins(spark, str(tmp_path / "out")).where("scale = 2000").collect()}
     assert rows == {(1, 2000, 0): (5.0, 0.0), (2, 2000, 0): (0.0, 7.0), (2, 2000, 1): (9.0, 0.0)}
+
+
+def test_state_is_the_sums_of_bins_and_batches_write_what_they_touch(spark, tmp_path):
+    """No Python task per session: a batch writes the bins it touches only, a null length makes the sum unknown, late packets count."""
+    arrive(spark, tmp_path, [(1, 0, 1.0, 0, 5.0), (1, 0, 30.0, 1, 2.0), (2, 0, 70.0, 0, 1.0)], "10 seconds")
+    arrive(spark, tmp_path, [(1, 0, 30.1, 1, 3.0), (1, 0, 1.1, 0, None)], "10 seconds")
+    arrive(spark, tmp_path, [(3, 45, 1.0, 0, 1.0)], "10 seconds")
+    arrive(spark, tmp_path, [(1, 0, 40.0, 0, 4.0)], "10 seconds")
+    written = spark.read.schema(bins.OUT + ", batch bigint").option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    counts = [r["count"] for r in written.groupBy("batch").count().orderBy("batch").collect()]
+    assert counts == [2, 2, 1, 1]
+    got = {(r.session_id, r.scale, r.bin): (str(r.c0), r.c1, r.c2, r.c3) for r in bins.latest_bins(spark, str(tmp_path / "out")).where("scale = 2000").collect()}
+    assert got == {(1, 2000, 0): ("nan", 0.0, 2.0, 0.0), (1, 2000, 15): ("0.0", 5.0, 0.0, 2.0), (1, 2000, 20): ("4.0", 0.0, 1.0, 0.0), (3, 2000, 0): ("1.0", 0.0, 1.0, 0.0)}

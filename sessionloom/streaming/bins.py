@@ -51,13 +51,16 @@ def latest_bins(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.schema(OUT + ", batch bigint").option("basePath", out).parquet(out).where("session_id is not null")
     last = rows.groupBy("session_id", "scales", "bins").agg(*[F.max_by(c, "batch").alias(c) for c in sums])
     bins = last.select("session_id", F.explode(F.arrays_zip(F.col("scales").alias("scale"), F.col("bins").alias("bin"))).alias("g"), *sums).groupBy("session_id", "g.scale", "g.bin").agg(*[F.sum(c).alias(c) for c in sums])
+    # A packet without a length leaves its bin's sum unknown.
+    bins = bins.select("session_id", "scale", "bin", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in sums])
     mean = F.when(F.col("c2") > 0, F.col("c0") / F.col("c2")).otherwise(0.0)
     return bins.withColumn("c4", mean)
 
 
 def dense_bins(bins: DataFrame, config: DataConfig) -> DataFrame:
     """(session_id, scale, bin, c0..c4, mask) with empty bins, of every session that has one; the whole window is observed."""
-    return fill_grid(bins, bins.select("session_id").distinct(), config).withColumn("mask", F.lit(1))
+    known = bins.select("session_id", "scale", "bin", *[F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(5)])
+    return fill_grid(known, bins.select("session_id").distinct(), config).withColumn("mask", F.lit(1))
 
 
 def prefix_bins(bins: DataFrame, config: DataConfig, until: float, start: float = 0.0) -> DataFrame:

@@ -58,4 +58,4 @@ def test_state_is_the_sums_of_bins_and_batches_write_what_they_touch(spark, tmp_
     counts = [r["count"] for r in written.groupBy("batch").count().orderBy("batch").collect()]
     assert counts == [2, 2, 1, 1]
     got = {(r.session_id, r.scale, r.bin): (str(r.c0), r.c1, r.c2, r.c3) for r in bins.latest_bins(spark, str(tmp_path / "out")).where("scale = 2000").collect()}
-    assert got == {(1, 2000, 0): ("nan", 0.0, 2.0, 0.0), (1, 2000, 15): ("0.0", 5.0, 0.0, 2.0), (1, 2000, 20): ("4.0", 0.0, 1.0, 0.0), (3, 2000, 0): ("1.0", 0.0, 1.0, 0.0)}
+    assert got == {(1, 2000, 0): ("None", 0.0, 2.0, 0.0), (1, 2000, 15): ("0.0", 5.0, 0.0, 2.0), (1, 2000, 20): ("4.0", 0.0, 1.0, 0.0), (3, 2000, 0): ("1.0", 0.0, 1.0, 0.0)}

@@ -11,14 +11,18 @@ before every ``MARK``-th symbol, uint64, so that any range is found by one searc
 
 from __future__ import annotations
 
+import codecs
+import json
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +37,22 @@ ROUNDS = 5
 #: A pair must occur this often to pay for its rule.
 LEAST_COUNT = 12
 CACHED_PIECES = 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 23
 
 _SHARD = "part int, shard int, docs bigint, ids bigint, vocabulary int, head binary, rules binary, lengths binary, body binary, marks binary"
-#: White space other than blank and newline, and separators that Python alone calls white space.
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Two blanks or line ends and blanks side by side or at an end, "<|", white space other than these, separators that Python alone
+#: calls white space.
+_UNCUT = ("  | \n|\n |\\A[ \n]|[ \n]\\z|<\\||"
+          "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words of letters of scripts to which Unicode adds nothing any more, so that every version knows the same ones.
+_WORD = re.compile("\n?[^\\W\\d_\xb2\xb3\xb9\xbc-\xbe\u0530-\U0010ffff]+")
+#: A line end that is a pre-token alone wherever it stands.
+_LINE_END = re.compile("(?<!\n)\n(?!\n)")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = sorted({*range(256)} - {*_SHOWN})
+#: Characters by which byte-level tokenizers write the bytes: shown ones stay, the others follow from 256 on.
+_BYTE_LEVEL = "".join(chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
 
 
 class Grammar(NamedTuple):
@@ -108,21 +124,28 @@ def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = R
     occurs ``least`` times or no symbol is left.
 
     Where two chosen pairs overlap the commoner one is replaced; of a run of one symbol every second pair is. ``last`` marks the final id of each document; no pair
-    crosses it. Symbols stay below 65,536, which bounds the rules.
+    crosses it. Symbols stay below 65,536, which bounds the rules. A pair of older symbols never gets commoner, so later rounds count
+    only places whose pair was common before (by hash) or has a new symbol.
     """
     body, last = ids.astype(np.uint16), last.copy()
     left, right = [], []
     room = 65_535 - vocabulary
     bits = 18
     turn = 0
+    live = ~last
+    live[-1:] = False
     while room and len(body) > 1:
-        keys = (body[:-1].astype(np.uint32) << np.uint32(16)) | body[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(keys[inside])
+        inside = np.flatnonzero(live)
+        keys = ((body[:-1].astype(np.uint32) << np.uint32(16)) | body[1:])[live[:-1]]
+        ordered = np.sort(keys)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.append(starts, len(ordered)))
         often = counts >= least
         pairs, counts = ordered[starts[often]], counts[often]
+        at = (keys * np.uint32(2654435761)) >> np.uint32(32 - bits)
+        common = np.zeros(1 << bits, dtype=bool)
+        common[(pairs * np.uint32(2654435761)) >> np.uint32(32 - bits)] = True
+        live[inside] = common[at]
         # Equal counts in mixed order: in ascending order a text of ascending ids would lose one pair a round.
         by = np.lexsort((pairs * np.uint32(2246822519), -counts))[:max(1, room // max(1, rounds - turn))]
         pairs = pairs[by]
@@ -135,10 +158,9 @@ def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = R
         pairs, slot = pairs[keep], slot[keep]
         ranks, holder = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.uint32)
         ranks[slot], holder[slot] = np.arange(1, len(pairs) + 1), pairs
-        at = (keys * np.uint32(2654435761)) >> np.uint32(32 - bits)
-        found = np.flatnonzero((holder[at] == keys) & inside)
+        found = np.flatnonzero(holder[at] == keys)
         rank = ranks[at[found]]
-        found, rank = found[rank > 0], rank[rank > 0]
+        found, rank = inside[found[rank > 0]], rank[rank > 0]
         beside = found[1:] == found[:-1] + 1
         # Neighbours of one rank are one symbol repeated.
         again = np.concatenate([[False], beside & (rank[1:] == rank[:-1])]) if len(found) else beside
@@ -160,9 +182,12 @@ def compress(ids: np.ndarray, last: np.ndarray, vocabulary: int, rounds: int = R
         room -= len(used)
         body[place] = number[chosen]
         last[place] = last[place + 1]
+        for new in (place, np.maximum(place - 1, 0)):
+            live[new] = ~last[new]
         stay = np.ones(len(body), dtype=bool)
         stay[place + 1] = False
-        body, last = body[stay], last[stay]
+        body, last, live = body[stay], last[stay], live[stay]
+        live[-1] = False
     lengths: list[int] = []
     for a, b in zip(left, right, strict=True):
         lengths.append(sum(1 if s < vocabulary else lengths[s - vocabulary] for s in (a, b)))
@@ -176,12 +201,36 @@ def _first_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[by][first], np.sort(by[first])
 
 
+class _Words(dict):
+    """Ids of words of letters, by the library's BPE model: as behind a blank, or behind a line end where one stands before
+    the word (then with its id). Other strings have None."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def pretoken(self, text: str) -> bytes:
+        """Little-endian uint16 ids of a string that the pre-tokenizer leaves whole."""
+        symbols = codecs.charmap_decode(text.encode(), "strict", _BYTE_LEVEL)[0]
+        return array("H", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes | None:
+        if not _WORD.fullmatch(word):
+            ids = None
+        elif word[0] == "\n":
+            ids = self.pretoken("\n") + self.pretoken(word[1:])
+        else:
+            ids = self.pretoken(" " + word)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts with a byte-level BPE tokenizer, each distinct piece once while it is cached.
+    """Encodes texts with a byte-level BPE tokenizer, each distinct word once while it is cached.
 
-    Texts are cut at single blanks between words; byte-level pre-tokens never reach from a word into the blank behind it, so
-    the ids are those of the whole text. New pieces are encoded many at a time between separator tokens. The cache is
-    emptied when it is full.
+    Texts are cut at single blanks and line ends between words; byte-level pre-tokens never reach from a word into the blank
+    behind it, so the ids are those of the whole text. Arrow finds the distinct pieces of a slice of texts, NumPy lays out
+    their ids for all pieces. A piece of letters and the marks behind them is two pre-tokens, which go to the BPE model;
+    other new pieces are encoded many at a time between separator tokens. The caches are emptied when they are full.
     """
 
     def __init__(self, path: str):
@@ -193,22 +242,26 @@ class Encoder:
         self.between = self.tokenizer.id_to_token(self.separator)
         if self.tokenizer.encode(self.between, add_special_tokens=False).ids != [self.separator]:
             raise ValueError("the last id of the tokenizer must be a special token")
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def cuttable(text: str) -> bool:
+        first = self.tokenizer.pre_tokenizer
+        kind = json.loads(first.__getstate__()) if first is not None else {}
+        #: Texts are cut for this pre-tokenizer only.
+        self.byte_level = (kind.get("type"), kind.get("use_regex"), kind.get("add_prefix_space"), self.tokenizer.normalizer) == ("ByteLevel", True, False, None)
+        self.words = _Words(self.tokenizer.model)
+        self.marks: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def cuttable(self, texts: pa.Array) -> list[bool | None]:
         """Whether every blank stands between two words, and no string of a special token can occur."""
-        return not ("  " in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n"
-                    or _ODD_SPACE.search(text))
+        return pc.and_(pc.invert(pc.match_substring_regex(texts, _UNCUT)), self.byte_level).to_pylist()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def pieces(self, pieces: list[str], lead: str = "") -> list[bytes]:
-        """Ids of each piece with ``lead`` before it; many pieces go through the tokenizer at once, between separators."""
+    def between_separators(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; many pieces go through the tokenizer at once, between separators."""
         blocks = [pieces[i:i + 500] for i in range(0, len(pieces), 500)]
         out = []
-        for found in self.tokenizer.encode_batch_fast([lead + (self.between + lead).join(b) for b in blocks], add_special_tokens=False):
+        for found in self.tokenizer.encode_batch_fast([self.between.join(b) for b in blocks], add_special_tokens=False):
             ids = np.array([*found.ids, self.separator], dtype="<u2")
             data, at = ids.tobytes(), 0
             for end in np.flatnonzero(ids == self.separator).tolist():
@@ -216,31 +269,78 @@ class Encoder:
                 at = end + 1
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def pieces(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces of texts, each with the blank or line end before it (the line end is written, the blank is not)."""
+        words, marks, odd = self.words, self.marks, self.odd
+        for cache in (words, marks, odd):
+            if len(cache) > CACHED_PIECES:
+                cache.clear()
+        out, missing = [], []
+        cores = pc.utf8_rtrim(pieces, characters=string.punctuation)
+        for piece, core in zip(_strings(pieces), _strings(cores), strict=True):
+            ids = words[core]
+            if ids is None:
+                ids = odd.get(piece)
+                if ids is None:
+                    missing.append((len(out), piece))
+            elif len(core) < len(piece):
+                behind = piece[len(core):]
+                if behind not in marks:
+                    marks[behind] = words.pretoken(behind)
+                ids += marks[behind]
+            out.append(ids)
+        found = self.between_separators([p if p.startswith("\n") else " " + p for _, p in missing])
+        for (i, piece), ids in zip(missing, found, strict=True):
+            out[i] = odd[piece] = ids
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """Little-endian uint16 ids of each text, without end id; a null text has none."""
-        known = self.known
-        if len(known) > CACHED_PIECES:
-            known.clear()
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        missing: set[str] = set()
-        for i, text in enumerate(texts):
+        cut: list[int] = []
+        lines: list[str] = []
+        for i, (text, cuttable) in enumerate(zip(texts.to_pylist(), self.cuttable(texts), strict=True)):
             if not text:
                 continue
-            if not self.cuttable(text):
+            if cuttable:
+                cut.append(i)
+                lines.append("\n" + (_LINE_END.sub(" \n", text) if "\n\n" in text else text.replace("\n", " \n")))
+            else:
                 out[i] = self.whole(text)
-                continue
-            pieces = text.split(" ")
-            cut.append((i, pieces))
-            missing.update(filterfalse(known.__contains__, pieces[1:]))
-        if missing:
-            new = list(missing)
-            known.update(zip(new, self.pieces(new, " "), strict=True))
-        for (i, pieces), first in zip(cut, self.pieces([p[0] for _, p in cut]) if cut else (), strict=True):
-            out[i] = first + b"".join(map(known.__getitem__, pieces[1:]))
+        if not cut:
+            return out
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        pieces = self.pieces(coded.dictionary)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        begin = np.cumsum(size) - size
+        number = coded.indices.to_numpy()
+        size, begin = size[number], begin[number]
+        # The line end before a text is none of its own.
+        size[first[:-1]] -= 1
+        begin[first[:-1]] += 1
+        data = np.frombuffer(b"".join(pieces), dtype="<u2")[_spread(begin, size)].tobytes()
+        ends = 2 * np.append(0, np.cumsum(size))[first]
+        for i, lo, hi in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = data[lo:hi]
         return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``SLICE_BYTES`` bytes of text, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -265,10 +365,10 @@ def _shards(tokenizer_path: str, shard_ids: int) -> Callable:
         held = 0
         end = np.array([END_ID], dtype="<u2").tobytes()
         for batch in batches:
-            names, column = batch.column("key").to_pylist(), batch.column("text")
-            for lo in range(0, len(names), 256):
-                for key, ids in zip(names[lo:lo + 256], encode(column.slice(lo, 256).to_pylist()), strict=True):
-                    keys.append(key)
+            names = iter(batch.column("key").to_pylist())
+            for column in _slices(batch.column("text")):
+                for ids in encode(column):
+                    keys.append(next(names))
                     texts.append(ids + end)
                     held += len(ids) // 2 + 1
                     if held >= shard_ids:

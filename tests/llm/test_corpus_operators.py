@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import canonical, connect
 from pyspark.sql import functions as F
@@ -274,6 +275,26 @@ def test_token_file_round_trip(spark, odd, empty, documents, tmp_path):
     assert tokens.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    """Texts of anything that cutting could get wrong, and a word goes to the model once whatever marks or line ends stand beside it."""
+    rng = random.Random(6)
+    parts = ["a", "b", "é", "Th", "ing", *[" "] * 5, "  ", "\n", "\n\n", ".", ",", "'s", "'", "don't", "²", "½", "3", "日", "ш", "ա", "\u0300", "<|",
+             "<|endoftext|>", "-", "?!", "###", "\t", "\xa0", "😀", "_", "İ", "ß", "ª"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000))]
+    encode = tokens.encoder(tokenizer_path())
+    assert encode(pa.array(texts, pa.string())) == [encode.whole(t) if t else b"" for t in texts]
+    assert sum(map(bool, encode.cuttable(pa.array(texts[2:])))) > 300 and encode(pa.array([None, None], pa.string())) == [b"", b""]
+    fresh = tokens.Encoder(tokenizer_path())
+    assert fresh(pa.array(["x zebra zebra, zebra. zebra.### \"zebra\" zebra;"])) == [fresh.whole("x zebra zebra, zebra. zebra.### \"zebra\" zebra;")]
+    assert [w for w, ids in fresh.words.items() if ids is not None] == ["\nx", "zebra"] and list(fresh.odd) == ['"zebra"']
+
+
+def test_slices_take_every_row():
+    texts = pa.array(["x" * n if n else None for n in (0, 3, tokens.SLICE_BYTES, 5, 0, 7, tokens.SLICE_BYTES // 2, tokens.SLICE_BYTES // 2)])
+    assert [x for s in tokens._slices(texts) for x in s.to_pylist()] == texts.to_pylist()
+    assert all(len(s) == 1 or sum(len(x or "") for x in s.to_pylist()) <= tokens.SLICE_BYTES for s in tokens._slices(texts))
+
+
 @pytest.mark.parametrize("ids", [[], [5], [7] * 1000, [1, 2] * 500, [3, 3, 4] * 300])
 def test_grammar_round_trip(ids):
     array, last = np.array(ids, dtype=np.uint16), np.zeros(len(ids), dtype=bool)

@@ -11,6 +11,10 @@ import numpy as np
 from ..config import MatchConfig
 
 
+#: Pairs whose tables are filled at once without logarithms.
+LINEAR_PAIRS = 512
+
+
 def _diagonals(m: int, n: int):
     for d in range(m + n - 1):
         rows = np.arange(max(0, d - n + 1), min(m - 1, d) + 1)
@@ -54,6 +58,47 @@ def partial_monotone(affinity: np.ndarray, valid: np.ndarray, gap: float, gamma:
     return score, flow[:, :m, :n] * share_diag[:, :m, :n]
 
 
+def partial_monotone_local(similarity: np.ndarray, valid: np.ndarray, config: MatchConfig) -> np.ndarray:
+    """Local score (P,) of a partial monotone alignment from token similarities (P, m, n) and valid cells.
+
+    The recurrence of ``partial_monotone`` without logarithms: tables hold exp(cell / gamma), so a cell is a sum of
+    products. Pairs lie along the last axis and are taken some at a time. Where such numbers could overflow, the
+    logarithmic form is used.
+    """
+    pairs, m, n = similarity.shape
+    longest = min(m, n) * max(0.0, 1.0 - config.delta) / config.gamma + (m + n + 1) * np.log(3.0)
+    out = np.empty(pairs)
+    skip = np.exp(-config.gap / config.gamma)
+    for lo in range(0, pairs, LINEAR_PAIRS):
+        part = slice(lo, lo + LINEAR_PAIRS)
+        if longest > 600 or similarity[part].max(initial=0.0) > 1.0 + 1e-6:
+            _, mass = partial_monotone(similarity[part] - config.delta, valid[part], config.gap, config.gamma)
+            out[part] = (mass * similarity[part]).sum((1, 2)) / (mass.sum((1, 2)) + config.epsilon)
+            continue
+        sims = np.ascontiguousarray(np.moveaxis(similarity[part], 0, 2))
+        step = np.exp((sims - config.delta) / config.gamma) * np.moveaxis(valid[part], 0, 2)
+        count = sims.shape[2]
+        table, flow = np.ones((m + 1, n + 1, count)), np.zeros((m + 1, n + 1, count))
+        room = np.empty(count)
+        for i in range(m):
+            for j in range(n):
+                cell = np.add(table[i, j + 1], table[i + 1, j], out=table[i + 1, j + 1])
+                cell *= skip
+                cell += np.multiply(table[i, j], step[i, j], out=room)
+                cell += 1.0
+        total = table[1:, 1:].sum(axis=(0, 1))
+        for i in reversed(range(m)):
+            for j in reversed(range(n)):
+                cell = np.add(flow[i + 1, j], flow[i, j + 1], out=flow[i, j])
+                cell *= skip
+                if i + 1 < m and j + 1 < n:
+                    cell += np.multiply(flow[i + 1, j + 1], step[i + 1, j + 1], out=room)
+                cell += 1.0
+        mass = flow[:m, :n] * table[:m, :n] * step / total
+        out[part] = (mass * sims).sum(axis=(0, 1)) / (mass.sum(axis=(0, 1)) + config.epsilon)
+    return out
+
+
 def soft_dtw_occupancy(similarity: np.ndarray, keep_a: np.ndarray, keep_b: np.ndarray, gamma: float):
     """Soft cost (P,) and expected path occupancy (P, m, n) of a global alignment over the kept tokens only.
 

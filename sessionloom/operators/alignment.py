@@ -12,7 +12,7 @@ from ..config import MatchConfig
 
 
 #: Pairs whose tables are filled at once without logarithms.
-LINEAR_PAIRS = 512
+LINEAR_PAIRS = 1024
 
 
 def _diagonals(m: int, n: int):

@@ -37,6 +37,8 @@ KEY_BLOCKS = 4
 #: A pivot stands for so many gallery rows at least; smaller regions would hide their best pairs from each other.
 REGION_ROWS = 512
 SLACK = 1e-9
+#: More than single precision can lose in a product of two tokens.
+SINGLE_SLACK = 1e-5
 
 
 def _regions(pivots: np.ndarray):
@@ -70,12 +72,12 @@ def _tokens(row, side: str, rows: int):
 
 
 def _largest(q_v: np.ndarray, s_v: np.ndarray) -> np.ndarray:
-    """Largest token similarity of one query's tokens (m, k) with those of each row (n, m, k)."""
-    out = np.empty(len(s_v))
+    """Bound of the largest token similarity of one query's tokens (m, k) with those of each row (n, m, k), both in single precision."""
+    out = np.empty(len(s_v), dtype=np.float32)
     for lo in range(0, len(s_v), CHUNK):
         part = s_v[lo:lo + CHUNK]
         out[lo:lo + CHUNK] = (part.reshape(-1, part.shape[2]) @ q_v.T).reshape(len(part), -1).max(axis=1)
-    return out
+    return out + SINGLE_SLACK
 
 
 def _locals(q_v, q_r, s_v, s_r, config: MatchConfig) -> np.ndarray:
@@ -93,8 +95,8 @@ def _block(config: MatchConfig, first: bool):
     """
     lam = config.lambda_z
 
-    def open_pairs(q, g, q_v, s_v, best):
-        """(rows, bounds) of what query ``q`` has to align, best bound first."""
+    def open_pairs(g, q_v, s_v, best):
+        """(rows, bounds) of what a query has to align, best bound first."""
         some = max(1, len(g) // FIRST_SHARE)
         rest = np.argsort(-g, kind="stable")[:8 * some] if first else np.flatnonzero(lam * g + (1 - lam) >= best - SLACK)
         bound = lam * g[rest] + (1 - lam) * np.maximum(_largest(q_v, s_v[rest]), 0.0)
@@ -116,7 +118,8 @@ def _block(config: MatchConfig, first: bool):
                 q_z, best = np.ascontiguousarray(held[:, :-1]), held[:, -1].copy()
                 g = q_z @ s_z.T
                 names, aligned = np.full(nq, -1, dtype=np.int64), np.zeros(nq, dtype=np.int64)
-                found = [open_pairs(q, g[q], q_v[q], s_v, best[q]) for q in range(nq)]
+                q_short, s_short = q_v.astype(np.float32), s_v.astype(np.float32)
+                found = [open_pairs(g[q], q_short[q], s_short, best[q]) for q in range(nq)]
                 count = np.array([len(rows) for rows, _ in found])
                 q_of, s_of = np.repeat(np.arange(nq), count), np.concatenate([rows for rows, _ in found])
                 bound, place = np.concatenate([b for _, b in found]), np.arange(len(q_of)) - np.repeat(np.cumsum(count) - count, count)

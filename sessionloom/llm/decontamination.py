@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
-from .text import spare_memory
+from .text import sparing, word_slices
 
 #: Word edits allowed per item word.
 EDIT_RATE = 0.2
@@ -30,6 +30,8 @@ POSITIONS, KEYS_PER_WALK = 3, 8
 ITEM_BLOCK = 20_000
 #: Embedded symbols held at once.
 CELLS = 2_000_000
+#: Words of documents that meet an index at once; bounds the memory of a task.
+SLICE_WORDS = 250_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,7 +253,7 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def _search(blocks: list):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in word_slices(whole, SLICE_WORDS)):
             lists = batch.column("w")
             offsets = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0]:offsets[-1]]
@@ -263,7 +265,6 @@ def _search(blocks: list):
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(doc), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6)]],
                     names=["key", "item_id", "start_word", "end_word", "edits", "item_words"])
-        spare_memory()
 
     return task
 
@@ -331,5 +332,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     if held:
         blocks.append(spark.sparkContext.broadcast(build_index(held, rate, recall)))
     hashed = docs.select(F.col(key).cast("bigint").alias("key"), word_hashes(F.col(text)).alias("w"))
-    out = hashed.mapInArrow(_search(blocks), "key bigint, item_id bigint, start_word bigint, end_word bigint, edits bigint, item_words bigint")
+    out = hashed.mapInArrow(sparing(_search(blocks)), "key bigint, item_id bigint, start_word bigint, end_word bigint, edits bigint, item_words bigint")
     return out.withColumnRenamed("key", key)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import connected_components
 from ..runtime import cut_lineage, ship_package
-from .text import ascii_lower, spare_memory, words
+from .text import ascii_lower, spare_memory, sparing, word_slices, words
 
 #: A shingle this frequent in one batch counts as hot everywhere; the order treats all hot shingles alike.
 HOT = 64
@@ -40,6 +40,8 @@ HOT_SHARE = 1000
 DOCS_PER_BUCKET = 4000
 #: Words handled at once in the first stage; bounds the memory of a task.
 SLICE_WORDS = 1_000_000
+#: Shingles looked up at once; rows of packed shingles leave a task in batches of about so many bytes.
+PART, SENT_BYTES = 1 << 17, 1 << 21
 #: Regions up to this many sets and bytes are joined inside one task; parts of larger ones come in blocks of so many bytes.
 REGION_ROWS = 1000
 BLOCK_BYTES = 16_000_000
@@ -83,9 +85,12 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _first(ordered: np.ndarray) -> np.ndarray:
@@ -108,16 +113,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
-def _slices(batch: pa.RecordBatch, most: int = SLICE_WORDS) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``most`` words each, one row at least."""
-    offsets = batch.column("w").offsets.to_numpy()
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def _places(tokens: np.ndarray, row: int) -> np.ndarray:
     """Counter of each shingle in a row of the sketch."""
     return (_scatter(tokens + np.uint64(row + 1)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -127,7 +122,7 @@ def _sketch(width: int):
     """Per task: documents of each counter, counted in sets without repeats; only counters above zero leave it, packed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.int64)
-        for batch in (part for whole in batches for part in _slices(whole, SLICE_WORDS // 5)):
+        for batch in (part for whole in batches for part in word_slices(whole, SLICE_WORDS // 5)):
             lists = batch.column("w")
             offsets = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
@@ -139,7 +134,6 @@ def _sketch(width: int):
         parts = counts.reshape(-1, size)
         used = np.flatnonzero(parts.any(axis=1))
         ends = pa.array(np.arange(len(used) + 1, dtype=np.int32) * size)
-        spare_memory()
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(parts[used].ravel()))], names=["part", "counts"])
 
     return task
@@ -153,7 +147,7 @@ def _add_up(part: pa.Table) -> pa.Table:
 def frequency_sketch(hashed: DataFrame, width: int) -> np.ndarray:
     """Count-min sketch of the documents of every shingle: ``SKETCH_ROWS`` x 2^``SKETCH_BITS`` counters, 4 MB at any size of the input."""
     kinds = "part int, counts array<bigint>"
-    parts = hashed.select("w").mapInArrow(_sketch(width), kinds).groupBy("part").applyInArrow(_add_up, kinds)
+    parts = hashed.select("w").mapInArrow(sparing(_sketch(width)), kinds).groupBy("part").applyInArrow(_add_up, kinds)
     counts = np.zeros((SKETCH_ROWS << SKETCH_BITS >> 12, 1 << 12), dtype=np.int64)
     for row in parts.toLocalIterator():
         counts[row["part"]] = row["counts"]
@@ -167,9 +161,10 @@ def hot_classes(sketch: np.ndarray) -> np.ndarray:
 
 
 def _class_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    out = classes[0][_places(tokens, 0)]
-    for row in range(1, len(classes)):
-        out = np.minimum(out, classes[row][_places(tokens, row)])
+    out = np.empty(len(tokens), dtype=classes.dtype)
+    for lo in range(0, len(tokens), PART):
+        part = tokens[lo:lo + PART]
+        out[lo:lo + PART] = np.min([classes[row][_places(part, row)] for row in range(len(classes))], axis=0)
     return out
 
 
@@ -179,71 +174,107 @@ def _send(width: int, buckets: int, shared):
     A slice sends a row to each bucket that one of its shingles or sets belongs to, whatever the number of buckets.
     """
     def bucket_of(x: np.ndarray) -> np.ndarray:
-        return ((x >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        out = np.empty(len(x), dtype=np.min_scalar_type(buckets))
+        for lo in range(0, len(x), PART):
+            out[lo:lo + PART] = (x[lo:lo + PART] >> np.uint64(20)) % np.uint64(buckets)
+        return out
+
+    def postings(tokens: np.ndarray, owner: np.ndarray, announced: np.ndarray, owner_ids: np.ndarray) -> Iterator[tuple]:
+        """Owners and their shingles, cut by the shingles' buckets."""
+        at = bucket_of(tokens)
+        by = np.argsort(at, kind="stable")
+        at = at[by]
+        announced_at = bucket_of(announced)
+        known_by = np.argsort(announced_at, kind="stable")
+        announced_at = announced_at[known_by]
+        present = np.union1d(at[_first(at)], announced_at)
+        cuts, known_cuts = (np.stack([np.searchsorted(x, present, side) for side in ("left", "right")], axis=1).tolist() for x in (at, announced_at))
+        del at
+        for k, (lo, hi), (known_lo, known_hi) in zip(present.tolist(), cuts, known_cuts, strict=True):
+            mine = by[lo:hi]
+            own = owner[mine]
+            runs_of = _bounds(own) if len(own) else np.zeros(1, dtype=np.int64)
+            yield _row(k, _POSTINGS, owner_ids[own[runs_of[:-1]]], np.diff(runs_of).astype(np.uint32), tokens[mine], announced[known_by[known_lo:known_hi]])
+
+    def facts(tokens: np.ndarray, owner: np.ndarray, classes: np.ndarray, owner_ids: np.ndarray, owner_sizes: np.ndarray) -> Iterator[tuple]:
+        """Sets with their sizes and hot shingles, by the set's bucket."""
+        at = bucket_of(owner_ids)
+        runs = np.bincount(owner, minlength=len(owner_ids))
+        starts = np.concatenate([[0], np.cumsum(runs)])
+        by = np.argsort(at, kind="stable")
+        cuts = _bounds(at[by])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mine = by[lo:hi]
+            spans = [slice(starts[i], starts[i + 1]) for i in mine.tolist()]
+            yield _row(int(at[mine[0]]), _FACTS, owner_ids[mine], owner_sizes[mine], runs[mine].astype(np.uint32),
+                       np.concatenate([tokens[s] for s in spans]), e=np.concatenate([classes[s] for s in spans]))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        # What a step needs no more is let go before the next one: two of these tasks share an executor with its heap.
         import xxhash
 
-        for batch in (part for whole in batches for part in _slices(whole)):
-            lists = batch.column("w")
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            offsets = lists.offsets.to_numpy()
-            sets = shingle_sets(flat[offsets[0]:offsets[-1]], offsets - offsets[0], width)
-            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], dtype=np.uint64)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            keys = batch.column("key")
-            yield _batch([_row(int(np.bitwise_xor.reduce(ids) % np.uint64(buckets)), _HEADS, ids, sizes, docs=keys.to_pylist())])
-            # One copy of each set goes on.
-            order = np.argsort(ids, kind="stable")
-            chosen = [i for i in order[_first(ids[order])].tolist() if sizes[i]]
-            if not chosen:
-                continue
-            owner = np.repeat(np.arange(len(chosen)), sizes[chosen])
-            tokens = np.concatenate([sets[i] for i in chosen])
-            owner_ids, owner_sizes = ids[chosen], sizes[chosen]
-            by = np.argsort(tokens, kind="stable")
-            starts = _bounds(tokens[by])
-            runs = np.diff(starts)
-            once = tokens[by[starts[:-1]]]
-            known = _class_of(once, shared.value)
-            announced = once[(runs >= HOT) & (known == 0)]
-            classes = np.empty(len(tokens), dtype=np.uint8)
-            classes[by] = np.repeat(np.where(runs >= HOT, np.maximum(known, HOT), known), runs)
-            hot = classes > 0
-            rows = []
-            # Postings: owners and their shingles, cut by the shingles' buckets.
-            cold, cold_owner = tokens[~hot], owner[~hot]
-            at = bucket_of(cold)
-            by = np.argsort(at, kind="stable")
-            cold, cold_owner, at = cold[by], cold_owner[by], at[by]
-            announced_at = bucket_of(announced)
-            by = np.argsort(announced_at, kind="stable")
-            announced, announced_at = announced[by], announced_at[by]
-            present = np.union1d(at, announced_at)
-            cuts = np.stack([np.searchsorted(at, present, side) for side in ("left", "right")], axis=1).tolist()
-            known_cuts = np.stack([np.searchsorted(announced_at, present, side) for side in ("left", "right")], axis=1).tolist()
-            for k, (lo, hi), (known_lo, known_hi) in zip(present.tolist(), cuts, known_cuts, strict=True):
-                own = cold_owner[lo:hi]
-                runs_of = _bounds(own) if len(own) else np.zeros(1, dtype=np.int64)
-                rows.append(_row(k, _POSTINGS, owner_ids[own[runs_of[:-1]]], np.diff(runs_of).astype(np.uint32), cold[lo:hi], announced[known_lo:known_hi]))
-            # Facts, by the set's bucket.
-            at = bucket_of(owner_ids)
-            hot_tokens, hot_owner, hot_classes = tokens[hot], owner[hot], classes[hot]
-            hot_runs = np.bincount(hot_owner, minlength=len(chosen))
-            hot_starts = np.concatenate([[0], np.cumsum(hot_runs)])
-            by = np.argsort(at, kind="stable")
-            cuts = _bounds(at[by])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                mine = by[lo:hi]
-                spans = [slice(hot_starts[i], hot_starts[i + 1]) for i in mine.tolist()]
-                rows.append(_row(int(at[mine[0]]), _FACTS, owner_ids[mine], owner_sizes[mine], hot_runs[mine].astype(np.uint32),
-                                 np.concatenate([hot_tokens[s] for s in spans]), e=np.concatenate([hot_classes[s] for s in spans])))
-            yield _batch(rows)
-        spare_memory()
+        lists = batch.column("w")
+        offsets = lists.offsets.to_numpy()
+        sets = shingle_sets(lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0], width)
+        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], dtype=np.uint64)
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        yield _row(int(np.bitwise_xor.reduce(ids) % np.uint64(buckets)), _HEADS, ids, sizes, docs=batch.column("key").to_pylist())
+        # One copy of each set goes on.
+        order = np.argsort(ids, kind="stable")
+        chosen = [i for i in order[_first(ids[order])].tolist() if sizes[i]]
+        if not chosen:
+            return
+        tokens = np.concatenate([sets[i] for i in chosen])
+        del sets, lists, batch
+        owner = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes[chosen])
+        owner_ids, owner_sizes = ids[chosen], sizes[chosen]
+        by = np.argsort(tokens, kind="stable")
+        starts = _bounds(tokens[by])
+        runs = np.diff(starts)
+        once = tokens[by[starts[:-1]]]
+        del starts
+        known = _class_of(once, shared.value)
+        announced = once[(runs >= HOT) & (known == 0)]
+        classes = np.empty(len(tokens), dtype=np.uint8)
+        classes[by] = np.repeat(np.where(runs >= HOT, np.maximum(known, HOT), known), runs)
+        del by, once, runs, known
+        hot = classes > 0
+        hot_parts = tokens[hot], owner[hot], classes[hot]
+        tokens, owner = tokens[~hot], owner[~hot]
+        del hot, classes
+        yield from postings(tokens, owner, announced, owner_ids)
+        del tokens, owner
+        yield from facts(*hot_parts, owner_ids, owner_sizes)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in word_slices(whole, SLICE_WORDS):
+                held, size = [], 0
+                for row in rows_of(part):
+                    held.append(row)
+                    size += sum(len(x) for x in row[2:7] if x is not None)
+                    if size >= SENT_BYTES:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
+                part = held = row = None
+                spare_memory()
 
     return task
 
 
+def _sparing(work):
+    """``work`` on a group of rows; what a large group leaves free goes back to the system, as workers outlive their tasks."""
+    def group(table: pa.Table) -> pa.Table:
+        out = work(table)
+        if table.nbytes > SENT_BYTES:
+            spare_memory()
+        return out
+
+    return group
+
+
 def _read(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), dtype=kind) for v in column]
 
@@ -259,10 +290,13 @@ def _count(buckets: int):
         tokens = np.concatenate(_read(table.column("c"), np.uint64))
         known = np.concatenate(_read(table.column("d"), np.uint64))
         owners = np.repeat(np.concatenate(_read(table.column("a"), np.uint64)), np.concatenate(_read(table.column("b"), np.uint32)))
+        del table
         by = np.lexsort((owners, tokens))
         tokens, owners = tokens[by], owners[by]
+        del by
         fresh = _first(tokens) | _first(owners)
         tokens, owners = tokens[fresh], owners[fresh]
+        del fresh
         starts = _bounds(tokens)
         runs = np.diff(starts)
         rank = np.minimum(runs, HOT).astype(np.uint8)
@@ -273,6 +307,7 @@ def _count(buckets: int):
         at = ((owners >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((owners, at))
         tokens, owners, rank, at = tokens[by], owners[by], rank[by], at[by]
+        del by, shared
         rows = []
         cuts = _bounds(at) if len(at) else np.zeros(1, dtype=np.int64)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -350,7 +385,7 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int, classes
             i = root[i]
         return i
 
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     links, group = [], np.arange(len(sets))
     while len(group) > 1:
         # The smallest class goes first: once it is settled or joined, often only one class is left.
@@ -360,9 +395,13 @@ def join_region(sets: list[np.ndarray], sizes: np.ndarray, percent: int, classes
             break
         group = group[np.argsort(held, kind="stable")]
         pivot, rest = int(group[0]), group[1:]
-        at = np.searchsorted(sets[pivot], tokens)
-        at[at == len(sets[pivot])] = 0
-        common = np.bincount(owner[sets[pivot][at] == tokens], minlength=len(sets))[rest]
+        common = np.zeros(len(sets), dtype=np.int64)
+        for lo in range(0, len(tokens), PART):
+            part = tokens[lo:lo + PART]
+            at = np.searchsorted(sets[pivot], part)
+            at[at == len(sets[pivot])] = 0
+            common += np.bincount(owner[lo:lo + PART][sets[pivot][at] == part], minlength=len(sets))
+        common = common[rest]
         union = sizes[rest] + sizes[pivot] - common
         near = 100 * common >= percent * union
         for other in rest[near].tolist():
@@ -416,14 +455,14 @@ def linked_sets(cores: DataFrame, percent: int, region_rows: int = REGION_ROWS,
     sized = members.join(totals, "region")
     fits = (F.col("_c") <= region_rows) & (F.col("_b") <= block_bytes)
     small = sized.where(fits & (F.col("_c") > 1)).select("region", "sid", F.col("sid").alias("class")).join(sets, "sid")
-    links = cut_lineage(small.groupBy("region").applyInArrow(_finish(percent), "a bigint, b bigint"))
+    links = cut_lineage(small.groupBy("region").applyInArrow(_sparing(_finish(percent)), "a bigint, b bigint"))
     large = cut_lineage(sized.where(~fits).select("region", "sid"))
     if not large.limit(1).collect():
         return links
     heads = large.select(F.col("region").alias("pivot")).distinct().join(
         sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("core").alias("pivot_core")), "pivot")
     pairs = large.where("sid <> region").withColumnRenamed("region", "pivot").join(sets, "sid").join(heads, "pivot")
-    star = pairs.select("pivot", "sid", "n", "pivot_n", "core", "pivot_core").mapInArrow(_measure(percent), "a bigint, b bigint")
+    star = pairs.select("pivot", "sid", "n", "pivot_n", "core", "pivot_core").mapInArrow(sparing(_measure(percent)), "a bigint, b bigint")
     links = cut_lineage(links.unionByName(star))
 
     roots = connected_components(links).select(F.col("node").alias("sid"), F.col("root").alias("class"))
@@ -444,7 +483,7 @@ def linked_sets(cores: DataFrame, percent: int, region_rows: int = REGION_ROWS,
     outside = spread.where("outside").select("region", "sid", "class", block("outs").alias("o"), every("alls").alias("b"))
     whole = spread.select("region", "sid", "class", every("outs").alias("o"), block("alls").alias("b"))
     met = outside.unionByName(whole).distinct().join(sets, "sid")
-    rest = met.groupBy("region", "o", "b").applyInArrow(_finish(percent), "a bigint, b bigint")
+    rest = met.groupBy("region", "o", "b").applyInArrow(_sparing(_finish(percent)), "a bigint, b bigint")
     return cut_lineage(links.unionByName(rest))
 
 
@@ -463,10 +502,10 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
     hashed = docs.select(F.col(key).cast("bigint").alias("key"), F.transform(words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)).alias("w"))
     shared = spark.sparkContext.broadcast(hot_classes(frequency_sketch(hashed, width)))
-    packed = hashed.mapInArrow(_send(width, buckets, shared), _PACKED).groupBy("bucket").applyInArrow(_count(buckets), _PACKED)
+    packed = hashed.mapInArrow(sparing(_send(width, buckets, shared)), _PACKED).groupBy("bucket").applyInArrow(_sparing(_count(buckets)), _PACKED)
     packed = cut_lineage(packed)
-    heads = packed.where(F.col("kind") == _HEADS).mapInArrow(_unpack_heads, "key bigint, sid bigint, n_shingles bigint")
-    cores = cut_lineage(packed.where(F.col("kind") != _HEADS).groupBy("bucket").applyInArrow(_prefixes(percent), _CORES))
+    heads = packed.where(F.col("kind") == _HEADS).mapInArrow(sparing(_unpack_heads), "key bigint, sid bigint, n_shingles bigint")
+    cores = cut_lineage(packed.where(F.col("kind") != _HEADS).groupBy("bucket").applyInArrow(_sparing(_prefixes(percent)), _CORES))
     roots = connected_components(linked_sets(cores, percent, region_rows, block_bytes))
     first = heads.where("n_shingles > 0").groupBy("sid").agg(F.min("key").alias("first"), F.count("*").alias("_n"))
     named = cut_lineage(first.join(roots.withColumnRenamed("node", "sid"), "sid", "left"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
-from .text import spare_memory
+from .text import sparing
 
 END_ID = 0
 SHARD_IDS = 1 << 20
@@ -201,27 +201,58 @@ def _first_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[by][first], np.sort(by[first])
 
 
-class _Words(dict):
+class _Words:
     """Ids of words of letters, by the library's BPE model: as behind a blank, or behind a line end where one stands before
-    the word (then with its id). Other strings have None."""
+    the word (then with its id). Other strings have none and size -1. Words lie in one Arrow array and their ids in one NumPy
+    array, a tenth of what as many Python objects take: the worker keeps them as long as it lives."""
 
     def __init__(self, model):
         self.model = model
+        self.clear()
 
-    def pretoken(self, text: str) -> bytes:
-        """Little-endian uint16 ids of a string that the pre-tokenizer leaves whole."""
-        symbols = codecs.charmap_decode(text.encode(), "strict", _BYTE_LEVEL)[0]
-        return array("H", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+    def clear(self) -> None:
+        self.held = pa.array([], pa.large_string())
+        self.ids, self.begin, self.size = np.zeros(0, dtype="<u2"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
-    def __missing__(self, word: str) -> bytes | None:
-        if not _WORD.fullmatch(word):
-            ids = None
-        elif word[0] == "\n":
-            ids = self.pretoken("\n") + self.pretoken(word[1:])
-        else:
-            ids = self.pretoken(" " + word)
-        self[word] = ids
-        return ids
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def items(self) -> Iterator[tuple[str, bytes | None]]:
+        for word, begin, size in zip(self.held.to_pylist(), self.begin.tolist(), self.size.tolist(), strict=True):
+            yield word, None if size < 0 else self.ids[begin:begin + size].tobytes()
+
+    def pretoken(self, text: str) -> array:
+        """Ids of a string that the pre-tokenizer leaves whole."""
+        symbols = codecs.charmap_decode(text.encode(), "strict", _BYTE_LEVEL)[0]
+        return array("H", [t.id for t in self.model.tokenize(symbols)])
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, after adding those that were not held."""
+        at = pc.index_in(words, value_set=self.held)
+        new = pc.is_null(at)
+        if not pc.any(new).as_py():
+            return at.to_numpy()
+        at = pc.fill_null(at, 0).to_numpy().copy()
+        coded = words.filter(new).dictionary_encode()
+        at[new.to_numpy(zero_copy_only=False)] = coded.indices.to_numpy() + len(self.held)
+        flat, sizes, line_end = array("H"), array("i"), self.pretoken("\n")
+        for word in _strings(coded.dictionary):
+            before = len(flat)
+            if not _WORD.fullmatch(word):
+                sizes.append(-1)
+                continue
+            if word[0] == "\n":
+                flat.extend(line_end)
+                flat.extend(self.pretoken(word[1:]))
+            else:
+                flat.extend(self.pretoken(" " + word))
+            sizes.append(len(flat) - before)
+        size = np.frombuffer(sizes, dtype=np.int32)
+        ends = len(self.ids) + np.cumsum(np.maximum(size, 0), dtype=np.int64)
+        self.begin, self.size = np.concatenate([self.begin, ends - np.maximum(size, 0)]), np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.frombuffer(flat, dtype="<u2")]) if len(flat) else self.ids
+        self.held = pa.concat_arrays([self.held, coded.dictionary])
+        return at
 
 
 class Encoder:
@@ -269,30 +300,43 @@ class Encoder:
                 at = end + 1
         return out
 
-    def pieces(self, pieces: pa.Array) -> list[bytes]:
-        """Ids of distinct pieces of texts, each with the blank or line end before it (the line end is written, the blank is not)."""
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) of distinct pieces of texts, each with the blank or line end before it (the line end is written, the blank is not)."""
         words, marks, odd = self.words, self.marks, self.odd
         for cache in (words, marks, odd):
             if len(cache) > CACHED_PIECES:
                 cache.clear()
-        out, missing = [], []
         cores = pc.utf8_rtrim(pieces, characters=string.punctuation)
-        for piece, core in zip(_strings(pieces), _strings(cores), strict=True):
-            ids = words[core]
-            if ids is None:
-                ids = odd.get(piece)
-                if ids is None:
-                    missing.append((len(out), piece))
-            elif len(core) < len(piece):
-                behind = piece[len(core):]
-                if behind not in marks:
-                    marks[behind] = words.pretoken(behind)
-                ids += marks[behind]
-            out.append(ids)
-        found = self.between_separators([p if p.startswith("\n") else " " + p for _, p in missing])
-        for (i, piece), ids in zip(missing, found, strict=True):
-            out[i] = odd[piece] = ids
-        return out
+        at = words.find(cores)
+        # Two runs of ids for each piece: the word's, or an odd piece's, and those of the marks behind a word.
+        begin, size = np.zeros((len(pieces), 2), dtype=np.int64), np.zeros((len(pieces), 2), dtype=np.int64)
+        begin[:, 0], size[:, 0] = words.begin[at], words.size[at]
+        others = size[:, 0] < 0
+        sources, held = [words.ids], len(words.ids)
+
+        def add(rows: np.ndarray, run: int, found: list[bytes], number: np.ndarray) -> None:
+            nonlocal held
+            sizes = np.array([len(ids) // 2 for ids in found], dtype=np.int64)
+            begin[rows, run], size[rows, run] = (held + np.cumsum(sizes) - sizes)[number], sizes[number]
+            sources.append(np.frombuffer(b"".join(found), dtype="<u2"))
+            held += len(sources[-1])
+
+        longer = pc.not_equal(pc.binary_length(pieces), pc.binary_length(cores)).to_numpy(zero_copy_only=False) & ~others
+        if longer.any():
+            chosen = pa.array(longer)
+            behind = pa.array([p[len(c):] for p, c in zip(_strings(pieces.filter(chosen)), _strings(cores.filter(chosen)), strict=True)]).dictionary_encode()
+            for mark in behind.dictionary.to_pylist():
+                if mark not in marks:
+                    marks[mark] = words.pretoken(mark).tobytes()
+            add(np.flatnonzero(longer), 1, [marks[m] for m in behind.dictionary.to_pylist()], behind.indices.to_numpy())
+        if others.any():
+            texts = pieces.filter(pa.array(others)).to_pylist()
+            missing = [p for p in texts if p not in odd]
+            odd.update(zip(missing, self.between_separators([p if p.startswith("\n") else " " + p for p in missing]), strict=True))
+            add(np.flatnonzero(others), 0, [odd[p] for p in texts], np.arange(len(texts)))
+        data = np.concatenate(sources)[_spread(begin.ravel(), size.ravel())]
+        size = size.sum(axis=1)
+        return data, np.cumsum(size) - size, size
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Little-endian uint16 ids of each text, without end id; a null text has none."""
@@ -310,20 +354,18 @@ class Encoder:
         if not cut:
             return out
         split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        del lines
         first = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
-        pieces = self.pieces(coded.dictionary)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
-        begin = np.cumsum(size) - size
+        del split
+        data, begin, size = self.pieces(coded.dictionary)
         number = coded.indices.to_numpy()
         size, begin = size[number], begin[number]
         # The line end before a text is none of its own.
         size[first[:-1]] -= 1
         begin[first[:-1]] += 1
-        data = np.frombuffer(b"".join(pieces), dtype="<u2")[_spread(begin, size)].tobytes()
-        ends = 2 * np.append(0, np.cumsum(size))[first]
-        for i, lo, hi in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out[i] = data[lo:hi]
+        for i, lo, hi in zip(cut, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            out[i] = data[_spread(begin[lo:hi], size[lo:hi])].tobytes()
         return out
 
 
@@ -376,7 +418,6 @@ def _shards(tokenizer_path: str, shard_ids: int) -> Callable:
                         keys, texts, held, shard = [], [], 0, shard + 1
         if keys:
             yield _pack(part, shard, keys, texts, encode.vocabulary)
-        spare_memory()
 
     return task
 
@@ -418,7 +459,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
     """
     ship_package(docs.sparkSession)
     placed = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
-    placed.mapInArrow(_shards(tokenizer_path, shard_ids), _SHARD).write.parquet(path)
+    placed.mapInArrow(sparing(_shards(tokenizer_path, shard_ids)), _SHARD).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -432,7 +473,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored.select("part", "shard", F.coalesce(F.sum("ids").over(inside), F.lit(0)).alias("_inside")).join(parts, "part")
     offsets = offsets.select("part", "shard", (F.col("_before") + F.col("_inside")).alias("_offset"))
-    decoded = stored.mapInArrow(_digests, "part int, shard int, key bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
+    decoded = stored.mapInArrow(sparing(_digests), "part int, shard int, key bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
     return decoded.join(offsets, ["part", "shard"]).select("key", (F.col("_offset") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 

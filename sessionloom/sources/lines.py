@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package
+from ..runtime import cut_lineage, ship_package
 from .tracefiles import opened
 
 SPLIT_BYTES = 16 << 20  # of a file read by one task at a time
@@ -99,7 +99,11 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def open_files(spark: SparkSession, root: str, pattern: str, rows: Callable, types: list[tuple[str, pa.DataType]], split: bool = True) -> DataFrame:
-    """Rows that ``rows(file, path, start, end)`` gives for each piece of each file; pieces have ``SPLIT_BYTES`` at most, or are whole files."""
+    """Rows that ``rows(file, path, start, end)`` gives for each piece of each file; pieces have ``SPLIT_BYTES`` at most, or are whole files.
+
+    The list of pieces is materialised as it is dealt out: a join would otherwise take the size of the list, known from its shuffles, for
+    that of the files and broadcast their contents.
+    """
     place, _, prefix = _place(root)
     size = SPLIT_BYTES if split else 1 << 62
     pieces = list_files(spark, root, pattern).select("path", "length", F.explode(F.sequence(
@@ -114,7 +118,7 @@ def open_files(spark: SparkSession, root: str, pattern: str, rows: Callable, typ
 
     names = {pa.string(): "string", pa.int64(): "bigint", pa.float64(): "double", pa.int32(): "int"}
     ddl = ", ".join(f"`{n}` {names[t]}" for n, t in types)
-    return pieces.repartition(_tasks(spark)).mapInArrow(lambda batches: _batches(each(batches), types), ddl)
+    return cut_lineage(pieces.repartition(_tasks(spark))).mapInArrow(lambda batches: _batches(each(batches), types), ddl)
 
 
 def _ended(file: pa.NativeFile, data: bytes) -> bytes:

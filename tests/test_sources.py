@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sessionloom.config import DataConfig, MatchConfig
 from sessionloom.operators import features, matching, players
 from sessionloom.plans.prepare import prepare
+from sessionloom.runtime import cut_lineage
 from sessionloom.sources import discovery, lines, playerlogs, stores, traces
 from sessionloom.sources.lines import epoch_seconds, file_digests
 
@@ -45,6 +46,30 @@ def test_line_player_skips_nan_and_prefers_btr(spark, tmp_path):
     assert len(row.mode_features) == 37 and np.isfinite(row.mode_features).all()
 
 
+def test_contents_of_files_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A folder of files below the root: the list of folders is short enough for a broadcast, the lines are not."""
+    (tmp_path / "all").mkdir()
+    for i in range(40):
+        (tmp_path / "all" / f"{i:04d}.qoe.log").write_text("".join(f"{i * 1000 + k},btr,{k}\n" for k in range(500)))
+    origins = spark.createDataFrame([(i, uri(tmp_path / "all" / f"{i:04d}.qoe.log"), float(i)) for i in range(40)], "session_id bigint, player_path string, origin double")
+    plans = []
+
+    def kept(rows):
+        out = cut_lineage(rows)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(playerlogs, "cut_lineage", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")
+    try:
+        _, series = playerlogs.read_line_player(spark, str(tmp_path), origins)
+        assert series.count() == 20_000 and series.where("session_id = 7 and seq = 0 and t = 0 and value = 0").count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastExchange" not in plans[0].split("Initial Plan")[0]
+
+
 def test_capture_client_udp_and_reasons(spark, tmp_path):
     home, away = "192.168.7.4", "1.1.1.1"
     head = "timestamp,ipSrc,ipDst,tcpLen,udpLen,payloadProtocolNumber\n"

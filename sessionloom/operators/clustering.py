@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import uniform
 from ..runtime import cut_lineage, ship_package
 
-#: Components of differences that a task holds at a time.
-CHUNK = 1 << 22
+#: Squares that a task holds at a time, rows that it assigns at once, and the share of the squared lengths within which two squares may be equal.
+CHUNK, STEP, ROUNDING = 1 << 22, 1024, 1e-12
 
 
 class Fit(NamedTuple):
@@ -56,40 +56,65 @@ def _draw(width: int, chosen: np.ndarray | None, text_ids: bool) -> Callable:
     return task
 
 
-def _assign(width: int, runs: list[np.ndarray]) -> Callable:
-    """Sums of each run and cluster over a batch: rows, squared distances and coordinates of the rows nearest to a centre."""
+def _members(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Whether each centre of each run is the nearest to each row, (runs, K, rows); ``centres`` is (runs, K, width), ties go to the lower number.
+
+    One product gives the expanded squares; where another centre is as near within rounding, the squares are taken by differences.
+    """
+    runs, k, width = centres.shape
+    flat = centres.reshape(-1, width)
+    if not (np.isfinite(x).all() and np.isfinite(flat).all()):
+        return np.array([_squares(x, run).argmin(axis=1) == np.arange(k)[:, None] for run in centres])
+    theirs, mine = (flat ** 2).sum(1), (x ** 2).sum(1)
+    squares = (np.column_stack([-2 * flat, theirs]) @ np.column_stack([x, np.ones(len(x))]).T).reshape(runs, k, -1)
+    best = squares.min(axis=1) + ROUNDING * (mine + theirs.max())
+    near = squares <= best[:, None, :]
+    for run in range(runs):
+        if np.count_nonzero(near[run]) > len(x):
+            rows = np.flatnonzero(near[run].sum(axis=0) > 1)
+            near[run][:, rows] = _squares(x[rows], centres[run]).argmin(axis=1) == np.arange(k)[:, None]
+    return near
+
+
+def _assign(width: int, runs: list[np.ndarray], costed: bool) -> Callable:
+    """Sums of each run and cluster over a task: rows, squared distances (if ``costed``) and coordinates of the rows nearest to a centre."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(centres) for centres in runs]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        alike = {k: [n for n, size in enumerate(sizes) if size == k] for k in dict.fromkeys(sizes)}
+        total, costs, rows = np.zeros((ends[-1], width + 1)), np.zeros(ends[-1]), 0
         for batch in batches:
-            x = _vectors(batch.column("x"), width)
-            run_of, cluster_of, counts, costs, sums = [], [], [], [], []
-            for number, centres in enumerate(runs):
-                k = len(centres)
-                count, cost, total = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((k, width))
-                step = max(1, CHUNK // (k * width))
-                for lo in range(0, len(x), step):
-                    part = x[lo:lo + step]
-                    squares = _squares(part, centres)
-                    nearest = squares.argmin(axis=1)
-                    count += np.bincount(nearest, minlength=k)
-                    cost += np.bincount(nearest, weights=squares[np.arange(len(part)), nearest], minlength=k)
-                    np.add.at(total, nearest, part)
-                run_of += [number] * k
-                cluster_of += range(k)
-                counts.append(count)
-                costs.append(cost)
-                sums.append(total)
-            flat = pa.array(np.concatenate(sums).ravel())
-            offsets = pa.array(np.arange(len(run_of) + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([pa.array(run_of, pa.int32()), pa.array(cluster_of, pa.int32()), pa.array(np.concatenate(counts)),
-                                              pa.array(np.concatenate(costs)), pa.ListArray.from_arrays(offsets, flat)],
+            whole = _vectors(batch.column("x"), width)
+            rows += len(whole)
+            for k, numbers in alike.items():
+                centres = np.stack([runs[n] for n in numbers])
+                step = max(1, min(STEP, CHUNK // (len(numbers) * k)))
+                for lo in range(0, len(whole), step):
+                    x = whole[lo:lo + step]
+                    near = _members(x, centres)
+                    if np.isfinite(x).all():
+                        found = near.reshape(-1, len(x)).astype(float) @ np.column_stack([x, np.ones(len(x))])
+                    else:
+                        found = np.array([[*x[own].sum(axis=0), own.sum()] for own in near.reshape(-1, len(x))])
+                    for i, n in enumerate(numbers):
+                        total[starts[n]:ends[n]] += found[i * k:(i + 1) * k]
+                        if costed:
+                            place = near[i].argmax(axis=0)
+                            costs[starts[n]:ends[n]] += np.bincount(place, weights=((x - runs[n][place]) ** 2).sum(axis=1), minlength=k)
+        if rows:
+            offsets = pa.array(np.arange(ends[-1] + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(runs)), sizes), pa.int32()), pa.array(np.arange(ends[-1]) - np.repeat(starts, sizes), pa.int32()),
+                                              pa.array(total[:, width].astype(np.int64)), pa.array(costs),
+                                              pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(total[:, :width]).ravel()))],
                                              names=["run", "cluster", "n", "cost", "sums"])
 
     return task
 
 
-def _round(points: DataFrame, width: int, runs: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    """New centres and cost of the old ones for each run; a centre without rows stays. The driver gets one row per centre."""
-    sums = points.select("x").mapInArrow(_assign(width, runs), "run int, cluster int, n bigint, cost double, sums array<double>")
+def _round(points: DataFrame, width: int, runs: list[np.ndarray], costed: bool = False) -> tuple[list[np.ndarray], list[float]]:
+    """New centres and, if ``costed``, cost of the old ones for each run; a centre without rows stays. The driver gets one row per centre."""
+    sums = points.select("x").mapInArrow(_assign(width, runs, costed), "run int, cluster int, n bigint, cost double, sums array<double>")
     total = sums.groupBy("run", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
     fresh, costs = [r.copy() for r in runs], [0.0] * len(runs)
     for row in total.collect():
@@ -140,7 +165,7 @@ def kmeans(points: DataFrame, ks: Sequence[int], seed: int, restarts: int = 20,
             if shift > limit and rounds[run] < max_rounds:
                 still.append(run)
         open_runs = still
-    _, costs = _round(points, width, list(runs.values()))
+    _, costs = _round(points, width, list(runs.values()), costed=True)
     best: dict[int, Fit] = {}
     for (k, r), cost in zip(runs, costs, strict=True):
         if k not in best or round(cost, 6) < round(best[k].cost, 6):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,8 +20,10 @@ from .clustering import kmeans, nearest
 # Mode names in the order low, transition/medium, high.
 BITRATE_NAMES = ("L", "T", "H")
 PLAYBACK_NAMES = ("S", "T", "H")
-#: Distance sums: rows of a block, rows of a block measured at once, slices that the blocks are streamed in, sums a task keeps.
-SUM_ROWS, STRIP, SLICES, HELD_SUMS = 4096, 256, 4, 1 << 23
+#: Distance sums: rows of a block, rows of a block measured at once (few, so that they stay in cache), slices that the blocks are streamed in, sums a task keeps.
+SUM_ROWS, STRIP, SLICES, HELD_SUMS = 4096, 64, 4, 1 << 23
+#: Different rows of labels in a block up to which distances are added up by these, and labels of all labelings that one product serves.
+FEW_CELLS, WIDE = 512, 128
 #: Squared distances below this share of the squared lengths are not taken from the expanded square.
 NEAR = 1e-6
 
@@ -77,19 +82,30 @@ def fit_modes(rows: DataFrame, training_ids: DataFrame, kind: str, seed: int = 2
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of two matrices; pairs close enough to lose digits by expansion are measured again."""
-    if np.isfinite(a).all() and np.isfinite(b).all():
-        middle = b.mean(axis=0)
-        a, b = a - middle, b - middle
-        lengths = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)
-        squares = lengths - 2 * (a @ b.T)
-        rows, columns = np.nonzero(squares < NEAR * lengths)
-    else:
-        squares = np.empty((len(a), len(b)))
-        rows, columns = (index.ravel() for index in np.indices(squares.shape))
-    if len(rows):
-        squares[rows, columns] = sum((a[rows, i] - b[columns, i]) ** 2 for i in range(a.shape[1]))
-    return np.sqrt(squares)
+    """Euclidean distances of all rows of two matrices, by differences."""
+    return np.sqrt(sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1])))
+
+
+def _strips(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and Euclidean distances to ``b`` of every strip of ``a``; the matrix is the same each time.
+
+    One product gives the expanded squares; pairs close enough to lose digits by that are measured again.
+    """
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    mine, theirs = (a ** 2).sum(1), (b ** 2).sum(1)
+    left = np.column_stack([a, mine, np.ones(len(a))])
+    right = np.ascontiguousarray(np.column_stack([-2 * b, np.ones(len(b)), theirs]).T)
+    held = np.empty((min(STRIP, len(a)), len(b)))
+    for lo in range(0, len(a), STRIP):
+        squares = held[:len(a) - lo]
+        np.matmul(left[lo:lo + STRIP], right, out=squares)
+        limit = NEAR * (mine[lo:lo + STRIP].max() + theirs.max())
+        rows, columns = np.divmod(np.flatnonzero(squares.ravel() < limit), len(b))
+        near = squares[rows, columns] < NEAR * (mine[lo + rows] + theirs[columns])
+        rows, columns = rows[near], columns[near]
+        squares[rows, columns] = sum((a[lo + rows, i] - b[columns, i]) ** 2 for i in range(a.shape[1]))
+        yield lo, np.sqrt(squares, out=squares)
 
 
 def _label_sums(distance: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,22 +116,88 @@ def _label_sums(distance: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, n
     return ids, np.add.reduceat(distance[:, np.argsort(place, kind="stable")], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=1), sizes
 
 
+def _block_sums(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(labeling, label, sums, rows): distances of every row of ``a`` to the rows of ``b`` of each label in each column of ``labels``.
+
+    With few labels one product per strip serves all labelings, unless the rows of ``b`` make few different rows of labels: then
+    distances are added up by these first. Else each labeling adds them up.
+    """
+    if not (np.isfinite(a).all() and np.isfinite(b).all()):
+        for number in range(labels.shape[1]):
+            parts = [_label_sums(_distances(a[lo:lo + STRIP], b), labels[:, number]) for lo in range(0, len(a), STRIP)]
+            ids, _, sizes = parts[0]
+            yield from zip([number] * len(ids), ids.tolist(), np.concatenate([sums for _, sums, _ in parts]).T, sizes.tolist(), strict=True)
+        return
+    order = np.lexsort(labels.T[::-1])
+    labels, b = labels[order], b[order]
+    cells = np.concatenate([[0], np.flatnonzero((labels[1:] != labels[:-1]).any(axis=1)) + 1])
+    kinds = [np.unique(column, return_inverse=True, return_counts=True) for column in labels.T]
+    ends = np.cumsum([len(ids) for ids, _, _ in kinds])
+    starts = ends - [len(ids) for ids, _, _ in kinds]
+    by_cell = len(cells) <= FEW_CELLS
+    if by_cell or ends[-1] <= WIDE:
+        member = np.zeros((len(b), ends[-1]))
+        for (_, place, _), start in zip(kinds, starts, strict=True):
+            member[np.arange(len(b)), start + place] = 1
+        member = member[cells] if by_cell else member
+    sums = np.empty((len(a), ends[-1]))
+    for lo, distance in _strips(a, b):
+        part = sums[lo:lo + STRIP]
+        if by_cell:
+            np.matmul(np.add.reduceat(distance, cells, axis=1), member, out=part)
+        elif ends[-1] <= WIDE:
+            np.matmul(distance, member, out=part)
+        else:
+            for (ids, place, sizes), start in zip(kinds, starts, strict=True):
+                part[:, start:start + len(ids)] = np.add.reduceat(distance[:, np.argsort(place, kind="stable")], np.cumsum(sizes) - sizes, axis=1)
+    for number, ((ids, _, sizes), start) in enumerate(zip(kinds, starts, strict=True)):
+        yield from zip([number] * len(ids), ids.tolist(), sums.T[start:start + len(ids)], sizes.tolist(), strict=True)
+
+
+def _packed(kind) -> Callable:
+    """Rows of a partition as blocks of about ``SUM_ROWS`` in their order: number, ids, labels and vectors, the last two laid out row by row."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, held = TaskContext.get().partitionId() << 32, 0, pa.table({"id": pa.array([], kind), "own": pa.array([], pa.list_(pa.int64())),
+                                                                               "x": pa.array([], pa.list_(pa.float64()))})
+
+        def cut(rows: int) -> pa.RecordBatch:
+            nonlocal made, held
+            part, held, made = held.slice(0, rows).combine_chunks(), held.slice(rows), made + 1
+            if part["x"].null_count:
+                raise ValueError("a row has no vector")
+            columns = [pa.concat_arrays(c.chunks) for c in (part["id"], part["own"], part["x"])]
+            flat = [columns[0], columns[1].flatten(), columns[2].flatten()]
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in flat]],
+                                              names=["block", "ids", "own", "x"])
+
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(held.schema)])
+            while held.num_rows >= 2 * SUM_ROWS:
+                yield cut(SUM_ROWS)
+        if held.num_rows > SUM_ROWS * 3 // 2:
+            yield cut(held.num_rows // 2)
+        if held.num_rows:
+            yield cut(held.num_rows)
+
+    return task
+
+
 def _cluster_sums(points: DataFrame, labelings: list[str]) -> DataFrame:
     """(row, labeling, own, other, total, members): distances of every row to every cluster of each labeling, summed, and their number.
 
-    Rows are packed into blocks once. A task streams the blocks of a slice past few blocks of its own and keeps their sums, so the blocks
-    are read again from the checkpoint but not shuffled again, and a row leaves a task once per slice and cluster. The number of
-    slices is fixed: data shuffled grows with the rows, only the arithmetic with their square. More sums than ``HELD_SUMS`` are passed on early.
+    Rows are packed into blocks once, rows of like labels together, so that a block has few different ones. A task streams the blocks of a
+    slice past few blocks of its own and keeps their sums, so the blocks are read again from the checkpoint but not shuffled again, and a
+    row leaves a task once per slice and cluster. The number of slices is fixed: data shuffled grows with the rows, only the arithmetic
+    with their square. More sums than ``HELD_SUMS`` are passed on early.
     """
     ship_package(points.sparkSession)
     kind = points.schema["session_id"].dataType
     if kind.simpleString() != "string":
         points, kind = points.withColumn("session_id", F.col("session_id").cast("bigint")), LongType()
     count, blocks = len(labelings), max(1, -(-points.count() // SUM_ROWS))
-    item = F.struct(F.col("session_id").alias("id"), F.array(*[F.col(c).cast("bigint") for c in labelings]).alias("own"), F.col("x").cast("array<double>").alias("x"))
-    dealt = points.select(F.pmod(F.xxhash64("session_id"), F.lit(blocks)).alias("block"), item.alias("item")).repartition(blocks, "block")
-    packed = cut_lineage(dealt.groupBy("block").agg(F.collect_list("item").alias("items")).select(
-        "block", F.col("items.id").alias("ids"), F.flatten("items.own").alias("own"), F.flatten("items.x").alias("x")))
+    rows = points.select(F.col("session_id").alias("id"), F.array(*[F.col(c).cast("bigint") for c in labelings]).alias("own"), F.col("x").cast("array<double>").alias("x"))
+    dealt = rows.repartitionByRange(blocks, "own", F.xxhash64("id")).sortWithinPartitions("own")
+    packed = cut_lineage(dealt.mapInArrow(_packed(to_arrow_type(kind)), f"block bigint, ids array<{kind.simpleString()}>, own array<bigint>, x array<double>"))
     left = packed.coalesce(SLICES).select(F.col("own").alias("s_own"), F.col("x").alias("s_x"))
     right = packed.select("block", "ids", F.col("own").alias("q_own"), F.col("x").alias("q_x"))
     schema = pa.schema([("row", to_arrow_type(kind)), ("labeling", pa.int32()), ("own", pa.int64()), ("other", pa.int64()), ("total", pa.float64()),
@@ -139,16 +221,12 @@ def _cluster_sums(points: DataFrame, labelings: list[str]) -> DataFrame:
                     held[row["block"].as_py()] = row["ids"].values, row["q_own"].values.to_numpy().reshape(-1, count), {}
                 ids, own, sums = held[row["block"].as_py()]
                 a = matrix(row["q_x"], len(ids))
-                for lo in range(0, len(a), STRIP):
-                    distance = _distances(a[lo:lo + STRIP], b)
-                    for number in range(count):
-                        for other, total, members in zip(*(v.T for v in _label_sums(distance, theirs[:, number])), strict=True):
-                            key = number, int(other)
-                            if key not in sums:
-                                sums[key] = [np.zeros(len(ids)), 0]
-                                cells += len(ids)
-                            sums[key][0][lo:lo + STRIP] += total
-                            sums[key][1] += int(members) if lo == 0 else 0
+                for number, other, total, members in _block_sums(a, b, theirs):
+                    if (number, other) not in sums:
+                        sums[number, other] = [np.zeros(len(ids)), 0]
+                        cells += len(ids)
+                    sums[number, other][0] += total
+                    sums[number, other][1] += members
                 if cells > HELD_SUMS:
                     yield from passed_on(held)
                     cells = 0
@@ -197,7 +275,7 @@ def silhouette_by_k(rows: DataFrame, training_ids: DataFrame, seed: int = 202608
 
     All K are fitted in the same passes and scored by one pass of distance blocks; ``best`` marks the highest, ties by lower K.
     """
-    training = rows.join(training_ids.select("session_id"), "session_id", "left_semi")
+    training = cut_lineage(rows.join(training_ids.select("session_id"), "session_id", "left_semi").select("session_id", "mode_features"))
     scaled = cut_lineage(standardise(training, training)[0].select("session_id", "x"))
     ks = range(2, min(top_k, scaled.count() - 1) + 1)
     if not ks:

@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import clustering, modes
+from sessionloom.runtime import cut_lineage
 
 
 def plain_kmeans(points, k, seed, restarts, tolerance=1e-4):
@@ -110,3 +113,64 @@ def test_distance_sums_leave_a_task_once_per_slice(spark, monkeypatch):
     monkeypatch.undo()
     plan = packed._jdf.queryExecution().toString()
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "Generate explode" not in plan
+
+
+def test_sums_of_a_task_leave_it_once():
+    """Many batches, equal centres, rows between two centres and far from zero: the rows of plain assignment, one row per run and cluster."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(500, 2)) + 1e6, np.tile([[1e6, 1e6 + 0.5]], (40, 1))])
+    runs = [x[:3].copy(), np.array([[1e6, 1e6], [1e6, 1e6 + 1], [1e6, 1e6]]), x[[5, 5, 6, 7]].copy(), x[-2:].copy()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 90].tolist())], names=["x"]) for lo in range(0, len(x), 90)]
+    made = list(clustering._assign(2, runs, True)(iter(batches)))
+    assert len(made) == 1 and made[0].num_rows == 12
+    for row in made[0].to_pylist():
+        squares = ((x[:, None] - runs[row["run"]]) ** 2).sum(-1)
+        own = squares.argmin(axis=1) == row["cluster"]
+        assert row["n"] == own.sum() and row["sums"] == pytest.approx(x[own].sum(axis=0)) and row["cost"] == pytest.approx(squares.min(axis=1)[own].sum())
+    odd = pa.RecordBatch.from_arrays([pa.array([[0.0], [float("nan")], [float("inf")], [5.0]])], names=["x"])
+    got = next(clustering._assign(1, [np.array([[0.0], [4.0]])], False)(iter([odd]))).to_pylist()
+    assert [r["n"] for r in got] == [3, 1] and got[1]["sums"] == [5.0]
+
+
+@pytest.mark.parametrize("few,wide", [(512, 128), (1, 128), (1, 1)])
+def test_block_sums_in_every_way(monkeypatch, few, wide):
+    monkeypatch.setattr(modes, "FEW_CELLS", few)
+    monkeypatch.setattr(modes, "WIDE", wide)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(150, 3)), rng.normal(size=(200, 3))
+    b[:20] = a[:20]
+    labels = np.column_stack([rng.integers(0, 3, 200), rng.integers(0, 80, 200) * 7 - 9])
+    for x in (b, np.where(np.arange(200)[:, None] == 30, np.nan, b)):
+        far = np.sqrt(((a[:, None] - x) ** 2).sum(-1))
+        seen = {(number, label): (sums, rows) for number, label, sums, rows in modes._block_sums(a, x, labels)}
+        assert set(seen) == {(number, label) for number in (0, 1) for label in labels[:, number].tolist()}
+        for (number, label), (sums, rows) in seen.items():
+            own = labels[:, number] == label
+            if number == 1 or x is b:
+                assert rows == own.sum() and sums == pytest.approx(far[:, own].sum(axis=1), rel=1e-9, abs=1e-12, nan_ok=True)
+
+
+def test_features_are_computed_once_and_blocks_hold_rows_of_like_labels(spark, monkeypatch):
+    made, blocks = spark.sparkContext.accumulator(0), []
+
+    @F.udf("array<double>")
+    def features(i):
+        made.add(1)
+        return [float(i % 4) * 5 + i / 1e4, float(i % 3)]
+
+    frame = spark.range(600).select(F.col("id").alias("session_id"), features("id").alias("mode_features"))
+
+    def kept(rows):
+        out = cut_lineage(rows)
+        if "ids" in out.columns:
+            blocks.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(modes, "SUM_ROWS", 50)
+    monkeypatch.setattr(modes, "cut_lineage", kept)
+    by_k = modes.silhouette_by_k(frame, spark.range(600).select(F.col("id").alias("session_id")), restarts=2, top_k=4).collect()
+    assert len(by_k) == 3 and made.value == 600
+    assert sorted(i for b in blocks for i in b.ids) == list(range(600)) and max(len(b.ids) for b in blocks) <= 75
+    assert len({b.block for b in blocks}) == len(blocks)
+    kinds = [len({tuple(b.own[i:i + 3]) for i in range(0, len(b.own), 3)}) for b in blocks]
+    assert sum(kinds) <= len(blocks) + len({tuple(b.own[i:i + 3]) for b in blocks for i in range(0, len(b.own), 3)})
